@@ -2,9 +2,336 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .. import sources
+from ..functions import dot
+from ..operators import evaluate as ev
+from ..operators import models as m
+from ..operators.encode import id_index
+from ..operators.neural import NeuralModel
+from ..operators.splits import allbut, kfold, time_split, with_rank
+
+FILE_ORDER = ["pos", "userId", "timestamp", "rating"]
+#: The user whose recommendations are shown, and one that no table has.
+USER, NOBODY = 7, -1
+#: Quick settings for the models that only rows are checked of.
+ALS_OPTIONS = {"factors": 10, "iterations": 5}
+NEURAL_OPTIONS = {"epochs": 2}
+
+
+def _ratings(spark: SparkSession, d: str) -> DataFrame:
+    return sources.indexed_interactions(spark, d)
+
+
+def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ranked = with_rank(_ratings(spark, d)).select("userId", "movieId", "user_idx", "item_idx", "rating", "timestamp", "pos", "rank").cache()
+    return ranked.where("rank >= 2"), ranked.where("rank = 1"), ranked.where("rank = 0")
+
+
+def _rows(df: DataFrame, *more: str) -> DataFrame:
+    long = [F.col(c).cast("long").alias(a) for c, a in (("userId", "user_id"), ("movieId", "item_id"))]
+    return df.select(*long, "rating", F.col("timestamp").cast("long").alias("ts"), F.col("pos.o").alias("o"), F.col("pos.l").alias("l"), *[F.col(c).cast("long").alias(c) if c in ("rank", "fold") else F.col(c) for c in more])
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), "rating", F.round("prediction", 6).alias("prediction"))
+
+
+def _metrics(df: DataFrame) -> DataFrame:
+    return ev.rating_metrics(df).select(F.round("RMSE", 6).alias("rmse"), F.round("MAE", 6).alias("mae"))
+
+
+def _ranking(model: m.Recommender, train: DataFrame, test: DataFrame, per_user: bool = False) -> DataFrame:
+    found = ev.user_metrics(model.predict(ev.ranking_candidates(train, test)))
+    if per_user:
+        return found.select(F.col("user_idx").cast("long").alias("user_idx"), F.col("k").cast("long").alias("k"), *[F.round(c, 6).alias(c.lower()) for c in ("P", "R", "NDCG")])
+    return ev.ranking_metrics(found).select("metric", F.col("k").cast("long").alias("k"), F.round("value", 6).alias("value"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Bias-model predictions for the validation rows."""
+    train, val, _ = _split(spark, d)
+    return _scored(m.BiasModel().fit(train).predict(val))
+
+
+def _with(split_part: str, f: Callable) -> Callable:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        train, val, test = _split(spark, d)
+        return f(train, {"val": val, "test": test, "train": train}[split_part])
+
+    return query
+
+
+def _bias(train: DataFrame, side: str) -> DataFrame:
+    found = getattr(m.BiasModel().fit(train), f"{side}_bias")
+    return found.select(F.col(f"{side}_idx").cast("long").alias(f"{side}_idx"), F.round(f"{side}_bias", 6).alias("bias"))
+
+
+def _folds(mode: str) -> Callable:
+    return lambda spark, d: _rows(kfold(sources.interactions(spark, d), FILE_ORDER, mode=mode), "fold", "part")
+
+
+def _allbut(start: int, stop: int, cap: int) -> Callable:
+    return lambda spark, d: _rows(allbut(sources.interactions(spark, d), FILE_ORDER, start, stop, cap), "part")
+
+
+def _residual(train: DataFrame) -> DataFrame:
+    return m.residuals(train, m.BiasModel().fit(train)).select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), "rating", F.round("residual", 6).alias("residual"))
+
+
+def _matrix(train: DataFrame) -> DataFrame:
+    return m.residual_matrix(train, m.BiasModel().fit(train)).select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), F.round("v", 6).alias("v"))
+
+
+def _norms(train: DataFrame) -> DataFrame:
+    return m.ItemKNN().fit(train).norms.select(F.col("item_idx").cast("long").alias("item_idx"), F.round("norm", 6).alias("norm"))
+
+
+def _similar(train: DataFrame, val: DataFrame) -> DataFrame:
+    """The 5 most similar items of each item rated in val, by similarity over their common raters."""
+    from pyspark.sql import Window as W
+
+    knn = m.ItemKNN().fit(train)
+    wanted = val.select(F.col("item_idx").alias("i")).distinct()
+    pairs = knn.matrix.join(wanted, knn.matrix.item_idx == wanted.i).select("user_idx", "i").join(knn.matrix.select("user_idx", F.col("item_idx").alias("j")), "user_idx").where("i <> j").select("i", "j").distinct()
+    sims = knn.similarity(pairs).withColumn("s", F.round("sim", 10)).where("s > 0")
+    top = sims.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.col("s").desc(), "j"))).where("r <= 5")
+    return top.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("s", 6).alias("sim"), F.col("r").cast("long").alias("r"))
+
+
+def _unseen(spark: SparkSession, d: str) -> DataFrame:
+    train, _, test = _split(spark, d)
+    relevant = ev.relevant_items(test, max_users=20)
+    return ev.unseen_items(relevant, train, relevant).groupBy("user_idx").agg(F.count("*").alias("n"), F.sum(F.col("item_idx").cast("long")).alias("total")).select(F.col("user_idx").cast("long").alias("user_idx"), "n", "total")
+
+
+def _negatives(spark: SparkSession, d: str) -> DataFrame:
+    train, _, test = _split(spark, d)
+    found = ev.ranking_candidates(train, test).where("not is_relevant")
+    return found.select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), F.col("cand_pos").cast("long").alias("cand_pos"))
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    train, _, test = _split(spark, d)
+    return ev.ranking_candidates(train, test).groupBy("user_idx").agg(F.count("*").alias("n"), F.sum(F.col("is_relevant").cast("long")).alias("n_relevant")).select(F.col("user_idx").cast("long").alias("user_idx"), "n", "n_relevant")
+
+
+def _ranked(make: Callable, per_user: bool = False) -> Callable:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        train, _, test = _split(spark, d)
+        return _ranking(make().fit(train), train, test, per_user)
+
+    return query
+
+
+def _topn(make: Callable, user: int) -> Callable:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        train, _, _ = _split(spark, d)
+        try:
+            user_idx = ev.user_index(train, user)
+        except ev.UnknownUser:
+            return spark.createDataFrame([], "rank long, item_id long, title string, score double")
+        found = ev.recommend(make().fit(train), user_idx, train, sources.items(spark, d))
+        return found.select(F.col("rank").cast("long").alias("rank"), "item_id", "title", "score")
+
+    return query
+
+
+def _als_recommend(spark: SparkSession, d: str) -> DataFrame:
+    train, _, _ = _split(spark, d)
+    return m.ALSModel(**ALS_OPTIONS).fit(train).recommend(USER).select(F.col("item_idx").cast("long").alias("item_idx"), "score")
+
+
+def _factor_dot(spark: SparkSession, d: str) -> DataFrame:
+    """Dot products of fixed vectors, as the factor model scores pairs."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    a = v.where("vec_id < 20").select(F.col("vec_id").alias("user_idx"), F.col("embedding").alias("u"))
+    b = v.where("vec_id < 300").select(F.col("vec_id").alias("item_idx"), F.col("embedding").alias("i"))
+    return a.join(F.broadcast(b)).select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), F.round(dot(F.col("u"), F.col("i")), 5).alias("score"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "interactions": lambda s, d: _rows(sources.interactions(s, d)),
+    "interactions_half_star": lambda s, d: _rows(sources.interactions(s, d, half_stars=True)),
+    "id_index_users": lambda s, d: id_index(sources.interactions(s, d), "userId", "user_idx").select(F.col("userId").alias("user_id"), F.col("user_idx").cast("long").alias("user_idx")),
+    "id_index_items": lambda s, d: id_index(sources.interactions(s, d), "movieId", "item_idx").select(F.col("movieId").alias("item_id"), F.col("item_idx").cast("long").alias("item_idx")),
+    "items_titles": lambda s, d: sources.items(s, d).select(F.col("movieId").alias("item_id"), "title", "genres"),
+    "users_profile": lambda s, d: sources.users(s, d).select(F.col("userId").alias("user_id"), "segment", F.col("nation").cast("long").alias("nation")),
+    "tag_counts": lambda s, d: sources.tags(s, d).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("userId").alias("n_users")),
+    "time_split_train": lambda s, d: _rows(time_split(_ratings(s, d))[0], "rank"),
+    "time_split_val": lambda s, d: _rows(time_split(_ratings(s, d))[1], "rank"),
+    "time_split_test": lambda s, d: _rows(time_split(_ratings(s, d))[2], "rank"),
+    "split_counts": lambda s, d: with_rank(_ratings(s, d)).groupBy(F.expr("case rank when 0 then 'test' when 1 then 'val' else 'train' end").alias("part")).agg(F.count("*").alias("n"), F.countDistinct("userId").alias("n_users")),
+    "kfold_exact": _folds("exact"),
+    "kfold_compat": _folds("compat"),
+    "allbut_1_10": _allbut(1, 10, 0),
+    "allbut_11_20": _allbut(11, 20, 0),
+    "allbut_capped": _allbut(1, 10, 1000),
+    "global_mean": _with("val", lambda train, val: m.GlobalMean().fit(train).predict(val).groupBy(F.round("prediction", 6).alias("prediction")).agg(F.count("*").alias("n"))),
+    "user_bias": _with("train", lambda train, _: _bias(train, "user")),
+    "item_bias": _with("train", lambda train, _: _bias(train, "item")),
+    "bias_predict_val": flagship,
+    "residuals": _with("train", lambda train, _: _residual(train)),
+    "residual_matrix": _with("train", lambda train, _: _matrix(train)),
+    "rating_metrics_global_mean": _with("val", lambda train, val: _metrics(m.GlobalMean().fit(train).predict(val))),
+    "rating_metrics_bias": _with("val", lambda train, val: _metrics(m.BiasModel().fit(train).predict(val))),
+    "item_norms": _with("train", lambda train, _: _norms(train)),
+    "item_similarity_topk": _with("val", _similar),
+    "knn_predict_val": _with("val", lambda train, val: _scored(m.ItemKNN().fit(train).predict(val))),
+    "rating_metrics_knn": _with("val", lambda train, val: _metrics(m.ItemKNN().fit(train).predict(val))),
+    "unseen_items": _unseen,
+    "sampled_negatives": _negatives,
+    "ranking_candidates": _candidates,
+    "ranking_metrics_bias": _ranked(m.BiasModel),
+    "ranking_per_user_bias": _ranked(m.BiasModel, per_user=True),
+    "ranking_metrics_knn": _ranked(m.ItemKNN),
+    "topn_bias": _topn(m.BiasModel, USER),
+    "topn_knn": _topn(m.ItemKNN, USER),
+    "topn_unknown_user": _topn(m.BiasModel, NOBODY),
+    "factor_dot_score": _factor_dot,
+    "als_predict_val": _with("val", lambda train, val: _scored(m.ALSModel(**ALS_OPTIONS).fit(train).predict(val))),
+    "als_recommend": _als_recommend,
+    "ranking_metrics_als": _ranked(lambda: m.ALSModel(**ALS_OPTIONS)),
+    "neural_predict_val": _with("val", lambda train, val: _scored(NeuralModel(**NEURAL_OPTIONS).fit(train).predict(val))),
+    "ranking_metrics_neural": _ranked(lambda: NeuralModel(**NEURAL_OPTIONS)),
+}
+
+# --- the same in SQL, step by step -----------------------------------------------------------------------------
+
+_INTER = """
+inter AS (
+  SELECT CAST(o_custkey AS BIGINT) AS user_id, CAST(l_partkey AS BIGINT) AS item_id, CAST(ceil(l_quantity / 10) AS DOUBLE) AS rating,
+    CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS ts, CAST(l_orderkey AS BIGINT) AS o, CAST(l_linenumber AS BIGINT) AS l, CAST(l_partkey AS BIGINT) AS p
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_RANKED = f"""{_INTER},
+users_i AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM inter)),
+items_i AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM inter)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, o DESC, l DESC, p DESC) - 1 AS BIGINT) AS rank
+  FROM inter JOIN users_i USING (user_id) JOIN items_i USING (item_id)),
+train AS (SELECT * FROM ranked WHERE rank >= 2), val AS (SELECT * FROM ranked WHERE rank = 1), test AS (SELECT * FROM ranked WHERE rank = 0)"""
+_BIAS = f"""{_RANKED},
+mu AS (SELECT avg(rating) AS mu FROM train),
+ub AS (SELECT user_idx, avg(rating) - (SELECT mu FROM mu) AS b FROM train GROUP BY user_idx),
+ib AS (SELECT item_idx, avg(rating) - (SELECT mu FROM mu) AS b FROM train GROUP BY item_idx)"""
+
+
+def _base(table: str) -> str:
+    return f"SELECT t.*, (SELECT mu FROM mu) + coalesce(ub.b, 0) + coalesce(ib.b, 0) AS base FROM {table} t LEFT JOIN ub USING (user_idx) LEFT JOIN ib USING (item_idx)"
+
+
+_BIAS_VAL = f"{_BIAS}, pred AS (SELECT *, least(5.0, greatest(0.5, base)) AS prediction FROM ({_base('val')}))"
+_MATRIX = f"""{_BIAS},
+mat AS (SELECT user_idx, item_idx, sum(rating - base) AS v FROM ({_base('train')}) GROUP BY user_idx, item_idx),
+nz AS (SELECT * FROM mat WHERE v <> 0),
+norms AS (SELECT item_idx, sqrt(sum(v * v)) AS norm FROM nz GROUP BY item_idx)"""
+
+
+def _knn(targets: str) -> str:
+    """Neighbour adjustments of the pairs in `targets`, then predictions as `knn_pred`."""
+    return f"""
+asked AS (SELECT DISTINCT t.user_idx, t.item_idx AS i, nz.item_idx AS j, nz.v FROM (SELECT DISTINCT user_idx, item_idx FROM {targets}) t JOIN nz USING (user_idx) WHERE t.item_idx <> nz.item_idx),
+sims AS (
+  SELECT a.item_idx AS i, b.item_idx AS j, round(sum(a.v * b.v) / (max(na.norm) * max(nb.norm)), 10) AS s
+  FROM (SELECT DISTINCT i, j FROM asked) q JOIN nz a ON a.item_idx = q.i JOIN nz b ON b.item_idx = q.j AND b.user_idx = a.user_idx
+  JOIN norms na ON na.item_idx = a.item_idx JOIN norms nb ON nb.item_idx = b.item_idx GROUP BY a.item_idx, b.item_idx),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY user_idx, i ORDER BY s DESC, j) AS r FROM asked JOIN sims USING (i, j) WHERE s > 0),
+adj AS (SELECT user_idx, i AS item_idx, sum(s * v) / sum(s) AS adj FROM near WHERE r <= 20 GROUP BY user_idx, i),
+knn_pred AS (SELECT b.*, least(5.0, greatest(0.5, base + coalesce(adj, 0))) AS prediction FROM ({_base(targets)}) b LEFT JOIN adj USING (user_idx, item_idx))"""
+
+
+_CAND = f"""{_BIAS},
+chosen AS (SELECT DISTINCT user_idx FROM test WHERE rating >= 4 ORDER BY user_idx LIMIT 500),
+rel AS (SELECT user_idx, item_idx, 0 AS cand_pos FROM test WHERE rating >= 4 AND user_idx IN (SELECT user_idx FROM chosen)),
+universe AS (SELECT unnest(range(0, (SELECT max(item_idx) + 1 FROM train))) AS item_idx),
+unseen AS (
+  SELECT c.user_idx, u.item_idx FROM chosen c, universe u
+  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = c.user_idx AND t.item_idx = u.item_idx)
+    AND NOT EXISTS (SELECT 1 FROM rel t WHERE t.user_idx = c.user_idx AND t.item_idx = u.item_idx)),
+hashed AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY md5('42:' || user_idx || ':' || item_idx), item_idx) AS n FROM unseen),
+neg AS (SELECT user_idx, item_idx, CAST(n AS BIGINT) AS cand_pos FROM hashed WHERE n <= 99 AND user_idx IN (SELECT user_idx FROM hashed WHERE n = 99)),
+cand AS (
+  SELECT user_idx, item_idx, CAST(cand_pos AS BIGINT) AS cand_pos, true AS is_rel FROM rel WHERE user_idx IN (SELECT user_idx FROM neg)
+  UNION ALL SELECT user_idx, item_idx, cand_pos, false FROM neg)"""
+_CAND_BIAS = f"{_CAND}, scored AS (SELECT *, least(5.0, greatest(0.5, base)) AS prediction FROM ({_base('cand')}))"
+_CAND_KNN = _CAND.replace(_BIAS, _MATRIX, 1) + f",{_knn('cand')}, scored AS (SELECT * FROM knn_pred)"
+_PER_USER = """
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY prediction DESC, cand_pos DESC) AS position FROM scored),
+per_user AS (
+  SELECT user_idx, k, sum(CASE WHEN is_rel AND position <= k THEN 1.0 ELSE 0 END) / k AS p, sum(CASE WHEN is_rel AND position <= k THEN 1.0 ELSE 0 END) / sum(CAST(is_rel AS INT)) AS r,
+    sum(CASE WHEN is_rel AND position <= k THEN 1.0 / log2(position + 1) ELSE 0 END) AS ndcg
+  FROM placed, (SELECT CAST(unnest([5, 10, 20]) AS BIGINT) AS k) GROUP BY user_idx, k)"""
+_MEANS = "SELECT metric, k, round(value, 6) AS value FROM (SELECT 'P' AS metric, k, avg(p) AS value FROM per_user GROUP BY k UNION ALL SELECT 'R', k, avg(r) FROM per_user GROUP BY k UNION ALL SELECT 'NDCG', k, avg(ndcg) FROM per_user GROUP BY k)"
+_ROW = "user_id, item_id, rating, ts, o, l"
+_PREDICTED = "SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, rating, round(prediction, 6) AS prediction FROM"
+_ERRORS = "SELECT round(sqrt(avg((rating - prediction) * (rating - prediction))), 6) AS rmse, round(avg(abs(rating - prediction)), 6) AS mae FROM"
+_NUMBERED = f"{_INTER}, numbered AS (SELECT *, row_number() OVER (ORDER BY o, l, p, user_id, ts, rating) AS n, (SELECT count(*) FROM inter) AS total FROM inter), folds AS (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS BIGINT) AS fold), sized AS (SELECT *, total // 5 AS s, total % 5 AS rest FROM numbered, folds)"
+_IS_TEST = "(n BETWEEN (fold - 1) * s + 1 AND fold * s OR fold = 5 AND n > total - rest)"
+
+
+def _allbut_sql(start: int, stop: int, cap: int) -> str:
+    count = f"sum(CASE WHEN {start} <= nth AND nth <= {stop} THEN 1 ELSE 0 END) OVER (ORDER BY o, l, p, user_id, ts, rating ROWS UNBOUNDED PRECEDING)"
+    capped = f" AND so_far <= {cap}" if cap else ""
+    return f"WITH {_INTER}, nthed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, l, p, user_id, ts, rating) AS nth FROM inter), counted AS (SELECT *, {count} AS so_far FROM nthed) SELECT {_ROW}, CASE WHEN nth BETWEEN {start} AND {stop}{capped} THEN 'test' ELSE 'train' END AS part FROM counted"
+
+
+def _top_sql(ctes: str, scored: str, prediction: str) -> str:
+    return f"""WITH {ctes},
+me AS (SELECT DISTINCT user_idx FROM train WHERE user_id = {USER}),
+cand AS (SELECT me.user_idx, CAST(u.item_idx AS BIGINT) AS item_idx FROM me, (SELECT unnest(range(0, (SELECT max(item_idx) + 1 FROM train))) AS item_idx) u
+  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = me.user_idx AND t.item_idx = u.item_idx)){scored},
+best AS (SELECT *, {prediction} AS score FROM {'knn_pred' if scored else f"({_base('cand')})"} ORDER BY score DESC, item_idx DESC LIMIT 10),
+named AS (SELECT best.*, ids.item_id FROM best JOIN (SELECT DISTINCT item_idx, item_id FROM train) ids USING (item_idx))
+SELECT row_number() OVER (ORDER BY score DESC, item_idx DESC) AS rank, item_id, coalesce(p_name, 'MovieID ' || item_id) AS title, round(score, 3) AS score
+FROM named LEFT JOIN (SELECT DISTINCT p_partkey, p_name FROM part) ON p_partkey = item_id"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "interactions": f"WITH {_INTER} SELECT {_ROW} FROM inter",
+    "interactions_half_star": f"WITH {_INTER.replace('ceil(l_quantity / 10) AS DOUBLE)', 'ceil(l_quantity / 5) AS DOUBLE) / 2')} SELECT {_ROW} FROM inter",
+    "id_index_users": f"WITH {_RANKED} SELECT user_id, CAST(user_idx AS BIGINT) AS user_idx FROM users_i",
+    "id_index_items": f"WITH {_RANKED} SELECT item_id, CAST(item_idx AS BIGINT) AS item_idx FROM items_i",
+    "items_titles": "SELECT CAST(p_partkey AS BIGINT) AS item_id, p_name AS title, p_type || '|' || p_brand AS genres FROM part",
+    "users_profile": "SELECT CAST(c_custkey AS BIGINT) AS user_id, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation FROM customer",
+    "tag_counts": "SELECT event_type AS tag, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type",
+    "time_split_train": f"WITH {_RANKED} SELECT {_ROW}, rank FROM train",
+    "time_split_val": f"WITH {_RANKED} SELECT {_ROW}, rank FROM val",
+    "time_split_test": f"WITH {_RANKED} SELECT {_ROW}, rank FROM test",
+    "split_counts": f"WITH {_RANKED} SELECT CASE rank WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT user_id) AS n_users FROM ranked GROUP BY 1",
+    "kfold_exact": f"WITH {_NUMBERED} SELECT {_ROW}, fold, CASE WHEN {_IS_TEST} THEN 'test' ELSE 'train' END AS part FROM sized",
+    "kfold_compat": f"WITH {_NUMBERED} SELECT {_ROW}, fold, 'test' AS part FROM sized WHERE {_IS_TEST} UNION ALL SELECT {_ROW}, fold, 'train' FROM sized WHERE n <= (fold - 1) * s UNION ALL SELECT {_ROW}, fold, 'train' FROM sized WHERE fold < 5 AND n > total - (5 - fold) * s UNION ALL SELECT {_ROW}, fold, 'train' FROM sized WHERE fold < 5 AND n > total - rest",
+    "allbut_1_10": _allbut_sql(1, 10, 0),
+    "allbut_11_20": _allbut_sql(11, 20, 0),
+    "allbut_capped": _allbut_sql(1, 10, 1000),
+    "global_mean": f"WITH {_BIAS} SELECT round((SELECT mu FROM mu), 6) AS prediction, count(*) AS n FROM val",
+    "user_bias": f"WITH {_BIAS} SELECT CAST(user_idx AS BIGINT) AS user_idx, round(b, 6) AS bias FROM ub",
+    "item_bias": f"WITH {_BIAS} SELECT CAST(item_idx AS BIGINT) AS item_idx, round(b, 6) AS bias FROM ib",
+    "bias_predict_val": f"WITH {_BIAS_VAL} {_PREDICTED} pred",
+    "residuals": f"WITH {_BIAS} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, rating, round(rating - base, 6) AS residual FROM ({_base('train')})",
+    "residual_matrix": f"WITH {_MATRIX} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, round(v, 6) AS v FROM mat",
+    "rating_metrics_global_mean": f"WITH {_BIAS} {_ERRORS} (SELECT rating, (SELECT mu FROM mu) AS prediction FROM val)",
+    "rating_metrics_bias": f"WITH {_BIAS_VAL} {_ERRORS} pred",
+    "item_norms": f"WITH {_MATRIX} SELECT CAST(item_idx AS BIGINT) AS item_idx, round(norm, 6) AS norm FROM norms",
+    "item_similarity_topk": f"""WITH {_MATRIX},
+sims AS (SELECT a.item_idx AS i, b.item_idx AS j, round(sum(a.v * b.v) / (max(na.norm) * max(nb.norm)), 10) AS s FROM nz a JOIN nz b ON a.user_idx = b.user_idx AND a.item_idx <> b.item_idx
+  JOIN norms na ON na.item_idx = a.item_idx JOIN norms nb ON nb.item_idx = b.item_idx WHERE a.item_idx IN (SELECT item_idx FROM val) GROUP BY a.item_idx, b.item_idx),
+top AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FROM sims WHERE s > 0)
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FROM top WHERE r <= 5""",
+    "knn_predict_val": f"WITH {_MATRIX},{_knn('val')} {_PREDICTED} knn_pred",
+    "rating_metrics_knn": f"WITH {_MATRIX},{_knn('val')} {_ERRORS} knn_pred",
+    "unseen_items": f"WITH {_CAND.replace('LIMIT 500', 'LIMIT 20')} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(item_idx) AS BIGINT) AS total FROM unseen GROUP BY user_idx",
+    "sampled_negatives": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, cand_pos FROM neg",
+    "ranking_candidates": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(CAST(is_rel AS INT)) AS BIGINT) AS n_relevant FROM cand GROUP BY user_idx",
+    "ranking_metrics_bias": f"WITH {_CAND_BIAS}, {_PER_USER} {_MEANS}",
+    "ranking_per_user_bias": f"WITH {_CAND_BIAS}, {_PER_USER} SELECT CAST(user_idx AS BIGINT) AS user_idx, k, round(p, 6) AS p, round(r, 6) AS r, round(ndcg, 6) AS ndcg FROM per_user",
+    "ranking_metrics_knn": f"WITH {_CAND_KNN}, {_PER_USER} {_MEANS}",
+    "topn_bias": _top_sql(_BIAS, "", "least(5.0, greatest(0.5, base))"),
+    "topn_knn": _top_sql(_MATRIX, f",{_knn('cand')}", "prediction"),
+    "topn_unknown_user": "SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS item_id, '' AS title, CAST(0 AS DOUBLE) AS score WHERE false",
+    "factor_dot_score": "SELECT CAST(a.vec_id AS BIGINT) AS user_idx, CAST(b.vec_id AS BIGINT) AS item_idx, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id < 300",
+}

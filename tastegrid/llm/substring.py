@@ -33,7 +33,7 @@ _ROW = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 class WordHashes(dict):
     """64-bit hashes of words, each computed once in a worker."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -173,45 +173,46 @@ def _grouped(w1: np.ndarray, w2: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     return w1, w2, doc, at, doc != doc[first][np.cumsum(new) - 1]
 
 
-def _by_document(doc: np.ndarray, at: np.ndarray) -> tuple[list, list]:
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
-    return [int(doc[i]) for i in starts], [x.astype("<i4").tobytes() for x in (np.split(at, starts[1:]) if len(doc) else [])]
+def _listed(doc: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(remainder of the document modulo n, documents, positions), as packed gaps."""
+    part = doc % n
+    order = np.lexsort((at, doc, part))
+    ends = np.searchsorted(part[order], np.arange(n), side="right")
+    for k, own in enumerate(np.split(order, ends[:-1])):
+        if len(own):
+            yield k, _packed(np.diff(doc[own], prepend=0)), _packed(np.diff(at[own], prepend=np.int32(0)))
+
+
+def _unlisted(docs: list[bytes], at: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.cumsum(_unpacked(x, np.int64)) for x in docs]), np.concatenate([np.cumsum(_unpacked(x, np.int32), dtype=np.int32) for x in at])
 
 
 def repeated_starts(docs: DataFrame, width: int, sketch: np.ndarray, shards: int) -> DataFrame:
-    """(doc_id, starts): positions of windows that also start in a document of smaller id, some rows a document.
+    """(doc_id, starts): gaps between the positions of windows that also start in a document of smaller id.
 
     A block of a partition settles what it can on its own: of documents that share a window it sends only the
     earliest one's on. So a window gets a row a block at most in the shuffle, however many documents have it.
+    What is found is gathered by document, a row each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    names = ["shard", "doc_id", "starts", "w1", "w2", "doc"]
-
-    def rows(shard: list, doc_id: list, starts: list, w1: list, w2: list, doc: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((shard, doc_id, starts, w1, w2, doc), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names)
+    names = ["shard", "doc", "at", "w1", "w2"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             w1, w2, doc, at, later = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            ids, starts = _by_document(doc[later], at[later])
-            if ids:
-                none = [None] * len(ids)
-                yield rows([i % shards for i in ids], ids, starts, none, none, none)
+            rows = [(k, d, a, None, None) for k, d, a in _listed(doc[later], at[later], shards)]
             w1, w2, doc, at = (x[~later] for x in (w1, w2, doc, at))
             shard = (w1 % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             ends = np.searchsorted(shard[order], np.arange(shards), side="right")
-            some = [k for k, part in enumerate(np.split(order, ends[:-1])) if len(part)]
-            parts = [order[(ends[k - 1] if k else 0) : ends[k]] for k in some]
-            yield rows(some, [None] * len(some), [_packed(at[p]) for p in parts], [_packed(w1[p]) for p in parts], [_packed(w2[p]) for p in parts], [_packed(doc[p]) for p in parts])
+            rows += [(k, *(_packed(x[p]) for x in (doc, at, w1, w2))) for k, p in enumerate(np.split(order, ends[:-1])) if len(p)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names)
 
         for doc, at, w1, w2 in windows(batches, width, 2):
             keep = estimated_repeated(w1, shared.value)
-            held.append((w1[keep], w2[keep], doc[keep], at[keep]))
+            held.append((w1[keep], (w2[keep] >> np.uint64(32)).astype(np.uint32), doc[keep], at[keep]))
             n += int(keep.sum())
             if n >= BLOCK_WINDOWS:
                 yield from flush()
@@ -220,20 +221,34 @@ def repeated_starts(docs: DataFrame, width: int, sketch: np.ndarray, shards: int
             yield from flush()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        settled, held = [], []
         for batch in batches:
-            for _, doc_id, starts, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc_id is None:
-                    held.append([*(_unpacked(x, t) for x, t in zip(blobs, (np.uint64, np.uint64, np.int64), strict=True)), _unpacked(starts, np.int32)])
+            for _, doc, at, w1, w2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if w1 is None:
+                    settled.append((doc, at))
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([starts], pa.binary())], ["doc_id", "starts"])
+                    held.append((_unpacked(w1, np.uint64), _unpacked(w2, np.uint32), _unpacked(doc, np.int64), _unpacked(at, np.int32)))
+        found = [_unlisted(*zip(*settled, strict=True))] if settled else []
         if held:
             _, _, doc, at, later = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            ids, starts = _by_document(doc[later], at[later])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.binary())], ["doc_id", "starts"])
-
-    sent = docs.mapInArrow(partial, "shard int, doc_id long, starts binary, w1 binary, w2 binary, doc binary")
-    return sent.repartition(shards, "shard").mapInArrow(exact, "doc_id long, starts binary")
+            found.append((doc[later], at[later]))
+        for k, doc, at in _listed(*(np.concatenate(x) for x in zip(*found, strict=True)), shards) if found else ():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([doc], pa.binary()), pa.array([at], pa.binary())], names[:3])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        if not rows:
+            return
+        doc, at = _unlisted(*zip(*rows, strict=True))
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        lists = [np.diff(x, prepend=np.int32(0)).tobytes() for x in np.split(at, starts[1:])]
+        yield from pa.Table.from_arrays([pa.array(doc[starts]), pa.array(lists, pa.binary())], ["doc_id", "starts"]).to_batches(max_chunksize=10_000)
+
+    sent = docs.mapInArrow(partial, "shard int, doc binary, at binary, w1 binary, w2 binary")
+    found = sent.repartition(shards, "shard").mapInArrow(exact, "shard int, doc binary, at binary")
+    return found.repartition(shards, "shard").mapInArrow(gather, "doc_id long, starts binary")
 
 
 def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -243,7 +258,7 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the kept text if `keep_text`. Windows are judged on the input. A null or empty text has no words. A document
     without an id takes no part: it keeps its words and removes none. Rows that repeat an id are one document:
     a position removed in one is removed in all. An empty table gives no rows; other columns are ignored.
-    Windows are compared by 128 bits of hash.
+    Windows are compared by 96 bits of hash.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -251,18 +266,17 @@ def remove_repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     expected = total_bytes(docs) // 6
     bits = min(MAX_BITS, max(20, (4 * expected).bit_length()))
     shards = max(shuffle_partitions(spark), -(-expected // SHARD_WINDOWS))
-    found = repeated_starts(docs, window, merged_sketch(docs, window, bits), shards)
-    lists = found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts")).withColumnRenamed("doc_id", "its_id")
+    lists = repeated_starts(docs, window, merged_sketch(docs, window, bits), shards).withColumnRenamed("doc_id", "its_id")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, lists in zip(column_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True):
+            for raw, gaps in zip(column_bytes(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 words = (raw or b"").split()
                 n = len(words)
-                if lists:
+                if gaps:
                     edge = np.zeros(n + window + 1, dtype=np.int32)
-                    at = np.unique(np.frombuffer(b"".join(lists), dtype="<i4"))
+                    at = np.unique(np.cumsum(np.frombuffer(gaps, dtype=np.int32)))
                     at = at[at < n]
                     edge[at] += 1
                     edge[at + window] -= 1

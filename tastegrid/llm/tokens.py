@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,12 +14,14 @@ from .common import column_bytes, id_text, prepare, slices
 
 #: Bytes of text whose units are looked up together.
 BATCH_BYTES = 4 << 20
-#: Units kept between batches in a worker.
-CACHE_UNITS = 400_000
+#: Units in each of the two generations that a worker keeps between batches.
+CACHE_UNITS = 300_000
 
 # Everything that some regex engine may take for white space.
 _BLANK = "\\s\u180e\u200b\ufeff"
 _TIGHT = re.compile(f"[{_BLANK}][ \\n]|\\n[{_BLANK}]")
+# Latin letters and a tail of punctuation never share a token, and no added token has this shape.
+_STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?|&*#$%]+)")
 _CUT = re.compile(f"(?<=[^{_BLANK}])(?=[ \\t\\n\\r\\f\\v])")
 
 
@@ -33,7 +36,10 @@ class UnitEncoder:
 
     The tokenizer's pre-tokenizer never puts a non-blank and a following blank in one token, nor looks behind,
     so a text may be cut there: the tokens of the pieces are the tokens of the text. Each distinct unit
-    (at most one word with its leading blanks) is encoded once; `value` says what is kept of its ids.
+    (a word with its leading blank) is encoded once; `value` says what is kept of its ids, `join` puts values together.
+
+    Units are named by keys: a word stands for itself after a space, a line feed and a word for just that, and two
+    line feeds and any text for that text alone.
     """
 
     def __init__(self, path: str, value, join):
@@ -41,44 +47,59 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.value, self.join = Tokenizer.from_file(path), value, join
-        self.bare: dict[str, object] = {}
-        self.spaced: dict[str, object] = {}
-
-    def _learn(self, cache: dict, units: set[str], prefix: str) -> None:
-        new = list(units.difference(cache))
+        self.now: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    @staticmethod
+    def _parts(key: str) -> tuple[str, str] | None:
+        """Two keys whose values joined are the key's."""
+        if key[:1] == "\n" != key[1:2]:
+            return "\n\n\n", f"\n\n{key[1:]}"
+        bare = key[:2] == "\n\n"
+        found = _STEM.fullmatch(key, 2 if bare else 0)
+        return (f"\n\n{found[1]}" if bare else found[1], f"\n\n{found[2]}") if found else None
+
+    def _learn(self, keys: set[str]) -> None:
+        now, old, single, parted = self.now, self.old, set(), []
+        for key in keys:
+            if key in old:
+                now[key] = old[key]
+            elif parts := self._parts(key):
+                parted.append((key, parts))
+            else:
+                single.add(key)
+        for key in {x for _, parts in parted for x in parts}.difference(now):
+            if key in old:
+                now[key] = old[key]
+            else:
+                single.add(key)
+        new = list(single)
         for a, b in slices(new, [len(x) + 1 for x in new], BATCH_BYTES):
-            for unit, e in zip(new[a:b], self.tokenizer.encode_batch_fast([prefix + x for x in new[a:b]], add_special_tokens=False), strict=True):
-                cache[unit] = self.value(e.ids)
+            found = self.tokenizer.encode_batch_fast([x[2:] if x[:2] == "\n\n" else f" {x}" for x in new[a:b]], add_special_tokens=False)
+            for key, e in zip(new[a:b], found, strict=True):
+                now[key] = self.value(e.ids)
+        for key, (a, b) in parted:
+            now[key] = self.join((now[a], now[b]))
 
     def __call__(self, texts: list[str]) -> list:
-        if len(self.bare) + len(self.spaced) > CACHE_UNITS:
-            self.bare.clear()
-            self.spaced.clear()
-        cut, bare, spaced = [], {"\n"}, set()
+        if len(self.now) > CACHE_UNITS:  # rare units go, frequent ones come back
+            self.old, self.now = self.now, {}
+        known, docs, missing = self.now.get, [], set()
         for text in texts:
             if _TIGHT.search(text):
-                units = _CUT.split(text)
-                bare.update(units)
-                cut.append((units, None))
-            else:
-                lines = [x.split(" ") for x in text.split("\n")]
-                bare.update(x[0] for x in lines)
-                for x in lines:
-                    spaced.update(x[1:])
-                cut.append((None, lines))
-        self._learn(self.bare, bare, "")
-        self._learn(self.spaced, spaced, " ")
-        bare_of, spaced_of, newline, out = self.bare.__getitem__, self.spaced.__getitem__, self.bare["\n"], []
-        for units, lines in cut:
-            if lines is None:
-                found = list(map(bare_of, units))
+                keys = [f"\n\n{x}" for x in _CUT.split(text)]
             else:
-                found = []
-                for i, x in enumerate(lines):
-                    if i:
-                        found.append(newline)
-                    found.append(bare_of(x[0]))
-                    found.extend(map(spaced_of, x[1:]))
+                keys = text.replace("\n", " \n").split(" ")
+                keys[0] = f"\n\n{keys[0]}"
+            found = list(map(known, keys))
+            miss = [i for i, x in enumerate(found) if x is None]
+            missing.update([keys[i] for i in miss])
+            docs.append((keys, found, miss))
+        self._learn(missing)
+        out = []
+        for keys, found, miss in docs:
+            for i in miss:
+                found[i] = self.now[keys[i]]
             out.append(self.join(found))
         return out
 
@@ -94,10 +115,8 @@ def length_encoder(path: str) -> UnitEncoder:
 
 def ids_encoder(path: str) -> UnitEncoder:
     """Ids as little-endian unsigned 32-bit bytes."""
-    import numpy as np
-
     if (path, "ids") not in _encoders:
-        _encoders[path, "ids"] = UnitEncoder(path, lambda ids: np.asarray(ids, dtype="<u4").tobytes(), b"".join)
+        _encoders[path, "ids"] = UnitEncoder(path, lambda ids: pack(f"<{len(ids)}I", *ids), b"".join)
     return _encoders[path, "ids"]
 
 

@@ -30,8 +30,7 @@ def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, n
     mean = x.mean(axis=0)
     centred = x - mean
     dim = x.shape[1]
-    axes = np.linalg.svd(centred, full_matrices=True)[2] if len(x) else np.eye(dim)
-    axes = axes[: min(BITS, dim)].T
+    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, : min(BITS, dim)]  # of the dimension's size, not the sample's
     rng = np.random.default_rng(seed)
     turn = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
     projected = centred @ axes

@@ -3,7 +3,8 @@
 A fingerprint's 64 bits are cut into 32 segments; the vector of their bit counts embeds it so that the Manhattan
 distance of two vectors is a lower bound of the Hamming distance. Segments are dealt into groups: within a
 distance of 4, at least groups - 4 groups must have equal coordinates, so a grid with a cell for each choice of
-groups - 4 groups and their coordinates brings every near pair together in a cell, where it is verified exactly.
+groups - 4 groups and their coordinates brings every near pair together in a cell. There a range join under the
+Manhattan distance keeps the pairs that can be near, and only those are verified exactly.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SHINGLE, DISTANCE, SEGMENTS = 4, 4, 32
 BLOCK = 1 << 14
 #: Rows of the grid expected in one task.
 TASK_ROWS = 500_000
+#: Fingerprints expected in one cell of the grid; more groups make finer cells.
+CELL_ROWS, MOST_GROUPS = 256, 10
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -61,6 +64,26 @@ def popcounts(fp: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
     return np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(len(fp), segments, -1).sum(axis=2, dtype=np.uint8)
 
 
+_LOW = np.uint64(0x5555555555555555)
+
+
+def thermometer(fp: np.ndarray) -> np.ndarray:
+    """Bit counts of two-bit segments in unary (any bit set, both set): differing bits are the Manhattan distance."""
+    both, any_ = fp & (fp >> np.uint64(1)) & _LOW, (fp | fp >> np.uint64(1)) & _LOW
+    return both << np.uint64(1) | any_
+
+
+def grid_groups(nodes: int, distance: int = DISTANCE) -> int:
+    """Groups for so many fingerprints: the fewest that leave about CELL_ROWS in a cell. A count has 1.5 bits of entropy.
+
+    Any number of groups finds every near pair; it only trades the number of cells against their size.
+    """
+    for groups in range(distance + 2, MOST_GROUPS):
+        if nodes <= CELL_ROWS * 2 ** (1.5 * SEGMENTS * (groups - distance) / groups):
+            return groups
+    return MOST_GROUPS
+
+
 def grid_cells(fp: np.ndarray, groups: int, distance: int = DISTANCE) -> np.ndarray:
     """The cells of each fingerprint, one for each choice of groups - distance groups."""
     v = popcounts(fp)
@@ -94,12 +117,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cell_links(cell: np.ndarray, fp: np.ndarray, distance: int = DISTANCE, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what is connected within a cell, verified exactly; rows are sorted by cell.
+    """Edges that connect what is connected within a cell; rows are sorted by cell.
 
-    Small cells compare all pairs, shift by shift. In a large cell each fingerprint reached is compared only
+    Pairs within `distance` by Manhattan distance, the lower bound, are verified exactly. Small cells compare all pairs, shift by shift. In a large cell each fingerprint reached is compared only
     with those not reached yet, so a dense group gives a tree and not all of its pairs.
     """
-    a, b = [], []
+    a, b, unary = [], [], thermometer(fp)
     start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     size = np.diff(np.append(start, len(cell)))
     rows = np.flatnonzero(np.repeat((size > 1) & (size <= small), size))
@@ -107,30 +130,33 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, distance: int = DISTANCE, small
     while len(rows):
         rows = rows[rows + shift < len(cell)]
         rows = rows[cell[rows] == cell[rows + shift]]
-        near = rows[np.bitwise_count(fp[rows] ^ fp[rows + shift]) <= distance]
+        near = rows[np.bitwise_count(unary[rows] ^ unary[rows + shift]) <= distance]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + shift]) <= distance]
         a.append(near)
         b.append(near + shift)
         shift += 1
     for s, n in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
-        rest, own = np.arange(s, s + n), fp[s : s + n]
+        rest = np.arange(s, s + n)
         frontier: list[int] = []
         while len(rest):
             if not frontier:
                 frontier, rest = [int(rest[0])], rest[1:]
             at = frontier.pop()
-            near = np.bitwise_count(own[rest - s] ^ fp[at]) <= distance
-            if near.any():
+            near = np.flatnonzero(np.bitwise_count(unary[rest] ^ unary[at]) <= distance)
+            near = near[np.bitwise_count(fp[rest[near]] ^ fp[at]) <= distance]
+            if len(near):
                 new = rest[near]
                 a.append(np.full(len(new), at))
                 b.append(new)
                 frontier += new.tolist()
-                rest = rest[~near]
+                rest = np.delete(rest, near)
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64),) * 2
 
 
-def near_links(nodes: DataFrame, groups: int, distance: int = DISTANCE) -> DataFrame:
+def near_links(nodes: DataFrame, groups: int | None = None, distance: int = DISTANCE) -> DataFrame:
     """(a, b) with a > b: a forest over `nodes` (node, fp: distinct fingerprints) of each task's near pairs."""
-    spark = nodes.sparkSession
+    spark, many = nodes.sparkSession, nodes.count()
+    groups = groups or grid_groups(many, distance)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -152,7 +178,7 @@ def near_links(nodes: DataFrame, groups: int, distance: int = DISTANCE) -> DataF
         other = np.flatnonzero(root != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[root[other]])], ["a", "b"])
 
-    n = max(shuffle_partitions(spark), nodes.count() * len(list(combinations(range(groups), distance))) // TASK_ROWS)
+    n = max(shuffle_partitions(spark), many * len(list(combinations(range(groups), distance))) // TASK_ROWS)
     return nodes.select("node", "fp").mapInArrow(spread, "cell long, node long, fp long").repartition(n, "cell").mapInArrow(verify, "a long, b long")
 
 
@@ -180,13 +206,13 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Fingerprints link at `distance` or fewer differing bits; equal ones are one node, so copies are never paired.
     A null or empty text has fingerprint zero, linked like any other. A row without an id has a fingerprint and
     a null component_id, and links nothing. Rows that repeat an id are judged alike. An empty table gives no rows;
-    other columns are ignored. `groups` above 6 makes finer cells (and more of them) for larger corpora.
+    other columns are ignored. `groups` follows the number of different fingerprints, so that cells stay small; it doesn't change results.
     """
     prepare(df.sparkSession)
     found = materialize(fingerprints(id_text(df, id_col, text_col)), "fingerprints")

@@ -84,14 +84,17 @@ def scores(model: Model, presence: Presence, texts: list[bytes]) -> np.ndarray:
 
 
 def training_sample(df: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, per_language: int, sample_bytes: int) -> tuple[list[bytes], list[str]]:
-    """At most `per_language` labelled texts of each language, of at most `sample_bytes` bytes, by a hash of their id."""
+    """At most `per_language` labelled texts of each language, of at most `sample_bytes` bytes, by a hash of their id.
+
+    Rows that repeat an id and a label teach one text, the first in order of code points.
+    """
     rows = df.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= sample_bytes) & (F.octet_length(text_col) > 0))
     order = F.row_number().over(W.partitionBy("lang").orderBy("h", "its_id"))
-    ids = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("its_id"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h")).withColumn("n", order).where(F.col("n") <= per_language)
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("its_id"), F.col(text_col).alias("text"))
+    ids = rows.select("lang", "its_id").distinct().withColumn("h", F.xxhash64(F.lit(3), "its_id")).withColumn("n", order).where(F.col("n") <= per_language)
     # Bounded by per_language rows a language.
-    found = rows.join(F.broadcast(ids.select("its_id", "n").distinct()), F.col(id_col) == F.col("its_id")).select(F.col(text_col).cast("binary"), F.col(lang_col).cast("string"), "n").collect()
-    found = sorted(found, key=lambda r: (r[1], r[2], bytes(r[0])))
-    return [bytes(r[0]) for r in found], [r[1] for r in found]
+    found = rows.join(F.broadcast(ids), ["lang", "its_id"]).groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").collect()
+    return [r["text"].encode() for r in found], [r["lang"] for r in found]
 
 
 def held_out(id_col: str | Column, parts: int, part: int) -> Column:

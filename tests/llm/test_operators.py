@@ -99,6 +99,10 @@ def test_language_id(spark, docs, empty):
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.98 * len(held)
+    # One id on many rows, under two labels, teaches a text a label.
+    many = spark.createDataFrame([(3, f"text {i}", "aa" if i % 2 else "bb", None, 0, "", "", "") for i in range(50)] + rows[:20], SCHEMA)
+    texts, labels = langid.training_sample(many, langid.F.lit(True), "doc_id", "text", "lang", 300, 65536)
+    assert len(texts) == len({(r[0], r[2]) for r in rows[:20]} | {(3, "aa"), (3, "bb")}) and labels == sorted(labels)
     odd = langid.identify(docs).collect()
     assert len(odd) == len(fixture_rows()) and {r.lang_pred for r in odd if r.doc_id in (0, 1, 2, 3)} == {"und"}
     assert all(0 <= r.score <= 1 for r in odd)
@@ -185,7 +189,11 @@ def test_grid_loses_no_near_pair():
         fp.append(base ^ flip)
     fp = np.unique(np.concatenate(fp))
     near = np.bitwise_count(fp[:, None] ^ fp[None]) <= 4
-    for groups in (5, 6, 7):
+    manhattan = np.abs(simhash.popcounts(fp)[:, None].astype(int) - simhash.popcounts(fp)[None].astype(int)).sum(axis=2)
+    unary = simhash.thermometer(fp)
+    assert (np.bitwise_count(unary[:, None] ^ unary[None]) == manhattan).all() and (manhattan <= np.bitwise_count(fp[:, None] ^ fp[None])).all()
+    assert [simhash.grid_groups(n) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**14)] == [6, 6, 7, 8, 9, simhash.MOST_GROUPS]
+    for groups in (5, 6, 7, 8):
         cell = simhash.grid_cells(fp, groups)
         node = np.repeat(np.arange(len(fp)), cell.shape[1])
         order = np.argsort(cell.ravel(), kind="stable")

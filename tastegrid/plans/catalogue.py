@@ -105,7 +105,7 @@ def _similar(train: DataFrame, val: DataFrame) -> DataFrame:
 
 def _unseen(spark: SparkSession, d: str) -> DataFrame:
     train, _, test = _split(spark, d)
-    relevant = ev.relevant_items(test, max_users=20)
+    relevant = ev.relevant_items(test)
     return ev.unseen_items(relevant, train, relevant).groupBy("user_idx").agg(F.count("*").alias("n"), F.sum(F.col("item_idx").cast("long")).alias("total")).select(F.col("user_idx").cast("long").alias("user_idx"), "n", "total")
 
 
@@ -147,11 +147,11 @@ def _als_recommend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _factor_dot(spark: SparkSession, d: str) -> DataFrame:
-    """Dot products of fixed vectors, as the factor model scores pairs."""
+    """The score by factors of each interaction, with the fixed vectors as factors; a row without one scores 0."""
     v = spark.read.parquet(f"{d}/embeddings.parquet")
-    a = v.where("vec_id < 20").select(F.col("vec_id").alias("user_idx"), F.col("embedding").alias("u"))
-    b = v.where("vec_id < 300").select(F.col("vec_id").alias("item_idx"), F.col("embedding").alias("i"))
-    return a.join(F.broadcast(b)).select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), F.round(dot(F.col("u"), F.col("i")), 5).alias("score"))
+    users, items = (v.select(F.col("vec_id").alias(f"{side}_idx"), F.col("embedding").alias(name)) for side, name in (("user", "u"), ("item", "i")))
+    joined = _ratings(spark, d).join(users, "user_idx", "left").join(items, "item_idx", "left")
+    return joined.select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), F.col("pos.o").alias("o"), F.col("pos.l").alias("l"), F.round(dot(F.col("u"), F.col("i")), 5).alias("score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -324,7 +324,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FRO
 SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FROM top WHERE r <= 5""",
     "knn_predict_val": f"WITH {_MATRIX},{_knn('val')} {_PREDICTED} knn_pred",
     "rating_metrics_knn": f"WITH {_MATRIX},{_knn('val')} {_ERRORS} knn_pred",
-    "unseen_items": f"WITH {_CAND.replace('LIMIT 500', 'LIMIT 20')} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(item_idx) AS BIGINT) AS total FROM unseen GROUP BY user_idx",
+    "unseen_items": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(item_idx) AS BIGINT) AS total FROM unseen GROUP BY user_idx",
     "sampled_negatives": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, cand_pos FROM neg",
     "ranking_candidates": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(CAST(is_rel AS INT)) AS BIGINT) AS n_relevant FROM cand GROUP BY user_idx",
     "ranking_metrics_bias": f"WITH {_CAND_BIAS}, {_PER_USER} {_MEANS}",
@@ -333,5 +333,5 @@ SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FRO
     "topn_bias": _top_sql(_BIAS, "", "least(5.0, greatest(0.5, base))"),
     "topn_knn": _top_sql(_MATRIX, f",{_knn('cand')}", "prediction"),
     "topn_unknown_user": "SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS item_id, '' AS title, CAST(0 AS DOUBLE) AS score WHERE false",
-    "factor_dot_score": "SELECT CAST(a.vec_id AS BIGINT) AS user_idx, CAST(b.vec_id AS BIGINT) AS item_idx, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id < 300",
+    "factor_dot_score": f"WITH {_RANKED} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, o, l, round(coalesce(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 0.0), 5) AS score FROM ranked LEFT JOIN embeddings a ON a.vec_id = user_idx LEFT JOIN embeddings b ON b.vec_id = item_idx",
 }

@@ -103,6 +103,11 @@ def test_language_id(spark, docs, empty):
     many = spark.createDataFrame([(3, f"text {i}", "aa" if i % 2 else "bb", None, 0, "", "", "") for i in range(50)] + rows[:20], SCHEMA)
     texts, labels = langid.training_sample(many, langid.F.lit(True), "doc_id", "text", "lang", 300, 65536)
     assert len(texts) == len({(r[0], r[2]) for r in rows[:20]} | {(3, "aa"), (3, "bb")}) and labels == sorted(labels)
+    # Thinning by hash before ordering leaves the sample as it is.
+    big = spark.createDataFrame([(i, f"text {i}", "aa" if i % 9 else "bb", None, 0, "", "", "") for i in range(4000)], SCHEMA)
+    h = {r.doc_id: r.h for r in big.select("doc_id", langid.F.xxhash64(langid.F.lit(3), "doc_id").alias("h")).collect()}
+    want = [f"text {i}".encode() for k in (1, 0) for i in sorted((i for i in h if bool(i % 9) == bool(k)), key=h.get)[:40]]
+    assert langid.training_sample(big, langid.F.lit(True), "doc_id", "text", "lang", 40, 65536)[0] == want
     odd = langid.identify(docs).collect()
     assert len(odd) == len(fixture_rows()) and {r.lang_pred for r in odd if r.doc_id in (0, 1, 2, 3)} == {"und"}
     assert all(0 <= r.score <= 1 for r in odd)

@@ -27,6 +27,8 @@ BLOCK = 1 << 14
 TASK_ROWS = 500_000
 #: Fingerprints expected in one cell of the grid; more groups make finer cells.
 CELL_ROWS, MOST_GROUPS = 256, 10
+#: Places that the pairs of one node are spread over.
+SALTS = 64
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -182,21 +184,27 @@ def near_links(nodes: DataFrame, groups: int | None = None, distance: int = DIST
     return nodes.select("node", "fp").mapInArrow(spread, "cell long, node long, fp long").repartition(n, "cell").mapInArrow(verify, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node that each linked node reaches; alternating large and small stars.
+def with_least(pairs: DataFrame) -> DataFrame:
+    """`pairs` (a, b and what else they hold) with m, the least b of each a.
 
-    Minima are pre-aggregated and joined back, so a node with many links is never gathered in one place.
+    Pairs of one a are dealt by a salt of their b: minima are taken a salt, then over salts, and joined back a salt,
+    so an a with very many pairs is spread over SALTS places, and only its SALTS minima meet in one.
     """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    least = part.groupBy("a").agg(F.min("low").alias("m"))
+    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select(*pairs.columns, "m")
+
+
+def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+    """(node, root): the smallest node that each linked node reaches, itself left out; alternating large and small stars."""
     links = materialize(links.distinct(), "links")
     seen = None
     for _ in range(rounds):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "k")
-        large = both.join(low, both.a == low.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, large.a == low.k).select("a", "b", "m")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
-        links = materialize(small, "links")
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        pairs = F.array(*[F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in ("a", "b")])
+        links = materialize(with_least(large).select(F.inline(pairs)).where("a > b").distinct(), "links")
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -219,9 +227,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = materialize(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     # A node is named by its fingerprint, which no two nodes share.
     linked = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), groups, distance))
-    of = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    of = materialize(of, "roots")
-    low = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(low, "root").select(F.col("fp").alias("its_fp"), "component_id")
+    linked = linked.unionAll(linked.select(F.col("root").alias("node"), "root").distinct())
+    firsts = linked.join(nodes, linked.node == nodes.fp).select(F.col("root").alias("a"), F.col("first").alias("b"), "node")
+    low = with_least(firsts).select("node", "m")
+    of = nodes.join(low, nodes.fp == low.node, "left").select(F.col("fp").alias("its_fp"), F.coalesce("m", "first").alias("component_id"))
+    # Read from a table, so that AQE can split a fingerprint with very many copies in the last join.
+    of = materialize(of, "components")
     joined = found.join(of, found.fp == of.its_fp, "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -182,6 +182,21 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    rng = random.Random(9)
+    names = rng.sample(range(-(1 << 40), 1 << 40), 330)
+    links = [(names[0], x) for x in names[1:200]] + [*zip(names[200:230], names[201:231], strict=True)] + [(names[i], names[i + 1]) for i in range(250, 330, 2)]
+    root = {x: x for pair in links for x in pair}
+    for _ in range(40):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {(x, r) for x, r in root.items() if x != r}
+    rows = spark.createDataFrame([(max(x), min(x)) for x in links], "a long, b long")
+    for salts in (2, 64):
+        monkeypatch.setattr(simhash, "SALTS", salts)
+        assert {tuple(r) for r in simhash.components(rows).collect()} == want
+
+
 def test_grid_loses_no_near_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)

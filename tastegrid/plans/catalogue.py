@@ -18,9 +18,6 @@ from ..operators.splits import allbut, kfold, time_split, with_rank
 FILE_ORDER = ["pos", "userId", "timestamp", "rating"]
 #: The user whose recommendations are shown, and one that no table has.
 USER, NOBODY = 7, -1
-#: Quick settings for the models that only rows are checked of.
-ALS_OPTIONS = {"factors": 10, "iterations": 5}
-NEURAL_OPTIONS = {"epochs": 2}
 
 
 def _ratings(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +140,7 @@ def _topn(make: Callable, user: int) -> Callable:
 
 def _als_recommend(spark: SparkSession, d: str) -> DataFrame:
     train, _, _ = _split(spark, d)
-    return m.ALSModel(**ALS_OPTIONS).fit(train).recommend(USER).select(F.col("item_idx").cast("long").alias("item_idx"), "score")
+    return m.ALSModel().fit(train).recommend(USER).select(F.col("item_idx").cast("long").alias("item_idx"), "score")
 
 
 def _factor_dot(spark: SparkSession, d: str) -> DataFrame:
@@ -193,11 +190,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topn_knn": _topn(m.ItemKNN, USER),
     "topn_unknown_user": _topn(m.BiasModel, NOBODY),
     "factor_dot_score": _factor_dot,
-    "als_predict_val": _with("val", lambda train, val: _scored(m.ALSModel(**ALS_OPTIONS).fit(train).predict(val))),
+    "als_predict_val": _with("val", lambda train, val: _scored(m.ALSModel().fit(train).predict(val))),
     "als_recommend": _als_recommend,
-    "ranking_metrics_als": _ranked(lambda: m.ALSModel(**ALS_OPTIONS)),
-    "neural_predict_val": _with("val", lambda train, val: _scored(NeuralModel(**NEURAL_OPTIONS).fit(train).predict(val))),
-    "ranking_metrics_neural": _ranked(lambda: NeuralModel(**NEURAL_OPTIONS)),
+    "ranking_metrics_als": _ranked(m.ALSModel),
+    "neural_predict_val": _with("val", lambda train, val: _scored(NeuralModel().fit(train).predict(val))),
+    "ranking_metrics_neural": _ranked(NeuralModel),
 }
 
 # --- the same in SQL, step by step -----------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from tastegrid.operators import models as m
 from tastegrid.operators.encode import with_dense_index
 from tastegrid.operators.neural import Net, NeuralModel
 from tastegrid.operators.splits import allbut, kfold, time_split, write_folds
+from tastegrid.plans.catalogue import QUERIES
 
 ROWS = "userId long, movieId long, rating double, timestamp long, pos long"
 
@@ -149,3 +150,22 @@ def test_recommend_drops_items_without_id_after_the_cut(spark):
     movies = spark.createDataFrame([(11, "Eleven", "")], "movieId long, title string, genres string")
     got = ev.recommend(m.BiasModel().fit(train), 0, train, movies, 2).collect()
     assert [(r.rank, r.title) for r in got] == [(1, "Eleven")] and len(ev.recommend(m.BiasModel().fit(train), 0, train, movies, 0).collect()) == 0
+
+
+@pytest.mark.parametrize("name", ["als_predict_val", "als_recommend", "ranking_metrics_als", "neural_predict_val", "ranking_metrics_neural"])
+def test_registered_models_train_in_full(spark, monkeypatch, name):
+    class Fitted(Exception):
+        pass
+
+    def fit(model, train):
+        raise Fitted(model)
+
+    monkeypatch.setattr(m.ALSModel, "fit", fit)
+    monkeypatch.setattr(NeuralModel, "fit", fit)
+    with pytest.raises(Fitted) as found:
+        QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    model = found.value.args[0]
+    if "als" in name:
+        assert (model.factors, model.iterations, model.regularization, model.feedback) == (50, 20, 0.1, "implicit")
+    else:
+        assert (model.emb_dim, model.layers, model.epochs, model.lr, model.batch_size) == (32, (64, 32, 16), 10, 0.001, 1024)

@@ -1,7 +1,8 @@
 """Bigram language-model scoring with Elias-Fano tries.
 
 Documents are tokenised once into blocks. Counts are gathered by shard: each block sends its distinct tokens, then
-its distinct bigrams, with its own training counts; a shard adds them up, builds its part of the trie (contexts,
+its distinct bigrams, with its own training counts; a shard of tokens adds them up and numbers them, so that bigrams
+are pairs of token numbers; a shard of bigrams adds them up, builds its part of the trie (contexts,
 monotone pointers, successors, quantised smoothed probabilities) as memory-mapped Elias-Fano levels, and answers
 the same block by successor search. So the model grows with the corpus, and no task or driver ever holds it whole.
 
@@ -29,8 +30,8 @@ BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
 MU = 4.0
 #: 255 steps of log10 probability from LOWEST to 0; code 0 is for bigrams never seen.
 LOWEST, STEPS = -8.0, 254
-#: A bigram is a number of CONTEXT_BITS of its context's hash and WORD_BITS of its word's.
-CONTEXT_BITS, WORD_BITS = 28, 36
+#: A bigram is the number of its context among all tokens, then that of its word in WORD_BITS.
+WORD_BITS = 32
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a blank
 
 
@@ -121,7 +122,7 @@ class Trie:
     def __init__(self, keys: np.ndarray, probabilities: np.ndarray):
         context = keys >> np.uint64(WORD_BITS)
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
-        self.contexts = EliasFano(context[first], 1 << CONTEXT_BITS)
+        self.contexts = EliasFano(context[first], int(context[-1]) + 1 if len(keys) else 1)
         self.pointers = EliasFano(np.append(first, len(keys)).astype(np.uint64), len(keys) + 1)
         place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(keys))))
         word = keys & np.uint64((1 << WORD_BITS) - 1)
@@ -200,24 +201,40 @@ def _bigram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return _shard_of((keys >> np.uint64(WORD_BITS)) * np.uint64(8) + (keys & np.uint64(7)), shards)
 
 
-def _sent(block: int, shard: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch:
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted bigrams: the gaps of their contexts, then their words."""
+    context = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
+    return _packed(np.concatenate([np.diff(context, prepend=0), keys & np.uint64((1 << WORD_BITS) - 1)], dtype=np.uint32, casting="unsafe"))
+
+
+def _unpacked_keys(x: bytes) -> np.ndarray:
+    gaps, words = np.split(_unpacked(x, np.uint32), 2)
+    return np.cumsum(gaps, dtype=np.uint64) << np.uint64(WORD_BITS) | words
+
+
+def _sent(block: int, shard: np.ndarray, shards: int, *columns: np.ndarray, first=_packed) -> pa.RecordBatch:
     order = np.argsort(shard, kind="stable")
     ends = np.searchsorted(shard[order], np.arange(shards), side="right")
     some = np.flatnonzero(np.diff(ends, prepend=0))
     split = [np.split(x[order], ends[:-1]) for x in columns]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *(pa.array([_packed(x[k]) for k in some], pa.binary()) for x in split)], ["block", "shard", "a", "b", "c"][: 2 + len(columns)])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *(pa.array([pack(x[k]) for k in some], pa.binary()) for pack, x in zip([first, *[_packed] * len(split)], split))], ["block", "shard", "a", "b", "c"][: 2 + len(columns)])
 
 
-def _answers(lists: list, shard: np.ndarray, dtype) -> np.ndarray:
+def _answers(lists: list, shard: np.ndarray, dtype, read=None) -> np.ndarray:
     """The shards' answers in the order in which the block asked."""
     out = np.zeros(len(shard), dtype=dtype)
     order = np.argsort(shard, kind="stable")
     parts = sorted(lists, key=lambda x: x["shard"])
     if parts:
-        out[order] = np.concatenate([_unpacked(x["answer"], dtype) for x in parts])
+        out[order] = np.concatenate([read(x) if read else _unpacked(x["answer"], dtype) for x in parts])
     return out
 
 
+def _numbers(lists: list, shard: np.ndarray, offset: dict[int, int]) -> np.ndarray:
+    """The tokens' numbers: their places in their task, after the tokens of the tasks before."""
+    return _answers(lists, shard, np.uint64, lambda x: np.cumsum(_unpacked(x["places"], np.uint32), dtype=np.uint64) + np.uint64(offset[x["task"]]))
+
+
 def _pairs(held, lengths, vocabulary, tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct bigrams of a block as (context, word) of its vocabulary, the bigram of each token, whether it is learnt from."""
     start = np.cumsum(lengths) - lengths
@@ -228,11 +245,11 @@ def _pairs(held, lengths, vocabulary, tokens) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(WORD_BITS) | word >> np.uint64(64 - WORD_BITS)
+    return context << np.uint64(WORD_BITS) | word
 
 
-def _grouped(df: DataFrame) -> DataFrame:
-    return df.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers")).withColumnRenamed("block", "its_block")
+def _grouped(df: DataFrame, *more: str) -> DataFrame:
+    return df.groupBy("block").agg(F.collect_list(F.struct("shard", "answer", *more)).alias("answers")).withColumnRenamed("block", "its_block")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, part: int = 1) -> DataFrame:
@@ -242,7 +259,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     are words in lower case (A-Z) and one end; a null or empty text is its end alone. A row without an id is scored,
     not learnt from, and its held_out is false. Repeated rows each count. If nothing is learnt, every token has the
     probability of an unknown one. An empty table gives no rows; other columns are ignored. Tokens are told apart
-    by 64 bits of hash, bigrams by 64 bits.
+    by 64 bits of hash, bigrams by the numbers of their two tokens, of which there can be 2**32.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -258,40 +275,52 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
                 yield _sent(block, _shard_of(vocabulary, shards), shards, vocabulary, count.astype(np.uint32))
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         rows = [r for b in batches for r in b.to_pylist()]
         if not rows:
             return
         words = [_unpacked(r["a"], np.uint64) for r in rows]
         known, at = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]), minlength=len(known)).astype(np.int64)
-        answers = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
-        n, v = [0] * len(rows), [0] * len(rows)
-        n[0], v[0] = int(total.sum()), int((total > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array([_packed(x) for x in answers], pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["block", "shard", "answer", "n", "v"])
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        answers = np.split(total[at], ends)
+        # a row's tokens are sorted, so their places rise
+        places = [np.diff(x, prepend=0).astype(np.uint32) for x in np.split(at, ends)]
+        n, v, known_here = [0] * len(rows), [0] * len(rows), [0] * len(rows)
+        n[0], v[0], known_here[0] = int(total.sum()), int((total > 0).sum()), len(known)
+        yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array([_packed(x) for x in answers], pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array([_packed(x) for x in places], pa.binary()), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32()), pa.array(known_here, pa.int64())], ["block", "shard", "answer", "n", "v", "places", "task", "known"])
 
     asked = held_blocks.mapInArrow(ask_tokens, "block long, shard int, a binary, b binary").repartition(shards, "shard")
-    unigrams = materialize(asked.mapInArrow(add_up, "block long, shard int, answer binary, n long, v long"), "unigrams")
+    unigrams = materialize(asked.mapInArrow(add_up, "block long, shard int, answer binary, n long, v long, places binary, task int, known long"), "unigrams")
     total, types = (x or 0 for x in unigrams.agg(F.sum("n"), F.sum("v")).first())
-    answered = _grouped(unigrams)
+    offset, numbered = {}, 0
+    for task, known in unigrams.where("known > 0").select("task", "known").orderBy("task").collect():
+        offset[task] = numbered
+        numbered += known
+    if numbered > 1 << WORD_BITS:
+        raise ValueError(f"{numbered} different tokens; their numbers have {WORD_BITS} bits")
+    answered = _grouped(unigrams, "places", "task")
     with_unigrams = held_blocks.join(answered, held_blocks.block == answered.its_block).select(*held_blocks.columns, "answers")
 
     def ask_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, _, held, lengths, vocabulary, tokens = _block(batch, i)
-                c = _answers(batch.column(6)[i].as_py(), _shard_of(vocabulary, shards), np.int64)
+                answers, shard = batch.column(6)[i].as_py(), _shard_of(vocabulary, shards)
+                c, number = _answers(answers, shard, np.int64), _numbers(answers, shard, offset)
                 context, word, at, learnt = _pairs(held, lengths, vocabulary, tokens)
                 count = np.bincount(at[learnt], minlength=len(context)).astype(np.uint32)
-                key = _keys(vocabulary[context], vocabulary[word])
+                key = _keys(number[context], number[word])
                 order = np.argsort(key, kind="stable")
                 key = key[order]
-                yield _sent(block, _bigram_shard(key, shards), shards, key, count[order], c[context][order].astype(np.uint64))
+                yield _sent(block, _bigram_shard(key, shards), shards, key, count[order], c[context][order].astype(np.uint64), first=_packed_keys)
 
     def build_and_answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         if not rows:
             return
-        keys = [_unpacked(r["a"], np.uint64) for r in rows]
+        keys = [_unpacked_keys(r["a"]) for r in rows]
         known, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]), minlength=len(known))
         context = np.concatenate([_unpacked(r["c"], np.uint64) for r in rows])[first].astype(float)
@@ -309,9 +338,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, ids, held, lengths, vocabulary, tokens = _block(batch, i)
-                c = _answers(batch.column(6)[i].as_py(), _shard_of(vocabulary, shards), np.int64)
+                answers, shard = batch.column(6)[i].as_py(), _shard_of(vocabulary, shards)
+                c, number = _answers(answers, shard, np.int64), _numbers(answers, shard, offset)
                 context, word, at, _ = _pairs(held, lengths, vocabulary, tokens)
-                key = _keys(vocabulary[context], vocabulary[word])
+                key = _keys(number[context], number[word])
                 order = np.argsort(key, kind="stable")
                 found = np.zeros(len(key), dtype=np.uint8)
                 found[order] = _answers(batch.column(7)[i].as_py(), _bigram_shard(key[order], shards), np.uint8)

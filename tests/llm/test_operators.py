@@ -300,6 +300,27 @@ def test_lm_scores(docs, empty):
     assert ngram_lm.score(empty).count() == 0
 
 
+def test_lm_contexts_of_like_hash_stay_apart(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    seen, alike = {}, []
+    for w, h in zip(words, substring.word_hashes([w.encode() for w in words]).tolist(), strict=True):
+        alike += [(seen[h >> 36], w)] if h >> 36 in seen else []
+        seen[h >> 36] = w
+    a, b = alike[0]
+    texts = [f"{a} x {f'{a} y ' * 11}", f"{b} x " * 20]
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    learn = [[None, *t.split(), None] for t in texts]
+    c, pairs = Counter(x for w in learn for x in w[1:]), Counter(p for w in learn for p in zip(w, w[1:], strict=False))
+    n, v = sum(c.values()), len(c)
+    want = {i: sum(math.log10((pairs[h, x] + ngram_lm.MU * (c[x] + 0.5) / (n + 0.5 * (v + 1))) / (c[h] + ngram_lm.MU)) for h, x in zip(w, w[1:], strict=False)) for i, w in zip(ids, learn, strict=True)}
+    # a held-out text asks for a pair that only the other context has
+    odd, held = f"{b} y", next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    want[held] = sum(math.log10((pairs[h, x] + ngram_lm.MU * (c[x] + 0.5) / (n + 0.5 * (v + 1))) / (c[h] + ngram_lm.MU)) for h, x in ((None, b), (b, "y"), ("y", None)))
+    got = ngram_lm.score(spark.createDataFrame([*zip(ids, texts, strict=True), (held, odd)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(want)
+    assert all(abs(r.score - want[r.doc_id]) < 0.017 * r.n_tokens for r in got)
+
+
 def test_elias_fano_and_trie():
     rng = np.random.default_rng(2)
     for universe, n in ((10, 30), (1 << 40, 1000), (5000, 5000), (1 << 20, 0)):

@@ -88,13 +88,15 @@ def _norms(train: DataFrame) -> DataFrame:
     return m.ItemKNN().fit(train).norms.select(F.col("item_idx").cast("long").alias("item_idx"), F.round("norm", 6).alias("norm"))
 
 
-def _similar(train: DataFrame, val: DataFrame) -> DataFrame:
-    """The 5 most similar items of each item rated in val, by similarity over their common raters."""
+def _similar(train: DataFrame, val: DataFrame | None = None) -> DataFrame:
+    """The 5 most similar items of each item, or of each item rated in val, by similarity over their common raters."""
     from pyspark.sql import Window as W
 
     knn = m.ItemKNN().fit(train)
-    wanted = val.select(F.col("item_idx").alias("i")).distinct()
-    pairs = knn.matrix.join(wanted, knn.matrix.item_idx == wanted.i).select("user_idx", "i").join(knn.matrix.select("user_idx", F.col("item_idx").alias("j")), "user_idx").where("i <> j").select("i", "j").distinct()
+    pairs = None
+    if val is not None:
+        wanted = val.select(F.col("item_idx").alias("i")).distinct()
+        pairs = knn.matrix.join(wanted, knn.matrix.item_idx == wanted.i).select("user_idx", "i").join(knn.matrix.select("user_idx", F.col("item_idx").alias("j")), "user_idx").where("i <> j").select("i", "j").distinct()
     sims = knn.similarity(pairs).withColumn("s", F.round("sim", 10)).where("s > 0")
     top = sims.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy(F.col("s").desc(), "j"))).where("r <= 5")
     return top.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("s", 6).alias("sim"), F.col("r").cast("long").alias("r"))
@@ -178,6 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rating_metrics_bias": _with("val", lambda train, val: _metrics(m.BiasModel().fit(train).predict(val))),
     "item_norms": _with("train", lambda train, _: _norms(train)),
     "item_similarity_topk": _with("val", _similar),
+    "item_similarity_all": _with("train", lambda train, _: _similar(train)),
     "knn_predict_val": _with("val", lambda train, val: _scored(m.ItemKNN().fit(train).predict(val))),
     "rating_metrics_knn": _with("val", lambda train, val: _metrics(m.ItemKNN().fit(train).predict(val))),
     "unseen_items": _unseen,
@@ -332,3 +335,5 @@ SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FRO
     "topn_unknown_user": "SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS item_id, '' AS title, CAST(0 AS DOUBLE) AS score WHERE false",
     "factor_dot_score": f"WITH {_RANKED} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, o, l, round(coalesce(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 0.0), 5) AS score FROM ranked LEFT JOIN embeddings a ON a.vec_id = user_idx LEFT JOIN embeddings b ON b.vec_id = item_idx",
 }
+#: The same over all items of train.
+ORACLE_SQL["item_similarity_all"] = ORACLE_SQL["item_similarity_topk"].replace(" WHERE a.item_idx IN (SELECT item_idx FROM val)", "")

@@ -169,3 +169,19 @@ def test_registered_models_train_in_full(spark, monkeypatch, name):
         assert (model.factors, model.iterations, model.regularization, model.feedback) == (50, 20, 0.1, "implicit")
     else:
         assert (model.emb_dim, model.layers, model.epochs, model.lr, model.batch_size) == (32, (64, 32, 16), 10, 0.001, 1024)
+
+
+def test_similar_items_of_the_whole_catalogue(spark):
+    d = "/root/testdata/sf0.001"
+    train = time_split(sources.indexed_interactions(spark, d))[0].cache()
+    v = {}
+    for r in m.residual_matrix(train, m.BiasModel().fit(train)).where("v <> 0").collect():
+        v.setdefault(r.item_idx, {})[r.user_idx] = r.v
+    norm = {i: math.sqrt(sum(x * x for x in own.values())) for i, own in v.items()}
+    want = {}
+    for i in v:
+        sims = [(-round(sum(x * v[j][u] for u, x in v[i].items() if u in v[j]) / (norm[i] * norm[j]), 10), j) for j in v if j != i]
+        want |= {(i, k + 1): -s for k, (s, _) in enumerate(sorted(x for x in sims if x[0] < 0)[:5])}
+    got = {(r.i, r.r): r.sim for r in QUERIES["item_similarity_all"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {i for i, _ in got} > {r.i for r in QUERIES["item_similarity_topk"](spark, d).select("i").distinct().collect()}

@@ -15,10 +15,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each near-duplicate group, and rows without an id."""
-    found = simhash.near_duplicates(docs)
-    dropped = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    """Keeps one row of each near-duplicate group, that of the smallest id; ids may be null or repeat."""
+    return simhash.deduplicated(docs)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_numbered(df: DataFrame, name: str) -> DataFrame:
+    """`df` with a number of its own for each row, written as a table so that every later read has the same numbers."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship the code, and bound Arrow batches by rows and bytes, so that very long texts don't add up in a worker."""
     ship_package(spark)

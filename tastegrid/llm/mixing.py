@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialize, prepare, range_numbered, shuffle_partitions
+from .common import WORD_PATTERN, materialize, prepare, range_numbered, row_numbered, shuffle_partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CEILING = 1.5, 2.0
@@ -50,7 +50,7 @@ def demanded(knots: Sequence[tuple[float, float]], share: np.ndarray) -> np.ndar
     return np.clip(t[k] + 2 * rest / np.maximum(w[k] + root, 1e-300), t[k], t[k + 1])
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, schedules=SCHEDULES, whole: bool = False) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, schedules=SCHEDULES, whole: bool = False, tie_col: str | None = None) -> DataFrame:
     """One row per input row, range-sorted by first_time: doc_id, size, source_size, target, taken, copies, first_time, last_time.
 
     size counts words (null text: 0). Sources in order of code points, null last, take the weights and schedules
@@ -59,11 +59,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     reached in part. With `whole`, a document is taken in copies instead, the last one if half of it is within the
     target. first_time and last_time are the times in [0, 1) of its first and last copy (null if none is taken).
     Null ids are placed like others; repeated rows each count; an empty table gives no rows; other columns are
-    ignored. The number of sources must suit the driver; nothing else is gathered there.
+    ignored. A `tie_col` of long numbers orders rows of one id and size, and comes out as a last column, tie. The number of sources must suit the driver; nothing else is gathered there.
     """
     spark = df.sparkSession
     prepare(spark)
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(df[text_col].cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[source_col].cast("string").alias("source"), F.coalesce(F.regexp_count(df[text_col].cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), (df[tie_col].cast("long") if tie_col else F.lit(0).cast("long")).alias("tie"))
     rows = materialize(rows.withColumn("place", F.xxhash64(F.lit(17), "doc_id")), "sizes")
     whole_sizes = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     names = sorted((x for x in whole_sizes if x is not None), key=lambda x: [ord(c) for c in x]) + [None] * (None in whole_sizes)
@@ -84,9 +84,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                 run = np.cumsum(size[a:b])
                 before[a:b] = total + run - size[a:b]
                 total += int(run[-1])
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.full(len(source), part, dtype=np.int32)), pa.array(before)], ["doc_id", "source", "size", "place", "part", "before"])
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(np.full(len(source), part, dtype=np.int32)), pa.array(before)], ["doc_id", "source", "size", "tie", "place", "part", "before"])
 
-    placed = range_numbered(rows, shuffle_partitions(spark), ["source", "place", "doc_id", "size"], "doc_id long, source string, size long, place long, part int, before long", number)
+    placed = range_numbered(rows, shuffle_partitions(spark), ["source", "place", "doc_id", "size", "tie"], "doc_id long, source string, size long, tie long, place long, part int, before long", number)
     # Partitions are ranges, so their number plus that of the sources bounds these sums.
     offset: dict[tuple[int, str | None], int] = {}
     so_far: dict[str | None, int] = {}
@@ -97,8 +97,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            source, part = x.column(1).to_pylist(), x.column(4).to_pylist()
-            size, before = x.column(2).to_numpy(), x.column(5).to_numpy() + np.asarray([offset[k] for k in zip(part, source, strict=True)], dtype=np.int64)
+            source, part = x.column(1).to_pylist(), x.column(5).to_pylist()
+            size, before = x.column(2).to_numpy(), x.column(6).to_numpy() + np.asarray([offset[k] for k in zip(part, source, strict=True)], dtype=np.int64)
             n = len(source)
             total = np.asarray([of[s][0] for s in source], dtype=np.int64)
             want = np.asarray([of[s][1] for s in source], dtype=float)
@@ -116,9 +116,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                 first[own] = demanded(of[s][2], before[own] / reach)
                 last[own] = demanded(of[s][2], ((np.maximum(copies[own], 1) - 1) * total[own] + before[own]) / reach)
             none = copies == 0
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(total), pa.array(want), pa.array(taken), pa.array(copies.astype(np.int32)), pa.array(first, mask=none), pa.array(last, mask=none)], ["doc_id", "size", "source_size", "target", "taken", "copies", "first_time", "last_time"])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(total), pa.array(want), pa.array(taken), pa.array(copies.astype(np.int32)), pa.array(first, mask=none), pa.array(last, mask=none), x.column(3)], ["doc_id", "size", "source_size", "target", "taken", "copies", "first_time", "last_time", "tie"])
 
-    out = placed.mapInArrow(take, "doc_id long, size long, source_size long, target double, taken long, copies int, first_time double, last_time double")
+    out = placed.mapInArrow(take, "doc_id long, size long, source_size long, target double, taken long, copies int, first_time double, last_time double, tie long")
+    out = out if tie_col else out.drop("tie")
     n = shuffle_partitions(spark)
     return out.repartitionByRange(n, F.col("first_time").asc_nulls_last(), F.xxhash64("doc_id")).sortWithinPartitions(F.col("first_time").asc_nulls_last(), F.xxhash64("doc_id"))
 
@@ -126,13 +127,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents the mix takes, whole and in all their copies, range-sorted by training time; columns as in `df`.
 
-    Documents without words are not taken. Rows that repeat an id take that id's fewest copies each.
+    Documents without words are not taken. Each row has its own share of the mix, with a repeated id or none too.
     """
-    found = mix(df, id_col, text_col, source_col, whole=True, **options)
-    found = found.groupBy("doc_id").agg(F.min("copies").alias("n"), F.min("first_time").alias("first"), F.max("last_time").alias("last"))
-    found = found.where("n > 0").select(F.col("doc_id").alias("_mix_id"), F.struct("n", "first", "last").alias("_mix"))
-    joined = df.join(found, df[id_col].cast("long").eqNullSafe(found["_mix_id"]))
+    rows = row_numbered(df, "_mix_row")
+    found = mix(rows, id_col, text_col, source_col, whole=True, tie_col="_mix_row", **options)
+    found = found.where("copies > 0").select(F.col("tie").alias("_its_row"), F.struct(F.col("copies").alias("n"), F.col("first_time").alias("first"), F.col("last_time").alias("last")).alias("_mix"))
+    joined = rows.join(found, rows["_mix_row"] == found["_its_row"])
     copy = F.explode(F.expr("transform(sequence(1, _mix.n), i -> _mix.first + (_mix.last - _mix.first) * (i - 1) / greatest(_mix.n - 1, 1))")).alias("_mix_time")
     keys = [F.col("_mix_time"), F.xxhash64(F.col(id_col))]
-    out = joined.select(*[df[c] for c in df.columns], copy)
+    out = joined.select(*[rows[c] for c in df.columns], copy)
     return out.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).select(*df.columns)

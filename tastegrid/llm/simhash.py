@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, materialize, prepare, shuffle_partitions
+from .common import column_bytes, id_text, materialize, prepare, row_numbered, shuffle_partitions
 
 SHINGLE, DISTANCE, SEGMENTS = 4, 4, 32
 #: Shingles whose bits are unpacked together.
@@ -50,15 +50,16 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fingerprints as signed 64-bit numbers."""
+def fingerprints(docs: DataFrame, keys: str = "doc_id long") -> DataFrame:
+    """`keys` of `docs` and fp: fingerprints of its text as signed 64-bit numbers."""
+    names = [x.split()[0] for x in keys.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray([fingerprint(x) for x in column_bytes(batch, "text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(fp)], [*names, "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, f"{keys}, fp long")
 
 
 def popcounts(fp: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
@@ -214,6 +215,31 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def least_of_groups(nodes: DataFrame, groups: int | None = None, distance: int = DISTANCE) -> DataFrame:
+    """(its_fp, least): for each of `nodes` (fp, first: its own least), the least `first` of the nodes it reaches."""
+    # A node is named by its fingerprint, which no two nodes share.
+    linked = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), groups, distance))
+    linked = linked.unionAll(linked.select(F.col("root").alias("node"), "root").distinct())
+    firsts = linked.join(nodes, linked.node == nodes.fp).select(F.col("root").alias("a"), F.col("first").alias("b"), "node")
+    low = with_least(firsts).select("node", "m")
+    of = nodes.join(low, nodes.fp == low.node, "left").select(F.col("fp").alias("its_fp"), F.coalesce("m", "first").alias("least"))
+    # Read from a table, so that AQE can split a fingerprint with very many copies in the last join.
+    return materialize(of, "components")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
+    """One row of `df` for each group of near-duplicate rows: that of the least id, rows without an id last; of equal ids
+    one. Rows that repeat an id or have none are linked like others."""
+    prepare(df.sparkSession)
+    rows = row_numbered(df, "_row")
+    found = fingerprints(rows.select(F.col("_row").alias("row"), rows[text_col].cast("string").alias("text"), rows[id_col].cast("long").alias("id")), "row long, id long")
+    found = materialize(found, "fingerprints")
+    nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")), "nodes")
+    of = least_of_groups(nodes, groups, distance)
+    dropped = found.join(of, found.fp == of.its_fp).where(F.col("row") != F.col("least.row")).select(F.col("row").alias("_dropped"))
+    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").select(*df.columns)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -225,13 +251,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prepare(df.sparkSession)
     found = materialize(fingerprints(id_text(df, id_col, text_col)), "fingerprints")
     nodes = materialize(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    # A node is named by its fingerprint, which no two nodes share.
-    linked = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), groups, distance))
-    linked = linked.unionAll(linked.select(F.col("root").alias("node"), "root").distinct())
-    firsts = linked.join(nodes, linked.node == nodes.fp).select(F.col("root").alias("a"), F.col("first").alias("b"), "node")
-    low = with_least(firsts).select("node", "m")
-    of = nodes.join(low, nodes.fp == low.node, "left").select(F.col("fp").alias("its_fp"), F.coalesce("m", "first").alias("component_id"))
-    # Read from a table, so that AQE can split a fingerprint with very many copies in the last join.
-    of = materialize(of, "components")
+    of = least_of_groups(nodes, groups, distance).withColumnRenamed("least", "component_id")
     joined = found.join(of, found.fp == of.its_fp, "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

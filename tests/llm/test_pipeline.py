@@ -1,6 +1,7 @@
 """The pipeline's stages, one after another, on the fixture and the smallest tables."""
 
 import corpus_pipeline
+from tastegrid.llm import mixing
 from tests.llm.test_operators import SCHEMA, brute_fingerprint, fixture_rows
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,20 @@ def test_dedup_leaves_one_of_each_group(spark):
             break
         label = new
     assert kept == {i for i in fp if label[i] == i}
+
+
+def test_dedup_keeps_one_row_with_null_and_repeated_ids(spark):
+    words = [f"word{i}" for i in range(40)]
+    same, other, third = " ".join(words), " ".join(reversed(words)), " ".join(words[::2])
+    rows = [(2, same), (1, same), (1, same), (None, same), (3, other), (3, other), (None, third), (None, third)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted([(1, same), (3, other), (None, third)], key=repr)
+
+
+def test_mix_meets_its_targets_with_null_and_repeated_ids(spark):
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(300)]
+    rows = [(i, f"a b c d t{k}", s) for s in ("s0", "s1", "s2") for k, i in enumerate(ids)]
+    got = corpus_pipeline.source_mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF)
+    words = {r.source: 5 * r["count"] for r in got.groupBy("source").count().collect()}
+    goal = mixing.targets([1500] * 3, mixing.WEIGHTS)
+    assert all(abs(words[f"s{i}"] - goal[i]) <= 5 for i in range(3))

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,19 +21,56 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _fallback.setdefault("dir", tempfile.mkdtemp(prefix="tastegrid-"))
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tastegrid-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, name: str, bucket: str | None = None, buckets: int = 0) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With `bucket`, rows are kept in so many buckets by that column, and later joins on it leave them in place.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tastegrid/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = f"{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{table}"
+    writer = df.write.option("compression", "zstd")
+    if bucket:
+        table = table.replace("-", "_")
+        writer.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(table)
+        out = spark.table(table)
+    else:
+        writer.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    out._tastegrid_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_tastegrid_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table that this application has materialized, once its results have been taken."""
+    _delete(spark, _tables_dir(spark))
 
 
 def row_numbered(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +79,10 @@ def row_numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the code, and bound Arrow batches by rows and bytes, so that very long texts don't add up in a worker."""
+    """Ship the code, and bound Arrow batches by rows and bytes, so that very long texts don't add up in a worker.
+
+    The two settings stay with the session, since its lazy results need them when they are computed.
+    """
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
@@ -89,3 +131,26 @@ def range_numbered(df: DataFrame, parts: int, keys: list, schema: str, number) -
         yield from number(TaskContext.get().partitionId(), batches)
 
     return materialize(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "ranges")
+
+
+_COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers in one compressed blob; bytes of like weight stand together, which compresses well."""
+    parts = [np.asarray([len(arrays), *(v for x in arrays for v in (x.itemsize, len(x)))], dtype="<i8").tobytes()]
+    parts += [np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"" for x in arrays]
+    return _COMPRESS.compress(b"".join(parts))
+
+
+def unpack_arrays(blob: bytes) -> list[np.ndarray]:
+    """What pack_arrays was given, as unsigned numbers."""
+    raw = _DECOMPRESS.decompress(blob)
+    count = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    heads = np.frombuffer(raw, dtype="<i8", count=2 * count, offset=8).reshape(-1, 2).tolist()
+    out, at = [], 8 + 16 * count
+    for width, n in heads:
+        planes = np.frombuffer(raw, dtype=np.uint8, count=width * n, offset=at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(n))
+        at += width * n
+    return out

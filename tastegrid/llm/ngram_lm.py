@@ -1,12 +1,15 @@
-"""Bigram language-model scoring with Elias-Fano tries.
-
-Documents are tokenised once into blocks. Counts are gathered by shard: each block sends its distinct tokens, then
-its distinct bigrams, with its own training counts; a shard of tokens adds them up and numbers them, so that bigrams
-are pairs of token numbers; a shard of bigrams adds them up, builds its part of the trie (contexts,
-monotone pointers, successors, quantised smoothed probabilities) as memory-mapped Elias-Fano levels, and answers
-the same block by successor search. So the model grows with the corpus, and no task or driver ever holds it whole.
-
-P(w | h) = c(hw) / (c(h) + MU) + MU / (c(h) + MU) * P(w), with P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
+"""N-gram language-model scoring with Elias-Fano tries.
+
+Documents are tokenised once into blocks. Level by level, each block asks the shards for its distinct n-grams with
+its own training counts; a shard adds them up, numbers them, builds its part of the trie (contexts, monotone
+pointers, successors, quantised smoothed probabilities) as memory-mapped Elias-Fano levels and answers by
+context-relative successor search. Words are the first level, numbered by their shards; an n-gram of a higher level
+is the number of its context, an n-gram of the level below, and that of its word, so no two share an entry. The
+successors of a frequent context are spread over shards by a salt of the word, as many as its count asks for.
+Blocks and shards are groups of Spark, each bounded in bytes, and no task or driver ever holds the model whole.
+
+P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and for a context h of one more word than h', backing off by MU / (c(h) + MU):
+P(w | h) = c(hw) / (c(h) + MU) + MU / (c(h) + MU) * P(w | h'). A document starts after an end; there, shorter contexts do.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import mmap
 import tempfile
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +26,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, materialize, prepare, shuffle_partitions, total_bytes
-from .substring import _mixed, _packed, _unpacked, word_hashes
+from .common import column_bytes, id_text, materialize, pack_arrays, prepare, shuffle_partitions, unpack_arrays
+from .substring import _mixed, word_hashes
 
+#: Words in the longest n-gram.
+ORDER = 3
 #: Bytes of text in a block, and of all text in a shard.
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 MU = 4.0
-#: 255 steps of log10 probability from LOWEST to 0; code 0 is for bigrams never seen.
-LOWEST, STEPS = -8.0, 254
-#: A bigram is the number of its context among all tokens, then that of its word in WORD_BITS.
-WORD_BITS = 32
+#: Probabilities are kept in STEPS steps of their log10 from LOWEST to 0; code 0 is for n-grams never seen.
+LOWEST, STEPS = -24.0, 65534
+#: A context's successors get another shard for every so many of its occurrences.
+SALT_COUNT = 1 << 17
+#: Bits of a word's number; the rest of 64 is for the contexts of one shard.
+WORD_BITS = 40
+#: An Elias-Fano level keeps every so many values as they are, where a search begins.
+SKIP = 64
 END = xxhash.xxh3_64_intdigest(b" ")  # no word holds a blank
 
 
@@ -45,7 +55,7 @@ class EliasFano:
         ones = np.zeros((int(high[-1]) if n else 0) // 64 * 64 + 64, dtype=np.uint8)
         ones[high] = 1
         bits = np.packbits(ones, bitorder="little").view("<u8")
-        before = np.append(0, np.cumsum(np.bitwise_count(bits), dtype=np.int64)).astype("<u4")
+        before = np.append(0, np.cumsum(np.bitwise_count(bits), dtype=np.int64))
         packed = np.zeros(n * low // 64 + 2, dtype="<u8")
         if low:
             at = np.arange(n, dtype=np.uint64) * np.uint64(low)
@@ -53,7 +63,7 @@ class EliasFano:
             np.bitwise_or.at(packed, word, part << shift)
             over = shift + np.uint64(low) > np.uint64(64)
             np.bitwise_or.at(packed, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
-        self.bits, self.before, self.packed = mapped(bits, before, packed)
+        self.bits, self.before, self.packed, self.skip = mapped(bits, before, packed, np.ascontiguousarray(values[::SKIP]))
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at positions i."""
@@ -80,7 +90,9 @@ class EliasFano:
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first position in [lo, hi) whose value is at least x, else hi."""
-        lo, hi = lo.copy(), hi.copy()
+        near = np.searchsorted(self.skip, x)  # that many kept values are smaller
+        lo, hi = np.maximum(lo, np.minimum(near * SKIP - SKIP, hi)), np.minimum(hi, near * SKIP)
+        hi = np.maximum(lo, hi)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) // 2
@@ -92,16 +104,16 @@ class EliasFano:
 
 def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
     """The arrays in a memory-mapped file of this task that goes when they do."""
-    total = sum(x.nbytes for x in arrays)
+    sizes = [-(-x.nbytes // 8) * 8 for x in arrays]
     with tempfile.TemporaryFile() as f:
-        f.truncate(max(total, 1))
-        whole = np.frombuffer(mmap.mmap(f.fileno(), max(total, 1)), dtype=np.uint8)
+        f.truncate(max(sum(sizes), 1))
+        whole = np.frombuffer(mmap.mmap(f.fileno(), max(sum(sizes), 1)), dtype=np.uint8)
     out, at = [], 0
-    for x in arrays:
+    for x, size in zip(arrays, sizes, strict=True):
         own = whole[at : at + x.nbytes].view(x.dtype)
         own[:] = x
         out.append(own)
-        at += x.nbytes
+        at += size
     return out
 
 
@@ -109,7 +121,7 @@ def quantised(p: np.ndarray) -> np.ndarray:
     """Codes of probabilities; 0 for 0."""
     with np.errstate(divide="ignore"):
         step = np.rint((np.log10(p) - LOWEST) / -LOWEST * STEPS)
-    return np.where(p > 0, np.clip(step, 0, STEPS) + 1, 0).astype(np.uint8)
+    return np.where(p > 0, np.clip(step, 0, STEPS) + 1, 0).astype(np.uint16)
 
 
 def restored(codes: np.ndarray) -> np.ndarray:
@@ -117,44 +129,68 @@ def restored(codes: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Contexts, pointers to their successors, successors relative to the context's place, and their codes."""
-
-    def __init__(self, keys: np.ndarray, probabilities: np.ndarray):
-        context = keys >> np.uint64(WORD_BITS)
-        first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
-        self.contexts = EliasFano(context[first], int(context[-1]) + 1 if len(keys) else 1)
-        self.pointers = EliasFano(np.append(first, len(keys)).astype(np.uint64), len(keys) + 1)
-        place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(keys))))
-        word = keys & np.uint64((1 << WORD_BITS) - 1)
-        self.successors = EliasFano(place << np.uint64(WORD_BITS) | word, max(1, len(first)) << WORD_BITS)
+    """One level of a shard: contexts, pointers to their successors, successors relative to the context, codes."""
+
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, probabilities: np.ndarray):
+        """Rows sorted by context and word, each pair once."""
+        n = len(contexts)
+        first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if n else np.zeros(0, dtype=np.int64)
+        self.contexts = EliasFano(contexts[first], int(contexts[-1]) + 1 if n else 1)
+        self.pointers = EliasFano(np.append(first, n).astype(np.uint64), n + 1)
+        self.bits = np.uint64(int(words.max()).bit_length() if n else 1)
+        place = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, n)))
+        self.successors = EliasFano(place << self.bits | words, max(1, len(first)) << int(self.bits))
         self.codes = mapped(quantised(probabilities))[0]
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of bigrams; 0 for those that the trie lacks."""
-        n = len(keys)
-        out = np.zeros(n, dtype=np.uint8)
-        if not n or not self.contexts.n:
+    def look_up(self, contexts: np.ndarray, of: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Codes of n-grams, the i-th of which is words[i] after contexts[of[i]]; 0 for those that the trie lacks."""
+        out = np.zeros(len(words), dtype=np.uint16)
+        if not len(words) or not self.contexts.n:
             return out
-        context, new = np.unique(keys >> np.uint64(WORD_BITS), return_inverse=True)
-        at = self.contexts.successor(context, np.zeros(len(context), dtype=np.int64), np.full(len(context), self.contexts.n))
+        at = self.contexts.successor(contexts, np.zeros(len(contexts), dtype=np.int64), np.full(len(contexts), self.contexts.n))
         known = at < self.contexts.n
-        known[known] = self.contexts.access(at[known]) == context[known]
+        known[known] = self.contexts.access(at[known]) == contexts[known]
         at = np.where(known, at, 0)
         lo, hi = self.pointers.access(at).astype(np.int64), self.pointers.access(at + 1).astype(np.int64)
-        lo, hi, place = lo[new], np.where(known, hi, lo)[new], at[new].astype(np.uint64)
-        want = place << np.uint64(WORD_BITS) | keys & np.uint64((1 << WORD_BITS) - 1)
-        found = self.successors.successor(want, lo, hi)
-        some = np.flatnonzero(found < hi)
+        hi = np.where(known, hi, lo)
+        asked = np.flatnonzero((hi > lo)[of] & (words >> self.bits == 0))
+        own, want = of[asked], at[of[asked]].astype(np.uint64) << self.bits | words[asked]
+        found = self.successors.successor(want, lo[own], hi[own])
+        some = np.flatnonzero(found < hi[own])
         some = some[self.successors.access(found[some]) == want[some]]
-        out[some] = self.codes[found[some]]
+        out[asked[some]] = self.codes[found[some]]
         return out
 
 
-BLOCK = "block long, ids binary, held binary, lengths binary, vocabulary binary, tokens binary"
+class Block(NamedTuple):
+    number: int
+    ids: np.ndarray
+    held: np.ndarray  # 0 learnt from, 1 held out, 2 without an id
+    lengths: np.ndarray
+    vocabulary: np.ndarray  # hashes, sorted
+    tokens: np.ndarray  # places in the vocabulary
+
+
+BLOCK = "block long, bytes long, packed binary"
+
 
+def packed_block(b: Block, size: int) -> pa.RecordBatch:
+    """Tokens are kept as ranks by frequency, which are mostly small."""
+    count = np.bincount(b.tokens, minlength=len(b.vocabulary))
+    rank = np.empty(len(count), dtype=np.uint32)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint32)
+    blob = pack_arrays(b.ids, b.held, b.lengths.astype(np.uint32), np.diff(b.vocabulary, prepend=np.uint64(0)), count.astype(np.uint32), rank[b.tokens])
+    return pa.RecordBatch.from_arrays([pa.array([b.number], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["block", "bytes", "packed"])
 
-def blocks(docs: DataFrame, parts: int, part: int) -> DataFrame:
-    """Tokenised documents, some megabytes of text a row. held: 0 learnt from, 1 held out, 2 without an id."""
+
+def unpacked_block(number: int, blob: bytes) -> Block:
+    ids, held, lengths, gaps, count, ranks = unpack_arrays(blob)
+    order = np.argsort(-count.astype(np.int64), kind="stable")
+    return Block(number, ids.view(np.int64), held, lengths.astype(np.int64), np.cumsum(gaps, dtype=np.uint64), order[ranks])
+
+
+def blocks(docs: DataFrame, parts: int, part: int, buckets: int) -> DataFrame:
+    """Tokenised documents, some megabytes of text a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -164,8 +200,8 @@ def blocks(docs: DataFrame, parts: int, part: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             vocabulary, token = np.unique(np.concatenate(tokens), return_inverse=True)
-            columns = (np.asarray(ids, dtype=np.int64), np.asarray(held, dtype=np.uint8), np.asarray(lengths, dtype=np.int64), vocabulary, token.astype(np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([_packed(x)], pa.binary()) for x in columns)], ["block", "ids", "held", "lengths", "vocabulary", "tokens"])
+            own = (np.asarray(ids, dtype=np.int64), np.asarray(held, dtype=np.uint8), np.asarray(lengths, dtype=np.int64))
+            return packed_block(Block(number, *own, vocabulary, token), size)
 
         end = np.asarray([END], dtype=np.uint64)
         for batch in batches:
@@ -183,172 +219,234 @@ def blocks(docs: DataFrame, parts: int, part: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return materialize(docs.mapInArrow(run, BLOCK), "blocks")
-
-
-def _block(batch: pa.RecordBatch, i: int) -> tuple:
-    kinds = (np.int64, np.uint8, np.int64, np.uint64, np.uint32)
-    ids, held, lengths, vocabulary, tokens = (_unpacked(batch.column(k + 1)[i].as_py(), t) for k, t in enumerate(kinds))
-    return batch.column(0)[i].as_py(), ids, held, lengths, vocabulary, tokens.astype(np.int64)
-
-
-def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (_mixed(keys) % np.uint64(shards)).astype(np.int64)
-
-
-def _bigram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By context and three bits of the word, so that a frequent context is not in one shard alone."""
-    return _shard_of((keys >> np.uint64(WORD_BITS)) * np.uint64(8) + (keys & np.uint64(7)), shards)
-
-
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted bigrams: the gaps of their contexts, then their words."""
-    context = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
-    return _packed(np.concatenate([np.diff(context, prepend=0), keys & np.uint64((1 << WORD_BITS) - 1)], dtype=np.uint32, casting="unsafe"))
-
-
-def _unpacked_keys(x: bytes) -> np.ndarray:
-    gaps, words = np.split(_unpacked(x, np.uint32), 2)
-    return np.cumsum(gaps, dtype=np.uint64) << np.uint64(WORD_BITS) | words
-
-
-def _sent(block: int, shard: np.ndarray, shards: int, *columns: np.ndarray, first=_packed) -> pa.RecordBatch:
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards), side="right")
-    some = np.flatnonzero(np.diff(ends, prepend=0))
-    split = [np.split(x[order], ends[:-1]) for x in columns]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some.astype(np.int32)), *(pa.array([pack(x[k]) for k in some], pa.binary()) for pack, x in zip([first, *[_packed] * len(split)], split))], ["block", "shard", "a", "b", "c"][: 2 + len(columns)])
-
-
-def _answers(lists: list, shard: np.ndarray, dtype, read=None) -> np.ndarray:
-    """The shards' answers in the order in which the block asked."""
-    out = np.zeros(len(shard), dtype=dtype)
-    order = np.argsort(shard, kind="stable")
-    parts = sorted(lists, key=lambda x: x["shard"])
-    if parts:
-        out[order] = np.concatenate([read(x) if read else _unpacked(x["answer"], dtype) for x in parts])
-    return out
-
-
-def _numbers(lists: list, shard: np.ndarray, offset: dict[int, int]) -> np.ndarray:
-    """The tokens' numbers: their places in their task, after the tokens of the tasks before."""
-    return _answers(lists, shard, np.uint64, lambda x: np.cumsum(_unpacked(x["places"], np.uint32), dtype=np.uint64) + np.uint64(offset[x["task"]]))
-
-
-def _pairs(held, lengths, vocabulary, tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct bigrams of a block as (context, word) of its vocabulary, the bigram of each token, whether it is learnt from."""
-    start = np.cumsum(lengths) - lengths
-    before = np.roll(tokens, 1)
-    before[start] = np.searchsorted(vocabulary, np.uint64(END))
-    pair, at = np.unique(before * len(vocabulary) + tokens, return_inverse=True)
-    return pair // len(vocabulary), pair % len(vocabulary), at, np.repeat(held == 0, lengths)
-
+    return materialize(docs.mapInArrow(run, BLOCK), "blocks", "block", buckets)
+
+
+class Level(NamedTuple):
+    """The distinct n-grams of a block at one level, sorted by the numbers of their contexts and words."""
+
+    context: np.ndarray  # places in the level below; none for words
+    word: np.ndarray  # places in the vocabulary
+    at: np.ndarray  # of each token, its n-gram's place; -1 where the document has begun too late
+    count: np.ndarray  # learnt from
+    shard: np.ndarray
+    order: np.ndarray  # places by shard
+
+
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    small = shard.astype(np.uint16) if len(shard) == 0 or shard.max() < 1 << 16 else shard
+    return np.argsort(small, kind="stable")
+
+
+def gram_shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
+    """By context, and by as many salts of the word as the count of the context asks for; all blocks agree."""
+    salts = np.uint64(1) << np.ceil(np.log2(np.maximum(count / SALT_COUNT, 1))).astype(np.uint64)
+    return (_mixed(_mixed(context) + (_mixed(word) & (salts - np.uint64(1)))) % np.uint64(shards)).astype(np.int64)
+
+
+class Walk:
+    """A block's n-grams, one level after another; each needs the answers to the one below."""
+
+    def __init__(self, block: Block, shards: int):
+        self.block, self.shards = block, shards
+        self.place = np.arange(len(block.tokens)) - np.repeat(np.cumsum(block.lengths) - block.lengths, block.lengths)
+        self.learnt = np.repeat(block.held == 0, block.lengths)
+        shard = (_mixed(block.vocabulary) % np.uint64(shards)).astype(np.int64)
+        self.level = Level(block.tokens[:0], np.arange(len(block.vocabulary)), block.tokens, self._counts(block.tokens, len(block.vocabulary)), shard, by_shard(shard))
+        self.above = 1
+
+    def _counts(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(at[self.learnt & (at >= 0)], minlength=n).astype(np.uint32)
+
+    def ask(self) -> pa.RecordBatch:
+        """A message to each shard that has n-grams of this level."""
+        level, order = self.level, self.level.order
+        shard = level.shard[order]
+        cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, dtype=np.int64)
+        blobs = []
+        for own in np.split(order, cuts[1:]) if len(cuts) else []:
+            if self.above == 1:
+                blobs.append(pack_arrays(np.diff(self.block.vocabulary[own], prepend=np.uint64(0)), level.count[own]))
+                continue
+            context = level.context[own]
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            runs = np.diff(np.append(first, len(own))).astype(np.uint32)
+            mine = context[first]
+            blobs.append(pack_arrays(np.diff(self.numbers[mine], prepend=np.uint64(0)), runs, self.totals[mine], self.words[level.word[own]], level.count[own]))
+        n = len(cuts)
+        columns = [pa.array(np.full(n, self.block.number)), pa.array(shard[cuts].astype(np.int32)), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "shard", "packed"])
+
+    def heard(self, answers: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        """The answers to this level, in the order of its n-grams: totals, and codes, and numbers if they were sent."""
+        parts = [(shard, unpack_arrays(blob)) for shard, blob in sorted(answers, key=lambda x: x[0])]
+        out = []
+        for k in range(len(parts[0][1]) if parts else 0):
+            column = [np.cumsum(x[k], dtype=np.uint64) * np.uint64(self.shards) + np.uint64(s) if k == 2 else x[k] for s, x in parts]
+            whole = np.concatenate(column)
+            if len(whole) < len(self.level.order):  # not sent at this level
+                out.append(whole)
+                continue
+            own = np.empty_like(whole)
+            own[self.level.order] = whole
+            out.append(own)
+        return out
 
-def _keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return context << np.uint64(WORD_BITS) | word
+    def up(self, totals: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Go on to the next level, given what this one's shards said; the totals of the contexts of its n-grams."""
+        # In order of numbers, so that what is sent rises.
+        order = np.argsort(numbers)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        at = np.where(self.level.at >= 0, place[self.level.at], -1)
+        self.numbers, self.totals = numbers[order], totals[order]
+        if self.above == 1:
+            self.words, self.tokens = self.numbers, at
+            before = np.roll(at, 1)
+            before[self.place == 0] = place[np.searchsorted(self.block.vocabulary, np.uint64(END))]
+        else:
+            before = np.where(self.place >= self.above - 1, np.roll(at, 1), -1)
+        some = np.flatnonzero(before >= 0)
+        v = len(self.words)
+        pairs, found = np.unique(before[some] * v + self.tokens[some], return_inverse=True)
+        at = np.full(len(before), -1)
+        at[some] = found
+        context, word = pairs // v, pairs % v
+        shard = gram_shard(self.numbers[context], self.words[word], self.totals[context], self.shards)
+        self.level = Level(context, word, at, self._counts(at, len(pairs)), shard, by_shard(shard))
+        self.above += 1
+        return self.totals[context]
+
+
+ANSWER = "block long, shard int, level int, packed binary, n long, v long"
+
+
+def answer_table(rows: pa.Table, level: int, blobs: list[bytes], n: int = 0, v: int = 0) -> pa.Table:
+    """A row to each block; the first one carries what the shard adds to sums over all shards."""
+    many = rows.num_rows
+    sums = [pa.array([x, *[0] * (many - 1)], pa.int64()) for x in (n, v)]
+    return pa.Table.from_arrays([rows["block"], rows["shard"], pa.array([level] * many, pa.int32()), pa.array(blobs, pa.binary()), *sums], [x.split()[0] for x in ANSWER.split(", ")])
+
+
+def _rising(places: np.ndarray) -> np.ndarray:
+    """Gaps between the places of one message, which rise."""
+    return np.diff(places, prepend=0).astype(np.uint32)
+
+
+def answer_words(rows: pa.Table) -> pa.Table:
+    """Counts of words over all blocks, and their places in this shard."""
+    parts = [unpack_arrays(x.as_py()) for x in rows["packed"]]
+    ends = np.cumsum([len(x[0]) for x in parts])[:-1]
+    _, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([x[1] for x in parts])).astype(np.uint64)
+    blobs = [pack_arrays(total[x], np.zeros(0, dtype=np.uint16), _rising(x)) for x in np.split(at, ends)]
+    return answer_table(rows, 1, blobs, int(total.sum()), int((total > 0).sum()))
+
+
+def answer_grams(rows: pa.Table, level: int, last: bool) -> pa.Table:
+    """Build this shard's part of a level of the trie and look the blocks' n-grams up in it."""
+    parts = [unpack_arrays(x.as_py()) for x in rows["packed"]]
+    contexts, of = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
+    of_context = np.zeros(len(contexts))
+    of_context[of] = np.concatenate([x[2] for x in parts])
+    words = np.concatenate([x[3] for x in parts]).astype(np.uint64)
+    if len(contexts) >> (64 - WORD_BITS) or int(words.max(initial=0)) >> WORD_BITS:
+        raise ValueError("more contexts or words than a key has bits for")
+    keys = np.repeat(of.astype(np.uint64), np.concatenate([x[1] for x in parts])) << np.uint64(WORD_BITS) | words
+    learnt = np.concatenate([x[4] for x in parts])
+    ends = np.cumsum([len(x[3]) for x in parts])[:-1]
+    del parts, words
+    known, at = np.unique(keys, return_inverse=True)
+    del keys
+    total = np.bincount(at, weights=learnt, minlength=len(known))
+    context, word = (known >> np.uint64(WORD_BITS)).astype(np.int64), known & np.uint64((1 << WORD_BITS) - 1)
+    del known
+    some = total > 0
+    trie = Trie(contexts[context[some]], word[some], total[some] / (of_context[context[some]] + MU))
+    codes = trie.look_up(contexts, context, word)
+    none = np.zeros(0, dtype=np.uint32)
+    total = total.astype(np.uint64)
+    blobs = [pack_arrays(none if last else total[x], codes[x], none if last else _rising(x)) for x in np.split(at, ends)]
+    return answer_table(rows, level, blobs)
+
+
+def walked(block: pa.Table, answers: pa.Table, shards: int) -> Iterator[tuple[Walk, list[np.ndarray]]]:
+    """The block's levels from the first one on, with the shards' answers where they are there."""
+    walk = Walk(unpacked_block(block["block"][0].as_py(), block["packed"][0].as_py()), shards)
+    heard: dict[int, list] = {}
+    for level, shard, blob in zip(answers["level"].to_pylist(), answers["shard"].to_pylist(), answers["packed"].to_pylist(), strict=True):
+        heard.setdefault(level, []).append((shard, blob))
+    del answers
+    while True:
+        got = walk.heard(heard.pop(walk.above, []))
+        yield walk, got
+        if len(got) < 3 or not len(got[2]):
+            return
+        walk.up(got[0], got[2])
 
 
-def _grouped(df: DataFrame, *more: str) -> DataFrame:
-    return df.groupBy("block").agg(F.collect_list(F.struct("shard", "answer", *more)).alias("answers")).withColumnRenamed("block", "its_block")
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, part: int = 1) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, part: int = 1, order: int = ORDER) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Learns from documents whose crc32 of the id leaves another remainder than `part`; scores all whole texts. Tokens
-    are words in lower case (A-Z) and one end; a null or empty text is its end alone. A row without an id is scored,
-    not learnt from, and its held_out is false. Repeated rows each count. If nothing is learnt, every token has the
-    probability of an unknown one. An empty table gives no rows; other columns are ignored. Tokens are told apart
-    by 64 bits of hash, bigrams by the numbers of their two tokens, of which there can be 2**32.
+    Learns from documents whose crc32 of the id leaves another remainder than `part`; scores all whole texts by
+    n-grams of up to `order` words (2 or more). Tokens are words in lower case (A-Z) and one end; a null or empty text
+    is its end alone. A row without an id is scored, not learnt from, and its held_out is false. Repeated rows each
+    count, with one text or several. If nothing is learnt, every token has the probability of an unknown one. An empty
+    table gives no rows; other columns are ignored. Words are told apart by 64 bits of hash, n-grams by the numbers of
+    their context and word.
     """
+    if order < 2:
+        raise ValueError("order is at least 2")
     spark = df.sparkSession
     prepare(spark)
-    docs = id_text(df, id_col, text_col)
-    shards = max(shuffle_partitions(spark), -(-total_bytes(docs) // SHARD_BYTES))
-    held_blocks = blocks(docs, parts, part)
+    tokenised = blocks(id_text(df, id_col, text_col), parts, part, shuffle_partitions(spark))
+    shards = max(shuffle_partitions(spark), -(-(tokenised.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    message = "block long, shard int, packed binary"
 
-    def ask_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, _, held, lengths, vocabulary, tokens = _block(batch, i)
-                count = np.bincount(tokens[np.repeat(held == 0, lengths)], minlength=len(vocabulary))
-                yield _sent(block, _shard_of(vocabulary, shards), shards, vocabulary, count.astype(np.uint32))
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
-        words = [_unpacked(r["a"], np.uint64) for r in rows]
-        known, at = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]), minlength=len(known)).astype(np.int64)
-        ends = np.cumsum([len(w) for w in words])[:-1]
-        answers = np.split(total[at], ends)
-        # a row's tokens are sorted, so their places rise
-        places = [np.diff(x, prepend=0).astype(np.uint32) for x in np.split(at, ends)]
-        n, v, known_here = [0] * len(rows), [0] * len(rows), [0] * len(rows)
-        n[0], v[0], known_here[0] = int(total.sum()), int((total > 0).sum()), len(known)
-        yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array([_packed(x) for x in answers], pa.binary()), pa.array(n, pa.int64()), pa.array(v, pa.int64()), pa.array([_packed(x) for x in places], pa.binary()), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int32()), pa.array(known_here, pa.int64())], ["block", "shard", "answer", "n", "v", "places", "task", "known"])
-
-    asked = held_blocks.mapInArrow(ask_tokens, "block long, shard int, a binary, b binary").repartition(shards, "shard")
-    unigrams = materialize(asked.mapInArrow(add_up, "block long, shard int, answer binary, n long, v long, places binary, task int, known long"), "unigrams")
-    total, types = (x or 0 for x in unigrams.agg(F.sum("n"), F.sum("v")).first())
-    offset, numbered = {}, 0
-    for task, known in unigrams.where("known > 0").select("task", "known").orderBy("task").collect():
-        offset[task] = numbered
-        numbered += known
-    if numbered > 1 << WORD_BITS:
-        raise ValueError(f"{numbered} different tokens; their numbers have {WORD_BITS} bits")
-    answered = _grouped(unigrams, "places", "task")
-    with_unigrams = held_blocks.join(answered, held_blocks.block == answered.its_block).select(*held_blocks.columns, "answers")
-
-    def ask_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, _, held, lengths, vocabulary, tokens = _block(batch, i)
-                answers, shard = batch.column(6)[i].as_py(), _shard_of(vocabulary, shards)
-                c, number = _answers(answers, shard, np.int64), _numbers(answers, shard, offset)
-                context, word, at, learnt = _pairs(held, lengths, vocabulary, tokens)
-                count = np.bincount(at[learnt], minlength=len(context)).astype(np.uint32)
-                key = _keys(number[context], number[word])
-                order = np.argsort(key, kind="stable")
-                key = key[order]
-                yield _sent(block, _bigram_shard(key, shards), shards, key, count[order], c[context][order].astype(np.uint64), first=_packed_keys)
-
-    def build_and_answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        if not rows:
-            return
-        keys = [_unpacked_keys(r["a"]) for r in rows]
-        known, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]), minlength=len(known))
-        context = np.concatenate([_unpacked(r["c"], np.uint64) for r in rows])[first].astype(float)
-        some = total > 0
-        trie = Trie(known[some], total[some] / (context[some] + MU))
-        codes = trie.look_up(known)[at]
-        answers = np.split(codes, np.cumsum([len(k) for k in keys])[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array([r["block"] for r in rows], pa.int64()), pa.array([r["shard"] for r in rows], pa.int32()), pa.array([_packed(x) for x in answers], pa.binary())], ["block", "shard", "answer"])
-
-    asked = with_unigrams.mapInArrow(ask_bigrams, "block long, shard int, a binary, b binary, c binary").repartition(shards, "shard")
-    bigrams = _grouped(asked.mapInArrow(build_and_answer, "block long, shard int, answer binary")).withColumnsRenamed({"its_block": "that_block", "answers": "codes"})
-    everything = with_unigrams.join(bigrams, with_unigrams.block == bigrams.that_block).select(*held_blocks.columns, "answers", "codes")
-
-    def add_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                _, ids, held, lengths, vocabulary, tokens = _block(batch, i)
-                answers, shard = batch.column(6)[i].as_py(), _shard_of(vocabulary, shards)
-                c, number = _answers(answers, shard, np.int64), _numbers(answers, shard, offset)
-                context, word, at, _ = _pairs(held, lengths, vocabulary, tokens)
-                key = _keys(number[context], number[word])
-                order = np.argsort(key, kind="stable")
-                found = np.zeros(len(key), dtype=np.uint8)
-                found[order] = _answers(batch.column(7)[i].as_py(), _bigram_shard(key[order], shards), np.uint8)
-                base = (c + 0.5) / (total + 0.5 * (types + 1))
-                p = np.minimum(restored(found) + MU / (c[context] + MU) * base[word], 1.0)
-                start = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(x, start) for x in ((c > 0)[tokens].astype(np.int64), np.log10(base)[tokens], np.log10(p)[at])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=held == 2), pa.array(held == 1), pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(ids), total)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return everything.mapInArrow(add_scores, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield Walk(unpacked_block(number, blob), shards).ask()
+
+    def ask_grams(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
+        for walk, _ in walked(block, answers, shards):
+            pass
+        return pa.Table.from_batches([walk.ask()])
+
+    def grams_of(level: int):
+        return lambda rows: answer_grams(rows, level, level == order)
+
+    asked = tokenised.select("block", "packed").mapInArrow(ask_words, message)
+    heard = materialize(asked.groupBy("shard").applyInArrow(answer_words, ANSWER), "level-1")
+    total, types = (x or 0 for x in heard.agg(F.sum("n"), F.sum("v")).first())
+    for level in range(2, order + 1):
+        asked = tokenised.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(ask_grams, message)
+        found = asked.groupBy("shard").applyInArrow(grams_of(level), ANSWER)
+        heard = heard.unionByName(materialize(found, f"level-{level}") if level < order else found)
+
+    def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        if not block.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)})
+        below = None
+        for walk, got in walked(block, answers, shards):
+            if walk.above == 1:
+                b = walk.block
+                start = np.cumsum(b.lengths) - b.lengths
+                known = np.add.reduceat((got[0] > 0)[b.tokens].astype(np.int64), start)
+                p = ((got[0] + 0.5) / (total + 0.5 * (types + 1)))[b.tokens]
+                base = np.add.reduceat(np.log10(p), start)
+            else:
+                backoff, at = MU / (walk.totals[walk.level.context] + MU), walk.level.at
+                p = np.where(at >= 0, np.minimum(restored(got[1])[at] + backoff[at] * p, 1.0), p) if len(backoff) else p
+            below = walk
+        b = below.block
+        sums = (pa.array(known), pa.array(np.full(len(b.ids), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), start)))
+        return pa.Table.from_arrays([pa.array(b.ids, mask=b.held == 2), pa.array(b.held == 1), pa.array(b.lengths), *sums], names)
+
+    return tokenised.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(add_up, SCORED)

@@ -282,22 +282,56 @@ def test_best_fit_equals_one_by_one():
     assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)]
 
 
-def test_lm_scores(docs, empty):
-    tok = [(i, [*(t or "").encode().lower().split(), None]) for i, t, *_ in fixture_rows()]
-    learn = [w for i, w in tok if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
-    c = Counter(x for w in learn for x in w)
-    pairs = Counter(p for w in learn for p in zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(c.values()), len(c)
-    base = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
-    want = Counter()
+def brute_lm(rows, order=ngram_lm.ORDER):
+    """(doc_id, held out, tokens, known, learnt, base, score) of each row by plain dictionaries."""
+    tok = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    count = Counter()
     for i, w in tok:
-        s = sum(math.log10((pairs[h, x] + ngram_lm.MU * base(x)) / (c[h] + ngram_lm.MU)) for h, x in zip([None, *w[:-1]], w, strict=True))
-        want[i, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10(base(x)) for x in w), 6), round(s / len(w), 1)] += 1
-    got = ngram_lm.score(docs).collect()
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == Counter({k[:5]: 0 for k in want}) + Counter(k[:5] for k in want.elements())
-    exact = {k[:5]: k[5] for k in want}
-    assert all(abs(exact[r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)] - r.score / r.n_tokens) < 0.07 for r in got)
-    assert ngram_lm.score(empty).count() == 0
+        if i is not None and not held(i):
+            for at in range(len(w)):
+                count[(w[at],)] += 1
+                for k in range(2, order + 1):
+                    if at >= k - 2:
+                        count[tuple([None, *w][at - k + 2 : at + 2])] += 1
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    out = []
+    for i, w in tok:
+        base = [(count[(x,)] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
+        score = 0.0
+        for at, p in enumerate(base):
+            for k in range(2, order + 1):
+                if at >= k - 2:
+                    gram = tuple([None, *w][at - k + 2 : at + 2])
+                    p = (count[gram] + ngram_lm.MU * p) / (count[gram[:-1]] + ngram_lm.MU)
+            score += math.log10(p)
+        out.append((i, held(i), len(w), sum(count[(x,)] > 0 for x in w), n, sum(map(math.log10, base)), score))
+    return out
+
+
+def assert_lm(got, want):
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    got = sorted((tuple(r[c] for c in names) for r in got), key=repr)
+    want = sorted(want, key=repr)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    for x, y in zip(got, want, strict=True):
+        assert abs(x[5] - y[5]) < 1e-6 and abs(x[6] - y[6]) <= 2e-4 * x[2]  # half a step a token
+
+
+def test_lm_scores(spark, docs, empty, monkeypatch):
+    rows = [(r[0], r[1]) for r in fixture_rows()]
+    # One id on rows of different texts, each of which counts.
+    rows += [(7, "alpha beta other words"), (7, "alpha beta"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for order in (2, 3, 4):
+        assert_lm(ngram_lm.score(df, order=order).collect(), brute_lm(rows, order))
+    # Many blocks, shards and salts give the same.
+    for name, value in (("BLOCK_BYTES", 20_000), ("SHARD_BYTES", 30_000), ("SALT_COUNT", 50)):
+        monkeypatch.setattr(ngram_lm, name, value)
+    assert_lm(ngram_lm.score(df).collect(), brute_lm(rows))
+    assert ngram_lm.score(docs).count() == len(fixture_rows()) and ngram_lm.score(empty).count() == 0
+    none = [(None, "a b"), (None, None)]
+    assert_lm(ngram_lm.score(spark.createDataFrame(none, "doc_id long, text string")).collect(), brute_lm(none))
 
 
 def test_lm_contexts_of_like_hash_stay_apart(spark):
@@ -309,16 +343,17 @@ def test_lm_contexts_of_like_hash_stay_apart(spark):
     a, b = alike[0]
     texts = [f"{a} x {f'{a} y ' * 11}", f"{b} x " * 20]
     ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
-    learn = [[None, *t.split(), None] for t in texts]
-    c, pairs = Counter(x for w in learn for x in w[1:]), Counter(p for w in learn for p in zip(w, w[1:], strict=False))
-    n, v = sum(c.values()), len(c)
-    want = {i: sum(math.log10((pairs[h, x] + ngram_lm.MU * (c[x] + 0.5) / (n + 0.5 * (v + 1))) / (c[h] + ngram_lm.MU)) for h, x in zip(w, w[1:], strict=False)) for i, w in zip(ids, learn, strict=True)}
     # a held-out text asks for a pair that only the other context has
-    odd, held = f"{b} y", next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
-    want[held] = sum(math.log10((pairs[h, x] + ngram_lm.MU * (c[x] + 0.5) / (n + 0.5 * (v + 1))) / (c[h] + ngram_lm.MU)) for h, x in ((None, b), (b, "y"), ("y", None)))
-    got = ngram_lm.score(spark.createDataFrame([*zip(ids, texts, strict=True), (held, odd)], "doc_id long, text string")).collect()
-    assert {r.doc_id for r in got} == set(want)
-    assert all(abs(r.score - want[r.doc_id]) < 0.017 * r.n_tokens for r in got)
+    held = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [*zip(ids, texts, strict=True), (held, f"{b} y")]
+    assert_lm(ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_lm(rows))
+
+
+def test_lm_salts_spread_a_frequent_context():
+    word = np.arange(100_000, dtype=np.uint64)
+    one = np.full(len(word), 7, dtype=np.uint64)
+    few, many = (ngram_lm.gram_shard(one, word, np.full(len(word), c, dtype=np.uint64), 64) for c in (10, 100 * ngram_lm.SALT_COUNT))
+    assert len(set(few.tolist())) == 1 and np.bincount(many, minlength=64).max() < 0.1 * len(word)
 
 
 def test_elias_fano_and_trie():
@@ -330,13 +365,15 @@ def test_elias_fano_and_trie():
         if n:
             x = rng.integers(0, universe, 200).astype(np.uint64)
             assert (ef.successor(x, np.zeros(200, dtype=np.int64), np.full(200, n)) == np.searchsorted(values, x)).all()
-    keys = np.unique(rng.integers(0, 40, 500).astype(np.uint64) << np.uint64(36) | rng.integers(0, 1000, 500).astype(np.uint64))
-    p = rng.random(len(keys))
-    trie = ngram_lm.Trie(keys, p)
-    assert (trie.look_up(keys) == ngram_lm.quantised(p)).all()
-    other = np.setdiff1d(np.unique(rng.integers(0, 60, 900).astype(np.uint64) << np.uint64(36) | rng.integers(0, 1000, 900).astype(np.uint64)), keys)
-    assert (trie.look_up(other) == 0).all()
-    assert np.abs(np.log10(ngram_lm.restored(ngram_lm.quantised(p))) - np.log10(p)).max() < 0.017
+    pairs = np.unique(rng.integers(0, 40, 800) * 1000 + rng.integers(0, 1000, 800))
+    context, word, p = (pairs // 1000 * 7).astype(np.uint64), (pairs % 1000).astype(np.uint64), rng.random(len(pairs))
+    trie = ngram_lm.Trie(context, word, p)
+    asked = np.arange(45, dtype=np.uint64) * np.uint64(7)
+    grid_of, grid_word = np.repeat(np.arange(45), 1100), np.tile(np.arange(1100, dtype=np.uint64), 45)
+    want = np.zeros(45 * 1100, dtype=np.uint16)
+    want[pairs // 1000 * 1100 + pairs % 1000] = ngram_lm.quantised(p)
+    assert (trie.look_up(asked, grid_of, grid_word) == want).all()
+    assert np.abs(np.log10(ngram_lm.restored(ngram_lm.quantised(p))) - np.log10(p)).max() < 2e-4
 
 
 def brute_base(text):

@@ -17,6 +17,7 @@ from ..session import ship_package
 #: Words are maximal runs of bytes other than these; `bytes.split()` cuts at exactly this set.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 
 
@@ -49,13 +50,19 @@ def materialize(df: DataFrame, name: str, bucket: str | None = None, buckets: in
     table = f"{name}-{uuid.uuid4().hex}"
     path = f"{_tables_dir(spark)}/{table}"
     writer = df.write.option("compression", "zstd")
-    if bucket:
-        table = table.replace("-", "_")
-        writer.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(table)
-        out = spark.table(table)
-    else:
-        writer.parquet(path)
-        out = spark.read.schema(df.schema).parquet(path)
+    # What is shuffled for a table isn't needed once the table is there.
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        if bucket:
+            table = table.replace("-", "_")
+            writer.format("parquet").bucketBy(buckets, bucket).option("path", path).saveAsTable(table)
+            out = spark.table(table)
+        else:
+            writer.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out._tastegrid_path = path
     return out
 

@@ -239,9 +239,20 @@ def by_shard(shard: np.ndarray) -> np.ndarray:
 
 
 def gram_shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
-    """By context, and by as many salts of the word as the count of the context asks for; all blocks agree."""
+    """The shard that numbered the context, and by a salt of the word as many more as its count asks for; blocks agree."""
     salts = np.uint64(1) << np.ceil(np.log2(np.maximum(count / SALT_COUNT, 1))).astype(np.uint64)
-    return (_mixed(_mixed(context) + (_mixed(word) & (salts - np.uint64(1)))) % np.uint64(shards)).astype(np.int64)
+    return ((context + (_mixed(word) & (salts - np.uint64(1)))) % np.uint64(shards)).astype(np.int64)
+
+
+def packed_contexts(numbers: np.ndarray, shard: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rising numbers as gaps of their places in the shard that numbered them, and how far that one is from `shard`."""
+    n = np.uint64(shards)
+    return np.diff(numbers // n, prepend=np.uint64(0)), ((np.uint64(shard) + n - numbers % n) % n).astype(np.uint32)
+
+
+def unpacked_contexts(gaps: np.ndarray, away: np.ndarray, shard: int, shards: int) -> np.ndarray:
+    n = np.uint64(shards)
+    return np.cumsum(gaps, dtype=np.uint64) * n + (np.uint64(shard) + n - away) % n
 
 
 class Walk:
@@ -272,24 +283,28 @@ class Walk:
             first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
             runs = np.diff(np.append(first, len(own))).astype(np.uint32)
             mine = context[first]
-            blobs.append(pack_arrays(np.diff(self.numbers[mine], prepend=np.uint64(0)), runs, self.totals[mine], self.words[level.word[own]], level.count[own]))
+            names = packed_contexts(self.numbers[mine], int(level.shard[own[0]]), self.shards)
+            blobs.append(pack_arrays(*names, runs, self.totals[mine], self.words[level.word[own]], level.count[own]))
         n = len(cuts)
         columns = [pa.array(np.full(n, self.block.number)), pa.array(shard[cuts].astype(np.int32)), pa.array(blobs, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "shard", "packed"])
 
-    def heard(self, answers: list[tuple[int, bytes]]) -> list[np.ndarray]:
-        """The answers to this level, in the order of its n-grams: totals, and codes, and numbers if they were sent."""
-        parts = [(shard, unpack_arrays(blob)) for shard, blob in sorted(answers, key=lambda x: x[0])]
-        out = []
-        for k in range(len(parts[0][1]) if parts else 0):
-            column = [np.cumsum(x[k], dtype=np.uint64) * np.uint64(self.shards) + np.uint64(s) if k == 2 else x[k] for s, x in parts]
-            whole = np.concatenate(column)
-            if len(whole) < len(self.level.order):  # not sent at this level
-                out.append(whole)
-                continue
-            own = np.empty_like(whole)
-            own[self.level.order] = whole
-            out.append(own)
+    def heard(self, answers: list[tuple[int, bytes]]) -> dict[str, np.ndarray]:
+        """The answers to this level, in the order of its n-grams: codes, and totals and numbers if they were sent."""
+        columns: dict[str, list[np.ndarray]] = {"code": [], "total": [], "number": []}
+        for shard, blob in sorted(answers, key=lambda x: x[0]):
+            values, of, total, gaps = unpack_arrays(blob)
+            columns["code"].append(values[of])
+            if len(gaps):
+                places = gaps if self.above == 1 else np.cumsum(gaps, dtype=np.uint64)
+                columns["total"].append(total)
+                columns["number"].append(places.astype(np.uint64) * np.uint64(self.shards) + np.uint64(shard))
+        out = {}
+        for name, parts in columns.items():
+            if parts and sum(map(len, parts)):
+                whole = np.concatenate(parts)
+                out[name] = np.empty_like(whole)
+                out[name][self.level.order] = whole
         return out
 
     def up(self, totals: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -328,34 +343,44 @@ def answer_table(rows: pa.Table, level: int, blobs: list[bytes], n: int = 0, v:
     return pa.Table.from_arrays([rows["block"], rows["shard"], pa.array([level] * many, pa.int32()), pa.array(blobs, pa.binary()), *sums], [x.split()[0] for x in ANSWER.split(", ")])
 
 
-def _rising(places: np.ndarray) -> np.ndarray:
-    """Gaps between the places of one message, which rise."""
-    return np.diff(places, prepend=0).astype(np.uint32)
+def packed_answer(codes: np.ndarray, total: np.ndarray | None = None, places: np.ndarray | None = None) -> bytes:
+    """Codes by a dictionary, the most frequent first; totals and places, or gaps between them, if later levels need them."""
+    values, of, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), dtype=np.uint16)
+    rank[order] = np.arange(len(order))
+    none = np.zeros(0, dtype=np.uint32)
+    return pack_arrays(values[order], rank[of], none if total is None else total, none if places is None else places.astype(np.uint32))
 
 
 def answer_words(rows: pa.Table) -> pa.Table:
-    """Counts of words over all blocks, and their places in this shard."""
+    """Counts of words over all blocks, and their places in this shard, frequent words first."""
     parts = [unpack_arrays(x.as_py()) for x in rows["packed"]]
     ends = np.cumsum([len(x[0]) for x in parts])[:-1]
     _, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([x[1] for x in parts])).astype(np.uint64)
-    blobs = [pack_arrays(total[x], np.zeros(0, dtype=np.uint16), _rising(x)) for x in np.split(at, ends)]
+    place = np.empty(len(total), dtype=np.int64)
+    place[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(total))
+    none = np.zeros(0, dtype=np.uint16)
+    blobs = [packed_answer(none, total[x], place[x]) for x in np.split(at, ends)]
     return answer_table(rows, 1, blobs, int(total.sum()), int((total > 0).sum()))
 
 
-def answer_grams(rows: pa.Table, level: int, last: bool) -> pa.Table:
+def answer_grams(rows: pa.Table, level: int, last: bool, shards: int) -> pa.Table:
     """Build this shard's part of a level of the trie and look the blocks' n-grams up in it."""
     parts = [unpack_arrays(x.as_py()) for x in rows["packed"]]
-    contexts, of = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
+    shard = rows["shard"][0].as_py()
+    asked = np.concatenate([unpacked_contexts(x[0], x[1], shard, shards) for x in parts])
+    contexts, of = np.unique(asked, return_inverse=True)
     of_context = np.zeros(len(contexts))
-    of_context[of] = np.concatenate([x[2] for x in parts])
-    words = np.concatenate([x[3] for x in parts]).astype(np.uint64)
+    of_context[of] = np.concatenate([x[3] for x in parts])
+    words = np.concatenate([x[4] for x in parts]).astype(np.uint64)
     if len(contexts) >> (64 - WORD_BITS) or int(words.max(initial=0)) >> WORD_BITS:
         raise ValueError("more contexts or words than a key has bits for")
-    keys = np.repeat(of.astype(np.uint64), np.concatenate([x[1] for x in parts])) << np.uint64(WORD_BITS) | words
-    learnt = np.concatenate([x[4] for x in parts])
-    ends = np.cumsum([len(x[3]) for x in parts])[:-1]
-    del parts, words
+    keys = np.repeat(of.astype(np.uint64), np.concatenate([x[2] for x in parts])) << np.uint64(WORD_BITS) | words
+    learnt = np.concatenate([x[5] for x in parts])
+    ends = np.cumsum([len(x[4]) for x in parts])[:-1]
+    del parts, words, asked
     known, at = np.unique(keys, return_inverse=True)
     del keys
     total = np.bincount(at, weights=learnt, minlength=len(known))
@@ -363,14 +388,13 @@ def answer_grams(rows: pa.Table, level: int, last: bool) -> pa.Table:
     del known
     some = total > 0
     trie = Trie(contexts[context[some]], word[some], total[some] / (of_context[context[some]] + MU))
-    codes = trie.look_up(contexts, context, word)
-    none = np.zeros(0, dtype=np.uint32)
-    total = total.astype(np.uint64)
-    blobs = [pack_arrays(none if last else total[x], codes[x], none if last else _rising(x)) for x in np.split(at, ends)]
-    return answer_table(rows, level, blobs)
+    codes, total = trie.look_up(contexts, context, word), total.astype(np.uint64)
+    # The n-grams of a message rise, and so do their places.
+    more = [() if last else (total[x], np.diff(x, prepend=0)) for x in np.split(at, ends)]
+    return answer_table(rows, level, [packed_answer(codes[x], *y) for x, y in zip(np.split(at, ends), more, strict=True)])
 
 
-def walked(block: pa.Table, answers: pa.Table, shards: int) -> Iterator[tuple[Walk, list[np.ndarray]]]:
+def walked(block: pa.Table, answers: pa.Table, shards: int) -> Iterator[tuple[Walk, dict[str, np.ndarray]]]:
     """The block's levels from the first one on, with the shards' answers where they are there."""
     walk = Walk(unpacked_block(block["block"][0].as_py(), block["packed"][0].as_py()), shards)
     heard: dict[int, list] = {}
@@ -380,9 +404,9 @@ def walked(block: pa.Table, answers: pa.Table, shards: int) -> Iterator[tuple[Wa
     while True:
         got = walk.heard(heard.pop(walk.above, []))
         yield walk, got
-        if len(got) < 3 or not len(got[2]):
+        if "number" not in got:
             return
-        walk.up(got[0], got[2])
+        walk.up(got["total"], got["number"])
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -419,7 +443,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         return pa.Table.from_batches([walk.ask()])
 
     def grams_of(level: int):
-        return lambda rows: answer_grams(rows, level, level == order)
+        return lambda rows: answer_grams(rows, level, level == order, shards)
 
     asked = tokenised.select("block", "packed").mapInArrow(ask_words, message)
     heard = materialize(asked.groupBy("shard").applyInArrow(answer_words, ANSWER), "level-1")
@@ -427,7 +451,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     for level in range(2, order + 1):
         asked = tokenised.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(ask_grams, message)
         found = asked.groupBy("shard").applyInArrow(grams_of(level), ANSWER)
-        heard = heard.unionByName(materialize(found, f"level-{level}") if level < order else found)
+        heard = heard.unionByName(materialize(found, f"level-{level}"))
 
     def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SCORED.split(", ")]
@@ -438,12 +462,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
             if walk.above == 1:
                 b = walk.block
                 start = np.cumsum(b.lengths) - b.lengths
-                known = np.add.reduceat((got[0] > 0)[b.tokens].astype(np.int64), start)
-                p = ((got[0] + 0.5) / (total + 0.5 * (types + 1)))[b.tokens]
+                known = np.add.reduceat((got["total"] > 0)[b.tokens].astype(np.int64), start)
+                p = ((got["total"] + 0.5) / (total + 0.5 * (types + 1)))[b.tokens]
                 base = np.add.reduceat(np.log10(p), start)
             else:
                 backoff, at = MU / (walk.totals[walk.level.context] + MU), walk.level.at
-                p = np.where(at >= 0, np.minimum(restored(got[1])[at] + backoff[at] * p, 1.0), p) if len(backoff) else p
+                p = np.where(at >= 0, np.minimum(restored(got["code"])[at] + backoff[at] * p, 1.0), p) if len(backoff) else p
             below = walk
         b = below.block
         sums = (pa.array(known), pa.array(np.full(len(b.ids), total)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), start)))

@@ -1,14 +1,19 @@
 """PII by weak supervision.
 
-Patterns for four kinds give base spans, which always stay. Looser patterns give more candidates; regex, gazetteer
-and context labelers vote on each. Expectation maximisation over the counts of vote patterns estimates how reliable
-each labeler is and how likely each pattern is personal data; a logistic span classifier trained on these decides.
+Patterns for four kinds give base spans, which always stay. Looser patterns give candidates that these miss, secrets
+among them; regex, gazetteer and context labelers vote on each. Expectation maximisation over the counts of vote
+patterns of all candidates estimates how reliable each labeler is and how likely each pattern is personal data. A
+logistic span classifier learns these posteriors from the votes and from what labelers don't see: the shape of a span,
+its length and digits, the words beside it and its place. It decides which candidates are added.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, prepare
+from .common import column_bytes, id_text, materialize, prepare
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
 
 # Base patterns. Possessive repeats and a look-behind keep them linear in the text: a run of digits that fails from
 # its start fails from every later digit too.
@@ -29,27 +36,43 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Candidates beyond the base.
-_LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})[\x20]?(?:@|\(at\)|\[at\]|\{at\})[\x20]?[A-Za-z0-9-]{1,63}(?:[\x20]?(?:\.|\(dot\)|\[dot\]|\{dot\})[\x20]?[A-Za-z0-9-]{1,63}){1,4}"),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20./-][0-9]{4}){3}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"),
-}
-_HINT = re.compile(r"[0-9@]|[(\[{]at[)\]}]")
+# Candidates beyond the base: written-out addresses, IPv6, cards with other separators or in longer runs of digits,
+# phones without a plus, and secrets. All repeats are possessive or of bounded length, so they are linear too.
+_AT = re.compile(r"[\x20]?(?:@|\(at\)|\[at\]|\{at\})[\x20]?|[\x20]at[\x20](?=[A-Za-z0-9-]++[\x20]dot[\x20])")
+_DOT = r"(?:\.|[\x20]?(?:\(dot\)|\[dot\]|\{dot\})[\x20]?|[\x20]dot[\x20])"
+_LOOSE_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++")
+_COLONS = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]++(?![0-9A-Za-z.])")
+_CARD_LIKE = re.compile(
+    r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4}){3}|[0-9]{4}[\x20./_-][0-9]{6}[\x20./_-][0-9]{5})(?![0-9])"
+)
+_PHONE_LIKE = re.compile(
+    r"(?<![0-9.+-])(?:00[1-9][0-9]{1,3}(?:[\x20./-][0-9]{2,8}){1,5}"
+    r"|(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}"
+    r"|0[1-9][0-9]{1,4}[\x20/-][0-9]{3,8}(?:[\x20-][0-9]{2,6}){0,3})(?![0-9-])"
+)
+_SECRET_LIKE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_=])")
+_HINT = re.compile(r"[0-9@]|[(\[{]at[)\]}]|\x20dot\x20")
 
 #: What stands shortly before personal data of each kind, and before other numbers.
-CONTEXT = {
-    "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\W*$", re.I),
-    "ip": re.compile(r"\b(?:ip|ipv6|address|host|server|client|login|adresse)\W*$", re.I),
-    "card": re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|payment|karte|tarjeta|carte)\W*(?:number|no|nr)?\W*$", re.I),
-    "phone": re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|telefon|tel[eé]fono|t[eé]l[eé]phone)\W*(?:number|no|nr|at)?\W*$", re.I),
-}
-OTHER = re.compile(r"\b(?:order|invoice|id|ref|reference|isbn|version|serial|part|case|article|page)\W*(?:number|no|nr)?\W*$", re.I)
-#: Ends of domains, prefixes of card issuers and unassignable area codes that the gazetteers know.
+CONTEXT = (
+    re.compile(r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\W*(?:to|at|me)?\W*$", re.I),
+    re.compile(r"\b(?:ip|ipv6|address|host|server|client|login|adresse)\W*$", re.I),
+    re.compile(r"\b(?:card|visa|mastercard|amex|credit|debit|payment|karte|tarjeta|carte)\W*(?:number|no|nr)?\W*$", re.I),
+    re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|telefon|tel[eé]fono|t[eé]l[eé]phone)\W*(?:me|us)?\W*(?:number|no|nr|at)?\W*$", re.I),
+    re.compile(r"\b(?:token|secret|password|passwd|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|bearer|auth)\W*$", re.I),
+)
+OTHER = re.compile(
+    r"\b(?:order|invoice|id|ref|reference|isbn|version|serial|part|case|article|page|commit|sha1|sha256|md5|checksum|digest"
+    r"|hash|uuid|etag|revision|build|tracking)\W*(?:number|no|nr)?\W*$",
+    re.I,
+)
+#: Ends of domains, prefixes of card issuers and of secrets that the gazetteers know.
 DOMAINS = frozenset("com org net edu gov info io de fr es uk eu example test".split())
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+SECRET_PREFIXES = ("AKIA", "AIza", "ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "eyJ")
 CONTEXT_CHARS = 32
+#: Candidates that train the classifier: at most so many, those of the smallest hashes.
+TRAIN_CANDIDATES = 20_000
 
 
 class Span(NamedTuple):
@@ -97,37 +120,116 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _loose_emails(text: str) -> Iterator[tuple[int, int]]:
+    done = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        found = _LOOSE_DOMAIN.match(text, m.end()) if start < m.start() else None
+        done = found.end() if found else m.end()
+        if found:
+            yield start, done
+
+
+def _ipv6(text: str) -> Iterator[tuple[int, int]]:
+    for m in _COLONS.finditer(text):
+        if m[0].count(":") >= 2 and m.end() - m.start() <= 39 and any("0" <= c <= "9" for c in m[0]):
+            try:
+                ipaddress.IPv6Address(m[0])
+            except ValueError:
+                continue
+            yield m.start(), m.end()
+
+
+def loose_spans(text: str) -> Iterator[Span]:
+    """Matches of the looser patterns, by kind and start."""
+    found = {
+        EMAIL: _loose_emails(text) if "@" in text or "at" in text else (),
+        IP: _ipv6(text) if "::" in text or ":" in text else (),
+        CARD: (m.span() for m in _CARD_LIKE.finditer(text)),
+        PHONE: (m.span() for m in _PHONE_LIKE.finditer(text)),
+        SECRET: (m.span() for m in _SECRET_LIKE.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])),
+    }
+    for kind, spans_ in found.items():
+        for start, end in spans_:
+            yield Span(kind, start, end)
+
+
 def candidates(text: str, base: list[Span]) -> list[tuple[Span, bool]]:
     """Base spans, and matches of the looser patterns that touch none of them; whether each is a base span."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((x.start, x.end) for x in base):  # joined, so that both lists rise
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     out = [(x, True) for x in base]
-    taken = sorted((x.start, x.end) for x in base)
-    for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text and "at" not in text or kind == "ip" and ":" not in text:
-            continue
-        for m in _LOOSE[kind].finditer(text):
-            i = np.searchsorted([b for _, b in taken], m.start(), side="right") if taken else 0
-            if i >= len(taken) or taken[i][0] >= m.end():
-                out.append((Span(k, m.start(), m.end()), False))
+    for x in loose_spans(text):
+        i = bisect_right(ends, x.start)
+        if i == len(ends) or starts[i] >= x.end:
+            out.append((x, False))
     return out
 
 
 def votes(text: str, span: Span, strict: bool) -> tuple[int, ...]:
-    """(kind, strict regex, gazetteer, context, counter-context, shape): 1 for, -1 against, 0 abstains."""
-    kind, found = KINDS[span.kind], text[span.start : span.end]
+    """(kind, base pattern, gazetteer, context, counter-context, shape): 1 for, -1 against, 0 abstains."""
+    found = text[span.start : span.end]
     before, digits = text[max(0, span.start - CONTEXT_CHARS) : span.start], _digits(found)
-    if kind == "email":
+    if span.kind == EMAIL:
         known = 1 if re.split(r"[.)\]}\s]+", found)[-1].lower() in DOMAINS else -1
-        shape = -1 if " " in found.replace(" (", "(").replace(") ", ")").replace(" [", "[").replace("] ", "]").replace(" {", "{").replace("} ", "}") else 1
-    elif kind == "ip":
-        known = -1 if found.startswith(("0.", "255.")) or ":" in found and found.lower().startswith("0000:0000:0000") else 0
-        shape = 1 if ":" in found or len(set(found.split("."))) > 1 else -1
-    elif kind == "card":
+        shape = 1 if re.search(r"@|[(\[{]at", found) else 0
+    elif span.kind == IP:
+        known = 1 if found.lower().startswith(("fe80:", "fc", "fd", "2")) else -1 if found.startswith(("0.", "255.")) else 0
+        shape = 1 if ":" in found and len(digits) > 1 or len(set(found.split("."))) > 2 else -1
+    elif span.kind == CARD:
         known = 1 if digits.startswith(ISSUERS) else -1
         shape = 1 if luhn(digits) else -1
+    elif span.kind == PHONE:
+        known = 1 if found.startswith(("+", "00")) or digits[-7:-4] == "555" else -1 if digits[-10:-9] in ("0", "1") else 0
+        shape = 1 if found.startswith(("(", "+")) else 0
     else:
-        known = -1 if digits[-10:-9] in ("0", "1") else 1 if digits[-7:-4] == "555" or found.startswith("+") else 0
-        shape = 1 if "(" in found or found.startswith("+") else 0
-    return span.kind, 1 if strict else -1, known, 1 if CONTEXT[kind].search(before) else 0, -1 if OTHER.search(before) else 0, shape
+        known = 1 if found.startswith(SECRET_PREFIXES) else 0
+        shape = 1 if len(set(found)) >= 10 and len(digits) >= 3 else -1
+    return span.kind, int(strict), known, int(bool(CONTEXT[span.kind].search(before))), -int(bool(OTHER.search(before))), shape
+
+
+#: Columns of the classifier: kinds, votes for and against, then groups of so many places for what labelers don't see.
+GROUPS = {"length": 8, "digits": 5, "parts": 6, "place": 4, "shape": 32, "before": 32, "after": 32}
+_VOTE_COLUMNS = len(KINDS) + 2 * 5
+COLUMNS = _VOTE_COLUMNS + sum(GROUPS.values())
+
+
+def _hashed(text: str, places: int) -> int:
+    return zlib.crc32(text.encode()) % places
+
+
+def active(text: str, span: Span, vote: tuple[int, ...]) -> list[int]:
+    """The columns that are 1 for a candidate."""
+    found = text[span.start : span.end]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", found[:64]))))
+    before = re.search(r"(\w+)\W*$", text[max(0, span.start - CONTEXT_CHARS) : span.start])
+    after = re.match(r"\W*(\w+)", text[span.end : span.end + CONTEXT_CHARS])
+    places = {
+        "length": min(len(found).bit_length(), 7),
+        "digits": 4 * len(_digits(found)) // len(found),
+        "parts": min(len(re.findall("[A-Za-z0-9]+", found)), 5),
+        "place": min(4 * span.start // max(len(text), 1), 3),
+        "shape": _hashed(shape, 32),
+        "before": _hashed(before[1].lower() if before else "", 32),
+        "after": _hashed(after[1].lower() if after else "", 32),
+    }
+    out = [span.kind]
+    for i, v in enumerate(vote[1:]):
+        if v:
+            out.append(len(KINDS) + 2 * i + (v < 0))
+    at = _VOTE_COLUMNS
+    for name, size in GROUPS.items():
+        out.append(at + places[name])
+        at += size
+    return out
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, prior: float = 2.0) -> tuple[np.ndarray, np.ndarray, float]:
@@ -156,70 +258,88 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, pr
     return posterior, table, share
 
 
-def features(patterns: np.ndarray) -> np.ndarray:
-    """One column a kind, and for each labeler one for and one against."""
-    kinds = patterns[:, :1] == np.arange(len(KINDS))
-    return np.hstack([kinds, patterns[:, 1:] == 1, patterns[:, 1:] == -1]).astype(float)
+def features(rows: list[list[int]]) -> np.ndarray:
+    out = np.zeros((len(rows), COLUMNS))
+    for row, columns in zip(out, rows, strict=True):
+        row[columns] = 1
+    return out
 
 
-def train(patterns: np.ndarray, counts: np.ndarray, goal: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic classifier by Newton steps, on patterns weighted by their counts."""
-    x = features(patterns)
+def train(x: np.ndarray, goal: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic classifier by Newton steps; `goal` are probabilities."""
     w = np.zeros(x.shape[1])
-    counts = counts / max(counts.max(initial=1), 1) * 1000
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (counts * (goal - p)) - ridge * w)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (goal - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-VOTES = "kind int, strict int, known int, context int, other int, shape int"
+VOTES = ("kind", "strict", "known", "context", "other", "shape")
 
 
-def vote_counts(docs: DataFrame) -> DataFrame:
-    """How often each vote pattern occurs over all candidates; at most 4 * 3**5 rows."""
+def candidate_table(docs: DataFrame) -> DataFrame:
+    """A row for each candidate of all texts: its votes, its active columns and a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, ...], int] = {}
         for batch in batches:
+            rows = []
             for raw in column_bytes(batch, "text"):
                 text = (raw or b"").decode("utf-8", "replace")
                 if _HINT.search(text):
                     for span, strict in candidates(text, base_spans(text)):
                         v = votes(text, span, strict)
-                        counts[v] = counts.get(v, 0) + 1
-        if counts:
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in zip(*counts, strict=True)), pa.array(list(counts.values()), pa.int64())], [*(x.split()[0] for x in VOTES.split(", ")), "n"])
+                        near = text[max(0, span.start - CONTEXT_CHARS) : span.end + CONTEXT_CHARS]
+                        rows.append((*v, active(text, span, v), zlib.crc32(f"{span.kind} {span.start} {near}".encode())))
+            kinds = [*[pa.int32()] * len(VOTES), pa.list_(pa.int32()), pa.int64()]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, [*VOTES, "active", "hash"])
 
-    names = [x.split()[0] for x in VOTES.split(", ")]
-    return docs.select("doc_id", "text").mapInArrow(run, VOTES + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+    schema = ", ".join(f"{x} int" for x in VOTES) + ", active array<int>, hash long"
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, schema), "candidates")
 
 
 def span_model(docs: DataFrame) -> np.ndarray:
-    """Weights of the span classifier, learnt from all candidates of `docs`."""
-    rows = sorted(tuple(r) for r in vote_counts(docs).collect())  # bounded
-    found = np.asarray(rows, dtype=np.int64).reshape(-1, 7)
-    posterior = np.zeros(len(found))
+    """Weights of the span classifier. Votes are counted over all candidates, at most 5 * 3**5 patterns.
+
+    The classifier learns from at most TRAIN_CANDIDATES of them, those of the smallest hashes.
+    """
+    table = candidate_table(docs)
+    found = np.asarray(sorted(tuple(r) for r in table.groupBy(*VOTES).count().collect()), dtype=np.int64)
+    found = found.reshape(-1, len(VOTES) + 1)
+    posterior: dict[tuple[int, ...], float] = {}
     for k in range(len(KINDS)):  # labelers are as reliable as they are on that kind
-        own = found[:, 0] == k
-        posterior[own] = reliabilities(found[own, 1:6], found[own, 6].astype(float))[0]
-    return train(found[:, :6], found[:, 6].astype(float), posterior)
+        own = found[found[:, 0] == k]
+        for pattern, p in zip(own, reliabilities(own[:, 1:6], own[:, 6].astype(float))[0], strict=True):
+            posterior[tuple(pattern[:6].tolist())] = float(p)
+    sample = table.orderBy("hash", *VOTES, "active").limit(TRAIN_CANDIDATES).collect()
+    goal = np.asarray([posterior[tuple(r[c] for c in VOTES)] for r in sample])
+    return train(features([r["active"] for r in sample]), goal)
 
 
 def spans(text: str, weights: np.ndarray, threshold: float = 0.5) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), both by kind and start."""
+    """(base spans, all spans), both by kind and start. Of added spans that overlap, the likelier ones stay."""
     if not _HINT.search(text):
         return [], []
     base = base_spans(text)
-    out = list(base)
-    more = [(x, votes(text, x, strict)) for x, strict in candidates(text, base) if not strict]
-    if more:
-        p = 1 / (1 + np.exp(-features(np.asarray([v for _, v in more])) @ weights))
-        out = sorted(out + [x for (x, _), q in zip(more, p, strict=True) if q > threshold])
-    return base, out
+    more = [x for x, strict in candidates(text, base) if not strict]
+    if not more:
+        return base, base
+    score = features([active(text, x, votes(text, x, False)) for x in more]) @ weights
+    limit = np.log(threshold / (1 - threshold))
+    kept: list[tuple[Span, float]] = []
+    for x, p in sorted(zip(more, score.tolist(), strict=True), key=lambda y: (y[0].start, -y[1])):
+        if p <= limit:
+            continue
+        if kept and x.start < kept[-1][0].end:
+            if p <= kept[-1][1]:
+                continue
+            kept.pop()
+        kept.append((x, p))
+    return base, sorted([*base, *(x for x, _ in kept)])
 
 
 def _listed(found: list[Span]) -> str:
@@ -229,8 +349,9 @@ def _listed(found: list[Span]) -> str:
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
 
-    spans lists all spans, base and added, as kind:start:end in code points. A null or empty text has none; null ids
-    stay null; repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+    spans lists all spans, base and added, as kind:start:end in code points; secrets are a fifth kind that is only
+    added. A null or empty text has none; null ids stay null; repeated rows are judged alike; an empty table gives no
+    rows; other columns are ignored.
     """
     prepare(df.sparkSession)
     docs = id_text(df, id_col, text_col)
@@ -241,11 +362,11 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
             rows = []
             for raw in column_bytes(batch, "text"):
                 base, all_ = spans((raw or b"").decode("utf-8", "replace"), shared.value, threshold)
-                n = [0] * len(KINDS)
+                n = [0] * len(BASE_KINDS)
                 for x in base:
                     n[x.kind] += 1
                 rows.append((*n, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(all_)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64() if i < 4 else pa.string()) for i in range(6))], ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
 
     return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

@@ -416,3 +416,83 @@ def test_expectation_maximisation_finds_the_good_labeler():
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     posterior, table, share = pii.reliabilities(patterns, counts.astype(float))
     assert table[0, 1, 2] > 0.9 > 0.7 > table[2, 1, 2] and abs(share - 0.4) < 0.05 and len(posterior) == len(patterns)
+
+
+def planted_pii(n=400):
+    """(text, added spans): personal data that the base patterns miss, and numbers and words that are none."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(WORDS)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + d for d in "0123456789" if pii.luhn(body + d))
+
+    dotted = lambda x: ".".join(x[i : i + 4] for i in range(0, 16, 4))
+    good = [
+        ("email", lambda: ("mail ", f"{word()} at {word()} dot com")),
+        ("email", lambda: ("", f"{word()}(at){word()}.org")),
+        ("ip", lambda: ("host ", f"fe80::{hexes(3)}:{rng.randint(1, 9)}{hexes(2)}")),
+        ("card", lambda: ("card ", dotted(card()))),
+        ("phone", lambda: ("tel ", f"0049 30 {digits(6)}")),
+        ("phone", lambda: ("call ", f"(212) 555-{digits(4)}")),
+        ("secret", lambda: ("token = ", hexes(40))),
+        ("secret", lambda: ("", f"ghp_{hexes(36)}")),
+    ]
+    bad = [
+        lambda: ("order number ", dotted("9" + digits(14) + "0")),
+        lambda: ("commit ", hexes(40)),
+        lambda: ("sha256 ", hexes(64)),
+        lambda: ("version ", f"{digits(1)}.{digits(2)}"),
+        lambda: ("", f"look at {word()} dot"),
+        lambda: ("", f"12:30:{digits(2)}"),
+    ]
+    out = []
+    for _ in range(n):
+        head = " ".join(word() for _ in range(rng.randint(2, 9))) + " "
+        if rng.random() < 0.6:
+            kind, make = rng.choice(good)
+            before, found = make()
+            span = [f"{kind}:{len(head) + len(before)}:{len(head) + len(before) + len(found)}"]
+        else:
+            before, found = rng.choice(bad)()
+            span = []
+        out.append((head + before + found + " " + word(), span))
+    return out
+
+
+def test_pii_adds_what_the_base_misses(spark):
+    rows = planted_pii()
+    got = pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    right = wrong = missed = 0
+    for r in got:
+        text, want = rows[r.doc_id]
+        base = set(brute_base(text))
+        added = {x for x in r.spans.split(",") if x} - base
+        right, wrong, missed = right + len(added & set(want)), wrong + len(added - set(want)), missed + len(set(want) - added - base)
+    assert right > 150 and right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95, (right, wrong, missed)
+
+
+def test_candidates_are_linear_and_whole():
+    text = " ".join(f"x{i}@y.com 10.0.0.{i % 256} fe80::{i % 10}1" for i in range(20_000))
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    assert len(base) == 40_000 and sum(x.kind == pii.IP and not strict for x, strict in found) == 20_000
+    long = "a" * 5000 + "(at)" + "b" * 300 + "".join(f".c{i}" for i in range(40))
+    assert [x[1:] for x, _ in pii.candidates(long, []) if x.kind == pii.EMAIL] == [(0, len(long))]
+
+
+def test_classifier_learns_what_it_is_given():
+    rng = np.random.default_rng(5)
+    x = (rng.random((3000, 12)) < 0.4).astype(float)
+    truth = rng.normal(size=12)
+    goal = 1 / (1 + np.exp(-x @ truth))
+    assert np.abs(pii.train(x, goal, ridge=1e-6) - truth).max() < 1e-3
+
+
+def test_added_spans_that_overlap():
+    weights = np.zeros(pii.COLUMNS)
+    weights[pii.PHONE], weights[pii.SECRET] = 1.0, 2.0
+    base, both = pii.spans("00491 234567 a0b1c2d3e4f5g6h7i8j9 x@y.com", weights)
+    assert [pii.KINDS[x.kind] for x in both] == ["email", "phone", "secret"] and [pii.KINDS[x.kind] for x in base] == ["email"]

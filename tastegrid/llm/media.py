@@ -1,7 +1,8 @@
 """ISO base media files in a column: a writer for raw samples and a reader that never decodes payloads.
 
-The reader walks nested boxes, decodes the sample tables (stsd, stts, stsc, stsz, stco or co64, stss) and gives
-codec, duration and the byte ranges of the key frames.
+The reader walks nested boxes, decodes the sample tables of every track (stsd, stts, stsc, stsz or stz2, stco or co64,
+stss) and the runs of fragments (trex, tfhd, trun), and gives codec, duration and the byte ranges of the key frames.
+Counts are held against the sizes of their boxes and of the file before anything is allocated.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ CODEC = b"raw "
 
 
 class Media(NamedTuple):
+    """One track."""
+
+    track_id: int
+    handler: str  # vide, soun, ...
     codec: str
     timescale: int
     duration: int
@@ -35,6 +40,14 @@ class Media(NamedTuple):
     keys: np.ndarray  # indexes of the key frames
 
 
+class Damaged(ValueError):
+    pass
+
+
+#: What reading bytes that are no sound file may raise.
+DAMAGE = (Damaged, struct.error, ValueError, IndexError, OverflowError, MemoryError)
+
+
 def box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     if len(body) + 8 < 1 << 32:
@@ -82,9 +95,21 @@ def write_media(payload: bytes, sample: int = SAMPLE_BYTES, key_every: int = KEY
     return head + moov(first) + box(b"mdat", payload)
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int, tuple[bytes, ...]]]:
-    """(kind, body start, body end, path) of every box, containers first. Boxes that overrun their parent end with it."""
-    stack = [(start, len(data) if end is None else end, ())]
+class Box(NamedTuple):
+    kind: bytes
+    start: int
+    body: int
+    end: int
+    path: tuple[tuple[bytes, int], ...]  # kinds and starts of the boxes around it
+
+    def inside(self, kind: bytes) -> int | None:
+        """The start of the box of that kind around this one."""
+        return next((at for k, at in reversed(self.path) if k == kind), None)
+
+
+def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[Box]:
+    """Every box, containers first, in the order of the file. Boxes that overrun their parent end with it."""
+    stack: list[tuple[int, int, tuple]] = [(start, len(data) if end is None else end, ())]
     while stack:
         at, end_, path = stack.pop()
         if at + 8 > end_:
@@ -98,56 +123,165 @@ def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[
         if size < body - at:
             continue
         stop = min(at + size, end_)
-        yield kind, body, stop, path
+        yield Box(kind, at, body, stop, path)
         stack.append((stop, end_, path))
-        if kind in CONTAINERS:
-            stack.append((body, stop, (*path, kind)))
+        if kind in CONTAINERS and len(path) < len(CONTAINERS):
+            stack.append((body, stop, (*path, (kind, at))))
+
+
+def _numbers(data: bytes, b: Box, skip: int, count: int, dtype: str = ">u4") -> np.ndarray:
+    if b.body + skip + count * np.dtype(dtype).itemsize > b.end:
+        raise Damaged(f"{b.kind!r} is cut short")
+    return np.frombuffer(data, dtype=dtype, count=count, offset=b.body + skip).astype(np.int64)
+
+
+def _entries(data: bytes, b: Box, width: int, dtype: str = ">u4") -> np.ndarray:
+    """The rows of a table of `width` numbers each, their count before them."""
+    count = int(_numbers(data, b, 4, 1)[0])
+    return _numbers(data, b, 8, width * count, dtype).reshape(count, width)
+
+
+def _sample_sizes(data: bytes, t: dict[bytes, Box]) -> np.ndarray:
+    if b"stz2" in t:
+        bits, n = _numbers(data, t[b"stz2"], 4, 2).tolist()
+        if bits in (8, 16):
+            return _numbers(data, t[b"stz2"], 12, n, ">u1" if bits == 8 else ">u2")
+        if bits != 4:
+            raise Damaged("sizes of an unknown width")
+        both = _numbers(data, t[b"stz2"], 12, -(-n // 2), ">u1")
+        return np.stack([both >> 4, both & 15], axis=1).ravel()[:n]
+    fixed, n = _numbers(data, t[b"stsz"], 4, 2).tolist()
+    if not fixed:
+        return _numbers(data, t[b"stsz"], 12, n)
+    if fixed * n > len(data):
+        raise Damaged("more samples than bytes")
+    return np.full(n, fixed)
+
+
+def _table_samples(data: bytes, t: dict[bytes, Box]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(offsets, sizes, key indexes, duration) by the sample tables."""
+    sizes = _sample_sizes(data, t)
+    n = len(sizes)
+    times = _entries(data, t[b"stts"], 2)
+    if int(times[:, 0].sum()) != n:
+        raise Damaged("times for another number of samples")
+    chunks = _entries(data, t[b"stco"], 1).ravel() if b"stco" in t else _entries(data, t[b"co64"], 1, ">u8").ravel()
+    runs = _entries(data, t[b"stsc"], 3)
+    firsts = np.append(runs[:, 0], len(chunks) + 1)
+    if n and (not len(runs) or firsts[0] != 1 or (np.diff(firsts) < 0).any()):
+        raise Damaged("runs of chunks out of order")
+    of_chunk = np.minimum(np.repeat(runs[:, 1], np.diff(firsts)) if n else runs[:0, 1], n)
+    if int(of_chunk.sum()) < n:
+        raise Damaged("fewer chunks than samples")
+    ends = np.minimum(np.cumsum(of_chunk), n)
+    of_chunk = np.diff(ends, prepend=0)  # so that no more than n are ever repeated
+    before = np.append(0, np.cumsum(sizes))
+    offsets = np.repeat(chunks[: len(ends)] - before[ends - of_chunk], of_chunk) + before[:-1]
+    keys = _entries(data, t[b"stss"], 1).ravel() - 1 if b"stss" in t else np.arange(n)
+    return offsets, sizes, keys, int((times[:, 0] * times[:, 1]).sum())
+
+
+def _checked(data: bytes, offsets: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> None:
+    n = len(sizes)
+    if n and (offsets.min() < 0 or sizes.min() < 0 or int((offsets + sizes).max()) > len(data)):
+        raise Damaged("samples beyond the file")
+    if len(keys) and (keys[0] < 0 or keys[-1] >= n or (np.diff(keys) <= 0).any()):
+        raise Damaged("key frames that are no samples")
+
+
+NOT_SYNC = 0x10000
+
+
+def _run_samples(data: bytes, b: Box, defaults: tuple[int, int, int], start: int) -> tuple[np.ndarray, ...]:
+    """(offsets, sizes, durations, flags) of a trun; `defaults` are duration, size and flags."""
+    flags = int(_numbers(data, b, 0, 1)[0]) & 0xFFFFFF
+    count, at = int(_numbers(data, b, 4, 1)[0]), 8 + 4 * bool(flags & 1) + 4 * bool(flags & 4)
+    width = sum(bool(flags & x) for x in (0x100, 0x200, 0x400, 0x800))
+    if not width and count * max(defaults[1], 1) > len(data):
+        raise Damaged("more samples than bytes")
+    rows = _numbers(data, b, at, width * count).reshape(count, width)
+    column = iter(range(width))
+    duration, size, own = (rows[:, next(column)] if flags & x else np.full(count, y) for x, y in zip((0x100, 0x200, 0x400), defaults, strict=True))
+    if flags & 4 and count and not flags & 0x400:
+        own = np.append(_numbers(data, b, 8 + 4 * bool(flags & 1), 1), own[1:])
+    return start + np.cumsum(size) - size, size, duration, own
+
+
+def _fragment_samples(data: bytes, boxes: list[Box]) -> dict[int, list[tuple[np.ndarray, ...]]]:
+    """The runs of each track's fragments."""
+    out: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    extends = {int(x[0]): tuple(x[2:].tolist()) for x in (_numbers(data, b, 4, 5) for b in boxes if b.kind == b"trex")}
+    moof, track, base, at, defaults = None, None, 0, 0, (0, 0, 0)
+    for b in boxes:
+        if b.kind == b"tfhd" and b.inside(b"traf") is not None:
+            flags, track = (int(x) for x in _numbers(data, b, 0, 2))
+            skip, given = 8 + 8 * bool(flags & 1) + 4 * bool(flags & 2), []
+            for x, y in zip((8, 0x10, 0x20), extends.get(track, (0, 0, 0)), strict=True):
+                given.append(int(_numbers(data, b, skip, 1)[0]) if flags & x else y)
+                skip += 4 * bool(flags & x)
+            defaults = tuple(given)
+            new = b.inside(b"moof") != moof
+            moof = b.inside(b"moof")
+            if flags & 1:
+                base = int(_numbers(data, b, 8, 1, ">u8")[0])
+            elif flags & 0x20000 or new:
+                base = moof or 0
+            else:
+                base = at
+            at = base
+        elif b.kind == b"trun" and b.inside(b"traf") is not None and track is not None:
+            if int(_numbers(data, b, 0, 1)[0]) & 1:
+                at = base + int(_numbers(data, b, 8, 1, ">i4")[0])
+            run = _run_samples(data, b, defaults, at)
+            out.setdefault(track, []).append(run)
+            at += int(run[1].sum())
+    return out
+
+
+def read_tracks(data: bytes) -> list[Media]:
+    """Every track of a file, in its order. Raises one of DAMAGE where a table doesn't fit its box, the others or the file."""
+    boxes = list(walk(data))
+    tracks: dict[int, dict[bytes, Box]] = {}
+    for b in boxes:
+        if b.kind == b"trak":
+            tracks[b.start] = {}
+        elif (at := b.inside(b"trak")) is not None:
+            tracks[at].setdefault(b.kind, b)
+    fragments = _fragment_samples(data, boxes)
+    out = []
+    for t in tracks.values():
+        if not {b"mdhd", b"stsd"} <= t.keys():
+            raise Damaged("a track without a header or description")
+        head = t[b"mdhd"]
+        wide = _numbers(data, head, 0, 1)[0] >> 24 == 1
+        timescale = int(_numbers(data, head, 20 if wide else 12, 1)[0])
+        declared = int(_numbers(data, head, 24 if wide else 16, 1, ">u8" if wide else ">u4")[0])
+        codec = _numbers(data, t[b"stsd"], 12, 4, ">u1").astype(np.uint8).tobytes().decode("latin-1").strip()
+        handler = _numbers(data, t[b"hdlr"], 8, 4, ">u1").astype(np.uint8).tobytes().decode("latin-1") if b"hdlr" in t else ""
+        track_id = int(_numbers(data, t[b"tkhd"], 20 if _numbers(data, t[b"tkhd"], 0, 1)[0] >> 24 == 1 else 12, 1)[0]) if b"tkhd" in t else 0
+        needed = {b"stts", b"stsc"} <= t.keys() and (b"stsz" in t or b"stz2" in t) and (b"stco" in t or b"co64" in t)
+        runs = fragments.get(track_id, [])
+        if not needed and not runs:
+            raise Damaged("a track without a sample table")
+        none = np.zeros(0, dtype=np.int64)
+        offsets, sizes, keys, duration = _table_samples(data, t) if needed else (none, none, none, 0)
+        for more, size, durations, flags in runs:
+            keys = np.append(keys, len(sizes) + np.flatnonzero(flags & NOT_SYNC == 0))
+            offsets, sizes, duration = np.append(offsets, more), np.append(sizes, size), duration + int(durations.sum())
+        _checked(data, offsets, sizes, keys)
+        if max(duration, declared) >= 1 << 63:
+            raise Damaged("a duration beyond 63 bits")
+        out.append(Media(track_id, handler, codec, timescale, duration or declared, offsets, sizes, keys))
+    return out
 
 
 def read_media(data: bytes) -> Media | None:
-    """The first track with a complete sample table, or None if the bytes hold none."""
-    tables: dict[bytes, tuple[int, int]] = {}
-    tracks = []
-    for kind, a, b, path in walk(data):
-        if kind == b"trak":
-            tables = {}
-            tracks.append(tables)
-        elif b"trak" in path:
-            tables.setdefault(kind, (a, b))
-    for t in tracks:
-        if {b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"} <= t.keys() and (b"stco" in t or b"co64" in t):
-            try:
-                return _track(data, t)
-            except (struct.error, ValueError, IndexError):
-                continue
-    return None
-
-
-def _track(data: bytes, t: dict[bytes, tuple[int, int]]) -> Media:
-    def numbers(kind: bytes, skip: int, count: int, dtype: str = ">u4") -> np.ndarray:
-        a, b = t[kind]
-        if a + skip + count * np.dtype(dtype).itemsize > b:
-            raise ValueError(f"{kind} is cut short")
-        return np.frombuffer(data, dtype=dtype, count=count, offset=a + skip).astype(np.int64)
-
-    head = t[b"mdhd"][0]
-    timescale, declared = struct.unpack_from(">IQ", data, head + 20) if data[head] == 1 else struct.unpack_from(">II", data, head + 12)
-    codec = data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1").strip()
-    times = numbers(b"stts", 8, 2 * int(numbers(b"stts", 4, 1)[0])).reshape(-1, 2)
-    fixed, n = numbers(b"stsz", 4, 2)
-    sizes = np.full(n, fixed) if fixed else numbers(b"stsz", 12, n)
-    kind = b"stco" if b"stco" in t else b"co64"
-    chunks = numbers(kind, 8, int(numbers(kind, 4, 1)[0]), ">u4" if kind == b"stco" else ">u8")
-    runs = numbers(b"stsc", 8, 3 * int(numbers(b"stsc", 4, 1)[0])).reshape(-1, 3)
-    of_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if of_chunk.sum() < n:
-        raise ValueError("fewer chunks than samples")
-    chunk = np.repeat(np.arange(len(of_chunk)), of_chunk)[:n]
-    before = np.cumsum(sizes) - sizes
-    first = np.searchsorted(chunk, np.arange(len(of_chunk)))
-    offsets = chunks[chunk] + before - before[np.minimum(first, max(n - 1, 0))][chunk] if n else np.zeros(0, dtype=np.int64)
-    keys = numbers(b"stss", 8, int(numbers(b"stss", 4, 1)[0])) - 1 if b"stss" in t else np.arange(n)
-    return Media(codec, timescale, int((times[:, 0] * times[:, 1]).sum()) or declared, offsets, sizes, keys)
+    """The first picture track, else the first track; None if the bytes are damaged or hold none."""
+    try:
+        tracks = read_tracks(data)
+    except DAMAGE:
+        return None
+    return next((t for t in tracks if t.handler == "vide"), tracks[0] if tracks else None)
 
 
 def sample_bytes(data: bytes, media: Media) -> bytes:
@@ -164,21 +298,47 @@ def key_ranges(media: Media) -> list[tuple[int, int]]:
     return list(zip(media.offsets[media.keys].tolist(), media.sizes[media.keys].tolist(), strict=True))
 
 
+_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+_TRACKS = pa.list_(pa.struct([("track_id", pa.int64()), ("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("samples", pa.int64()), ("keyframes", _RANGES)]))
+
+
+def described(data: bytes | None) -> tuple:
+    """(codec, timescale, duration, key-frame ranges, tracks) of a file; nulls for one that is empty or damaged."""
+    try:
+        tracks = read_tracks(data or b"")
+        rows = [(t, [{"start": a, "length": b} for a, b in key_ranges(t)]) for t in tracks]
+    except DAMAGE:
+        rows = []
+    if not rows:
+        return (None,) * 5
+    main, keys = next((x for x in rows if x[0].handler == "vide"), rows[0])
+    names = ("track_id", "handler", "codec", "timescale", "duration")
+    every = [{**{n: getattr(t, n) for n in names}, "samples": len(t.sizes), "keyframes": k} for t, k in rows]
+    return main.codec, main.timescale, main.duration, keys, every
+
+
 def media_columns(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """codec, timescale, duration and key-frame byte ranges of a binary column of ISO media files.
+    """id, codec, timescale, duration, keyframes (byte ranges) and tracks of a binary column of ISO media files.
 
-    One row per input row; a null, empty or damaged file has null columns; other columns are ignored.
+    The first four describe the first picture track, else the first track; tracks describes all: track_id, handler,
+    codec, timescale, duration, samples, keyframes. Fragments count with their tracks. One row per input row; a null
+    or empty file, and one of which any table is damaged or points beyond the file, has null columns; other columns
+    are ignored; an empty table gives no rows.
     """
     prepare(df.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+        kinds = [pa.string(), pa.int64(), pa.int64(), _RANGES, _TRACKS]
+        names = ["id", "codec", "timescale", "duration", "keyframes", "tracks"]
         for batch in batches:
-            found = [read_media(x) if x else None for x in batch.column(1).to_pylist()]
-            rows = [(m.codec, m.timescale, m.duration, [{"start": a, "length": b} for a, b in key_ranges(m)]) if m else (None,) * 4 for m in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(4))], ["id", "codec", "timescale", "duration", "keyframes"])
-
-    return df.select(df[id_col].cast("long").alias("id"), df[media_col].cast("binary").alias("media")).mapInArrow(read, "id long, codec string, timescale long, duration long, keyframes array<struct<start: long, length: long>>")
+            rows = [described(x.as_py()) for x in batch.column(1)]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+
+    ranges = "array<struct<start: long, length: long>>"
+    tracks = f"array<struct<track_id: long, handler: string, codec: string, timescale: long, duration: long, samples: long, keyframes: {ranges}>>"
+    rows = df.select(df[id_col].cast("long").alias("id"), df[media_col].cast("binary").alias("media"))
+    return rows.mapInArrow(read, f"id long, codec string, timescale long, duration long, keyframes {ranges}, tracks {tracks}")
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:

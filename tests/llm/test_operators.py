@@ -496,3 +496,68 @@ def test_added_spans_that_overlap():
     weights[pii.PHONE], weights[pii.SECRET] = 1.0, 2.0
     base, both = pii.spans("00491 234567 a0b1c2d3e4f5g6h7i8j9 x@y.com", weights)
     assert [pii.KINDS[x.kind] for x in both] == ["email", "phone", "secret"] and [pii.KINDS[x.kind] for x in base] == ["email"]
+
+
+def test_damaged_media_never_fail():
+    rng = random.Random(4)
+    whole = media.write_media(rng.randbytes(576 * 70))
+    head = whole.index(b"mdat")
+    assert media.described(whole)[0] == "raw"
+    for i in range(10_000):
+        bad = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(head)
+            bad[at] = rng.choice([0, 1, 255, rng.randrange(256)])
+        if i % 5 == 0:
+            del bad[rng.randrange(len(bad)) :]
+        found = media.described(bytes(bad))
+        assert len(found) == 5 and all(0 <= k["start"] and k["start"] + k["length"] <= len(bad) for k in found[3] or [])
+    for kind, value in ((b"stss", 0), (b"stss", 71), (b"stco", 1 << 31)):
+        bad = bytearray(whole)
+        at = bad.index(kind) + 12
+        bad[at : at + 4] = struct.pack(">I", value)
+        assert media.described(bytes(bad)) == (None,) * 5
+
+
+def test_media_with_absurd_counts_take_no_memory():
+    import tracemalloc
+
+    bad = bytearray(media.write_media(b"\1" * 576 * 40))
+    at = bad.index(b"stsz") + 8
+    bad[at : at + 8] = struct.pack(">II", 1, 50_000_000)
+    tracemalloc.start()
+    assert media.described(bytes(bad)) == (None,) * 5
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
+def test_media_tracks_and_fragments(spark):
+    box, full, n = media.box, media.full, lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def track(number, handler, codec, *tables):
+        head = full(b"tkhd", n(0, 0, number, 0, 0), b"\0" * 60)
+        entry = full(b"stsd", n(1), box(codec, b"\0" * 8))
+        mdia = box(b"mdia", full(b"mdhd", n(0, 0, 1000, 0), b"\0" * 4), full(b"hdlr", b"\0" * 4, handler, b"\0" * 13), box(b"minf", box(b"stbl", entry, *tables)))
+        return box(b"trak", head, mdia)
+
+    def whole(first):
+        sound = track(1, b"soun", b"mp4a", full(b"stts", n(1, 3, 10)), full(b"stsc", n(1, 1, 2, 1)), full(b"stz2", n(8, 3), bytes([4, 5, 6])), full(b"stco", n(2, first, first + 9)))
+        empty = [full(b"stts", n(0)), full(b"stsc", n(0)), full(b"stsz", n(0, 0)), full(b"stco", n(0))]
+        extend = box(b"mvex", full(b"trex", n(2, 1, 40, 0, 0x10000)))
+        return box(b"ftyp", b"isom", n(0)) + box(b"moov", full(b"mvhd", b"\0" * 96), sound, track(2, b"vide", b"avc1", *empty), extend)
+
+    def moof(data_offset):
+        run = full(b"trun", n(3), struct.pack(">i", data_offset), n(0), n(7, 8, 9), flags=0x205)
+        return box(b"moof", full(b"mfhd", n(1)), box(b"traf", full(b"tfhd", n(2), flags=0x20000), run))
+
+    first = len(whole(0)) + 8
+    head = whole(first) + box(b"mdat", bytes(range(15)))
+    data = head + moof(len(moof(0)) + 8) + box(b"mdat", bytes(range(100, 124)))
+    sound, video = media.read_tracks(data)
+    assert (sound.codec, sound.duration, sound.offsets.tolist(), sound.sizes.tolist(), sound.keys.tolist()) == ("mp4a", 30, [first, first + 4, first + 9], [4, 5, 6], [0, 1, 2])
+    assert (video.codec, video.handler, video.duration, video.sizes.tolist(), video.keys.tolist()) == ("avc1", "vide", 120, [7, 8, 9], [0])
+    assert media.sample_bytes(data, video) == bytes(range(100, 124)) and media.sample_bytes(data, sound) == bytes(range(15))
+    rows = spark.createDataFrame([(1, bytearray(data), "x"), (2, bytearray(data[:-3]), "y")], "id long, m binary, codec string")
+    got = {r.id: r for r in media.media_columns(rows, "id", "m").collect()}
+    assert got[1].codec == "avc1" and [t.codec for t in got[1].tracks] == ["mp4a", "avc1"] and len(got[1].keyframes) == 1
+    assert got[2].codec is None and got[2].tracks is None

@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Vectors get binary codes by a learned rotation; codes are split into substrings, each of which is indexed. Two
-codes within Hamming radius r agree within r // substrings bits in at least one substring, so probing the buckets
-within that many bits of the query's own retrieves every code within r. What is retrieved is reranked by floats.
+Vectors get binary codes by learned rotations; codes are split into substrings about as wide as the logarithm of the
+number of rows, each of which is indexed. Codes within Hamming radius r agree within r // substrings bits in at least
+one substring, so probing the buckets within that many bits of the query's own retrieves every code within r. What is
+retrieved is reranked by floats. A sample says how far the codes of vectors of a given cosine may lie apart: a query
+whose k-th score needs no wider radius than was probed is done. The others have no near neighbours, for which probing
+would meet most buckets; their codes are compared with all codes, in blocks of queries, and floats decide among those
+within the radius that they need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +23,36 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare, shuffle_partitions
 
-BITS, SUBSTRINGS = 64, 8
-#: Bounds of the sample that trains the rotation and picks the radius.
+#: Bits of a code, and of a substring at least and at most; how far apart, at most, an indexed substring is probed.
+BITS, NARROWEST, WIDEST, PROBED = 128, 8, 32, 1
+WORDS = BITS // 64
+#: Bounds of the sample that trains the rotations and the radius, and the share of neighbours a radius has to cover.
 SAMPLE, SAMPLE_QUERIES, COVER = 8192, 512, 0.985
-#: Rows of a bucket in one salt.
-BUCKET_ROWS = 20_000
+#: Cosines of the sample's pairs are told apart in so many steps, each with so many pairs at least.
+STEPS, STEP_PAIRS = 100, 200
+#: Entries of a bucket in one salt and of the index in one group; queries in one block of the comparison with all codes.
+BUCKET_ROWS, GROUP_ROWS, BLOCK_QUERIES = 20_000, 400_000, 20_000
 
 
 def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, rotation): principal axes turned so that signs lose least (iterative quantisation)."""
+    """(mean, rotations): principal axes turned so that signs lose least (iterative quantisation), until BITS are there."""
     mean = x.mean(axis=0)
     centred = x - mean
     dim = x.shape[1]
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, : min(BITS, dim)]  # of the dimension's size, not the sample's
-    rng = np.random.default_rng(seed)
-    turn = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
-    projected = centred @ axes
-    for _ in range(rounds):
-        u, _, v = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
-        turn = v.T @ u.T
-    return mean, axes @ turn
+    projected, turns = centred @ axes, []
+    for k in range(-(-BITS // axes.shape[1])):
+        turn = np.linalg.qr(np.random.default_rng(seed + k).normal(size=(axes.shape[1],) * 2))[0]
+        for _ in range(rounds):
+            u, _, v = np.linalg.svd(np.where(projected @ turn > 0, 1.0, -1.0).T @ projected)
+            turn = v.T @ u.T
+        turns.append(axes @ turn)
+    return mean, np.hstack(turns)[:, :BITS]
 
 
 def codes(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    bits = (x - mean) @ rotation > 0
-    bits = np.pad(bits, ((0, 0), (0, BITS - bits.shape[1])))
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
+    """Rows of WORDS 64-bit words."""
+    return np.packbits((x - mean) @ rotation > 0, axis=1, bitorder="little").view("<u8").reshape(-1, WORDS)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -55,29 +64,70 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def radius(x: np.ndarray, code: np.ndarray, k: int) -> int:
-    """The Hamming radius that covers COVER of the sample's own nearest neighbours."""
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of codes, with broadcasting over all but the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+class Radii(NamedTuple):
+    """Hamming radii that cover COVER of the vectors of at least a given cosine; `usual` covers a row's own neighbours."""
+
+    steps: np.ndarray  # by cosine from -1 to 1
+    usual: int
+
+    def needed(self, score: np.ndarray) -> np.ndarray:
+        at = np.clip(np.floor((np.asarray(score) + 1) / 2 * STEPS), 0, STEPS - 1).astype(np.int64)
+        return self.steps[at]
+
+
+def learn_radii(x: np.ndarray, code: np.ndarray, k: int) -> Radii:
     n = min(SAMPLE_QUERIES, len(x))
-    near = x[:n] @ x.T
-    near[np.arange(n), np.arange(n)] = -np.inf
+    near, distance = x[:n] @ x.T, apart(code[:n, None], code[None])
+    step = np.clip(np.floor((near + 1) / 2 * STEPS), 0, STEPS - 1).astype(np.int64)
+    own = np.arange(n)
+    step[own, own] = -1
+    lowest = (np.arange(STEPS) + 0.0) / STEPS * 2 - 1
+    share = np.arccos(np.clip(lowest, -1, 1)) / np.pi  # of bits that differ, as random planes have it
+    radii = np.minimum(BITS, np.ceil(share * BITS + 3 * np.sqrt(BITS * share * (1 - share))))
+    for s in range(STEPS):
+        found = distance[step == s]
+        if len(found) >= STEP_PAIRS:
+            radii[s] = np.quantile(found, COVER, method="higher")
+    radii = np.maximum.accumulate(radii[::-1])[::-1].astype(np.int64)  # what is less near is further apart
+    near[own, own] = -np.inf
     k = min(k, len(x) - 1)
     if k < 1:
-        return BITS
+        return Radii(radii, BITS)
     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    return int(np.quantile(np.bitwise_count(code[:n, None] ^ code[best]), COVER, method="higher"))
+    return Radii(radii, int(np.quantile(np.take_along_axis(distance, best, 1), COVER, method="higher")))
 
 
 def balls(bits: int, r: int) -> np.ndarray:
     """All masks of at most r of `bits` bits."""
-    return np.asarray([sum(1 << i for i in c) for k in range(min(r, bits) + 1) for c in combinations(range(bits), k)], dtype=np.int64)
+    masks = [sum(1 << i for i in c) for k in range(min(r, bits) + 1) for c in combinations(range(bits), k)]
+    return np.asarray(masks, dtype=np.uint64)
 
 
-def substrings(code: np.ndarray, count: int) -> np.ndarray:
-    width = BITS // count
-    return np.stack([(code >> np.uint64(i * width)).astype(np.int64) & ((1 << width) - 1) for i in range(count)], axis=1)
+def cuts(rows: int) -> list[tuple[int, int]]:
+    """(start, end) of the substrings of a code: about log2(rows) bits each."""
+    width = min(WIDEST, max(NARROWEST, int(max(rows, 1)).bit_length()))
+    edges = np.linspace(0, BITS, -(-BITS // width) + 1).round().astype(int).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def substrings(code: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
+    """One column a substring."""
+    out = np.zeros((len(code), len(parts)), dtype=np.uint64)
+    for i, (a, b) in enumerate(parts):
+        for word in range(a // 64, (b - 1) // 64 + 1):
+            lo, hi = max(a, 64 * word), min(b, 64 * word + 64)
+            bits = code[:, word] >> np.uint64(lo - 64 * word) & np.uint64((1 << (hi - lo)) - 1)
+            out[:, i] |= bits << np.uint64(lo - a)
+    return out
 
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Rows of each query's k best, ties to the smaller id."""
     order = np.lexsort((vec, -score, query))
     q = query[order]
     start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, dtype=np.int64)
@@ -85,125 +135,213 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: Column | None = None, k: int = 5, substrings_: int = SUBSTRINGS) -> DataFrame:
+def _code_words(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WORDS)
+
+
+def index_entries(data: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
+    """(sub, bucket, id, code): a row for each substring of each row of `data`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.num_rows, len(parts)
+            if not n:
+                continue
+            bucket = substrings(_code_words(b.column(1)), parts).astype(np.int64).ravel()
+            again = pa.array(np.repeat(np.arange(n), m))
+            columns = [pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(bucket), b.column(0).take(again), b.column(1).take(again)]
+            yield pa.RecordBatch.from_arrays(columns, ["sub", "bucket", "id", "code"])
+
+    return data.select("id", "code").mapInArrow(run, "sub int, bucket long, id long, code binary")
+
+
+def probed_pairs(asked: DataFrame, entries: DataFrame, parts: list[tuple[int, int]], rows: int) -> DataFrame:
+    """(query_id, id): the rows whose codes are within the probed radius of each query's, itself left out.
+
+    Entries lie in the order of their buckets, a group of them for each hash of the bucket; a bucket of more than
+    BUCKET_ROWS entries is dealt by a salt, and a query asks every salt.
+    """
+    spark = asked.sparkSession
+    groups = max(shuffle_partitions(spark), -(-rows * len(parts) // GROUP_ROWS))
+    within = len(parts) * (PROBED + 1) - 1
+    sizes = entries.groupBy("sub", "bucket").count().where(F.col("count") > BUCKET_ROWS)
+    salts = sizes.select("sub", "bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("salts"))
+    masks = [balls(b - a, PROBED) for a, b in parts]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = substrings(_code_words(b.column(1)), parts) if b.num_rows else np.zeros((0, len(parts)), np.uint64)
+            for i, mask in enumerate(masks):
+                bucket = (own[:, i][:, None] ^ mask).astype(np.int64)
+                again = pa.array(np.repeat(np.arange(b.num_rows), len(mask)))
+                columns = [pa.array(np.full(bucket.size, i, dtype=np.int32)), pa.array(bucket.ravel()), b.column(0).take(again), b.column(1).take(again)]
+                yield pa.RecordBatch.from_arrays(columns, ["sub", "bucket", "id", "code"])
+
+    def dealt(rows: DataFrame, salt: Column, is_query: bool) -> DataFrame:
+        # Only buckets of over BUCKET_ROWS rows are in `salts`, so at most rows / BUCKET_ROWS.
+        joined = rows.join(salts, ["sub", "bucket"], "left").withColumn("salt", salt)
+        return joined.select(F.pmod(F.xxhash64("sub", "bucket", "salt"), F.lit(groups)).cast("int").alias("part"), F.lit(is_query).alias("q"), "sub", "bucket", "salt", "id", "code")
+
+    count = F.coalesce("salts", F.lit(1))
+    asks = asked.select("id", "code").mapInArrow(ask, "sub int, bucket long, id long, code binary")
+    both = dealt(entries, F.pmod(F.xxhash64("id"), count).cast("int"), False).unionByName(
+        dealt(asks, F.explode(F.sequence(F.lit(0), count - 1)), True)
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        del held
+        q, sub, bucket, salt, ids = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5))
+        code = _code_words(t.column(6))
+        order = np.lexsort((q, salt, bucket, sub))
+        new = np.flatnonzero(np.append(True, (sub[order][1:] != sub[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]) | (salt[order][1:] != salt[order][:-1])))
+        ends = np.append(new[1:], len(order))
+        before = np.append(0, np.cumsum(q[order]))
+        asks_in = before[ends] - before[new]
+        for s, e, n in zip(new[asks_in > 0].tolist(), ends[asks_in > 0].tolist(), asks_in[asks_in > 0].tolist(), strict=True):
+            rows, queries = order[s : e - n], order[e - n : e]
+            if not len(rows):
+                continue
+            for a in range(0, n, 256):
+                own = queries[a : a + 256]
+                i, j = np.nonzero((apart(code[own][:, None], code[rows][None]) <= within) & (ids[own][:, None] != ids[rows][None]))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own[i]]), pa.array(ids[rows[j]])], ["query_id", "id"])
+
+    return both.repartition(groups, "part").mapInArrow(meet, "query_id long, id long").distinct()
+
+
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: Column | None = None, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest by cosine, ties to the smaller id.
 
     Queries are the rows that `queries` selects; candidates are all rows but the query's own. Vectors that are
     null, empty or zero, or hold null or non-finite components, take no part, nor do rows without an id or with
-    another dimension than most of the sample. Rows that repeat an id are one row each, but never their own
-    candidates. A query finds what lies within the radius; if that is fewer than k, all rows are its candidates.
-    An empty table gives no rows; other columns are ignored.
+    another dimension than most rows. Rows that repeat an id are one row each, but never their own candidates.
+    A query finds what lies within the radius that its k-th score needs; if that is fewer than k, all rows are its
+    candidates. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     prepare(spark)
     chosen = F.coalesce(queries if queries is not None else F.col(id_col) % 50 == 0, F.lit(False))
     kind = "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     vector = F.col(vector_col).cast("array<double>")
-    usable = F.col(id_col).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.col(id_col).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), chosen.alias("q")).where(usable)
     rows = materialize(rows.select("id", "v", "q", F.xxhash64(F.lit(5), "id").alias("h")), "vectors")
-    sample = [r["v"] for r in rows.orderBy("h", "id").limit(SAMPLE).select("v").collect()]  # bounded
     out = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    most = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()  # a row a dimension
+    if most is None:
         return spark.createDataFrame([], out)
-    dim = max({len(x) for x in sample}, key=[len(x) for x in sample].count)
+    dim, many = most
     rows = rows.where(F.size("v") == dim)
-    x = unit(np.asarray([v for v in sample if len(v) == dim], dtype=float))
+    sample = np.asarray([r["v"] for r in rows.orderBy("h", "id").limit(SAMPLE).select("v").collect()], dtype=float)  # bounded
+    x = unit(sample)
     mean, rotation = learn(x)
-    r = radius(x, codes(x, mean, rotation), k)
-    width = BITS // substrings_
+    radii = learn_radii(x, codes(x, mean, rotation), k)
+    parts = cuts(many)
+
+    def vectors(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            c = codes(unit(v), mean, rotation).view(np.int64) if len(v) else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(c), pa.array([y.tobytes() for y in v.astype(kind)], pa.binary())], ["id", "q", "code", "v"])
+            c = codes(unit(v), mean, rotation) if len(v) else np.zeros((0, WORDS), dtype=np.uint64)
+            blobs = [pa.array([y.tobytes() for y in z], pa.binary()) for z in (c, v.astype(kind))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *blobs], ["id", "q", "code", "v"])
 
-    index = materialize(rows.mapInArrow(coded, "id long, q boolean, code long, v binary"), "codes")
+    coded_rows = materialize(rows.mapInArrow(coded, "id long, q boolean, code binary, v binary"), "codes")
     # Of equal vectors only the k + 1 smallest ids can be among a query's k nearest: ties go to the smaller id.
     one = W.partitionBy("code", "v").orderBy("id")
-    data = materialize(index.withColumn("n", F.row_number().over(one)).where(F.col("n") <= k + 1).select("id", "code", "v"), "distinct")
-    at = "inline(transform(sequence(0, {n}), i -> named_struct('bucket', cast(i * {m} + (shiftrightunsigned(code, cast(i * {w} as int)) & {mask}) as int)))) ".format(n=substrings_ - 1, m=1 << width, w=width, mask=(1 << width) - 1)
-    entries = data.selectExpr("id", "code", "v", at)
-    # One row a bucket: substrings * 2**width at most, so it may be collected and sent along.
-    salts = np.ones(substrings_ << width, dtype=np.int64)
-    for bucket, n in entries.groupBy("bucket").count().collect():
-        salts[bucket] = -(-n // BUCKET_ROWS)
-    parts = max(shuffle_partitions(spark), 48)
-    counts = F.array(*[F.lit(int(n)) for n in salts]) if (salts > 1).any() else None
-    salt = F.pmod(F.hash("id"), F.element_at(counts, F.col("bucket") + 1)) if counts is not None else F.lit(0)
-    part = F.pmod(F.col("bucket") * 7919 + salt * 104729, F.lit(parts)).cast("int")
-    entries = entries.select(part.alias("part"), "bucket", "id", "code", "v")
-
-    def probes(within: int):
-        masks = balls(width, within // substrings_)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                own = substrings(b.column(1).to_numpy().view(np.uint64), substrings_)
-                met = []
-                for i in range(b.num_rows):
-                    bucket = ((np.arange(substrings_) << width)[:, None] + (own[i][:, None] ^ masks)).ravel()
-                    again = np.repeat(bucket, salts[bucket])
-                    nth = np.arange(len(again)) - np.repeat(np.cumsum(salts[bucket]) - salts[bucket], salts[bucket])
-                    met.append(np.unique((again * 7919 + nth * 104729) % parts))
-                at = pa.array(np.repeat(np.arange(len(met)), [len(x) for x in met]))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(met).astype(np.int32)), pa.array(np.full(n, -1, dtype=np.int32)), *(b.column(i).take(at) for i in range(3))], ["part", "bucket", "id", "code", "v"])
-
-        return run
-
-    def nearest(asked: DataFrame, within: int) -> DataFrame:
-        low = within // substrings_
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            t = pa.Table.from_batches(held)
-            part, bucket, id_, code = (t.column(i).to_numpy() for i in range(4))
-            v = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64)
-            code, length = code.view(np.uint64), np.sqrt((v * v).sum(axis=1))
-            sub = substrings(code, substrings_)
-            order = np.lexsort((bucket, part))
-            queries_of = {int(part[x[0]]): x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)}
-            queries_of = {p: x[bucket[x] < 0] for p, x in queries_of.items()}
-            data_rows = order[bucket[order] >= 0]
-            place = part[data_rows].astype(np.int64) << 32 | bucket[data_rows]
-            found = []
-            for b in np.split(data_rows, np.flatnonzero(np.diff(place)) + 1) if len(data_rows) else []:
-                nth, value = divmod(int(bucket[b[0]]), 1 << width)
-                a = queries_of[int(part[b[0]])]
-                a = a[np.bitwise_count(sub[a, nth] ^ value) <= low]
-                for s in range(0, len(a), 256):
-                    aa = a[s : s + 256]
-                    apart = code[aa][:, None] ^ code[b][None]
-                    ok = (np.bitwise_count(apart) <= within) & (id_[aa][:, None] != id_[b][None])
-                    for i in range(nth):  # an earlier substring has retrieved it
-                        ok &= np.bitwise_count(apart >> np.uint64(i * width) & np.uint64((1 << width) - 1)) > low
-                    near = np.where(ok, (v[aa] @ v[b].T) / (length[aa][:, None] * length[b][None]), -np.inf)
-                    m = min(k, len(b))
-                    least = np.partition(near, len(b) - m, axis=1)[:, len(b) - m]
-                    i, j = np.nonzero(ok & (near >= least[:, None] - 1e-9))
-                    found.append((id_[aa[i]], id_[b[j]], cosine(v[aa[i]], v[b[j]])))
-            if found:
-                query, vec, score = (np.concatenate(y) for y in zip(*found, strict=True))
-                best = _best(query, vec, score, k)
-                yield pa.RecordBatch.from_arrays([pa.array(query[best]), pa.array(vec[best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
-
-        sent = asked.mapInArrow(probes(within), "part int, bucket int, id long, code long, v binary")
-        return entries.unionByName(sent).repartition(parts, "part").mapInArrow(run, "query_id long, vec_id long, score double")
-
-    asked = index.where("q").dropDuplicates(["id"]).select("id", "code", "v")
+    data = coded_rows.withColumn("n", F.row_number().over(one)).where(F.col("n") <= k + 1).select("id", "code", "v")
+    data = materialize(data.dropDuplicates(["id", "v"]), "distinct")
+    asked = materialize(coded_rows.where("q").dropDuplicates(["id"]).select("id", "code", "v"), "queries")
+    entries = materialize(index_entries(data, parts), "index")
     ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    first = materialize(nearest(asked, r).withColumn("rank", ranked).where(F.col("rank") <= k), "nearest")
-    full = first.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-    short = asked.join(full, "id", "left_anti")
-    if short.isEmpty():
-        return first.select("query_id", "rank", "vec_id", "score")
-    # Fewer than k codes in the radius: the query meets every code, by the first substring at its full width.
-    rest = nearest(short, BITS).withColumn("rank", ranked).where(F.col("rank") <= k)
-    kept = first.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
-    return kept.unionByName(rest).select("query_id", "rank", "vec_id", "score")
+
+    def rescored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                score = cosine(vectors(b.column(2)), vectors(b.column(3)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    pairs = probed_pairs(asked, entries, parts, many).join(data.select("id", "v"), "id")
+    pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("query_v")), "query_id")
+    scored = pairs.select("query_id", "id", "query_v", "v").mapInArrow(rescored, "query_id long, vec_id long, score double")
+    # Two rows of one id are one candidate, by the nearer vector.
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    first = materialize(scored.withColumn("rank", ranked).where(F.col("rank") <= k), "nearest")
+    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("its_id"), F.col("score").alias("least"))
+    todo = asked.join(least, asked.id == least.its_id, "left").select("id", "code", "v", "least")
+    probed = len(parts) * (PROBED + 1) - 1
+
+    def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = b.column(3).to_numpy(zero_copy_only=False).astype(float)
+            need = np.where(np.isnan(score), radii.usual, radii.needed(np.nan_to_num(score)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(need.astype(np.int32))], ["id", "code", "v", "need"])
+
+    todo = materialize(todo.mapInArrow(radius, "id long, code binary, v binary, need int"), "radii")
+    done = first.join(todo.where(F.col("need") <= probed).select(F.col("id").alias("query_id")), "query_id", "left_semi")
+
+    def compared(wide: DataFrame) -> DataFrame | None:
+        """Each query's k best among all rows whose codes are within its radius, a bounded block of queries at a time."""
+        blocks = -(-wide.count() // BLOCK_QUERIES)
+        found = None
+        for block in range(blocks):
+            own = wide.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(blocks)) == block).collect()  # about BLOCK_QUERIES
+            q_id = np.asarray([r["id"] for r in own], dtype=np.int64)
+            q_code = np.frombuffer(b"".join(bytes(r["code"]) for r in own), dtype="<u8").reshape(-1, WORDS)
+            q_v = np.frombuffer(b"".join(bytes(r["v"]) for r in own), dtype=kind).reshape(-1, dim)
+            shared = spark.sparkContext.broadcast((q_id, q_code, q_v, np.asarray([r["need"] for r in own], dtype=np.int16)))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                q_id, q_code, q_v, need = shared.value
+                best = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+                floor = np.full(len(q_id), -np.inf)  # the k-th best so far
+                for b in batches:
+                    if not b.num_rows:
+                        continue
+                    ids, code, v = b.column(0).to_numpy(), _code_words(b.column(1)), vectors(b.column(2))
+                    u = unit(v)
+                    new = [best]
+                    for a in range(0, len(q_id), 128):
+                        own_v = q_v[a : a + 128].astype(np.float64)
+                        ok = apart(q_code[a : a + 128, None], code[None]) <= need[a : a + 128, None]
+                        ok &= q_id[a : a + 128, None] != ids[None]
+                        near = np.where(ok, unit(own_v) @ u.T, -np.inf)
+                        m = min(k, len(ids))
+                        least = np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m]
+                        i, j = np.nonzero(ok & (near >= np.maximum(least, floor[a : a + 128])[:, None] - 1e-9))
+                        new.append([a + i, ids[j], cosine(own_v[i], v[j])])
+                    query, vec, score = (np.concatenate(y) for y in zip(*new, strict=True))
+                    keep = _best(query, vec, score, k)
+                    best = [query[keep], vec[keep], score[keep]]
+                    full = np.bincount(best[0], minlength=len(q_id)) >= k
+                    worst = np.full(len(q_id), np.inf)
+                    np.minimum.at(worst, best[0], best[2])
+                    floor = np.where(full, worst, -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q_id[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
+
+            part = data.select("id", "code", "v").mapInArrow(run, "query_id long, vec_id long, score double")
+            part = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            part = materialize(part.withColumn("rank", ranked).where(F.col("rank") <= k), "compared")
+            found = part if found is None else found.unionByName(part)
+            shared.unpersist()
+        return found
+
+    columns = ["query_id", "rank", "vec_id", "score"]
+    out_rows = done.select(*columns)
+    wide = todo.where(F.col("need") > probed)
+    got = compared(wide)
+    if got is not None:
+        full = got.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+        rest = compared(wide.join(full, "id", "left_anti").withColumn("need", F.lit(BITS)))
+        if rest is not None:
+            got = got.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
+        out_rows = out_rows.unionByName(got.select(*columns))
+    return out_rows

@@ -561,3 +561,43 @@ def test_media_tracks_and_fragments(spark):
     got = {r.id: r for r in media.media_columns(rows, "id", "m").collect()}
     assert got[1].codec == "avc1" and [t.codec for t in got[1].tracks] == ["mp4a", "avc1"] and len(got[1].keyframes) == 1
     assert got[2].codec is None and got[2].tracks is None
+
+
+def test_index_prunes_and_misses_nothing_within_its_radius():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(5000, 32))
+    x = ann.unit((centres[:, None] + rng.normal(size=(5000, 20, 32)) / 12).reshape(-1, 32))
+    mean, rotation = ann.learn(x[:: len(x) // ann.SAMPLE][: ann.SAMPLE])
+    code, parts = ann.codes(x, mean, rotation), ann.cuts(len(x))
+    within, sub = len(parts) * (ann.PROBED + 1) - 1, ann.substrings(code, parts)
+    assert all(16 <= b - a <= 19 for a, b in parts) and parts[0][0] == 0 and parts[-1][1] == ann.BITS
+    queries = np.arange(0, len(x), 1000)
+    met = hits = 0
+    for q in queries:
+        near = np.bitwise_count(sub ^ sub[q]) <= ann.PROBED  # the probed buckets hold these entries
+        met += near.sum()
+        assert near.any(axis=1)[ann.apart(code, code[q]) <= within].all()
+        best = np.argsort(-(x @ x[q]))[1:6]
+        hits += (ann.apart(code[best], code[q]) <= within).sum()
+    assert met / len(queries) < 0.01 * len(x) and hits > 0.9 * 5 * len(queries)
+
+
+def test_nearest_in_clusters_and_with_hot_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([(rng.normal(size=(100, 1, 24)) + rng.normal(size=(100, 10, 24)) / 15).reshape(-1, 24), rng.normal(size=(200, 24))])
+    df = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {}
+    for q in range(0, len(x), 50):
+        s = ann.cosine(np.repeat(x[q : q + 1], len(x), axis=0), x)
+        s[q] = -2
+        want[q] = np.lexsort((np.arange(len(x)), -s))[:5].tolist()
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * 5 * len(want)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    again = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        again.setdefault(r.query_id, []).append(r.vec_id)
+    assert again == got

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: Rows that one task may number on its own; beyond that they are range-sorted and numbered by partition.
 ONE_TASK_ROWS = 2_000_000
 
@@ -16,12 +16,9 @@ def number_rows(df: DataFrame, keys: list, name: str, start: int = 0) -> DataFra
     """`df` with a gapless number in the order of `keys`, as LONG."""
     if df.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
         return df.withColumn(name, (F.row_number().over(W.orderBy(*keys)) - 1 + start).cast("long"))
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tastegrid-"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    placed = placed.checkpoint()  # range bounds are sampled anew each time
+    placed = stored(placed, "numbered")  # range bounds are sampled anew each time
     part, row = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = dict(placed.groupBy(part.alias("p")).count().collect())  # a row a partition
     before, total = [], start

@@ -97,6 +97,10 @@ class ALSModel(Recommender):
         return scored.orderBy(F.col("score").desc(), F.col("item_idx").desc()).limit(n)
 
 
+#: Ratings of one user on the left side of the similarity self-join in one salt.
+USER_ROWS = 1000
+
+
 class ItemKNN(Recommender):
     """Biases plus the weighted mean residual of the k most similar items that the user has rated.
 
@@ -119,13 +123,17 @@ class ItemKNN(Recommender):
     def similarity(self, pairs: DataFrame | None = None) -> DataFrame:
         """(i, j, sim) for all ordered pairs of different items with a common rater, or only for `pairs` (i, j).
 
-        The self-join is on users, whose numbers of ratings are even; asked for pairs only, it is pruned by the
-        items on the left before it grows."""
-        left = self.matrix.select("user_idx", F.col("item_idx").alias("i"), F.col("v").alias("vi"))
-        right = self.matrix.select("user_idx", F.col("item_idx").alias("j"), F.col("v").alias("vj"))
+        The self-join is on users; asked for pairs only, both sides are pruned by their items before it grows. The
+        left rows of a user with many ratings are dealt by a salt, which the right rows repeat."""
+        salts = self.matrix.groupBy("user_idx").agg(F.ceil(F.count("*") / USER_ROWS).cast("int").alias("salts"))
+        rows = self.matrix.join(salts, "user_idx")
+        left = rows.select("user_idx", F.col("item_idx").alias("i"), F.col("v").alias("vi"), F.pmod(F.hash("item_idx"), F.col("salts")).alias("salt"))
+        every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+        right = rows.select("user_idx", F.col("item_idx").alias("j"), F.col("v").alias("vj"), every)
         if pairs is not None:
             left = left.join(pairs.select("i").distinct(), "i", "left_semi")
-        joined = left.join(right, "user_idx").where("i <> j")
+            right = right.join(pairs.select("j").distinct(), "j", "left_semi")
+        joined = left.join(right, ["user_idx", "salt"]).where("i <> j")
         if pairs is not None:
             joined = joined.join(pairs.select("i", "j"), ["i", "j"], "left_semi")
         dots = joined.groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("d"))

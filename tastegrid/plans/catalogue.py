@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions import dot
 from ..operators import evaluate as ev
 from ..operators import models as m
 from ..operators.encode import id_index
-from ..operators.neural import NeuralModel
+from ..operators.neural import Net, NeuralModel, perceptron_scores
 from ..operators.splits import allbut, kfold, time_split, with_rank
 
 FILE_ORDER = ["pos", "userId", "timestamp", "rating"]
@@ -105,7 +106,7 @@ def _similar(train: DataFrame, val: DataFrame | None = None) -> DataFrame:
 def _unseen(spark: SparkSession, d: str) -> DataFrame:
     train, _, test = _split(spark, d)
     relevant = ev.relevant_items(test)
-    return ev.unseen_items(relevant, train, relevant).groupBy("user_idx").agg(F.count("*").alias("n"), F.sum(F.col("item_idx").cast("long")).alias("total")).select(F.col("user_idx").cast("long").alias("user_idx"), "n", "total")
+    return ev.unseen_items(relevant, train, relevant).select(*[F.col(c).cast("long").alias(c) for c in ("user_idx", "item_idx")])
 
 
 def _negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +117,8 @@ def _negatives(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     train, _, test = _split(spark, d)
-    return ev.ranking_candidates(train, test).groupBy("user_idx").agg(F.count("*").alias("n"), F.sum(F.col("is_relevant").cast("long")).alias("n_relevant")).select(F.col("user_idx").cast("long").alias("user_idx"), "n", "n_relevant")
+    columns = [F.col(c).cast("long").alias(c) for c in ("user_idx", "item_idx", "cand_pos")]
+    return ev.ranking_candidates(train, test).select(*columns, "is_relevant")
 
 
 def _ranked(make: Callable, per_user: bool = False) -> Callable:
@@ -153,6 +155,20 @@ def _factor_dot(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(F.col("user_idx").cast("long").alias("user_idx"), F.col("item_idx").cast("long").alias("item_idx"), F.col("pos.o").alias("o"), F.col("pos.l").alias("l"), F.round(dot(F.col("u"), F.col("i")), 5).alias("score"))
 
 
+#: Widths of the network's layers, the joined embeddings first.
+WIDTHS = (64, 64, 32, 16, 1)
+
+
+def _mlp_forward(spark: SparkSession, d: str) -> DataFrame:
+    """The network's value for each fixed vector, taken as joined embeddings, with weights given by a rule."""
+    net = Net(0, 0, WIDTHS[0] // 2, WIDTHS[1:-1])
+    for n, (a, b) in enumerate(zip(WIDTHS[:-1], WIDTHS[1:], strict=True)):
+        j, k = np.arange(a)[:, None], np.arange(b)
+        net.params[f"w{n}"], net.params[f"b{n}"] = ((7 * j + 3 * k + n) % 11 - 5) / 20, (k % 5 - 2) / 10
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return perceptron_scores(rows, net, "embedding", "value").select("vec_id", F.round("value", 6).alias("value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "interactions": lambda s, d: _rows(sources.interactions(s, d)),
     "interactions_half_star": lambda s, d: _rows(sources.interactions(s, d, half_stars=True)),
@@ -161,10 +177,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "items_titles": lambda s, d: sources.items(s, d).select(F.col("movieId").alias("item_id"), "title", "genres"),
     "users_profile": lambda s, d: sources.users(s, d).select(F.col("userId").alias("user_id"), "segment", F.col("nation").cast("long").alias("nation")),
     "tag_counts": lambda s, d: sources.tags(s, d).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("userId").alias("n_users")),
-    "time_split_train": lambda s, d: _rows(time_split(_ratings(s, d))[0], "rank"),
-    "time_split_val": lambda s, d: _rows(time_split(_ratings(s, d))[1], "rank"),
-    "time_split_test": lambda s, d: _rows(time_split(_ratings(s, d))[2], "rank"),
-    "split_counts": lambda s, d: with_rank(_ratings(s, d)).groupBy(F.expr("case rank when 0 then 'test' when 1 then 'val' else 'train' end").alias("part")).agg(F.count("*").alias("n"), F.countDistinct("userId").alias("n_users")),
+    "time_split_train": lambda s, d: _rows(time_split(sources.interactions(s, d))[0], "rank"),
+    "time_split_val": lambda s, d: _rows(time_split(sources.interactions(s, d))[1], "rank"),
+    "time_split_test": lambda s, d: _rows(time_split(sources.interactions(s, d))[2], "rank"),
+    "split_counts": lambda s, d: with_rank(sources.interactions(s, d)).groupBy(F.expr("case rank when 0 then 'test' when 1 then 'val' else 'train' end").alias("part")).agg(F.count("*").alias("n"), F.countDistinct("userId").alias("n_users")),
     "kfold_exact": _folds("exact"),
     "kfold_compat": _folds("compat"),
     "allbut_1_10": _allbut(1, 10, 0),
@@ -193,6 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topn_knn": _topn(m.ItemKNN, USER),
     "topn_unknown_user": _topn(m.BiasModel, NOBODY),
     "factor_dot_score": _factor_dot,
+    "mlp_forward": _mlp_forward,
     "als_predict_val": _with("val", lambda train, val: _scored(m.ALSModel().fit(train).predict(val))),
     "als_recommend": _als_recommend,
     "ranking_metrics_als": _ranked(m.ALSModel),
@@ -250,9 +267,10 @@ chosen AS (SELECT DISTINCT user_idx FROM test WHERE rating >= 4 ORDER BY user_id
 rel AS (SELECT user_idx, item_idx, 0 AS cand_pos FROM test WHERE rating >= 4 AND user_idx IN (SELECT user_idx FROM chosen)),
 universe AS (SELECT unnest(range(0, (SELECT max(item_idx) + 1 FROM train))) AS item_idx),
 unseen AS (
-  SELECT c.user_idx, u.item_idx FROM chosen c, universe u
-  WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t.user_idx = c.user_idx AND t.item_idx = u.item_idx)
-    AND NOT EXISTS (SELECT 1 FROM rel t WHERE t.user_idx = c.user_idx AND t.item_idx = u.item_idx)),
+  SELECT p.user_idx, p.item_idx FROM (SELECT c.user_idx, u.item_idx FROM chosen c, universe u) p
+  LEFT JOIN (SELECT user_idx, item_idx, true AS seen FROM train UNION SELECT user_idx, item_idx, true FROM rel) s
+    ON s.user_idx = p.user_idx AND s.item_idx = p.item_idx
+  WHERE s.seen IS NULL),
 hashed AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY md5('42:' || user_idx || ':' || item_idx), item_idx) AS n FROM unseen),
 neg AS (SELECT user_idx, item_idx, CAST(n AS BIGINT) AS cand_pos FROM hashed WHERE n <= 99 AND user_idx IN (SELECT user_idx FROM hashed WHERE n = 99)),
 cand AS (
@@ -324,9 +342,12 @@ top AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS r FRO
 SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FROM top WHERE r <= 5""",
     "knn_predict_val": f"WITH {_MATRIX},{_knn('val')} {_PREDICTED} knn_pred",
     "rating_metrics_knn": f"WITH {_MATRIX},{_knn('val')} {_ERRORS} knn_pred",
-    "unseen_items": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(item_idx) AS BIGINT) AS total FROM unseen GROUP BY user_idx",
+    "unseen_items": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx FROM unseen",
     "sampled_negatives": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, cand_pos FROM neg",
-    "ranking_candidates": f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, count(*) AS n, CAST(sum(CAST(is_rel AS INT)) AS BIGINT) AS n_relevant FROM cand GROUP BY user_idx",
+    "ranking_candidates": (
+        f"WITH {_CAND} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, cand_pos, "
+        "is_rel AS is_relevant FROM cand"
+    ),
     "ranking_metrics_bias": f"WITH {_CAND_BIAS}, {_PER_USER} {_MEANS}",
     "ranking_per_user_bias": f"WITH {_CAND_BIAS}, {_PER_USER} SELECT CAST(user_idx AS BIGINT) AS user_idx, k, round(p, 6) AS p, round(r, 6) AS r, round(ndcg, 6) AS ndcg FROM per_user",
     "ranking_metrics_knn": f"WITH {_CAND_KNN}, {_PER_USER} {_MEANS}",
@@ -337,3 +358,16 @@ SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FRO
 }
 #: The same over all items of train.
 ORACLE_SQL["item_similarity_all"] = ORACLE_SQL["item_similarity_topk"].replace(" WHERE a.item_idx IN (SELECT item_idx FROM val)", "")
+
+
+def _mlp_sql() -> str:
+    """One step a layer: products with the weights, added up for each output."""
+    steps = ["x0 AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, unnest(range(0, 64)) AS j, unnest(embedding) AS x FROM embeddings)"]
+    for n, width in enumerate(WIDTHS[1:]):
+        value = f"sum(CAST(x AS DOUBLE) * ((7 * j + 3 * k + {n}) % 11 - 5) / 20) + any_value((k % 5 - 2) / 10)"
+        value = value if n == len(WIDTHS) - 2 else f"greatest(0, {value})"
+        steps.append(f"x{n + 1} AS (SELECT vec_id, k AS j, {value} AS x FROM x{n}, (SELECT unnest(range(0, {width})) AS k) GROUP BY vec_id, k)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, round(x, 6) AS value FROM x{len(WIDTHS) - 1}"
+
+
+ORACLE_SQL["mlp_forward"] = _mlp_sql()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_fallback: dict[str, str] = {}
 
 
 def get_session(name: str = "tastegrid", **conf: str) -> SparkSession:
@@ -35,3 +37,32 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def stored_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _fallback.setdefault("dir", tempfile.mkdtemp(prefix="tastegrid-"))
+    return f"{found.rstrip('/')}/tastegrid-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The result has a method `release` that deletes the table, for when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = f"{stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+
+    def release() -> None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    out.release = release
+    return out

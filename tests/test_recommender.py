@@ -185,3 +185,88 @@ def test_similar_items_of_the_whole_catalogue(spark):
     got = {(r.i, r.r): r.sim for r in QUERIES["item_similarity_all"](spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert {i for i, _ in got} > {r.i for r in QUERIES["item_similarity_topk"](spark, d).select("i").distinct().collect()}
+
+
+def test_implicit_als_solves_its_equations(spark, lowrank):
+    """Given the last item factors, each user's factors solve the weighted least squares of preferences and confidences."""
+    train, _, _ = time_split(lowrank)
+    als = m.ALSModel(factors=5, iterations=4, regularization=0.1).fit(train)
+    y = {r.id: np.asarray(r.features) for r in als.model.itemFactors.collect()}
+    own = {}
+    for r in als.matrix.collect():
+        own.setdefault(r.user_idx, []).append((r.item_idx, r.v))
+    gram = sum(np.outer(v, v) for v in y.values())
+    for r in als.model.userFactors.collect():
+        a, b, positive = gram.copy(), np.zeros(5), 0
+        for i, v in own[r.id]:
+            a += abs(v) * np.outer(y[i], y[i])
+            if v > 0:
+                b += (1 + abs(v)) * y[i]
+                positive += 1
+        want = np.linalg.solve(a + 0.1 * positive * np.eye(5), b)
+        assert np.abs(want - np.asarray(r.features)).max() < 1e-3 * max(1, np.abs(want).max())
+    seen = {i for i, _ in own[3]}
+    assert not seen & {r.item_idx for r in als.recommend(3, 40).collect()}
+    # Ids without factors add nothing to the biases.
+    odd = spark.createDataFrame([(3, 0), (999, 0), (3, 999)], "user_idx int, item_idx int")
+    base = {(r.user_idx, r.item_idx): r._base for r in als.bias.with_base(odd).collect()}
+    got = {(r.user_idx, r.item_idx): r.prediction for r in als.predict(odd).collect()}
+    assert all(got[k] == pytest.approx(min(5.0, max(0.5, base[k]))) for k in ((999, 0), (3, 999)))
+
+
+def test_one_block_is_plain_training(spark, lowrank):
+    """With one block, fit and predict equal mini-batch training on arrays."""
+    from tastegrid.operators.neural import Adam, train_epoch
+
+    train, val, _ = time_split(lowrank)
+    model = NeuralModel(emb_dim=4, layers=(8,), epochs=3, lr=0.01, batch_size=64, seed=5, blocks=1).fit(train)
+    pdf = train.select("user_idx", "item_idx", "rating").toPandas().sort_values(["user_idx", "item_idx", "rating"])
+    u, i, r = (pdf[c].to_numpy() for c in ("user_idx", "item_idx", "rating"))
+    net, adam = Net(0, 0, 4, (8,), seed=5), Adam(0.01)
+    for side, (name, index) in enumerate((("user", u), ("item", i))):
+        net.params[name] = np.random.default_rng([5, side, 0]).normal(size=(index.max() + 1, 4))
+    losses = [float(np.mean(train_epoch(net, adam, u, i, r, 64, np.random.default_rng([5, epoch, 0, 0])))) for epoch in range(3)]
+    assert np.allclose(losses, model.losses)
+    for row in model.predict(val).collect():
+        y = net.forward(np.array([row.user_idx]), np.array([min(row.item_idx, model.n_items - 1)]))[0][0]
+        assert row.prediction == pytest.approx(min(5.0, max(0.5, y)), abs=1e-9)
+
+
+def test_blocks_learn_too(spark, lowrank):
+    """Averaging takes the perceptron fewer steps an epoch, so blocks need more epochs, and then reach as low a loss."""
+    train, _, _ = time_split(lowrank)
+    one = NeuralModel(emb_dim=4, layers=(8,), epochs=5, lr=0.01, batch_size=64, blocks=1).fit(train).losses
+    three = NeuralModel(emb_dim=4, layers=(8,), epochs=15, lr=0.01, batch_size=64, blocks=3).fit(train).losses
+    assert three[-1] < 1.1 * one[-1] and len(three) == 15
+
+
+def test_adam_steps_only_the_rows_used():
+    from tastegrid.operators.neural import Adam
+
+    table, dense = np.ones((5, 2)), np.ones((5, 2))
+    g = np.asarray([[1.0, 2.0], [3.0, -1.0]])
+    full = np.zeros((5, 2))
+    full[[1, 4]] = g
+    a, b = Adam(0.1), Adam(0.1)
+    a.step({"user": table}, {}, {"user": (np.array([1, 4]), g)})
+    b.step({"user": dense}, {"user": full})
+    assert (table == dense).all() and (table[[0, 2, 3]] == 1).all()
+
+
+def test_heavy_users_are_dealt(spark, lowrank, monkeypatch):
+    train, val, _ = time_split(lowrank)
+    want = sorted((r.i, r.j, round(r.sim, 9)) for r in m.ItemKNN().fit(train).similarity().collect())
+    monkeypatch.setattr(m, "USER_ROWS", 4)
+    assert sorted((r.i, r.j, round(r.sim, 9)) for r in m.ItemKNN().fit(train).similarity().collect()) == want
+
+
+def test_unseen_items_need_no_product(spark, lowrank):
+    train, _, test = time_split(lowrank)
+    users = spark.createDataFrame([(0,), (0,), (59,), (700,)], "user_idx int")
+    found = ev.unseen_items(users, train)
+    last = train.agg(F.max("item_idx")).first()[0]
+    seen = {(r.user_idx, r.item_idx) for r in train.collect()}
+    want = sorted((u, i) for u in (0, 59, 700) for i in range(last + 1) if (u, i) not in seen)
+    assert sorted((r.user_idx, r.item_idx) for r in found.collect()) == want
+    plan = ev.ranking_candidates(train, test)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

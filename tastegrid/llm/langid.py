@@ -22,7 +22,7 @@ RIDGE, SHARPNESS, BATCH = 1e-2, 5.0, 64
 
 class Model(NamedTuple):
     languages: list[str]
-    grams: np.ndarray  # numbers of the n-grams that landmarks hold
+    grams: np.ndarray  # numbers of all n-grams that landmarks hold
     landmarks: np.ndarray  # landmarks by n-grams, rows of unit length
     weights: np.ndarray  # landmarks by languages
     bias: np.ndarray
@@ -37,19 +37,32 @@ def gram_numbers(raw: bytes) -> np.ndarray:
 
 
 class Presence:
-    """Texts as unit vectors over the n-grams a model knows: 1 for each that is present, normalised."""
+    """Texts as unit vectors over all n-grams, 1 for each that is present, normalised.
+
+    Only the coordinates that landmarks have are kept, the others add nothing to a product with a landmark; but a
+    text's length counts all its n-grams, so that products are the kernel of both texts.
+    """
 
     def __init__(self, grams: np.ndarray):
         self.n = len(grams)
         self.column = np.full(GRAMS, self.n, dtype=np.int32)
         self.column[grams] = np.arange(self.n, dtype=np.int32)
+        self.last = np.zeros(GRAMS, dtype=np.int32)
+
+    def distinct(self, numbers: np.ndarray) -> int:
+        """How many different ones there are: each counts where it was seen last."""
+        at = np.arange(len(numbers), dtype=np.int32)
+        self.last[numbers] = at
+        return int((self.last[numbers] == at).sum())
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), self.n + 1), dtype=np.float32)
-        for row, raw in zip(out, texts, strict=True):
-            row[self.column[gram_numbers(raw)]] = 1
-        out = out[:, : self.n]
-        return out / np.sqrt(np.maximum(out.sum(axis=1, keepdims=True), 1))
+        length = np.zeros(len(texts), dtype=np.float32)
+        for i, raw in enumerate(texts):
+            numbers = gram_numbers(raw)
+            out[i][self.column[numbers]] = 1
+            length[i] = self.distinct(numbers)
+        return out[:, : self.n] / np.sqrt(np.maximum(length, 1))[:, None]
 
 
 def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -57,8 +70,7 @@ def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge
     languages = sorted(set(labels))
     label = np.asarray([languages.index(x) for x in labels], dtype=np.int64)
     marks = [i for k in range(len(languages)) for i in np.flatnonzero(label == k)[:landmarks]]
-    found, many = np.unique(np.concatenate([np.unique(gram_numbers(texts[i])) for i in marks]), return_counts=True) if marks else (np.zeros(0, dtype=np.int64),) * 2
-    grams = found[many > 1] if (many > 1).sum() >= 64 else found
+    grams = np.unique(np.concatenate([np.unique(gram_numbers(texts[i])) for i in marks])) if marks else np.zeros(0, dtype=np.int64)
     presence = Presence(grams)
     at = presence([texts[i] for i in marks])
     value, vector = np.linalg.eigh((at @ at.T).astype(np.float64)) if marks else (np.zeros(0), np.zeros((0, 0)))

@@ -129,11 +129,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents without words are not taken. Each row has its own share of the mix, with a repeated id or none too.
     """
-    rows = row_numbered(df, "_mix_row")
-    found = mix(rows, id_col, text_col, source_col, whole=True, tie_col="_mix_row", **options)
-    found = found.where("copies > 0").select(F.col("tie").alias("_its_row"), F.struct(F.col("copies").alias("n"), F.col("first_time").alias("first"), F.col("last_time").alias("last")).alias("_mix"))
-    joined = rows.join(found, rows["_mix_row"] == found["_its_row"])
-    copy = F.explode(F.expr("transform(sequence(1, _mix.n), i -> _mix.first + (_mix.last - _mix.first) * (i - 1) / greatest(_mix.n - 1, 1))")).alias("_mix_time")
-    keys = [F.col("_mix_time"), F.xxhash64(F.col(id_col))]
-    out = joined.select(*[rows[c] for c in df.columns], copy)
-    return out.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys).select(*df.columns)
+    own = row_numbered(df.toDF(*[f"own_{c}" for c in df.columns]), "row")
+    found = mix(own, f"own_{id_col}", f"own_{text_col}", f"own_{source_col}", whole=True, tie_col="row", **options)
+    taken = F.struct(F.col("copies").alias("n"), F.col("first_time").alias("first"), F.col("last_time").alias("last"))
+    found = found.where("copies > 0").select(F.col("tie").alias("its_row"), taken.alias("mix"))
+    joined = own.join(found, own["row"] == found["its_row"])
+    step = "mix.first + (mix.last - mix.first) * (i - 1) / greatest(mix.n - 1, 1)"
+    out = joined.withColumn("mix_time", F.explode(F.expr(f"transform(sequence(1, mix.n), i -> {step})")))
+    keys = [F.col("mix_time"), F.xxhash64(f"own_{id_col}"), F.col("row")]
+    out = out.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return out.select(*[F.col(f"own_{c}").alias(c) for c in df.columns])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, materialize, prepare, row_numbered, shuffle_partitions
+from .common import column_bytes, id_text, materialize, prepare, release, row_numbered, shuffle_partitions
 
 SHINGLE, DISTANCE, SEGMENTS = 4, 4, 32
 #: Shingles whose bits are unpacked together.
@@ -197,21 +197,20 @@ def with_least(pairs: DataFrame) -> DataFrame:
     return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select(*pairs.columns, "m")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, itself left out; alternating large and small stars."""
     links = materialize(links.distinct(), "links")
     seen = None
-    for _ in range(rounds):
+    while True:  # stars settle after a number of rounds that grows with the logarithm of the nodes
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         pairs = F.array(*[F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in ("a", "b")])
-        links = materialize(with_least(large).select(F.inline(pairs)).where("a > b").distinct(), "links")
+        before, links = links, materialize(with_least(large).select(F.inline(pairs)).where("a > b").distinct(), "links")
+        release(before)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -231,13 +230,15 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of `df` for each group of near-duplicate rows: that of the least id, rows without an id last; of equal ids
     one. Rows that repeat an id or have none are linked like others."""
     prepare(df.sparkSession)
-    rows = row_numbered(df, "_row")
-    found = fingerprints(rows.select(F.col("_row").alias("row"), rows[text_col].cast("string").alias("text"), rows[id_col].cast("long").alias("id")), "row long, id long")
+    rows = row_numbered(df.toDF(*[f"own_{c}" for c in df.columns]), "row")
+    text, own_id = F.col(f"own_{text_col}").cast("string"), F.col(f"own_{id_col}").cast("long")
+    found = fingerprints(rows.select("row", text.alias("text"), own_id.alias("id")), "row long, id long")
     found = materialize(found, "fingerprints")
     nodes = materialize(found.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")), "nodes")
     of = least_of_groups(nodes, groups, distance)
-    dropped = found.join(of, found.fp == of.its_fp).where(F.col("row") != F.col("least.row")).select(F.col("row").alias("_dropped"))
-    return rows.join(dropped, rows["_row"] == dropped["_dropped"], "left_anti").select(*df.columns)
+    dropped = found.join(of, found.fp == of.its_fp).where(F.col("row") != F.col("least.row")).select(F.col("row").alias("dropped"))
+    kept = rows.join(dropped, rows["row"] == dropped["dropped"], "left_anti")
+    return kept.select(*[F.col(f"own_{c}").alias(c) for c in df.columns])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, groups: int | None = None) -> DataFrame:

@@ -191,6 +191,7 @@ def unpacked_block(number: int, blob: bytes) -> Block:
 
 def blocks(docs: DataFrame, parts: int, part: int, buckets: int) -> DataFrame:
     """Tokenised documents, some megabytes of text a row."""
+    most = BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,7 +213,7 @@ def blocks(docs: DataFrame, parts: int, part: int, buckets: int) -> DataFrame:
                 lengths.append(len(own) + 1)
                 tokens += [own, end]
                 size += len(raw or b"")
-                if size >= BLOCK_BYTES:
+                if size >= most:
                     yield flush()
                     ids, held, lengths, tokens, size = [], [], [], [], 0
                     number += 1
@@ -238,9 +239,9 @@ def by_shard(shard: np.ndarray) -> np.ndarray:
     return np.argsort(small, kind="stable")
 
 
-def gram_shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int) -> np.ndarray:
+def gram_shard(context: np.ndarray, word: np.ndarray, count: np.ndarray, shards: int, salt_count: int) -> np.ndarray:
     """The shard that numbered the context, and by a salt of the word as many more as its count asks for; blocks agree."""
-    salts = np.uint64(1) << np.ceil(np.log2(np.maximum(count / SALT_COUNT, 1))).astype(np.uint64)
+    salts = np.uint64(1) << np.ceil(np.log2(np.maximum(count / salt_count, 1))).astype(np.uint64)
     return ((context + (_mixed(word) & (salts - np.uint64(1)))) % np.uint64(shards)).astype(np.int64)
 
 
@@ -258,8 +259,8 @@ def unpacked_contexts(gaps: np.ndarray, away: np.ndarray, shard: int, shards: in
 class Walk:
     """A block's n-grams, one level after another; each needs the answers to the one below."""
 
-    def __init__(self, block: Block, shards: int):
-        self.block, self.shards = block, shards
+    def __init__(self, block: Block, shards: int, salt_count: int):
+        self.block, self.shards, self.salt_count = block, shards, salt_count
         self.place = np.arange(len(block.tokens)) - np.repeat(np.cumsum(block.lengths) - block.lengths, block.lengths)
         self.learnt = np.repeat(block.held == 0, block.lengths)
         shard = (_mixed(block.vocabulary) % np.uint64(shards)).astype(np.int64)
@@ -327,7 +328,7 @@ class Walk:
         at = np.full(len(before), -1)
         at[some] = found
         context, word = pairs // v, pairs % v
-        shard = gram_shard(self.numbers[context], self.words[word], self.totals[context], self.shards)
+        shard = gram_shard(self.numbers[context], self.words[word], self.totals[context], self.shards, self.salt_count)
         self.level = Level(context, word, at, self._counts(at, len(pairs)), shard, by_shard(shard))
         self.above += 1
         return self.totals[context]
@@ -394,9 +395,9 @@ def answer_grams(rows: pa.Table, level: int, last: bool, shards: int) -> pa.Tabl
     return answer_table(rows, level, [packed_answer(codes[x], *y) for x, y in zip(np.split(at, ends), more, strict=True)])
 
 
-def walked(block: pa.Table, answers: pa.Table, shards: int) -> Iterator[tuple[Walk, dict[str, np.ndarray]]]:
+def walked(block: pa.Table, answers: pa.Table, shards: int, salt_count: int) -> Iterator[tuple[Walk, dict[str, np.ndarray]]]:
     """The block's levels from the first one on, with the shards' answers where they are there."""
-    walk = Walk(unpacked_block(block["block"][0].as_py(), block["packed"][0].as_py()), shards)
+    walk = Walk(unpacked_block(block["block"][0].as_py(), block["packed"][0].as_py()), shards, salt_count)
     heard: dict[int, list] = {}
     for level, shard, blob in zip(answers["level"].to_pylist(), answers["shard"].to_pylist(), answers["packed"].to_pylist(), strict=True):
         heard.setdefault(level, []).append((shard, blob))
@@ -428,17 +429,17 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     prepare(spark)
     tokenised = blocks(id_text(df, id_col, text_col), parts, part, shuffle_partitions(spark))
     shards = max(shuffle_partitions(spark), -(-(tokenised.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-    message = "block long, shard int, packed binary"
+    message, salt_count = "block long, shard int, packed binary", SALT_COUNT
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield Walk(unpacked_block(number, blob), shards).ask()
+                yield Walk(unpacked_block(number, blob), shards, salt_count).ask()
 
     def ask_grams(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
-        for walk, _ in walked(block, answers, shards):
+        for walk, _ in walked(block, answers, shards, salt_count):
             pass
         return pa.Table.from_batches([walk.ask()])
 
@@ -458,7 +459,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
         if not block.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)})
         below = None
-        for walk, got in walked(block, answers, shards):
+        for walk, got in walked(block, answers, shards, salt_count):
             if walk.above == 1:
                 b = walk.block
                 start = np.cumsum(b.lengths) - b.lengths

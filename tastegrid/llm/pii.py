@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, materialize, prepare
+from .common import column_bytes, id_text, materialize, prepare, release
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -71,7 +71,7 @@ DOMAINS = frozenset("com org net edu gov info io de fr es uk eu example test".sp
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
 SECRET_PREFIXES = ("AKIA", "AIza", "ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "eyJ")
 CONTEXT_CHARS = 32
-#: Candidates that train the classifier: at most so many, those of the smallest hashes.
+#: Different candidates that train the classifier: about so many at most, those of the smallest hashes.
 TRAIN_CANDIDATES = 20_000
 
 
@@ -305,7 +305,8 @@ def candidate_table(docs: DataFrame) -> DataFrame:
 def span_model(docs: DataFrame) -> np.ndarray:
     """Weights of the span classifier. Votes are counted over all candidates, at most 5 * 3**5 patterns.
 
-    The classifier learns from at most TRAIN_CANDIDATES of them, those of the smallest hashes.
+    The classifier learns from about TRAIN_CANDIDATES different ones of them at most, those whose hashes are in the
+    lowest share, so that what comes to the driver doesn't grow with the corpus; copies teach once.
     """
     table = candidate_table(docs)
     found = np.asarray(sorted(tuple(r) for r in table.groupBy(*VOTES).count().collect()), dtype=np.int64)
@@ -315,9 +316,13 @@ def span_model(docs: DataFrame) -> np.ndarray:
         own = found[found[:, 0] == k]
         for pattern, p in zip(own, reliabilities(own[:, 1:6], own[:, 6].astype(float))[0], strict=True):
             posterior[tuple(pattern[:6].tolist())] = float(p)
-    sample = table.orderBy("hash", *VOTES, "active").limit(TRAIN_CANDIDATES).collect()
-    goal = np.asarray([posterior[tuple(r[c] for c in VOTES)] for r in sample])
-    return train(features([r["active"] for r in sample]), goal)
+    different = table.agg(F.count_distinct("hash")).first()[0]
+    lowest = int(min(1.0, TRAIN_CANDIDATES / max(different, 1)) * (1 << 32))
+    one = F.min(F.struct(*VOTES, "active")).alias("one")
+    sample = sorted(table.where(F.col("hash") < lowest).groupBy("hash").agg(one).collect())
+    release(table)
+    goal = np.asarray([posterior[tuple(r["one"][c] for c in VOTES)] for r in sample])
+    return train(features([r["one"]["active"] for r in sample]), goal)
 
 
 def spans(text: str, weights: np.ndarray, threshold: float = 0.5) -> tuple[list[Span], list[Span]]:

@@ -632,3 +632,13 @@ def test_nearest_in_clusters_and_with_hot_buckets(spark, monkeypatch):
     for r in ann.search(df).orderBy("query_id", "rank").collect():
         again.setdefault(r.query_id, []).append(r.vec_id)
     assert again == got
+
+
+def test_pii_sample_is_bounded_and_copies_teach_once(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_CANDIDATES", 50)
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda x, goal: seen.append(x.shape) or np.zeros(pii.COLUMNS))
+    rows = [(i, f"host fe80::{i % 600:x}:1 and token = {hashlib.sha1(str(i % 600).encode()).hexdigest()}") for i in range(3000)]
+    pii.span_model(spark.createDataFrame([*rows, *[rows[0]] * 1000], "doc_id long, text string"))
+    pii.span_model(spark.createDataFrame([rows[0]] * 40, "doc_id long, text string"))
+    assert 20 < seen[0][0] < 100 and seen[1][0] == 2

@@ -296,21 +296,83 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_best_fit_equals_one_by_one():
+def brute_rounds(pieces, capacity):
+    """{piece: sequence} of `pieces` (length by rank), by the rounds of the operator on plain lists with one stack."""
+    half = capacity // 2
+    of = {r: r for r, n in enumerate(pieces) if n > half}
+    gaps = {r: capacity - pieces[r] for r in of}
+    opened = packing.OPENED
+    for low, high in packing.bands(capacity)[1:]:
+        waiting = [r for r, n in enumerate(pieces) if low < n <= high]
+        while waiting:
+            room = [s for s, g in gaps.items() if g >= min(pieces[r] for r in waiting)]
+            over = sum(pieces[r] for r in waiting) - sum(gaps[s] for s in room)
+            more = max(0, -(-over // capacity), 0 if room else -(-len(waiting) // (capacity // (low + 1))))
+            new = range(opened, opened + more)
+            gaps, room, opened = gaps | dict.fromkeys(new, capacity), [*room, *new], opened + more
+            share = -(-2 * len(waiting) // len(room))
+            line = [(-pieces[r], 1, r) for r in waiting]
+            for s in room:
+                many = max(1, min(gaps[s] // high, share))
+                line += [(-(gaps[s] - (many - 1) * high), 0, s)] + [(-high, 0, s)] * (many - 1)
+            stack, waiting = [], []
+            for value, is_piece, tie in sorted(line):
+                if not is_piece:
+                    stack.append(tie)
+                elif stack:
+                    of[tie] = stack.pop()
+                    gaps[of[tie]] += value
+                else:
+                    waiting.append(tie)
+    return of
+
+
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= length]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("lengths", [range(1, 65), range(14, 34), range(1, 9)])
+def test_packing_rounds(spark, monkeypatch, lengths):
+    """Placements are those of the rounds with one stack, over many partitions; the count is best fit's, one by one."""
+    monkeypatch.setattr(packing, "ROUND_ROWS", 60)
     rng = random.Random(6)
-    for _ in range(50):
-        counts = Counter(rng.choices(range(1, 65), k=rng.randint(1, 400)))
-        gaps = []
-        for length in sorted(counts.elements(), reverse=True):
-            fit = [g for g in gaps if g >= length]
-            if fit:
-                gaps.remove(min(fit))
-            gaps.append((min(fit) if fit else 64) - length)
-        plan = packing.best_fit(dict(counts), 64)
-        rank = np.arange(sum(counts.values()))
-        first, sequence, fit, _, _ = plan[np.searchsorted(plan[:, 0], rank, side="right") - 1].T
-        assert len(set((sequence + (rank - first) // fit).tolist())) == len(gaps)
+    rows = [(i // 2, i % 2, 0, rng.choice(lengths), 7) for i in range(500)]
+    rows += rows[:20]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    order = pieces.orderBy(packing.F.desc("length"), packing.F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece").collect()
+    want, at = {}, {}
+    for rank, sequence in sorted(brute_rounds([r.length for r in order], 64).items()):
+        r = order[rank]
+        want.setdefault(sequence, []).append((r.doc_id, r.piece, at.get(sequence, 0)))
+        at[sequence] = at.get(sequence, 0) + r.length
+    got = {}
+    for r in packing.pack(pieces, 64).collect():
+        got.setdefault(r.sequence_id, []).append((r.doc_id, r.piece, r.offset))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(at.values()) <= 64
+    assert len(got) <= 1.01 * best_fit_decreasing([r[3] for r in rows], 64) + 1
+
+
+def test_brackets():
+    rng = random.Random(4)
+    for _ in range(200):
+        kind = rng.choices([1, -1], k=rng.randint(1, 60))
+        stack, want = [], set()
+        for i, k in enumerate(kind):
+            if k > 0:
+                stack.append(i)
+            elif stack:
+                want.add((stack.pop(), i))
+        _, gap, piece = packing.brackets(np.asarray(kind))
+        assert set(zip(gap.tolist(), piece.tolist(), strict=True)) == want
     assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2050, 1024) == [(0, 2), (2, 1024), (1026, 1024)]
+    assert packing.bands(1024)[0] == (512, 1024) and packing.bands(1024)[-1][0] == 0 and packing.bands(1) == [(0, 1)]
 
 
 def brute_lm(rows, order=ngram_lm.ORDER):

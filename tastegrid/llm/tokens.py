@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from struct import pack
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -16,12 +17,15 @@ from .common import column_bytes, id_text, prepare, slices
 BATCH_BYTES = 4 << 20
 #: Units in each of the two generations that a worker keeps between batches.
 CACHE_UNITS = 300_000
+#: Words encoded as one text, each after a space.
+RUN_WORDS = 1000
 
 # Everything that some regex engine may take for white space.
 _BLANK = "\\s\u180e\u200b\ufeff"
 _TIGHT = re.compile(f"[{_BLANK}][ \\n]|\\n[{_BLANK}]")
 # Latin letters and a tail of punctuation never share a token, and no added token has this shape.
 _STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?|&*#$%]+)")
+_GRAPHIC = re.compile("[!-~]+").fullmatch
 _CUT = re.compile(f"(?<=[^{_BLANK}])(?=[ \\t\\n\\r\\f\\v])")
 
 
@@ -36,17 +40,21 @@ class UnitEncoder:
 
     The tokenizer's pre-tokenizer never puts a non-blank and a following blank in one token, nor looks behind,
     so a text may be cut there: the tokens of the pieces are the tokens of the text. Each distinct unit
-    (a word with its leading blank) is encoded once; `value` says what is kept of its ids, `join` puts values together.
+    (a word with its leading blank) is encoded once; `values(ids, cuts)` says what is kept of ids between each two
+    cuts, `join` puts values together.
 
     Units are named by keys: a word stands for itself after a space, a line feed and a word for just that, and two
     line feeds and any text for that text alone.
     """
 
-    def __init__(self, path: str, value, join):
+    def __init__(self, path: str, values, join):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.value, self.join = Tokenizer.from_file(path), value, join
+        self.tokenizer, self.values, self.join = Tokenizer.from_file(path), values, join
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # tokens that begin with a space
+        self.spaced[[i for x, i in vocabulary.items() if x[:1] == "\u0120"]] = True
         self.now: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
@@ -59,11 +67,28 @@ class UnitEncoder:
         found = _STEM.fullmatch(key, 2 if bare else 0)
         return (f"\n\n{found[1]}" if bare else found[1], f"\n\n{found[2]}") if found else None
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and where each text's begin, with the end as the last cut."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cuts = np.cumsum([0, *map(len, found)])
+        return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(cuts[-1])), cuts
+
+    def _words(self, words: list[str]) -> list:
+        """Values of words without blanks, encoded in runs: a word begins at each token that begins with a space."""
+        runs = [f" {' '.join(words[i : i + RUN_WORDS])}" for i in range(0, len(words), RUN_WORDS)]
+        ids, _ = self._ids(runs)
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(words) or (len(at) and at[0]):
+            return self.values(*self._ids([f" {x}" for x in words]))  # a vocabulary of another kind
+        return self.values(ids, np.append(at, len(ids)))
+
     def _learn(self, keys: set[str]) -> None:
         now, old, single, parted = self.now, self.old, set(), []
         for key in keys:
             if key in old:
                 now[key] = old[key]
+            elif key.isalpha():
+                single.add(key)
             elif parts := self._parts(key):
                 parted.append((key, parts))
             else:
@@ -73,11 +98,14 @@ class UnitEncoder:
                 now[key] = old[key]
             else:
                 single.add(key)
-        new = list(single)
-        for a, b in slices(new, [len(x) + 1 for x in new], BATCH_BYTES):
-            found = self.tokenizer.encode_batch_fast([x[2:] if x[:2] == "\n\n" else f" {x}" for x in new[a:b]], add_special_tokens=False)
-            for key, e in zip(new[a:b], found, strict=True):
-                now[key] = self.value(e.ids)
+        words, others = [], []
+        for key in single:
+            (words if key.isalpha() or _GRAPHIC(key) else others).append(key)
+        for a, b in slices(words, [len(x) + 1 for x in words], BATCH_BYTES):
+            now.update(zip(words[a:b], self._words(words[a:b]), strict=True))
+        for a, b in slices(others, [len(x) + 1 for x in others], BATCH_BYTES):
+            texts = [x[2:] if x[:2] == "\n\n" else f" {x}" for x in others[a:b]]
+            now.update(zip(others[a:b], self.values(*self._ids(texts)), strict=True))
         for key, (a, b) in parted:
             now[key] = self.join((now[a], now[b]))
 
@@ -107,16 +135,25 @@ class UnitEncoder:
 _encoders: dict[tuple[str, str], UnitEncoder] = {}
 
 
+def _lengths(ids: np.ndarray, cuts: np.ndarray) -> list[int]:
+    return np.diff(cuts).tolist()
+
+
+def _bytes(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    raw, at = ids.tobytes(), (4 * cuts).tolist()
+    return [raw[a:b] for a, b in pairwise(at)]
+
+
 def length_encoder(path: str) -> UnitEncoder:
     if (path, "n") not in _encoders:
-        _encoders[path, "n"] = UnitEncoder(path, len, sum)
+        _encoders[path, "n"] = UnitEncoder(path, _lengths, sum)
     return _encoders[path, "n"]
 
 
 def ids_encoder(path: str) -> UnitEncoder:
     """Ids as little-endian unsigned 32-bit bytes."""
     if (path, "ids") not in _encoders:
-        _encoders[path, "ids"] = UnitEncoder(path, lambda ids: pack(f"<{len(ids)}I", *ids), b"".join)
+        _encoders[path, "ids"] = UnitEncoder(path, _bytes, b"".join)
     return _encoders[path, "ids"]
 
 

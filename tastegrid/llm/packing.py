@@ -57,10 +57,10 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str | Non
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """(low, high]: as many pieces of such a length fit into a sequence, one to eight, then lengths halve."""
-    edges = [capacity // k for k in range(1, 10)]
+    """(low, high]: lengths of which one, two, three, or four to seven fit into a sequence, then lengths by quarters."""
+    edges = [capacity // k for k in (1, 2, 3, 4, 8)]
     while edges[-1]:
-        edges.append(edges[-1] // 2)
+        edges.append(edges[-1] // 4)
     return [(low, high) for high, low in pairwise(edges) if low < high]
 
 

@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Rows that one task may number on its own; beyond that they are range-sorted and numbered by partition.
-ONE_TASK_ROWS = 2_000_000
-
 
 def number_rows(df: DataFrame, keys: list, name: str, start: int = 0) -> DataFrame:
-    """`df` with a gapless number in the order of `keys`, as LONG."""
-    if df.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
-        return df.withColumn(name, (F.row_number().over(W.orderBy(*keys)) - 1 + start).cast("long"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    placed = stored(placed, "numbered")  # range bounds are sampled anew each time
+    """`df` with a gapless number in the order of `keys`, as LONG; one way for any size.
+
+    Rows are range-sorted and written, so that their order stays; a row's number is its place in its partition and
+    the rows of the partitions before, of which the driver gets a count a partition. Rows equal in all `keys` are dealt
+    over partitions by a last key of their own, so they are never more than their share in one task.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    order = [*keys, "_tie"]
+    placed = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+    placed = stored(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part, row = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = dict(placed.groupBy(part.alias("p")).count().collect())  # a row a partition
     before, total = [], start
-    for p in range(max(sizes) + 1):
+    for p in range(max(sizes, default=-1) + 1):
         before.append(total)
         total += sizes.get(p, 0)
-    return placed.withColumn(name, F.element_at(F.array(*map(F.lit, before)), part + 1).cast("long") + row).drop("_at")
+    offset = F.element_at(F.lit(before).cast("array<bigint>"), part + 1) if before else F.lit(start)
+    return placed.withColumn(name, (offset + row).cast("long")).drop("_at")
 
 
 def id_index(df: DataFrame, id_col: str, index_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, media, mixing, ngram_lm, packing, pii, simhash, substring, tokens
+from . import ann, importance, langid, media, mixing, ngram_lm, packing, pii, simhash, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,19 @@ QUERIES = {
     "op8_best_fit_packing": lambda spark, d: packing.pack_documents(documents(spark, d)),
     "op9_lm_scoring": lambda spark, d: ngram_lm.score(documents(spark, d)),
     "op10_pii": lambda spark, d: pii.find_pii(documents(spark, d)),
+    "op11_importance_resampling": lambda spark, d: importance.resample(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }
 
+#: crc32 by its table of bytes, which SQL makes by the rule of the polynomial.
+CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+
+
+def crc32(text: str) -> str:
+    """SQL for the crc32 of a text's UTF-8 bytes, where a column `tab` has the table."""
+    raw = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {raw}), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295)"
+
+
 #: Words are cut by a regular expression of the same set; a window is its 13 words joined by spaces.
 ORACLE_SQL = {
     "op2_substring_dedup": r"""
@@ -43,5 +54,32 @@ WITH docs AS (
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN ps IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(ps, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
 FROM docs d LEFT JOIN gone_lists g ON d.doc_id = g.doc_id
+""",
+    "op11_importance_resampling": rf"""
+WITH crc AS ({CRC_TABLE}), own AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), counts AS (
+  SELECT r, w, count(*) AS n FROM (SELECT r, unnest(words) AS w FROM own) GROUP BY r, w
+), wanted AS (
+  SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w
+), vocabulary AS (
+  SELECT w, {crc32("w")} % 10000 AS b FROM (SELECT w FROM counts UNION SELECT w FROM wanted), crc
+), s AS (
+  SELECT b, sum(n) AS s FROM counts JOIN vocabulary USING (w) GROUP BY b
+), t AS (
+  SELECT b, sum(n) AS t FROM wanted JOIN vocabulary USING (w) GROUP BY b
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (b)
+), weights AS (
+  SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM counts JOIN vocabulary USING (w) JOIN gains USING (b) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM own LEFT JOIN weights USING (r)
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
 """,
 }

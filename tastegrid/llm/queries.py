@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, importance, langid, media, mixing, ngram_lm, packing, pii, simhash, substring, tokens
+from . import ann, importance, langid, media, mixing, ngram_lm, packing, pii, repair, simhash, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_lm_scoring": lambda spark, d: ngram_lm.score(documents(spark, d)),
     "op10_pii": lambda spark, d: pii.find_pii(documents(spark, d)),
     "op11_importance_resampling": lambda spark, d: importance.resample(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op13_conversation_repair": lambda spark, d: repair.repair_damaged(spark.read.parquet(f"{d}/conversations.parquet")),
 }
 
 #: crc32 by its table of bytes, which SQL makes by the rule of the polynomial.
@@ -81,5 +82,51 @@ WITH crc AS ({CRC_TABLE}), own AS (
   SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+""",
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, range(2) AS c(c) WHERE d <> 0 AND (c = 0 OR d = 3)
+), placed AS (
+  SELECT *, row_number() OVER w AS p, lag(role[1]) OVER w AS before, rtrim(text, E' \t\n\x0b\x0c\r')[-1] AS last
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+), grammar(src, r, dst) AS (VALUES ('N', 's', 'S'), ('N', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')),
+inserted AS (
+  SELECT DISTINCT src, src AS dst, 0 AS cost, '' AS audit, '' AS roles FROM grammar
+  UNION ALL SELECT src, dst, 3, 'I', r FROM grammar WHERE r <> 's'
+  UNION ALL SELECT a.src, b.dst, 6, 'II', a.r || b.r FROM grammar a JOIN grammar b ON a.dst = b.src WHERE a.r <> 's' AND b.r <> 's'
+), best(conv_id, state, p, v) USING KEY (conv_id, state) AS (
+  SELECT conv_id, 'N', 0::BIGINT, {{'cost': 0, 'audit': ''}} FROM counted
+  UNION
+  SELECT x.conv_id, y.dst, x.p + 1, min({{'cost': x.v.cost + y.cost, 'audit': x.v.audit || y.audit}})
+  FROM best x JOIN judged j ON j.conv_id IS NOT DISTINCT FROM x.conv_id AND j.p = x.p + 1
+  JOIN (
+    SELECT i.src, i.dst, r, fault, i.cost + 4 AS cost, i.audit || 'D' AS audit FROM inserted i, (SELECT DISTINCT role[1] AS r, fault FROM judged)
+    UNION ALL
+    SELECT i.src, g.dst, k.r, fault, i.cost + CASE WHEN fault = 't' THEN 3 ELSE 0 END + CASE WHEN edit = 'R' THEN 3 ELSE 0 END, i.audit || edit
+    FROM inserted i JOIN grammar g ON g.src = i.dst, (SELECT DISTINCT role[1] AS r, fault FROM judged) k, (VALUES ('K'), ('R')) e(edit)
+    WHERE fault IN ('', 't') AND CASE edit WHEN 'K' THEN g.r = k.r ELSE g.r <> 's' END
+  ) y ON y.src = x.state AND y.r = j.role[1] AND y.fault = j.fault
+  GROUP BY x.conv_id, y.dst, x.p
+), chosen AS (
+  SELECT conv_id, min({{'cost': b.v.cost + i.cost, 'audit': b.v.audit || i.audit}}) AS v FROM best b JOIN inserted i ON i.src = b.state WHERE i.dst IN ('N', 'A') GROUP BY conv_id
+), letters AS (
+  SELECT conv_id, q, v.audit[q] AS e, len(replace(v.audit, 'D', '')) % 2 AS odd, len(replace(v.audit[1:q], 'D', '')) AS place, len(replace(v.audit[1:q], 'I', '')) AS p
+  FROM chosen, range(1, len(v.audit) + 1) AS q(q)
+), texts AS (
+  SELECT l.conv_id, string_agg(CASE WHEN e = 'K' THEN j.role WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE j.text END, E'\n' ORDER BY q) AS whole
+  FROM letters l LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.p = l.p WHERE e <> 'D' GROUP BY l.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(h.v.cost, 0) AS BIGINT) AS cost, coalesce(h.v.audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
 }

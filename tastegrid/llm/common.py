@@ -141,11 +141,11 @@ def range_numbered(df: DataFrame, parts: int, keys: list, schema: str, number) -
     return materialize(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "ranges")
 
 
-def tree_sum(vectors: DataFrame, dtype, length: int) -> np.ndarray:
+def tree_sum(vectors: DataFrame, dtype, length: int, merge=np.add) -> np.ndarray:
     """The sum of `vectors`, one column of arrays as bytes, a row a partition; merged by treeReduce, some at a time."""
     arrays = vectors.rdd.map(lambda r: np.frombuffer(r[0], dtype=dtype))
     depth = max(2, math.ceil(math.log(max(2, arrays.getNumPartitions()), 8)))  # no more than about 8 vectors in one place
-    return arrays.treeReduce(np.add, depth) if arrays.getNumPartitions() else np.zeros(length, dtype=dtype)
+    return arrays.treeReduce(merge, depth) if arrays.getNumPartitions() else np.zeros(length, dtype=dtype)
 
 
 _COMPRESS, _DECOMPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, importance, langid, media, mixing, ngram_lm, packing, pii, repair, simhash, substring, tokens
+from . import ann, importance, jaccard, langid, media, mixing, ngram_lm, packing, pii, repair, simhash, substring, tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_lm_scoring": lambda spark, d: ngram_lm.score(documents(spark, d)),
     "op10_pii": lambda spark, d: pii.find_pii(documents(spark, d)),
     "op11_importance_resampling": lambda spark, d: importance.resample(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op12_jaccard_join": lambda spark, d: jaccard.near_duplicates(documents(spark, d)),
     "op13_conversation_repair": lambda spark, d: repair.repair_damaged(spark.read.parquet(f"{d}/conversations.parquet")),
 }
 
@@ -82,6 +83,22 @@ WITH crc AS ({CRC_TABLE}), own AS (
   SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)
+""",
+    "op12_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(words[p : p + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS p FROM words WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM words UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+FROM words w LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
 """,
     "op13_conversation_repair": rf"""
 WITH RECURSIVE crc AS ({CRC_TABLE}), given AS (

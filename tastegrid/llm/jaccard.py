@@ -206,10 +206,14 @@ def ordered(pairs: DataFrame) -> DataFrame:
 
 
 def star_pairs(own: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each list's rows outside its largest component with one row of that component, which changes with `turn`."""
-    row = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "place")])
+    """Each list's rows outside its largest component with one row of that component, which changes with `turn`.
+
+    The first is the row with the fewest rarer shingles, which is nearest to what the list's texts have in common.
+    """
+    key = [F.col("place") if turn == 0 else F.lit(0).alias("place"), F.xxhash64(F.lit(turn), "node")]
+    row = F.struct(*[k.alias(f"key{i}") for i, k in enumerate(key)], *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "place")])
     by_root = own.groupBy("token", "root").agg(F.count("*").alias("many"), F.min(row).alias("center"))
-    largest = by_root.groupBy("token").agg(F.max(F.struct("many", "root", "center")).alias("top"), F.count("*").alias("roots"))
+    largest = by_root.groupBy("token").agg(F.max(F.struct("many", -F.col("center.key0"), "root", "center")).alias("top"), F.count("*").alias("roots"))
     centers = largest.where("roots > 1").select("token", F.col("top.root").alias("top_root"), "top.center.*")
     met = own.join(centers, "token").where(F.col("root") != F.col("top_root"))
     return ordered(met.where(fits(percent)))

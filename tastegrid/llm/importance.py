@@ -49,7 +49,7 @@ def features(raw: bytes, ngram: int = NGRAM, piece: int = PIECE) -> Iterator[tup
             first = max(0, len(carried) - k + 1)
             out += [b" ".join(run[i : i + k]) for i in range(first, len(run) - k + 1)]
         yield len(words), out
-        carried = run[len(run) - ngram + 1 :] if ngram > 1 else []
+        carried = run[max(0, len(run) - ngram + 1) :] if ngram > 1 else []
 
 
 def bucketed(raw: bytes | None, ngram: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -10,7 +10,7 @@ one of them as a star; pairs within what is linked by then are never formed, and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,39 +18,40 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, materialize, prepare, tree_sum
+from .common import column_bytes, id_text, materialize, prepare, release, tree_sum
 from .simhash import components, with_least
 from .substring import _M1, _rolled, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Cells of the sketch, fragments of the order, and bits of the filter of documents whose sets are read again.
-CELLS, FRAGMENTS, FILTER_BITS = 1 << 20, 8, 1 << 26
+CELLS, FRAGMENTS, FILTER_BITS = 1 << 21, 8, 1 << 26
 #: A shingle is a number of HASH_BITS bits under the class of its frequency.
 HASH_BITS, CLASSES = 58, 32
 #: Bytes of text that are cut into words together.
 PIECE = 1 << 20
 #: Rounds of stars at most before what is left is compared pair by pair.
-STARS = 3
+STARS = 2
 
 
-def shingles(raw: bytes | None, width: int = SHINGLE, piece: int = PIECE) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes; with fewer words, the whole sequence is one."""
+def hashes(raw: bytes | None, width: int = SHINGLE, piece: int = PIECE) -> np.ndarray:
+    """64-bit hashes of a text's shingles, repeats included; with fewer words, the whole sequence is one."""
     text = (raw or b"").lower()  # bytes.lower() changes A-Z only
     out, carried, at = [], np.zeros(0, dtype=np.uint64), 0
     while at < len(text):
         end = at + piece
         while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
             end += 1
-        h = np.concatenate([carried, word_hashes(text[at:end].split())])
+        h = word_hashes(text[at:end].split())
+        h = np.concatenate([carried, h]) if len(carried) else h
         if len(h) >= width:
-            out.append(np.unique(_rolled(h, width, _M1)))
+            out.append(_rolled(h, width, _M1))
             carried = h[len(h) - width + 1 :]
         else:
             carried = h
         at = end
     if not out:
         return _rolled(carried, len(carried), _M1) if len(carried) else carried
-    return out[0] if len(out) == 1 else np.unique(np.concatenate(out))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def cells_of(h: np.ndarray, cells: int) -> np.ndarray:
@@ -70,22 +71,31 @@ class Order:
         self.cuts = (at.astype(np.uint64) << np.uint64(HASH_BITS)) + (share * 2.0**HASH_BITS).astype(np.uint64)
 
     def ranked(self, h: np.ndarray) -> np.ndarray:
-        """Shingles as numbers in the global order, sorted."""
+        """The distinct shingles as numbers in the global order, sorted."""
         kind = self.classes[cells_of(h, len(self.classes))].astype(np.uint64)
-        return np.sort(kind << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS))
+        own = np.sort(kind << np.uint64(HASH_BITS) | h >> np.uint64(64 - HASH_BITS))
+        return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
 def frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
-    """The sketch: shingles in each cell, over all documents."""
+    """The sketch: shingles in each cell, over all documents. Single precision does, since only classes are made of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for raw in column_bytes(batch, "text"):
-                np.add.at(total, cells_of(shingles(raw, width), cells), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+                held.append(hashes(raw, width))
+                size += len(held[-1])
+                if size > 2 * cells:
+                    total += np.bincount(cells_of(np.concatenate(held), cells), minlength=cells)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(cells_of(np.concatenate(held), cells), minlength=cells)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["counts"])
 
-    return tree_sum(docs.mapInArrow(run, "counts binary"), np.int64, cells)
+    return tree_sum(docs.mapInArrow(run, "counts binary"), np.float32, cells).astype(float)
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
@@ -105,9 +115,9 @@ def needed(n, percent: int):
 SET = "doc_id long, n long, k1 long, k2 long, prefix array<long>"
 
 
-def set_keys(h: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed numbers."""
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype="<i8").tolist())
+def set_keys(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of ranked shingles, as two signed numbers."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), dtype="<i8").tolist())
 
 
 def prefixed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFrame:
@@ -118,11 +128,10 @@ def prefixed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
         for batch in batches:
             rows = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), column_bytes(batch, "text"), strict=True):
-                h = shingles(raw, width)
-                n = len(h)
+                own = shared.value.ranked(hashes(raw, width))
+                n = len(own)
                 # A partner has percent% of the size at least, so a shared shingle at place p leaves n - p >= n * percent / 100.
-                first = shared.value.ranked(h)[: n - -(-n * percent // 100) + 1]
-                rows.append((doc_id, n, *set_keys(h), first.view(np.int64)))
+                rows.append((doc_id, n, *set_keys(own), own[: n - -(-n * percent // 100) + 1].view(np.int64)))
             yield packed(rows, SET)
 
     return materialize(docs.mapInArrow(run, SET), "sets")
@@ -175,12 +184,12 @@ def segments(docs: DataFrame, wanted: DataFrame, order: Order, width: int, bits:
             asked = seen[(marks >> np.uint64(3)).astype(np.int64)] >> (marks & np.uint64(7)).astype(np.uint8) & 1
             texts = column_bytes(batch, "text")
             for i in np.flatnonzero(asked).tolist():
-                h = shingles(texts[i], width)
-                own, key = order.ranked(h), set_keys(h)
+                own = order.ranked(hashes(texts[i], width))
+                key = set_keys(own)
                 for f, part in enumerate(np.split(own, np.searchsorted(own, order.cuts))):
                     if len(part):
                         rows.append((*key, ids[i], f, part.view(np.int64)))
-                size += len(h)
+                size += len(own)
                 if size > PIECE:
                     yield packed(rows, schema)
                     rows, size = [], 0
@@ -231,20 +240,26 @@ def rest_pairs(own: DataFrame, percent: int) -> DataFrame:
     return ordered(met)
 
 
-def linked(found: DataFrame, parts: DataFrame, percent: int, stars: int = STARS) -> DataFrame:
+def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, stars: int = STARS) -> DataFrame:
     """(node, root) of nodes that have links, but for roots: components of all links among the nodes of `found` lists.
+    `sets_of` gives the segments of a column of nodes; it is asked once for each node that is in a pair.
 
     Stars link most of a dense group; then every pair of a list whose rows are in different components is compared, so
     no link between components is lost, however many stars there were.
     """
     roots = found.sparkSession.createDataFrame([], "node long, root long")
-    own, tried, turn = found.withColumn("root", F.col("node")), None, 0
+    own, tried, parts, turn = found.withColumn("root", F.col("node")), None, None, 0
     while True:
         pairs = star_pairs(own, percent, turn) if turn < stars else rest_pairs(own, percent)
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if parts is not None:
+            asked = asked.join(parts.select("node"), "node", "left_anti")
+        more = sets_of(asked)
+        parts = more if parts is None else parts.unionByName(more)
         new = materialize(verified(pairs, parts, percent), "links")
         some = not new.isEmpty()
         if some:
@@ -275,15 +290,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = able.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = lists(nodes, percent)
-    wanted = nodes.join(found.select("node").distinct(), "node", "left_semi").select("node", "k1", "k2", "first")
-    parts = segments(docs, wanted, order, width, FILTER_BITS)
-    roots = linked(found, parts, percent)
+    keys = materialize(sets.select("doc_id", "n", "k1", "k2"), "keys")
+    names = materialize(nodes.select("node", "k1", "k2", "first"), "names")
+    release(sets, nodes)  # no prefix is asked for any more
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return segments(docs, names.join(asked, "node", "left_semi"), order, width, FILTER_BITS)
+
+    roots = linked(found, sets_of, percent)
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    firsts = roots.join(nodes.select("node", "first"), "node").select(F.col("root").alias("a"), F.col("first").alias("b"), "node")
+    firsts = roots.join(names.select("node", "first"), "node").select(F.col("root").alias("a"), F.col("first").alias("b"), "node")
     low = with_least(firsts).select("node", "m")
-    of = nodes.join(low, "node", "left").select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.coalesce("m", "first").alias("component"))
+    of = names.join(low, "node", "left").select(F.col("k1").alias("of1"), F.col("k2").alias("of2"), F.coalesce("m", "first").alias("component"))
     # Read from a table, so that AQE can split a set with very many copies in the last join.
     of = materialize(of, "components")
-    rows = sets.select("doc_id", "n", "k1", "k2").join(of, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left")
+    rows = keys.join(of, (F.col("k1") == F.col("of1")) & (F.col("k2") == F.col("of2")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

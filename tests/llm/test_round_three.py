@@ -121,9 +121,9 @@ def test_jaccard_loses_no_link_however_many_stars(spark, stars, monkeypatch):
 def test_jaccard_pieces_order_and_empty(spark):
     rng = random.Random(2)
     for text in (" ".join(rng.choice(WORDS) for _ in range(300)).encode(), b" a  b\t c", b"", b"one"):
-        whole = jaccard.shingles(text)
+        whole = jaccard.hashes(text)
         for piece in (1, 5, 64):
-            assert (jaccard.shingles(text, piece=piece) == whole).all()
+            assert (jaccard.hashes(text, piece=piece) == whole).all()
     order = jaccard.Order(np.random.default_rng(1).integers(0, 1000, 256), 4)
     ranked = order.ranked(np.random.default_rng(2).integers(0, 2**63, 4000).astype(np.uint64))
     assert (np.diff(ranked.astype(float)) >= 0).all() and len(order.cuts) == 3 and (np.diff(order.cuts.astype(float)) >= 0).all()

@@ -24,7 +24,7 @@ from .substring import _M1, _rolled, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 #: Cells of the sketch, fragments of the order, and bits of the filter of documents whose sets are read again.
-CELLS, FRAGMENTS, FILTER_BITS = 1 << 21, 8, 1 << 26
+CELLS, FRAGMENTS, FILTER_BITS = 1 << 20, 8, 1 << 24
 #: A shingle is a number of HASH_BITS bits under the class of its frequency.
 HASH_BITS, CLASSES = 58, 32
 #: Bytes of text that are cut into words together.
@@ -134,7 +134,9 @@ def prefixed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
                 rows.append((doc_id, n, *set_keys(own), own[: n - -(-n * percent // 100) + 1].view(np.int64)))
             yield packed(rows, SET)
 
-    return materialize(docs.mapInArrow(run, SET), "sets")
+    out = materialize(docs.mapInArrow(run, SET), "sets")
+    shared.destroy()
+    return out
 
 
 def lists(nodes: DataFrame, percent: int) -> DataFrame:
@@ -197,7 +199,9 @@ def segments(docs: DataFrame, wanted: DataFrame, order: Order, width: int, bits:
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("mark")).mapInArrow(run, schema)
     found = found.join(wanted, ["k1", "k2", "first"]).groupBy("node", "fragment").agg(F.first("part").alias("part"))  # copies of a row are equal
-    return materialize(found, "segments")
+    out = materialize(found, "segments")
+    shared.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

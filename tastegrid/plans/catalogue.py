@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import dot
+from ..functions.permute import permuted_sql
 from ..operators import evaluate as ev
 from ..operators import models as m
 from ..operators.encode import id_index
@@ -271,8 +272,19 @@ unseen AS (
   LEFT JOIN (SELECT user_idx, item_idx, true AS seen FROM train UNION SELECT user_idx, item_idx, true FROM rel) s
     ON s.user_idx = p.user_idx AND s.item_idx = p.item_idx
   WHERE s.seen IS NULL),
-hashed AS (SELECT *, row_number() OVER (PARTITION BY user_idx ORDER BY md5('42:' || user_idx || ':' || item_idx), item_idx) AS n FROM unseen),
-neg AS (SELECT user_idx, item_idx, CAST(n AS BIGINT) AS cand_pos FROM hashed WHERE n <= 99 AND user_idx IN (SELECT user_idx FROM hashed WHERE n = 99)),
+had AS (SELECT user_idx, item_idx FROM train WHERE user_idx IN (SELECT user_idx FROM chosen) UNION SELECT user_idx, item_idx FROM rel),
+sized AS (SELECT max(item_idx) + 1 AS size FROM train),
+sides AS (
+  SELECT size, a, (size + a - 1) // a AS b FROM (SELECT size, unnest(range(CAST(greatest(1, floor(sqrt(size)) // 2) AS BIGINT), CAST(greatest(1, floor(sqrt(size))) AS BIGINT) + 1)) AS a FROM sized)
+  ORDER BY a * ((size + a - 1) // a), a DESC LIMIT 1),
+places AS (
+  SELECT user_idx, a, b, size, unnest(range(least(a * b, 99 + a * b - size + coalesce(d, 0)))) AS p
+  FROM chosen LEFT JOIN (SELECT user_idx, count(*) AS d FROM had GROUP BY user_idx) USING (user_idx), sides),
+drawn AS ({permuted_sql("places")}),
+hashed AS (
+  SELECT user_idx, item_idx, row_number() OVER (PARTITION BY user_idx ORDER BY p) AS n FROM drawn
+  WHERE item_idx < size AND NOT EXISTS (SELECT 1 FROM had h WHERE h.user_idx = drawn.user_idx AND h.item_idx = drawn.item_idx)),
+neg AS (SELECT user_idx, item_idx, CAST(n AS BIGINT) AS cand_pos FROM (SELECT *, max(n) OVER (PARTITION BY user_idx) AS most FROM hashed) WHERE n <= 99 AND most >= 99),
 cand AS (
   SELECT user_idx, item_idx, CAST(cand_pos AS BIGINT) AS cand_pos, true AS is_rel FROM rel WHERE user_idx IN (SELECT user_idx FROM neg)
   UNION ALL SELECT user_idx, item_idx, cand_pos, false FROM neg)"""

@@ -297,3 +297,41 @@ def test_unseen_items_need_no_product(spark, lowrank):
     assert sorted((r.user_idx, r.item_idx) for r in found.collect()) == want
     plan = ev.ranking_candidates(train, test)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 97, 1000, 1009])
+def test_permuted_is_a_bijection(spark, size):
+    from tastegrid.functions.permute import grid, permuted
+
+    a, b = grid(size)
+    assert a * b - size < max(1, a)
+    rows = spark.range(a * b).crossJoin(spark.createDataFrame([(0,), (1,), (2_000_000_000,)], "key long"))
+    got = rows.select("key", permuted(F.col("id"), F.col("key"), (a, b)).alias("v")).toPandas()
+    orders = [tuple(x["v"]) for _, x in got.groupby("key")]
+    assert all(sorted(x) == list(range(a * b)) for x in orders)
+    assert size < 90 or len(set(orders)) == 3
+
+
+def test_sampled_negatives_are_unseen_and_lazy(spark, lowrank):
+    """Each user's first n unseen items in the user's own order; users without so many are left out."""
+    train, _, test = time_split(lowrank)
+    users = spark.createDataFrame([(0,), (0,), (5,), (59,), (700,)], "user_idx int")
+    more = spark.createDataFrame([(0, 3), (700, 1), (700, 1)], "user_idx int, item_idx int")
+    size = train.agg(F.max("item_idx")).first()[0] + 1
+    seen = {(r.user_idx, r.item_idx) for r in train.collect()} | {(0, 3), (700, 1)}
+    free = {u: size - sum(x == u for x, _ in seen) for u in (0, 5, 59, 700)}
+    for n in (1, min(free.values()), min(free.values()) + 1, size - 1, size):
+        got = ev.sampled_negatives(users, train, more, n).toPandas()
+        assert sorted(got["user_idx"].unique()) == sorted(u for u in free if free[u] >= n)
+        for u, own in got.groupby("user_idx"):
+            assert sorted(own["neg_pos"]) == list(range(n)) and own["item_idx"].is_unique
+            assert not {(u, i) for i in own["item_idx"]} & seen and own["item_idx"].between(0, size - 1).all()
+    few, many = (ev.sampled_negatives(users, train, more, n).orderBy("user_idx", "neg_pos").collect() for n in (2, 4))
+    assert [(r.user_idx, r.item_idx) for r in many if r.neg_pos < 2] == [(r.user_idx, r.item_idx) for r in few if r.user_idx in {x.user_idx for x in many}]
+
+
+def test_unseen_items_in_blocks(spark, lowrank, monkeypatch):
+    train, _, test = time_split(lowrank)
+    want = sorted(map(tuple, ev.unseen_items(test, train, test).collect()))
+    monkeypatch.setattr(ev, "ITEM_BLOCK", 7)
+    assert sorted(map(tuple, ev.unseen_items(test, train, test).collect())) == want

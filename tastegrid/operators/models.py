@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clip, dot, or_zero
+from .als import implicit_als
 
 
 class Recommender(ABC):
@@ -65,23 +66,31 @@ class ALSModel(Recommender):
     """Biases plus a factorisation of the residuals. `implicit` feedback takes the sign of a residual as preference
     and its size as confidence; `explicit` fits the residuals themselves. Unseen ids add 0."""
 
-    def __init__(self, factors: int = 50, iterations: int = 20, regularization: float = 0.1, feedback: str = "implicit", seed: int = 42):
+    def __init__(self, factors: int = 50, iterations: int = 20, regularization: float = 0.1, feedback: str = "implicit", seed: int = 42, workers: int | None = None):
         if feedback not in ("implicit", "explicit"):
             raise ValueError("feedback is implicit or explicit")
         self.factors, self.iterations, self.regularization, self.feedback, self.seed = factors, iterations, regularization, feedback, seed
+        self.workers = workers
 
     def fit(self, train: DataFrame) -> ALSModel:
+        self.bias = BiasModel().fit(train)
+        self.matrix = residual_matrix(train, self.bias).cache()
+        if self.feedback == "implicit":
+            options = self.factors, self.iterations, self.regularization, self.seed, self.workers
+            self.user_factors, self.item_factors = implicit_als(self.matrix, *options)
+            return self
         from pyspark.ml.recommendation import ALS
 
-        self.bias = BiasModel().fit(train)
         # ALS reads its input often and asks for the same order each time.
-        self.matrix = residual_matrix(train, self.bias).repartition("user_idx").sortWithinPartitions("user_idx", "item_idx").cache()
-        als = ALS(rank=self.factors, maxIter=self.iterations, regParam=self.regularization, implicitPrefs=self.feedback == "implicit", userCol="user_idx", itemCol="item_idx", ratingCol="v", coldStartStrategy="nan", seed=self.seed)
-        self.model = als.fit(self.matrix)
+        rows = self.matrix.repartition("user_idx").sortWithinPartitions("user_idx", "item_idx").cache()
+        als = ALS(rank=self.factors, maxIter=self.iterations, regParam=self.regularization, userCol="user_idx", itemCol="item_idx", ratingCol="v", coldStartStrategy="nan", seed=self.seed)
+        model = als.fit(rows)
+        self.user_factors, self.item_factors = model.userFactors, model.itemFactors
         return self
 
     def _factors(self) -> tuple[DataFrame, DataFrame]:
-        return self.model.userFactors.select(F.col("id").alias("user_idx"), F.col("features").alias("_u")), self.model.itemFactors.select(F.col("id").alias("item_idx"), F.col("features").alias("_i"))
+        users = self.user_factors.select(F.col("id").cast("int").alias("user_idx"), F.col("features").alias("_u"))
+        return users, self.item_factors.select(F.col("id").cast("int").alias("item_idx"), F.col("features").alias("_i"))
 
     def predict(self, df: DataFrame) -> DataFrame:
         users, items = self._factors()

@@ -187,31 +187,64 @@ def test_similar_items_of_the_whole_catalogue(spark):
     assert {i for i, _ in got} > {r.i for r in QUERIES["item_similarity_topk"](spark, d).select("i").distinct().collect()}
 
 
-def test_implicit_als_solves_its_equations(spark, lowrank):
-    """Given the last item factors, each user's factors solve the weighted least squares of preferences and confidences."""
-    train, _, _ = time_split(lowrank)
-    als = m.ALSModel(factors=5, iterations=4, regularization=0.1).fit(train)
-    y = {r.id: np.asarray(r.features) for r in als.model.itemFactors.collect()}
-    own = {}
-    for r in als.matrix.collect():
-        own.setdefault(r.user_idx, []).append((r.item_idx, r.v))
-    gram = sum(np.outer(v, v) for v in y.values())
-    for r in als.model.userFactors.collect():
-        a, b, positive = gram.copy(), np.zeros(5), 0
-        for i, v in own[r.id]:
-            a += abs(v) * np.outer(y[i], y[i])
-            if v > 0:
-                b += (1 + abs(v)) * y[i]
-                positive += 1
-        want = np.linalg.solve(a + 0.1 * positive * np.eye(5), b)
-        assert np.abs(want - np.asarray(r.features)).max() < 1e-3 * max(1, np.abs(want).max())
-    seen = {i for i, _ in own[3]}
-    assert not seen & {r.item_idx for r in als.recommend(3, 40).collect()}
+def plain_als(matrix, factors, iterations, regularization, seed):
+    """Implicit ALS on whole matrices, a user or item at a time: {id: factors} of users and of items."""
+    ids = [sorted({r[k] for r in matrix}) for k in (0, 1)]
+    x = [{i: np.random.default_rng([seed, side, i // 64]).random((64, factors))[i % 64] * 0.01 for i in ids[side]} for side in (0, 1)]
+    own = [{}, {}]
+    for u, i, v in matrix:
+        own[0].setdefault(u, []).append((i, v))
+        own[1].setdefault(i, []).append((u, v))
+    for _ in range(iterations):
+        for side in (0, 1):
+            others = x[1 - side]
+            gram = sum(np.outer(y, y) for y in others.values()) + regularization * np.eye(factors)
+            for i, rated in own[side].items():
+                a = gram + sum((abs(v) - 1) * np.outer(others[j], others[j]) for j, v in rated)
+                b = sum((max(v, 0) * others[j] for j, v in rated), np.zeros(factors))
+                at = x[side][i]
+                r = b - a @ at
+                p, old = r, r @ r
+                for _ in range(3):
+                    if old <= 1e-20:
+                        break
+                    alpha = old / (p @ a @ p)
+                    at, r = at + alpha * p, r - alpha * (a @ p)
+                    p, old = r + r @ r / old * p, r @ r
+                x[side][i] = at
+    return x
+
+
+@pytest.mark.parametrize("workers", [1, 3, 8])
+def test_implicit_als_equals_arrays(spark, lowrank, workers):
+    """Factors, predictions and recommendations equal a run on arrays to 6 places, also where a user lies over tasks."""
+    heavy = spark.createDataFrame([(3, i, 3.0 + i % 2, 10_000 + i) for i in range(400, 700)], "user_idx int, item_idx int, rating double, timestamp long")
+    train, val, _ = time_split(lowrank)
+    train = train.select("user_idx", "item_idx", "rating", "timestamp").unionByName(heavy).cache()
+    als = m.ALSModel(factors=5, iterations=6, regularization=0.1, workers=workers).fit(train)
+    matrix = [(r.user_idx, r.item_idx, r.v) for r in als.matrix.collect()]
+    users, items = plain_als(matrix, 5, 6, 0.1, 42)
+    for want, got in ((users, als.user_factors), (items, als.item_factors)):
+        got = {r.id: np.asarray(r.features) for r in got.collect()}
+        assert got.keys() == want.keys() and all(np.abs(got[k] - want[k]).max() < 1e-6 for k in want)
+    base = {(r.user_idx, r.item_idx): r._base for r in als.bias.with_base(val).collect()}
+    for r in als.predict(val).collect():
+        dot = users[r.user_idx] @ items[r.item_idx] if r.user_idx in users and r.item_idx in items else 0.0
+        assert r.prediction == pytest.approx(min(5.0, max(0.5, base[r.user_idx, r.item_idx] + dot)), abs=1e-6)
+    seen = {i for u, i, _ in matrix if u == 5}
+    want = sorted(((users[5] @ y, i) for i, y in items.items() if i not in seen), reverse=True)[:40]
+    assert [(round(r.score, 6), r.item_idx) for r in als.recommend(5, 40).collect()] == [(round(s, 6), i) for s, i in want]
     # Ids without factors add nothing to the biases.
-    odd = spark.createDataFrame([(3, 0), (999, 0), (3, 999)], "user_idx int, item_idx int")
+    odd = spark.createDataFrame([(3, 0), (9999, 0), (3, 9999)], "user_idx int, item_idx int")
     base = {(r.user_idx, r.item_idx): r._base for r in als.bias.with_base(odd).collect()}
     got = {(r.user_idx, r.item_idx): r.prediction for r in als.predict(odd).collect()}
-    assert all(got[k] == pytest.approx(min(5.0, max(0.5, base[k]))) for k in ((999, 0), (3, 999)))
+    assert all(got[k] == pytest.approx(min(5.0, max(0.5, base[k]))) for k in ((9999, 0), (3, 9999)))
+
+
+def test_als_of_nothing(spark):
+    empty = spark.createDataFrame([], "user_idx int, item_idx int, rating double")
+    als = m.ALSModel(factors=3, iterations=1).fit(empty)
+    assert als.user_factors.count() == 0 and als.predict(empty).count() == 0
 
 
 def plain_training(u, i, r, emb, layers, epochs, lr, batch, seed):

@@ -368,3 +368,30 @@ def test_unseen_items_in_blocks(spark, lowrank, monkeypatch):
     want = sorted(map(tuple, ev.unseen_items(test, train, test).collect()))
     monkeypatch.setattr(ev, "ITEM_BLOCK", 7)
     assert sorted(map(tuple, ev.unseen_items(test, train, test).collect())) == want
+
+
+def test_long_ids_are_taken_in_pieces(monkeypatch):
+    """What doesn't fit in a piece is summed in pieces, with the same factors."""
+    from tastegrid.operators import als
+
+    class Alone:
+        rank, size = 0, 1
+
+        def exchange(self, messages):
+            return list(messages)
+
+    monkeypatch.setattr(als, "CHUNK", 20)
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 9, 150), rng.integers(0, 30, 150), strict=True)} | {(2, i) for i in range(30)})
+    matrix = [(u, i, float(rng.normal())) for u, i in pairs]
+    u, i, v = (np.array(c) for c in zip(*matrix, strict=True))
+    users, items = als.Half(Alone(), u, i, v, 0, 4, 7), als.Half(Alone(), i, u, v, 1, 4, 7)
+    users.meet(items)
+    items.meet(users)
+    assert len(users.long) and len(users.groups)
+    for _ in range(3):
+        users.step(items, 0.1)
+        items.step(users, 0.1)
+    want = plain_als(matrix, 4, 3, 0.1, 7)
+    for half, own in zip((users, items), want, strict=True):
+        assert all(np.abs(x - own[k]).max() < 1e-6 for k, x in zip(half.ids.tolist(), half.x, strict=True))

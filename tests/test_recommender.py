@@ -380,7 +380,7 @@ def test_long_ids_are_taken_in_pieces(monkeypatch):
         def exchange(self, messages):
             return list(messages)
 
-    monkeypatch.setattr(als, "CHUNK", 20)
+    monkeypatch.setattr(als, "CHUNK", 80)
     rng = np.random.default_rng(4)
     pairs = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 9, 150), rng.integers(0, 30, 150), strict=True)} | {(2, i) for i in range(30)})
     matrix = [(u, i, float(rng.normal())) for u, i in pairs]
@@ -388,7 +388,7 @@ def test_long_ids_are_taken_in_pieces(monkeypatch):
     users, items = als.Half(Alone(), u, i, v, 0, 4, 7), als.Half(Alone(), i, u, v, 1, 4, 7)
     users.meet(items)
     items.meet(users)
-    assert len(users.long) and len(users.groups)
+    assert 0 < len(users.long) < len(users.ids) and len(users.groups) and len(items.groups) > 1
     for _ in range(3):
         users.step(items, 0.1)
         items.step(users, 0.1)

@@ -29,8 +29,8 @@ CELLS, FRAGMENTS, FILTER_BITS = 1 << 20, 8, 1 << 24
 HASH_BITS, CLASSES = 58, 32
 #: Bytes of text that are cut into words together.
 PIECE = 1 << 20
-#: Rounds of stars at most before what is left is compared pair by pair.
-STARS = 2
+#: Rounds of stars at most before what is left is compared pair by pair; more pay where lists are long and no row of theirs is near most others.
+STARS = 1
 
 
 def hashes(raw: bytes | None, width: int = SHINGLE, piece: int = PIECE) -> np.ndarray:
@@ -140,13 +140,13 @@ def prefixed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
 
 
 def lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, place: nodes by prefix shingle, where at least one partner is long enough for it."""
+    """token, node, n, place, many: nodes by prefix shingle, where at least one partner is long enough for it."""
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     many = rows.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1")
     rows = rows.join(many, "token")
     smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     able = (F.col("n") - F.col("place")) * (100 + percent) >= needed(F.col("n") + smallest, percent)
-    return materialize(rows.where(able).select("token", "node", "n", "place"), "lists")
+    return materialize(rows.where(able).select("token", "node", "n", "place", "many"), "lists")
 
 
 def fits(percent: int, a: str = "", b: str = "other_"):
@@ -198,7 +198,9 @@ def segments(docs: DataFrame, wanted: DataFrame, order: Order, width: int, bits:
             yield packed(rows, schema)
 
     found = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("mark")).mapInArrow(run, schema)
-    found = found.join(wanted, ["k1", "k2", "first"]).groupBy("node", "fragment").agg(F.first("part").alias("part"))  # copies of a row are equal
+    # Copies of a row are equal; the keys of the join are keys here too, so that nothing is shuffled again.
+    keys = ["k1", "k2", "first"]
+    found = found.join(wanted, keys).groupBy(*keys, "node", "fragment").agg(F.first("part").alias("part")).drop(*keys)
     out = materialize(found, "segments")
     shared.destroy()
     return out
@@ -271,6 +273,7 @@ def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
             roots = components(known.unionByName(new))
             named = roots.select("node", F.col("root").alias("its_root"))
             own = found.join(named, "node", "left").select(*found.columns, F.coalesce("its_root", "node").alias("root"))
+        own = own.where("many > 2")  # a star has all pairs of two rows
         if turn == stars:
             return roots
         turn = turn + 1 if some else stars

@@ -140,19 +140,31 @@ def prefixed(docs: DataFrame, order: Order, width: int, percent: int) -> DataFra
 
 
 def lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, place, many: nodes by prefix shingle, where at least one partner is long enough for it."""
+    """token, node, n, place: nodes by prefix shingle, where at least one partner is long enough for it."""
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     many = rows.groupBy("token").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1")
     rows = rows.join(many, "token")
-    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    able = (F.col("n") - F.col("place")) * (100 + percent) >= needed(F.col("n") + smallest, percent)
-    return materialize(rows.where(able).select("token", "node", "n", "place", "many"), "lists")
+    able = F.col("n") - F.col("place") >= rest_needed(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), percent)
+    return materialize(rows.where(able).select("token", "node", "n", "place"), "lists")
 
 
-def fits(percent: int, a: str = "", b: str = "other_"):
-    """Whether two rows of one list can still reach the overlap they need, if this is the first shingle they share."""
-    n, m, p, q = (F.col(f"{x}{c}") for c in ("n", "place") for x in (a, b))
-    return F.least(n - p, m - q) * (100 + percent) >= needed(n + m, percent)
+#: Shingles that the prefixes of a pair share at least before its sets are compared, where their sizes allow it.
+SHARED = 16
+
+
+def overlap(n, m, percent: int):
+    """Shingles that sets of `n` and `m` must share."""
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def rest_needed(n, m, percent: int):
+    """Shingles that must be left from a place on for it to count among those the prefixes share.
+
+    Sets that share `overlap` have at least k shingles in common among the first n - overlap + k of each, for any k that
+    leaves these prefixes within the stored ones: by the set whose prefix ends first, all but n - (its length) of the
+    common shingles are in both. k is SHARED, or as many as the stored prefixes allow.
+    """
+    return F.greatest(overlap(n, m, percent) - (SHARED - 1), F.ceil(F.greatest(n, m) * percent / 100))
 
 
 def filter_bits(ids: DataFrame, bits: int) -> np.ndarray:
@@ -215,13 +227,20 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("shared") * (100 + percent) >= needed(F.col("n"), percent)).select("a", "b")
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b, n) with a > b."""
-    return pairs.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"), (F.col("n") + F.col("other_n")).alias("n")).distinct()
+def candidates(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n: sizes of both together) with a > b, of rows of lists that meet, by what their prefixes share."""
+    n, m, p, q = (F.col(f"{x}{c}") for c in ("n", "place") for x in ("", "other_"))
+    alike = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    met = met.where(alike & (F.least(n - p, m - q) >= rest_needed(n, m, percent)))
+    pair = [F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"), (n + m).alias("n")]
+    shared = overlap(n, m, percent) - rest_needed(n, m, percent) + 1
+    found = met.select(*pair, shared.alias("least")).groupBy("a", "b", "n", "least").count()
+    return found.where(F.col("count") >= F.col("least")).select("a", "b", "n")
 
 
 def star_pairs(own: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each list's rows outside its largest component with one row of that component, which changes with `turn`.
+    """Each list's rows outside its largest component with one row of that component, which changes with `turn`. Pairs that
+    share enough by lists with the same center only; others are left for `rest_pairs`.
 
     The first is the row with the fewest rarer shingles, which is nearest to what the list's texts have in common.
     """
@@ -231,7 +250,7 @@ def star_pairs(own: DataFrame, percent: int, turn: int) -> DataFrame:
     largest = by_root.groupBy("token").agg(F.max(F.struct("many", -F.col("center.key0"), "root", "center")).alias("top"), F.count("*").alias("roots"))
     centers = largest.where("roots > 1").select("token", F.col("top.root").alias("top_root"), "top.center.*")
     met = own.join(centers, "token").where(F.col("root") != F.col("top_root"))
-    return ordered(met.where(fits(percent)))
+    return candidates(met, percent)
 
 
 def rest_pairs(own: DataFrame, percent: int) -> DataFrame:
@@ -242,8 +261,8 @@ def rest_pairs(own: DataFrame, percent: int) -> DataFrame:
     here = here.withColumn("outside", F.col("root") != F.col("top_root")).drop("top_root")
     there = here.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "root", "outside")])
     either = (~F.col("other_outside")) | (F.col("node") < F.col("other_node"))
-    met = here.where("outside").join(there, "token").where((F.col("root") != F.col("other_root")) & either & fits(percent))
-    return ordered(met)
+    # A pair in different components meets once in each list that has both, so its shared shingles are all counted.
+    return candidates(here.where("outside").join(there, "token").where((F.col("root") != F.col("other_root")) & either), percent)
 
 
 def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, stars: int = STARS) -> DataFrame:
@@ -273,7 +292,6 @@ def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
             roots = components(known.unionByName(new))
             named = roots.select("node", F.col("root").alias("its_root"))
             own = found.join(named, "node", "left").select(*found.columns, F.coalesce("its_root", "node").alias("root"))
-        own = own.where("many > 2")  # a star has all pairs of two rows
         if turn == stars:
             return roots
         turn = turn + 1 if some else stars

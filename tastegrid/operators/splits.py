@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.textfiles import write_ordered_text
 from .encode import number_rows
 
 
@@ -21,12 +24,13 @@ def time_split(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ranked.where("rank >= 2"), ranked.where("rank = 1"), ranked.where("rank = 0")
 
 
-def kfold(df: DataFrame, keys: list, k: int = 5, mode: str = "exact") -> DataFrame:
+def kfold(df: DataFrame, keys: list, k: int = 5, mode: str = "exact", place: str | None = None) -> DataFrame:
     """`df` with fold (1..k) and part (train or test): contiguous folds in the order of `keys`.
 
     The last fold's test part also has the rows that are left over. `exact` trains on the complement; `compat`
     takes, for folds before the last, the rows before the test part, the last (k - fold) * size rows and the rest
-    once more, and for the last fold the first (k - 1) * size rows, so that rows may be left out or doubled.
+    once more, and for the last fold the first (k - 1) * size rows, so that rows may be left out or doubled. `place`
+    names a column to add, (run, row), that orders the rows of a fold's part as these runs follow each other.
     """
     if mode not in ("exact", "compat"):
         raise ValueError("mode is exact or compat")
@@ -38,7 +42,7 @@ def kfold(df: DataFrame, keys: list, k: int = 5, mode: str = "exact") -> DataFra
     for i in range(1, k + 1):
         test = n.between((i - 1) * size + 1, i * size)
         if i == k:
-            test = test | (n > total - rest)
+            test = test | (n > total - rest)  # behind the fold's own rows as they are behind it in the file
         takes = [(test, "test")]
         if mode == "exact":
             takes.append((~test, "train"))
@@ -46,8 +50,11 @@ def kfold(df: DataFrame, keys: list, k: int = 5, mode: str = "exact") -> DataFra
             takes.append((n <= (i - 1) * size, "train"))
             if i < k:
                 takes += [(n > total - (k - i) * size, "train"), (n > total - rest, "train")]
-        parts += [F.when(cond, F.struct(F.lit(i).alias("fold"), F.lit(part).alias("part"))) for cond, part in takes]
+        for run, (cond, part) in enumerate(takes):
+            parts.append(F.when(cond, F.struct(F.lit(i).alias("fold"), F.lit(part).alias("part"), F.lit(run).alias("run"))))
     rows = placed.withColumn("_in", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())))
+    if place is not None:
+        rows = rows.withColumn(place, F.struct("_in.run", n.alias("row")))
     return rows.select("*", "_in.fold", "_in.part").drop("_in", "_n")
 
 
@@ -67,3 +74,22 @@ def allbut(df: DataFrame, keys: list, start: int, stop: int, max_test: int = 0)
         chosen = number_rows(placed.where("_test"), keys, "_n").withColumn("_test", F.col("_n") < max_test).drop("_n")
         placed = placed.where("not _test").unionByName(chosen)
     return placed.withColumn("part", F.when(F.col("_test"), "test").otherwise("train")).drop("_o", "_test")
+
+
+def split_files(lines: DataFrame, path: str, mode: str = "compat", k: int = 5) -> None:
+    """Text files of the lines (pos, line) of a `::`-separated file: r1.train, r1.test .. rk.train, rk.test from `kfold`,
+    and ra, rb .train and .test, which hold each user's first ten and next ten rows out.
+
+    In mode `compat` they are, byte for byte, what the usual split script makes of the file. A user is what stands before
+    the first separator.
+    """
+    numbered = number_rows(lines, ["pos"], "n", start=1).select("n", "line")
+    folds = kfold(numbered, ["n"], k, mode, place="place")
+    files = [folds.select(F.concat(F.lit("r"), F.col("fold").cast("string"), F.lit("."), "part").alias("name"), "place", "line")]
+    users = numbered.withColumn("userId", F.substring_index(F.decode("line", "ISO-8859-1"), "::", 1))
+    for name, start, stop in (("ra", 1, 10), ("rb", 11, 20)):
+        held = allbut(users, ["n"], start, stop)
+        place = F.struct(F.lit(0).alias("run"), F.col("n").alias("row")).alias("place")
+        files.append(held.select(F.concat(F.lit(f"{name}."), "part").alias("name"), place, "line"))
+    names = [f"{base}.{part}" for base in [*(f"r{i}" for i in range(1, k + 1)), "ra", "rb"] for part in ("train", "test")]
+    write_ordered_text(reduce(DataFrame.unionByName, files), path, names)

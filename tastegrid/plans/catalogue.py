@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,9 @@ from ..operators import evaluate as ev
 from ..operators import models as m
 from ..operators.encode import id_index
 from ..operators.neural import Net, NeuralModel, perceptron_scores
-from ..operators.splits import allbut, kfold, time_split, with_rank
+from ..operators.splits import allbut, kfold, split_files, time_split, with_rank
+from ..session import stored_dir
+from ..sources.textfiles import write_ordered_text
 
 FILE_ORDER = ["pos", "userId", "timestamp", "rating"]
 #: The user whose recommendations are shown, and one that no table has.
@@ -65,6 +68,30 @@ def _with(split_part: str, f: Callable) -> Callable:
     return query
 
 
+def _ratings_file(spark: SparkSession, d: str) -> str:
+    """A folder with the interactions as `ratings.dat`, in file order."""
+    rows, path = sources.interactions(spark, d), f"{stored_dir(spark)}/dat-{uuid.uuid4().hex}"
+    line = F.concat_ws("::", "userId", "movieId", F.col("rating").cast("int"), "timestamp")
+    write_ordered_text(rows.select(F.lit("ratings.dat").alias("name"), F.struct(*FILE_ORDER).alias("place"), line.alias("line")), path, ["ratings.dat"])
+    return path
+
+
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The interactions written as a `::` file and loaded; `start` is the byte where a line begins."""
+    rows = sources.load_ratings(spark, _ratings_file(spark, d))
+    long = [F.col(c).cast("long").alias(c) for c in ("user_idx", "item_idx")]
+    return rows.select(F.col("userId").alias("user_id"), F.col("movieId").alias("item_id"), "rating", F.col("timestamp").alias("ts"), *long, F.col("pos.offset").alias("start"))
+
+
+def _split_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the split script makes of the interactions, read back: each line and the byte where it begins."""
+    path = _ratings_file(spark, d)
+    split_files(sources.read_lines(spark, f"{path}/ratings.dat"), f"{path}/split")
+    lines = sources.read_lines(spark, f"{path}/split")
+    name = F.substring_index("pos.file", "/", -1).alias("name")
+    return lines.select(name, F.col("pos.offset").alias("start"), F.col("line").cast("string").alias("line"))
+
+
 def _bias(train: DataFrame, side: str) -> DataFrame:
     found = getattr(m.BiasModel().fit(train), f"{side}_bias")
     return found.select(F.col(f"{side}_idx").cast("long").alias(f"{side}_idx"), F.round(f"{side}_bias", 6).alias("bias"))
@@ -187,6 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allbut_1_10": _allbut(1, 10, 0),
     "allbut_11_20": _allbut(11, 20, 0),
     "allbut_capped": _allbut(1, 10, 1000),
+    "loaded_ratings": _loaded,
+    "split_files": _split_files,
     "global_mean": _with("val", lambda train, val: m.GlobalMean().fit(train).predict(val).groupBy(F.round("prediction", 6).alias("prediction")).agg(F.count("*").alias("n"))),
     "user_bias": _with("train", lambda train, _: _bias(train, "user")),
     "item_bias": _with("train", lambda train, _: _bias(train, "item")),
@@ -310,6 +339,20 @@ def _allbut_sql(start: int, stop: int, cap: int) -> str:
     return f"WITH {_INTER}, nthed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, l, p, user_id, ts, rating) AS nth FROM inter), counted AS (SELECT *, {count} AS so_far FROM nthed) SELECT {_ROW}, CASE WHEN nth BETWEEN {start} AND {stop}{capped} THEN 'test' ELSE 'train' END AS part FROM counted"
 
 
+_LINES = f"{_NUMBERED}, lines AS (SELECT *, user_id || '::' || item_id || '::' || CAST(rating AS INT) || '::' || ts AS line FROM numbered)"
+_START = "CAST(sum(strlen(line) + 1) OVER ({}ORDER BY {} ROWS UNBOUNDED PRECEDING) - strlen(line) - 1 AS BIGINT) AS start"
+_SPLIT_FILES = f"""WITH {_LINES}, by_fold AS (SELECT fold, n, s, rest, total, line FROM lines JOIN sized USING (n, total)),
+nthed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n) AS nth FROM lines),
+placed AS (
+  SELECT 'r' || fold || '.test' AS name, 0 AS run, n, line FROM by_fold WHERE {_IS_TEST}
+  UNION ALL SELECT 'r' || fold || '.train', 1, n, line FROM by_fold WHERE n <= (fold - 1) * s
+  UNION ALL SELECT 'r' || fold || '.train', 2, n, line FROM by_fold WHERE fold < 5 AND n > total - (5 - fold) * s
+  UNION ALL SELECT 'r' || fold || '.train', 3, n, line FROM by_fold WHERE fold < 5 AND n > total - rest
+  UNION ALL SELECT CASE WHEN nth BETWEEN 1 AND 10 THEN 'ra.test' ELSE 'ra.train' END, 0, n, line FROM nthed
+  UNION ALL SELECT CASE WHEN nth BETWEEN 11 AND 20 THEN 'rb.test' ELSE 'rb.train' END, 0, n, line FROM nthed)
+SELECT name, {_START.format("PARTITION BY name ", "run, n")}, line FROM placed"""
+
+
 def _top_sql(ctes: str, scored: str, prediction: str) -> str:
     return f"""WITH {ctes},
 me AS (SELECT DISTINCT user_idx FROM train WHERE user_id = {USER}),
@@ -338,6 +381,9 @@ ORACLE_SQL: dict[str, str] = {
     "allbut_1_10": _allbut_sql(1, 10, 0),
     "allbut_11_20": _allbut_sql(11, 20, 0),
     "allbut_capped": _allbut_sql(1, 10, 1000),
+    "loaded_ratings": f"""WITH {_LINES.replace(_INTER, _RANKED, 1)}
+SELECT user_id, item_id, rating, ts, CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, {_START.format("", "n")} FROM lines JOIN users_i USING (user_id) JOIN items_i USING (item_id)""",
+    "split_files": _SPLIT_FILES,
     "global_mean": f"WITH {_BIAS} SELECT round((SELECT mu FROM mu), 6) AS prediction, count(*) AS n FROM val",
     "user_bias": f"WITH {_BIAS} SELECT CAST(user_idx AS BIGINT) AS user_idx, round(b, 6) AS bias FROM ub",
     "item_bias": f"WITH {_BIAS} SELECT CAST(item_idx AS BIGINT) AS item_idx, round(b, 6) AS bias FROM ib",

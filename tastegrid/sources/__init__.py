@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.encode import with_dense_index
+from .delimited import read_delimited, read_lines, rejected_lines
+
+__all__ = ["interactions", "items", "load_10m", "load_1m", "load_ratings", "read_delimited", "read_lines", "rejected_lines", "tags", "users"]
 
 RATINGS = "userId long, movieId long, rating double, timestamp long"
 MOVIES = "movieId long, title string, genres string"
@@ -14,32 +16,20 @@ USERS = "userId long, gender string, age int, occupation int, zip string"
 TAGS = "userId long, movieId long, tag string, timestamp long"
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8", position: bool = False) -> DataFrame:
-    """A `::`-separated file without header or quoting; `NA` is null, blank lines are skipped.
-
-    `position` adds `pos`, which sorts as the lines of the file do: file, block, row within the block.
-    """
-    typed = T.StructType.fromDDL(schema)
-    reader = spark.read.schema(typed).option("sep", "::").option("quote", "").option("nullValue", "NA").option("encoding", encoding).option("mode", "PERMISSIVE")
-    df = reader.csv(path)
-    if not position:
-        return df
-    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("pos"))
-
-
-def _ratings(spark: SparkSession, path: str) -> DataFrame:
+def load_ratings(spark: SparkSession, path: str) -> DataFrame:
+    """`ratings.dat` of a folder with pos, user_idx and item_idx; rows without a user or an item are left out."""
     df = read_delimited(spark, f"{path}/ratings.dat", RATINGS, position=True).where("userId is not null and movieId is not null")
     return with_dense_index(with_dense_index(df, "userId", "user_idx"), "movieId", "item_idx")
 
 
 def load_1m(spark: SparkSession, path: str = "ml-1m") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ratings, movies, users); movie titles are Latin-1. Ratings carry pos, user_idx and item_idx."""
-    return _ratings(spark, path), read_delimited(spark, f"{path}/movies.dat", MOVIES, "ISO-8859-1"), read_delimited(spark, f"{path}/users.dat", USERS)
+    return load_ratings(spark, path), read_delimited(spark, f"{path}/movies.dat", MOVIES, "ISO-8859-1"), read_delimited(spark, f"{path}/users.dat", USERS)
 
 
 def load_10m(spark: SparkSession, path: str = "ml-10M100K") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ratings, movies, tags), all UTF-8, with half-star ratings."""
-    return _ratings(spark, path), read_delimited(spark, f"{path}/movies.dat", MOVIES), read_delimited(spark, f"{path}/tags.dat", TAGS)
+    return load_ratings(spark, path), read_delimited(spark, f"{path}/movies.dat", MOVIES), read_delimited(spark, f"{path}/tags.dat", TAGS)
 
 
 def interactions(spark: SparkSession, sf_dir: str, half_stars: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-made fixtures and properties of the splits, models, metrics and readers."""
 
+import io
 import math
 
 import numpy as np
@@ -12,8 +13,9 @@ from tastegrid.operators import evaluate as ev
 from tastegrid.operators import models as m
 from tastegrid.operators.encode import with_dense_index
 from tastegrid.operators.neural import Net, NeuralModel
-from tastegrid.operators.splits import allbut, kfold, time_split, write_folds
+from tastegrid.operators.splits import allbut, kfold, split_files, time_split, write_folds
 from tastegrid.plans.catalogue import QUERIES
+from tastegrid.sources.delimited import whole_lines
 
 ROWS = "userId long, movieId long, rating double, timestamp long, pos long"
 
@@ -395,3 +397,76 @@ def test_long_ids_are_taken_in_pieces(monkeypatch):
     want = plain_als(matrix, 4, 3, 0.1, 7)
     for half, own in zip((users, items), want, strict=True):
         assert all(np.abs(x - own[k]).max() < 1e-6 for k, x in zip(half.ids.tolist(), half.x, strict=True))
+
+
+def test_loader_gives_bad_lines_a_row_of_their_own(spark, tmp_path):
+    ddl = "userId long, movieId long, rating double, timestamp long"
+    lines = ["1::2::3::4", "", "1::NA::3.5::", "  ", "7::8", "1::2::3::4::5::6::7::8::9::10", "1::2::good::4", "+5:: 6 ::.5::9\r", "x::2::3::4::5", "1.5::2::3::4", "null::nan::None::<NA>"]
+    (tmp_path / "a.dat").write_bytes("\n".join(lines).encode())
+    path = str(tmp_path / "a.dat")
+    for options in ({}, {"split": 9}, {"chunk": 3, "split": 20}):
+        got = {r.pos.offset: tuple(r)[:4] for r in sources.read_delimited(spark, path, ddl, position=True, **options).collect()}
+        starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(len(lines))]
+        assert got == {starts[0]: (1, 2, 3.0, 4), starts[2]: (1, None, 3.5, None), starts[4]: (7, 8, None, None), starts[7]: (5, 6, 0.5, 9), starts[10]: (None,) * 4}
+        bad = {r.pos.offset: (r.line, r.error) for r in sources.rejected_lines(spark, path, ddl, **options).collect()}
+        told = {5: "10 fields, 4 expected", 6: "rating is no double", 8: "5 fields, 4 expected", 9: "userId is no bigint"}
+        assert bad == {starts[k]: (lines[k], x) for k, x in told.items()}
+        raw = {r.pos.offset: bytes(r.line) for r in sources.read_lines(spark, path, **options).collect()}
+        assert raw == {s: x.encode() for s, x in zip(starts, lines, strict=True)}
+
+
+def test_loader_of_folders_encodings_and_nothing(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    (folder / "b.dat").write_bytes(b"3::c\n")
+    (folder / "a.dat").write_bytes(b"\xef\xbb\xbf1::caf\xc3\xa9 \"x\"\n2::\xff\xe2\x82\n")
+    (folder / "_SUCCESS").write_bytes(b"9::z\n")
+    (folder / "empty.dat").write_bytes(b"")
+    got = sources.read_delimited(spark, str(folder), "id long, t string", position=True).orderBy("pos").collect()
+    assert [(r.id, r.t) for r in got] == [(1, 'café "x"'), (2, "��"), (3, "c")]
+    (tmp_path / "l.dat").write_bytes(b"1::\xe9\n")
+    assert sources.read_delimited(spark, str(tmp_path / "l.dat"), "id long, t string", "ISO-8859-1").first().t == "é"
+    assert sources.read_delimited(spark, str(folder / "empty.dat"), "id long, t string").count() == 0
+    with pytest.raises(ValueError):
+        sources.read_delimited(spark, str(folder), "id long", "UTF-16")
+
+
+@pytest.mark.parametrize("n", [0, 3, 13, 60])
+def test_split_files_byte_for_byte(spark, tmp_path, n):
+    lines = [f"{k * 7 % 4}::{k}::{k % 5}::{'é' * (k % 3)}".encode("latin-1") + b"\n" for k in range(n)]
+    (tmp_path / "ratings.dat").write_bytes(b"".join(lines))
+    size, rest = divmod(n, 5)
+    want = {}
+    for i in range(1, 6):  # heads and tails of the file
+        left = lines[n - rest :]
+        want[f"r{i}.test"] = lines[: i * size][-size:] * bool(size) + left * (i == 5)
+        want[f"r{i}.train"] = lines[: (i - 1) * size] + lines[n - (5 - i) * size :] + left * (i < 5)
+    for name, start, stop in (("ra", 1, 10), ("rb", 11, 20)):
+        seen, out = {}, ([], [])
+        for x in lines:
+            user = x.split(b"::")[0]
+            seen[user] = seen.get(user, 0) + 1
+            out[start <= seen[user] <= stop].append(x)
+        want[f"{name}.train"], want[f"{name}.test"] = out
+    read = sources.read_lines(spark, str(tmp_path / "ratings.dat"), split=64)
+    for _ in range(2):  # a second run replaces the files
+        split_files(read, str(tmp_path / "out"))
+    assert {x.name: x.read_bytes() for x in (tmp_path / "out").iterdir()} == {k: b"".join(v) for k, v in want.items()}
+    split_files(read, str(tmp_path / "exact"), mode="exact")
+    whole = sorted(lines)
+    for i in range(1, 6):
+        parts = [(tmp_path / "exact" / f"r{i}.{part}").read_bytes().splitlines(keepends=True) for part in ("train", "test")]
+        assert sorted(parts[0] + parts[1]) == whole and parts[0] == [x for x in lines if x not in parts[1]]
+
+
+def test_ranges_hold_each_line_once():
+    data = b"ab\n\nlonger line\nx\n" + b"y" * 30 + b"\nlast"
+    begins = [0, 3, 4, 16, 18, 49]
+    for split in range(1, len(data) + 2):
+        for chunk in (1, 4, 100):
+            got = []
+            for a in range(0, len(data), split):
+                for start, part in whole_lines(io.BytesIO(data), a, min(a + split, len(data)), chunk):
+                    assert data[start : start + len(part)] == part and (part.endswith(b"\n") or start + len(part) == len(data))
+                    got += [start] + [start + k + 1 for k in range(len(part) - 1) if part[k] == 10]
+            assert got == begins

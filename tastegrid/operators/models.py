@@ -13,7 +13,14 @@ from .als import implicit_als
 
 
 class Recommender(ABC):
-    """fit learns from rows (user_idx, item_idx, rating); predict adds `prediction` and keeps all rows and columns."""
+    """fit learns from rows (user_idx, item_idx, rating); predict adds `prediction` and keeps all rows and columns.
+
+    What fit leaves: VALUES, attributes that JSON can hold, TABLES, data frames, and PARTS, models of their own.
+    """
+
+    VALUES: tuple[str, ...] = ()
+    TABLES: tuple[str, ...] = ()
+    PARTS: tuple[str, ...] = ()
 
     @abstractmethod
     def fit(self, train: DataFrame) -> Recommender: ...
@@ -25,6 +32,8 @@ class Recommender(ABC):
 class GlobalMean(Recommender):
     """The mean rating for every row, not clipped."""
 
+    VALUES = ("mu",)
+
     def fit(self, train: DataFrame) -> GlobalMean:
         self.mu = train.agg(F.avg("rating")).first()[0]
         return self
@@ -36,6 +45,9 @@ class GlobalMean(Recommender):
 class BiasModel(Recommender):
     """clip(mu + user bias + item bias); unseen ids have bias 0."""
 
+    VALUES = ("mu",)
+    TABLES = ("user_bias", "item_bias")
+
     def fit(self, train: DataFrame) -> BiasModel:
         self.mu = train.agg(F.avg("rating")).first()[0]
         self.user_bias = train.groupBy("user_idx").agg((F.avg("rating") - F.lit(self.mu)).alias("user_bias"))
@@ -66,6 +78,10 @@ class ALSModel(Recommender):
     """Biases plus a factorisation of the residuals. `implicit` feedback takes the sign of a residual as preference
     and its size as confidence; `explicit` fits the residuals themselves. Unseen ids add 0."""
 
+    VALUES = ("factors", "iterations", "regularization", "feedback", "seed", "workers")
+    TABLES = ("matrix", "user_factors", "item_factors")
+    PARTS = ("bias",)
+
     def __init__(self, factors: int = 50, iterations: int = 20, regularization: float = 0.1, feedback: str = "implicit", seed: int = 42, workers: int | None = None):
         if feedback not in ("implicit", "explicit"):
             raise ValueError("feedback is implicit or explicit")
@@ -117,6 +133,10 @@ class ItemKNN(Recommender):
     only where the catalogue is so small that fewer than k items are left without them.
     """
 
+    VALUES = ("k", "n_items", "tiny")
+    TABLES = ("matrix", "norms")
+    PARTS = ("bias",)
+
     def __init__(self, k: int = 20):
         self.k = k
 

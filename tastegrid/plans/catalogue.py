@@ -16,6 +16,7 @@ from ..operators import evaluate as ev
 from ..operators import models as m
 from ..operators.encode import id_index
 from ..operators.neural import Net, NeuralModel, perceptron_scores
+from ..operators.saved import load_model, save_model
 from ..operators.splits import allbut, kfold, split_files, time_split, with_rank
 from ..session import stored_dir
 from ..sources.textfiles import write_ordered_text
@@ -92,6 +93,13 @@ def _split_files(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(name, F.col("pos.offset").alias("start"), F.col("line").cast("string").alias("line"))
 
 
+def _saved(train: DataFrame, val: DataFrame) -> DataFrame:
+    """Predictions of a model that was saved and loaded again."""
+    path = f"{stored_dir(train.sparkSession)}/model-{uuid.uuid4().hex}"
+    save_model(m.ItemKNN().fit(train), path, train)
+    return _scored(load_model(train.sparkSession, path).predict(val))
+
+
 def _bias(train: DataFrame, side: str) -> DataFrame:
     found = getattr(m.BiasModel().fit(train), f"{side}_bias")
     return found.select(F.col(f"{side}_idx").cast("long").alias(f"{side}_idx"), F.round(f"{side}_bias", 6).alias("bias"))
@@ -240,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topn_unknown_user": _topn(m.BiasModel, NOBODY),
     "factor_dot_score": _factor_dot,
     "mlp_forward": _mlp_forward,
+    "saved_knn_predict_val": _with("val", _saved),
     "als_predict_val": _with("val", lambda train, val: _scored(m.ALSModel().fit(train).predict(val))),
     "als_recommend": _als_recommend,
     "ranking_metrics_als": _ranked(m.ALSModel),
@@ -415,6 +424,7 @@ SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(s, 6) AS sim, r FRO
     "factor_dot_score": f"WITH {_RANKED} SELECT CAST(user_idx AS BIGINT) AS user_idx, CAST(item_idx AS BIGINT) AS item_idx, o, l, round(coalesce(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 0.0), 5) AS score FROM ranked LEFT JOIN embeddings a ON a.vec_id = user_idx LEFT JOIN embeddings b ON b.vec_id = item_idx",
 }
 #: The same over all items of train.
+ORACLE_SQL["saved_knn_predict_val"] = ORACLE_SQL["knn_predict_val"]
 ORACLE_SQL["item_similarity_all"] = ORACLE_SQL["item_similarity_topk"].replace(" WHERE a.item_idx IN (SELECT item_idx FROM val)", "")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.encode import with_dense_index
 from .delimited import read_delimited, read_lines, rejected_lines
 
-__all__ = ["interactions", "items", "load_10m", "load_1m", "load_ratings", "read_delimited", "read_lines", "rejected_lines", "tags", "users"]
+__all__ = ["interactions", "items", "load_10m", "load_1m", "load_movies", "load_ratings", "read_delimited", "read_lines", "rejected_lines", "tags", "users"]
 
 RATINGS = "userId long, movieId long, rating double, timestamp long"
 MOVIES = "movieId long, title string, genres string"
@@ -22,14 +22,18 @@ def load_ratings(spark: SparkSession, path: str) -> DataFrame:
     return with_dense_index(with_dense_index(df, "userId", "user_idx"), "movieId", "item_idx")
 
 
+def load_movies(spark: SparkSession, path: str = "ml-1m", encoding: str = "ISO-8859-1") -> DataFrame:
+    return read_delimited(spark, f"{path}/movies.dat", MOVIES, encoding)
+
+
 def load_1m(spark: SparkSession, path: str = "ml-1m") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ratings, movies, users); movie titles are Latin-1. Ratings carry pos, user_idx and item_idx."""
-    return load_ratings(spark, path), read_delimited(spark, f"{path}/movies.dat", MOVIES, "ISO-8859-1"), read_delimited(spark, f"{path}/users.dat", USERS)
+    return load_ratings(spark, path), load_movies(spark, path), read_delimited(spark, f"{path}/users.dat", USERS)
 
 
 def load_10m(spark: SparkSession, path: str = "ml-10M100K") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ratings, movies, tags), all UTF-8, with half-star ratings."""
-    return load_ratings(spark, path), read_delimited(spark, f"{path}/movies.dat", MOVIES), read_delimited(spark, f"{path}/tags.dat", TAGS)
+    return load_ratings(spark, path), load_movies(spark, path, "UTF-8"), read_delimited(spark, f"{path}/tags.dat", TAGS)
 
 
 def interactions(spark: SparkSession, sf_dir: str, half_stars: bool = False) -> DataFrame:

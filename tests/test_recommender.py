@@ -13,6 +13,7 @@ from tastegrid.operators import evaluate as ev
 from tastegrid.operators import models as m
 from tastegrid.operators.encode import with_dense_index
 from tastegrid.operators.neural import Net, NeuralModel
+from tastegrid.operators.saved import NoModel, load_ids, load_model, save_model
 from tastegrid.operators.splits import allbut, kfold, split_files, time_split, write_folds
 from tastegrid.plans.catalogue import QUERIES
 from tastegrid.sources.delimited import whole_lines
@@ -470,3 +471,50 @@ def test_ranges_hold_each_line_once():
                     assert data[start : start + len(part)] == part and (part.endswith(b"\n") or start + len(part) == len(data))
                     got += [start] + [start + k + 1 for k in range(len(part) - 1) if part[k] == 10]
             assert got == begins
+
+
+@pytest.mark.parametrize("make", [m.GlobalMean, m.BiasModel, lambda: m.ItemKNN(5), lambda: m.ALSModel(factors=3, iterations=2, workers=2), lambda: NeuralModel(emb_dim=4, layers=(8, 4), epochs=2, workers=2)])
+def test_saved_models_predict_as_before(spark, lowrank, tmp_path, make):
+    train, val, _ = time_split(lowrank)
+    asked = val.select("user_idx", "item_idx").unionByName(spark.createDataFrame([(0, 999), (999, 0), (999, 999)], "user_idx int, item_idx int"))
+    model, path = make().fit(train), str(tmp_path / "model")
+    save_model(model, path, train)
+    again = load_model(spark, path)
+    assert type(again) is type(model) and {x: getattr(again, x) for x in model.VALUES if x != "layers"} == {x: getattr(model, x) for x in model.VALUES if x != "layers"}
+    before, after = ({(r.user_idx, r.item_idx): r.prediction for r in x.predict(asked).collect()} for x in (model, again))
+    assert before.keys() == after.keys() and all(after[k] == pytest.approx(x, abs=1e-12) for k, x in before.items())
+    if isinstance(model, m.ALSModel):
+        assert [r.item_idx for r in again.recommend(0, 5).collect()] == [r.item_idx for r in model.recommend(0, 5).collect()]
+    assert load_ids(spark, path).count() == train.select("userId", "movieId").distinct().count()
+
+
+def test_unfinished_models_do_not_load(spark, lowrank, tmp_path):
+    train = time_split(lowrank)[0]
+    path = str(tmp_path / "model")
+    save_model(m.BiasModel().fit(train), path)
+    with pytest.raises(Exception, match="exist"):
+        save_model(m.BiasModel().fit(train), path)
+    with pytest.raises(NoModel, match="without the ids"):
+        load_ids(spark, path)
+    (tmp_path / "model" / "manifest" / "_SUCCESS").unlink()
+    for wrong in (path, str(tmp_path / "nothing")):
+        with pytest.raises(NoModel, match="no whole model"):
+            load_model(spark, wrong)
+
+
+def test_cli_serves_a_saved_model(spark, tmp_path, capsys):
+    rng = np.random.default_rng(1)
+    lines = [f"{u}::{i}::{rng.integers(1, 6)}::{1000 + t}" for u in range(1, 21) for t, i in enumerate(rng.permutation(30)[:15] + 1)]
+    (tmp_path / "ratings.dat").write_text("\n".join(lines) + "\n")
+    (tmp_path / "movies.dat").write_text("1::One::Drama\n")
+    saved, data = str(tmp_path / "knn"), ["--data", str(tmp_path)]
+    assert cli.main(["--user", "1", "--model", "knn", "--topn", "4", "--save", saved, *data], spark) == 0
+    first = capsys.readouterr().out
+    (tmp_path / "ratings.dat").unlink()
+    assert cli.main(["--user", "1", "--topn", "4", "--fitted", saved, *data], spark) == 0
+    assert capsys.readouterr().out == first and "Top 4 recommendations for User 1 (KNN)" in first
+    assert cli.main(["--user", "99", "--fitted", saved, *data], spark) == 1
+    assert "User 99 not found. Valid range: 1 - 20" in capsys.readouterr().out
+    assert cli.main(["--user", "1", "--fitted", str(tmp_path / "none"), *data], spark) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["--user", "1", "--model", "als", "--fitted", saved, *data], spark)

@@ -227,20 +227,25 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("shared") * (100 + percent) >= needed(F.col("n"), percent)).select("a", "b")
 
 
-def candidates(met: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n: sizes of both together) with a > b, of rows of lists that meet, by what their prefixes share."""
+#: A row and a center are compared if they meet in this part of the lists they must share; others may have other centers.
+STAR_PART = 4
+
+
+def candidates(met: DataFrame, percent: int, part: int = 1) -> DataFrame:
+    """(a, b, n: sizes of both together) with a > b, of rows of lists that meet, by what their prefixes share: at least
+    one `part`-th of the shingles that linked rows share there."""
     n, m, p, q = (F.col(f"{x}{c}") for c in ("n", "place") for x in ("", "other_"))
     alike = F.least(n, m) * 100 >= F.greatest(n, m) * percent
     met = met.where(alike & (F.least(n - p, m - q) >= rest_needed(n, m, percent)))
     pair = [F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"), (n + m).alias("n")]
     shared = overlap(n, m, percent) - rest_needed(n, m, percent) + 1
     found = met.select(*pair, shared.alias("least")).groupBy("a", "b", "n", "least").count()
-    return found.where(F.col("count") >= F.col("least")).select("a", "b", "n")
+    return found.where(F.col("count") * part >= F.col("least")).select("a", "b", "n")
 
 
 def star_pairs(own: DataFrame, percent: int, turn: int) -> DataFrame:
     """Each list's rows outside its largest component with one row of that component, which changes with `turn`. Pairs that
-    share enough by lists with the same center only; others are left for `rest_pairs`.
+    meet in too few lists with the same center are left for `rest_pairs`.
 
     The first is the row with the fewest rarer shingles, which is nearest to what the list's texts have in common.
     """
@@ -250,7 +255,7 @@ def star_pairs(own: DataFrame, percent: int, turn: int) -> DataFrame:
     largest = by_root.groupBy("token").agg(F.max(F.struct("many", -F.col("center.key0"), "root", "center")).alias("top"), F.count("*").alias("roots"))
     centers = largest.where("roots > 1").select("token", F.col("top.root").alias("top_root"), "top.center.*")
     met = own.join(centers, "token").where(F.col("root") != F.col("top_root"))
-    return candidates(met, percent)
+    return candidates(met, percent, STAR_PART)
 
 
 def rest_pairs(own: DataFrame, percent: int) -> DataFrame:

@@ -3,10 +3,10 @@
 Vectors get binary codes by learned rotations; codes are split into substrings about as wide as the logarithm of the
 number of rows, each of which is indexed. Codes within Hamming radius r agree within r // substrings bits in at least
 one substring, so probing the buckets within that many bits of the query's own retrieves every code within r. What is
-retrieved is reranked by floats. A sample says how far the codes of vectors of a given cosine may lie apart: a query
-whose k-th score needs no wider radius than was probed is done. The others have no near neighbours, for which probing
-would meet most buckets; their codes are compared with all codes, in blocks of queries, and floats decide among those
-within the radius that they need.
+retrieved is reranked by floats. A sample says how far the codes of vectors of a given cosine may lie apart, so a
+query's k-th score so far says which radius it needs: it is done once that radius has been probed, and is probed on to
+that radius if not. The index lies in slices, buckets that share their leading bits; a query visits those slices that
+can hold buckets within its reach, and takes from each no more than its k best.
 """
 
 from __future__ import annotations
@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare, shuffle_partitions
 
-#: Bits of a code, and of a substring at least and at most; how far apart, at most, an indexed substring is probed.
+#: Bits of a code, and of a substring at least and at most; how far apart a substring is probed at first.
 BITS, NARROWEST, WIDEST, PROBED = 128, 8, 32, 1
 WORDS = BITS // 64
 #: Bounds of the sample that trains the rotations and the radius, and the share of neighbours a radius has to cover.
 SAMPLE, SAMPLE_QUERIES, COVER = 8192, 512, 0.985
 #: Cosines of the sample's pairs are told apart in so many steps, each with so many pairs at least.
 STEPS, STEP_PAIRS = 100, 200
-#: Entries of a bucket in one salt and of the index in one group; queries in one block of the comparison with all codes.
-BUCKET_ROWS, GROUP_ROWS, BLOCK_QUERIES = 20_000, 400_000, 20_000
+#: Bytes of a slice of the index, about; cells of queries x entries that are compared at a time.
+SLICE_BYTES, BLOCK_CELLS = 64 << 20, 2_000_000
 
 
 def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -89,10 +89,14 @@ def learn_radii(x: np.ndarray, code: np.ndarray, k: int) -> Radii:
     lowest = (np.arange(STEPS) + 0.0) / STEPS * 2 - 1
     share = np.arccos(np.clip(lowest, -1, 1)) / np.pi  # of bits that differ, as random planes have it
     radii = np.minimum(BITS, np.ceil(share * BITS + 3 * np.sqrt(BITS * share * (1 - share))))
+    found = np.zeros(0, dtype=distance.dtype)
     for s in range(STEPS):
-        found = distance[step == s]
+        here = distance[step == s]
+        # A step of few pairs takes in those of the steps below, whose codes lie further apart.
+        found = here if len(here) >= STEP_PAIRS else np.append(here, found[: STEP_PAIRS - len(here)])
         if len(found) >= STEP_PAIRS:
-            radii[s] = np.quantile(found, COVER, method="higher")
+            covers = np.quantile(found, COVER, method="higher")
+            radii[s] = covers if len(here) >= STEP_PAIRS else min(radii[s], covers)
     radii = np.maximum.accumulate(radii[::-1])[::-1].astype(np.int64)  # what is less near is further apart
     near[own, own] = -np.inf
     k = min(k, len(x) - 1)
@@ -139,79 +143,154 @@ def _code_words(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, WORDS)
 
 
-def index_entries(data: DataFrame, parts: list[tuple[int, int]]) -> DataFrame:
-    """(sub, bucket, id, code): a row for each substring of each row of `data`."""
+class Layout(NamedTuple):
+    """The substrings and how many of their leading bits name a slice."""
+
+    parts: list[tuple[int, int]]
+    lead: int
+    slices: int
+    dim: int
+    kind: str  # of a component, as stored
+
+    def vectors(self, column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=self.kind).reshape(-1, self.dim)
+
+    def leads(self, own: np.ndarray, i: int) -> np.ndarray:
+        """Names of the slices of substring i that hold these buckets."""
+        a, b = self.parts[i]
+        return np.int64(i) << np.int64(32) | (own >> np.uint64(b - a - self.lead)).astype(np.int64)
+
+    def flips(self, radius: np.ndarray) -> np.ndarray:
+        """Bits within which codes that lie so far apart agree in at least one substring."""
+        return np.asarray(radius) // len(self.parts)
+
+
+def layout(rows: int, dim: int, kind: str) -> Layout:
+    parts = cuts(rows)
+    held = max(1, SLICE_BYTES // (8 * dim + 8 * WORDS + 32))
+    lead = min(max(0, (-(-rows // held) - 1).bit_length()), min(b - a for a, b in parts))
+    return Layout(parts, lead, len(parts) << lead, dim, kind)
+
+
+MESSAGE = "cell long, id long, code binary, v binary, done int, want int, radius int, least double"
+
+
+def index_entries(data: DataFrame, at: Layout) -> DataFrame:
+    """A row for each substring of each row of `data`, with the slice that it belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, m = b.num_rows, len(parts)
-            if not n:
-                continue
-            bucket = substrings(_code_words(b.column(1)), parts).astype(np.int64).ravel()
-            again = pa.array(np.repeat(np.arange(n), m))
-            columns = [pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(bucket), b.column(0).take(again), b.column(1).take(again)]
-            yield pa.RecordBatch.from_arrays(columns, ["sub", "bucket", "id", "code"])
+            own = substrings(_code_words(b.column(1)), at.parts) if b.num_rows else None
+            none = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.float64())]
+            for i in range(len(at.parts) if b.num_rows else 0):
+                columns = [pa.array(at.leads(own[:, i], i)), b.column(0), b.column(1), b.column(2), *none]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in MESSAGE.split(", ")])
 
-    return data.select("id", "code").mapInArrow(run, "sub int, bucket long, id long, code binary")
+    return data.select("id", "code", "v").mapInArrow(run, MESSAGE)
 
 
-def probed_pairs(asked: DataFrame, entries: DataFrame, parts: list[tuple[int, int]], rows: int) -> DataFrame:
-    """(query_id, id): the rows whose codes are within the probed radius of each query's, itself left out.
+def index_asks(asked: DataFrame, at: Layout) -> DataFrame:
+    """A row for each slice that holds buckets within a query's reach."""
 
-    Entries lie in the order of their buckets, a group of them for each hash of the bucket; a bucket of more than
-    BUCKET_ROWS entries is dealt by a salt, and a query asks every salt.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own, want = substrings(_code_words(b.column(1)), at.parts), b.column(4).to_numpy()
+            for flips in np.unique(want).tolist():
+                these, masks = np.flatnonzero(want == flips), balls(at.lead, flips).astype(np.int64)
+                rows = b.take(pa.array(these))
+                for i in range(len(at.parts)):
+                    cell = at.leads(own[these, i], i)
+                    for mask in masks.tolist():
+                        yield pa.RecordBatch.from_arrays([pa.array(cell ^ mask), *rows.columns], [x.split()[0] for x in MESSAGE.split(", ")])
+
+    return asked.select("id", "code", "v", "done", "want", "radius", "least").mapInArrow(run, MESSAGE)
+
+
+class Slice:
+    """Entries of one slice; each query gets its k best of the buckets that it hasn't probed before."""
+
+    def __init__(self, at: Layout, cell: int, k: int, held: list[pa.RecordBatch]):
+        self.at, self.part, self.k = at, int(cell) >> 32, k
+        self.ids = np.concatenate([b.column("id").to_numpy() for b in held])
+        self.code = np.concatenate([_code_words(b.column("code")) for b in held])
+        self.v = np.concatenate([at.vectors(b.column("v")) for b in held])
+        self.u = unit(self.v.astype(np.float64))
+        self.buckets, self.of = np.unique(self.own(self.code), return_inverse=True)
+
+    def own(self, code: np.ndarray) -> np.ndarray:
+        return substrings(code, self.at.parts[self.part : self.part + 1])[:, 0]
+
+    def met(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, code = b.column("id").to_numpy(), _code_words(b.column("code"))
+        v, own = self.at.vectors(b.column("v")).astype(np.float64), self.own(code)
+        done, want, radius = (b.column(x).to_numpy() for x in ("done", "want", "radius"))
+        least = np.nan_to_num(b.column("least").to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+        step = max(1, BLOCK_CELLS // len(self.ids))
+        for a in range(0, len(ids), step):
+            few = slice(a, a + step)
+            flips = np.bitwise_count(own[few, None] ^ self.buckets[None])
+            reached = (flips > done[few, None]) & (flips <= want[few, None])
+            rows = np.flatnonzero(reached.any(axis=0)[self.of])
+            if not len(rows):
+                continue
+            ok = reached[:, self.of[rows]]
+            ok &= apart(code[few, None], self.code[None, rows]) <= radius[few, None]
+            ok &= ids[few, None] != self.ids[None, rows]
+            near = np.where(ok, unit(v[few]) @ self.u[rows].T, -np.inf)
+            n = min(self.k, len(rows))
+            floor = np.maximum(np.partition(near, len(rows) - n, axis=1)[:, len(rows) - n], least[few])
+            i, j = np.nonzero(ok & (near >= floor[:, None] - 1e-9))
+            score = cosine(v[a + i], self.v[rows[j]].astype(np.float64))
+            keep = _best(a + i, self.ids[rows[j]], score, self.k)
+            if len(keep):
+                columns = [pa.array(x[keep]) for x in (ids[a + i], self.ids[rows[j]], score)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+
+
+def probed(asked: DataFrame, data: DataFrame, at: Layout, k: int) -> DataFrame:
+    """(query_id, vec_id, score): what each query's further probing of the index finds, at least its k best.
+
+    A slice of more entries than it should hold is dealt by a salt, and a query asks every salt. Entries stand before
+    queries in each slice, so a task holds one slice and one batch of queries.
     """
     spark = asked.sparkSession
-    groups = max(shuffle_partitions(spark), -(-rows * len(parts) // GROUP_ROWS))
-    within = len(parts) * (PROBED + 1) - 1
-    sizes = entries.groupBy("sub", "bucket").count().where(F.col("count") > BUCKET_ROWS)
-    salts = sizes.select("sub", "bucket", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("salts"))
-    masks = [balls(b - a, PROBED) for a, b in parts]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = substrings(_code_words(b.column(1)), parts) if b.num_rows else np.zeros((0, len(parts)), np.uint64)
-            for i, mask in enumerate(masks):
-                bucket = (own[:, i][:, None] ^ mask).astype(np.int64)
-                again = pa.array(np.repeat(np.arange(b.num_rows), len(mask)))
-                columns = [pa.array(np.full(bucket.size, i, dtype=np.int32)), pa.array(bucket.ravel()), b.column(0).take(again), b.column(1).take(again)]
-                yield pa.RecordBatch.from_arrays(columns, ["sub", "bucket", "id", "code"])
+    entries = index_entries(data, at)
+    held = max(1, SLICE_BYTES // (8 * at.dim + 8 * WORDS + 32))
+    sizes = entries.groupBy("cell").count().where(F.col("count") > 2 * held)
+    salts = sizes.select("cell", F.ceil(F.col("count") / held).cast("int").alias("salts"))  # at most entries / held rows
+    count = F.coalesce("salts", F.lit(1))
 
     def dealt(rows: DataFrame, salt: Column, is_query: bool) -> DataFrame:
-        # Only buckets of over BUCKET_ROWS rows are in `salts`, so at most rows / BUCKET_ROWS.
-        joined = rows.join(salts, ["sub", "bucket"], "left").withColumn("salt", salt)
-        return joined.select(F.pmod(F.xxhash64("sub", "bucket", "salt"), F.lit(groups)).cast("int").alias("part"), F.lit(is_query).alias("q"), "sub", "bucket", "salt", "id", "code")
+        joined = rows.join(salts, "cell", "left")
+        return joined.withColumn("salt", salt).withColumn("q", F.lit(is_query)).drop("salts")
 
-    count = F.coalesce("salts", F.lit(1))
-    asks = asked.select("id", "code").mapInArrow(ask, "sub int, bucket long, id long, code binary")
     both = dealt(entries, F.pmod(F.xxhash64("id"), count).cast("int"), False).unionByName(
-        dealt(asks, F.explode(F.sequence(F.lit(0), count - 1)), True)
+        dealt(index_asks(asked, at), F.explode(F.sequence(F.lit(0), count - 1)), True)
     )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        del held
-        q, sub, bucket, salt, ids = (t.column(i).to_numpy() for i in (1, 2, 3, 4, 5))
-        code = _code_words(t.column(6))
-        order = np.lexsort((q, salt, bucket, sub))
-        new = np.flatnonzero(np.append(True, (sub[order][1:] != sub[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]) | (salt[order][1:] != salt[order][:-1])))
-        ends = np.append(new[1:], len(order))
-        before = np.append(0, np.cumsum(q[order]))
-        asks_in = before[ends] - before[new]
-        for s, e, n in zip(new[asks_in > 0].tolist(), ends[asks_in > 0].tolist(), asks_in[asks_in > 0].tolist(), strict=True):
-            rows, queries = order[s : e - n], order[e - n : e]
-            if not len(rows):
+        at_key, held, own = None, [], None
+        for b in batches:
+            if not b.num_rows:
                 continue
-            for a in range(0, n, 256):
-                own = queries[a : a + 256]
-                i, j = np.nonzero((apart(code[own][:, None], code[rows][None]) <= within) & (ids[own][:, None] != ids[rows][None]))
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own[i]]), pa.array(ids[rows[j]])], ["query_id", "id"])
-
-    return both.repartition(groups, "part").mapInArrow(meet, "query_id long, id long").distinct()
+            cell, salt, q = (b.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "salt", "q"))
+            new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | (q[1:] != q[:-1])))
+            for s, e in zip(new.tolist(), np.append(new[1:], len(cell)).tolist(), strict=True):
+                key, run = (int(cell[s]), int(salt[s])), b.slice(s, e - s)
+                if key != at_key:
+                    at_key, held, own = key, [], None
+                if not q[s]:
+                    held.append(run)
+                elif held or own:
+                    if own is None:
+                        own, held = Slice(at, key[0], k, held), []
+                    yield from own.met(run)
+
+    parts = max(shuffle_partitions(spark), at.slices)
+    sorted_ = both.repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", "q")
+    return sorted_.mapInArrow(meet, "query_id long, vec_id long, score double")
 
 
 def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: Column | None = None, k: int = 5) -> DataFrame:
@@ -220,8 +299,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     Queries are the rows that `queries` selects; candidates are all rows but the query's own. Vectors that are
     null, empty or zero, or hold null or non-finite components, take no part, nor do rows without an id or with
     another dimension than most rows. Rows that repeat an id are one row each, but never their own candidates.
-    A query finds what lies within the radius that its k-th score needs; if that is fewer than k, all rows are its
-    candidates. An empty table gives no rows; other columns are ignored.
+    A query that repeats an id is the one of the least code and bytes. A query finds what lies within the radius that
+    its k-th score needs; if that is fewer than k, all rows. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -242,10 +321,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     x = unit(sample)
     mean, rotation = learn(x)
     radii = learn_radii(x, codes(x, mean, rotation), k)
-    parts = cuts(many)
-
-    def vectors(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dim).astype(np.float64)
+    at = layout(many, dim, kind)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -259,89 +335,34 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     one = W.partitionBy("code", "v").orderBy("id")
     data = coded_rows.withColumn("n", F.row_number().over(one)).where(F.col("n") <= k + 1).select("id", "code", "v")
     data = materialize(data.dropDuplicates(["id", "v"]), "distinct")
-    asked = materialize(coded_rows.where("q").dropDuplicates(["id"]).select("id", "code", "v"), "queries")
-    entries = materialize(index_entries(data, parts), "index")
+    one_each = coded_rows.where("q").groupBy("id").agg(F.min(F.struct("code", "v")).alias("x"))
+    start = {"done": F.lit(-1), "want": F.lit(PROBED), "radius": F.lit(BITS), "least": F.lit(None).cast("double")}
+    asked = materialize(one_each.select("id", "x.code", "x.v").withColumns(start), "queries")
     ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    best = None
 
-    def rescored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                score = cosine(vectors(b.column(2)), vectors(b.column(3)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    pairs = probed_pairs(asked, entries, parts, many).join(data.select("id", "v"), "id")
-    pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("query_v")), "query_id")
-    scored = pairs.select("query_id", "id", "query_v", "v").mapInArrow(rescored, "query_id long, vec_id long, score double")
-    # Two rows of one id are one candidate, by the nearer vector.
-    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    first = materialize(scored.withColumn("rank", ranked).where(F.col("rank") <= k), "nearest")
-    least = first.where(F.col("rank") == k).select(F.col("query_id").alias("its_id"), F.col("score").alias("least"))
-    todo = asked.join(least, asked.id == least.its_id, "left").select("id", "code", "v", "least")
-    probed = len(parts) * (PROBED + 1) - 1
-
-    def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = b.column(3).to_numpy(zero_copy_only=False).astype(float)
-            need = np.where(np.isnan(score), radii.usual, radii.needed(np.nan_to_num(score)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(need.astype(np.int32))], ["id", "code", "v", "need"])
-
-    todo = materialize(todo.mapInArrow(radius, "id long, code binary, v binary, need int"), "radii")
-    done = first.join(todo.where(F.col("need") <= probed).select(F.col("id").alias("query_id")), "query_id", "left_semi")
-
-    def compared(wide: DataFrame) -> DataFrame | None:
-        """Each query's k best among all rows whose codes are within its radius, a bounded block of queries at a time."""
-        blocks = -(-wide.count() // BLOCK_QUERIES)
-        found = None
-        for block in range(blocks):
-            own = wide.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(blocks)) == block).collect()  # about BLOCK_QUERIES
-            q_id = np.asarray([r["id"] for r in own], dtype=np.int64)
-            q_code = np.frombuffer(b"".join(bytes(r["code"]) for r in own), dtype="<u8").reshape(-1, WORDS)
-            q_v = np.frombuffer(b"".join(bytes(r["v"]) for r in own), dtype=kind).reshape(-1, dim)
-            shared = spark.sparkContext.broadcast((q_id, q_code, q_v, np.asarray([r["need"] for r in own], dtype=np.int16)))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                q_id, q_code, q_v, need = shared.value
-                best = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
-                floor = np.full(len(q_id), -np.inf)  # the k-th best so far
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    ids, code, v = b.column(0).to_numpy(), _code_words(b.column(1)), vectors(b.column(2))
-                    u = unit(v)
-                    new = [best]
-                    for a in range(0, len(q_id), 128):
-                        own_v = q_v[a : a + 128].astype(np.float64)
-                        ok = apart(q_code[a : a + 128, None], code[None]) <= need[a : a + 128, None]
-                        ok &= q_id[a : a + 128, None] != ids[None]
-                        near = np.where(ok, unit(own_v) @ u.T, -np.inf)
-                        m = min(k, len(ids))
-                        least = np.partition(near, len(ids) - m, axis=1)[:, len(ids) - m]
-                        i, j = np.nonzero(ok & (near >= np.maximum(least, floor[a : a + 128])[:, None] - 1e-9))
-                        new.append([a + i, ids[j], cosine(own_v[i], v[j])])
-                    query, vec, score = (np.concatenate(y) for y in zip(*new, strict=True))
-                    keep = _best(query, vec, score, k)
-                    best = [query[keep], vec[keep], score[keep]]
-                    full = np.bincount(best[0], minlength=len(q_id)) >= k
-                    worst = np.full(len(q_id), np.inf)
-                    np.minimum.at(worst, best[0], best[2])
-                    floor = np.where(full, worst, -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(q_id[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"])
-
-            part = data.select("id", "code", "v").mapInArrow(run, "query_id long, vec_id long, score double")
-            part = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-            part = materialize(part.withColumn("rank", ranked).where(F.col("rank") <= k), "compared")
-            found = part if found is None else found.unionByName(part)
-            shared.unpersist()
-        return found
-
-    columns = ["query_id", "rank", "vec_id", "score"]
-    out_rows = done.select(*columns)
-    wide = todo.where(F.col("need") > probed)
-    got = compared(wide)
-    if got is not None:
-        full = got.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
-        rest = compared(wide.join(full, "id", "left_anti").withColumn("need", F.lit(BITS)))
-        if rest is not None:
-            got = got.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
-        out_rows = out_rows.unionByName(got.select(*columns))
-    return out_rows
+            if not b.num_rows:
+                continue
+            done, least = b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False).astype(float)
+            full = ~np.isnan(least)
+            usual = np.where(at.flips(radii.usual) > done, radii.usual, BITS)
+            need = np.where(full, radii.needed(np.nan_to_num(least)), usual)
+            want = at.flips(need)
+            radius = np.where(full, need, BITS)  # with fewer than k, whatever is met counts
+            columns = [*(b.column(i) for i in range(4)), *(pa.array(x.astype(np.int32)) for x in (want, radius)), b.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, fields).filter(pa.array(want > done))
+
+    fields = ["id", "code", "v", "done", "want", "radius", "least"]
+    state = "id long, code binary, v binary, done int, want int, radius int, least double"
+    while not asked.isEmpty():  # two rounds, more for queries of fewer than k: each probes further, at most to all rows
+        found = probed(asked, data, at, k)
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        # Two rows of one id are one candidate, by the nearer vector.
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = materialize(found.withColumn("rank", ranked).where(F.col("rank") <= k), "nearest")
+        least = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        now = asked.drop("least").join(least, "id", "left").select("id", "code", "v", F.col("want").alias("done"), "least")
+        asked = materialize(now.mapInArrow(further, state), "queries")
+    return spark.createDataFrame([], out) if best is None else best.select("query_id", "rank", "vec_id", "score")

@@ -11,8 +11,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tastegrid.llm import ann, langid, media, mixing, ngram_lm, packing, pii, simhash, substring, tokens
+from tastegrid.llm import ann, langid, media, mixing, ngram_lm, packing, pii, queries, simhash, substring, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, its_fp string, fp string, starts string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
@@ -688,14 +689,60 @@ def test_nearest_in_clusters_and_with_hot_buckets(spark, monkeypatch):
     for r in ann.search(df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert sum(len(set(want[q]) & set(got[q])) for q in want) >= 0.95 * 5 * len(want)
-    monkeypatch.setattr(ann, "BUCKET_ROWS", 2)
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(ann, "SLICE_BYTES", 40 * (8 * 24 + 8 * ann.WORDS + 32))  # slices of 40 entries: leading bits and salts
+    assert ann.layout(len(x), 24, "<f8").lead == 5
     again = {}
     for r in ann.search(df).orderBy("query_id", "rank").collect():
         again.setdefault(r.query_id, []).append(r.vec_id)
     assert again == got
 
 
+def test_nearest_on_the_table_are_settled_by_the_index(spark):
+    got = {}
+    for r in queries.QUERIES["op7_nearest_neighbours"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    rows = {r.vec_id: r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()}
+    ids = np.asarray([i for i, v in rows.items() if v and all(x is not None and math.isfinite(x) for x in v) and any(v)])
+    x = np.asarray([rows[i] for i in ids], dtype=float)
+    want, hits = ids[ids % 50 == 0].tolist(), 0
+    assert sorted(got) == sorted(want)
+    for q in want:
+        s = ann.cosine(np.repeat(x[ids == q], len(x), axis=0), x)
+        s[ids == q] = -2
+        best = ids[np.lexsort((ids, -s))[:5]]
+        own = sorted(got[q])
+        assert [r for r, _, _ in own] == [1, 2, 3, 4, 5]
+        assert all(abs(s[ids == i][0] - score) < 1e-12 for _, i, score in own)
+        hits += len(set(best.tolist()) & {i for _, i, _ in own})
+    assert hits >= 0.95 * 5 * len(want)
+
+
+def test_probing_goes_on_until_the_radius_is_covered():
+    rng = np.random.default_rng(6)
+    x = ann.unit(rng.normal(size=(600, 24)))
+    mean, rotation = ann.learn(x)
+    code = ann.codes(x, mean, rotation)
+    at = ann.layout(len(x), 24, "<f8")
+    sub = ann.substrings(code, at.parts)
+    apart = ann.apart(code[:40, None], code[None])
+    least = np.bitwise_count(sub[:40, None] ^ sub[None]).min(axis=2)
+    for radius in (0, 11, 12, 40, 57, ann.BITS):
+        assert (least[apart <= radius] <= at.flips(radius)).all()
+
+
+def test_repeated_query_ids_give_the_same_rows_again(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 8))
+    rows = [(i % 60, [float(v) for v in y]) for i, y in enumerate(x)]  # each id twice, with two vectors
+    runs = []
+    for order in (rows, rows[::-1], rows[60:] + rows[:60]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(5)
+        runs.append(sorted(map(tuple, ann.search(df, queries=F.col("vec_id") % 20 == 0, k=70).collect())))
+    assert runs[0] == runs[1] == runs[2]
+    assert Counter(q for q, *_ in runs[0]) == {0: 59, 20: 59, 40: 59}  # all other ids, fewer than k
+    assert all(q != v for q, _, v, _ in runs[0])
+
+
 def test_pii_sample_is_bounded_and_copies_teach_once(spark, monkeypatch):
     monkeypatch.setattr(pii, "TRAIN_CANDIDATES", 50)
     seen = []

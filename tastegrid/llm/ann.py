@@ -30,8 +30,10 @@ WORDS = BITS // 64
 SAMPLE, SAMPLE_QUERIES, COVER = 8192, 512, 0.985
 #: Cosines of the sample's pairs are told apart in so many steps, each with so many pairs at least.
 STEPS, STEP_PAIRS = 100, 200
-#: Bytes of a slice of the index, about; cells of queries x entries that are compared at a time.
-SLICE_BYTES, BLOCK_CELLS = 64 << 20, 2_000_000
+#: Bytes of a slice of the index, and of all slices of a task, about; queries x entries that are compared at a time.
+SLICE_BYTES, TASK_BYTES, BLOCK_CELLS = 8 << 20, 128 << 20, 2_000_000
+#: A table of slices that need salts is broadcast up to so many rows (of 16 bytes); beyond, it is joined by a shuffle.
+SALT_ROWS = 100_000
 
 
 def learn(x: np.ndarray, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,8 @@ class Layout(NamedTuple):
 
     parts: list[tuple[int, int]]
     lead: int
-    slices: int
+    held: int  # entries of a slice, about
+    tasks: int  # that hold the index
     dim: int
     kind: str  # of a component, as stored
 
@@ -167,9 +170,10 @@ class Layout(NamedTuple):
 
 def layout(rows: int, dim: int, kind: str) -> Layout:
     parts = cuts(rows)
-    held = max(1, SLICE_BYTES // (8 * dim + 8 * WORDS + 32))
+    entry = 8 * dim + 8 * WORDS + 32
+    held = max(1, SLICE_BYTES // entry)
     lead = min(max(0, (-(-rows // held) - 1).bit_length()), min(b - a for a, b in parts))
-    return Layout(parts, lead, len(parts) << lead, dim, kind)
+    return Layout(parts, lead, held, -(-rows * len(parts) * entry // TASK_BYTES), dim, kind)
 
 
 MESSAGE = "cell long, id long, code binary, v binary, done int, want int, radius int, least double"
@@ -249,17 +253,19 @@ class Slice:
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
 
-def probed(asked: DataFrame, data: DataFrame, at: Layout, k: int) -> DataFrame:
+def salted_slices(entries: DataFrame, at: Layout) -> DataFrame:
+    """(cell, salts): slices of more than twice the entries that one should hold, and into how many they are dealt."""
+    sizes = entries.groupBy("cell").count().where(F.col("count") > 2 * at.held)
+    salts = materialize(sizes.select("cell", F.ceil(F.col("count") / at.held).cast("int").alias("salts")), "salts")
+    return F.broadcast(salts) if salts.count() <= SALT_ROWS else salts
+
+
+def probed(asked: DataFrame, entries: DataFrame, salts: DataFrame, at: Layout, k: int) -> DataFrame:
     """(query_id, vec_id, score): what each query's further probing of the index finds, at least its k best.
 
-    A slice of more entries than it should hold is dealt by a salt, and a query asks every salt. Entries stand before
-    queries in each slice, so a task holds one slice and one batch of queries.
+    The entries of a slice in `salts` are dealt by a salt, and a query asks every salt. Entries stand before queries
+    in each slice, so a task holds one slice and one batch of queries.
     """
-    spark = asked.sparkSession
-    entries = index_entries(data, at)
-    held = max(1, SLICE_BYTES // (8 * at.dim + 8 * WORDS + 32))
-    sizes = entries.groupBy("cell").count().where(F.col("count") > 2 * held)
-    salts = sizes.select("cell", F.ceil(F.col("count") / held).cast("int").alias("salts"))  # at most entries / held rows
     count = F.coalesce("salts", F.lit(1))
 
     def dealt(rows: DataFrame, salt: Column, is_query: bool) -> DataFrame:
@@ -288,7 +294,7 @@ def probed(asked: DataFrame, data: DataFrame, at: Layout, k: int) -> DataFrame:
                         own, held = Slice(at, key[0], k, held), []
                     yield from own.met(run)
 
-    parts = max(shuffle_partitions(spark), at.slices)
+    parts = max(shuffle_partitions(asked.sparkSession), at.tasks)
     sorted_ = both.repartition(parts, "cell", "salt").sortWithinPartitions("cell", "salt", "q")
     return sorted_.mapInArrow(meet, "query_id long, vec_id long, score double")
 
@@ -339,7 +345,8 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     start = {"done": F.lit(-1), "want": F.lit(PROBED), "radius": F.lit(BITS), "least": F.lit(None).cast("double")}
     asked = materialize(one_each.select("id", "x.code", "x.v").withColumns(start), "queries")
     ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    best = None
+    entries, best = index_entries(data, at), None
+    salts = salted_slices(entries, at)
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,7 +364,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     fields = ["id", "code", "v", "done", "want", "radius", "least"]
     state = "id long, code binary, v binary, done int, want int, radius int, least double"
     while not asked.isEmpty():  # two rounds, more for queries of fewer than k: each probes further, at most to all rows
-        found = probed(asked, data, at, k)
+        found = probed(asked, entries, salts, at, k)
         found = found if best is None else found.unionByName(best.drop("rank"))
         # Two rows of one id are one candidate, by the nearer vector.
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -7,6 +7,7 @@ context-relative successor search. Words are the first level, numbered by their
 is the number of its context, an n-gram of the level below, and that of its word, so no two share an entry. The
 successors of a frequent context are spread over shards by a salt of the word, as many as its count asks for.
 Blocks and shards are groups of Spark, each bounded in bytes, and no task or driver ever holds the model whole.
+`fit` keeps the shards' parts of the trie as rows of a table, from which `score_with` answers for any other table.
 
 P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), and for a context h of one more word than h', backing off by MU / (c(h) + MU):
 P(w | h) = c(hw) / (c(h) + MU) + MU / (c(h) + MU) * P(w | h'). A document starts after an end; there, shorter contexts do.
@@ -50,7 +51,7 @@ class EliasFano:
 
     def __init__(self, values: np.ndarray, universe: int):
         self.n = n = len(values)
-        self.low = low = max(0, (universe // max(n, 1)).bit_length() - 1)
+        self.low = low = min(63, max(0, (universe // max(n, 1)).bit_length() - 1))
         high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         ones = np.zeros((int(high[-1]) if n else 0) // 64 * 64 + 64, dtype=np.uint8)
         ones[high] = 1
@@ -65,6 +66,16 @@ class EliasFano:
             np.bitwise_or.at(packed, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         self.bits, self.before, self.packed, self.skip = mapped(bits, before, packed, np.ascontiguousarray(values[::SKIP]))
 
+    def stored(self) -> list[np.ndarray]:
+        return [np.asarray([self.n, self.low], dtype=np.uint64), self.bits, self.before, self.packed, self.skip]
+
+    @classmethod
+    def restored(cls, head: np.ndarray, bits: np.ndarray, before: np.ndarray, packed: np.ndarray, skip: np.ndarray) -> EliasFano:
+        self = cls.__new__(cls)
+        self.n, self.low = (int(x) for x in head)
+        self.bits, self.before, self.packed, self.skip = mapped(bits, before.view(np.int64), packed, skip)
+        return self
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at positions i."""
         i = np.asarray(i, dtype=np.int64)
@@ -142,9 +153,28 @@ class Trie:
         self.successors = EliasFano(place << self.bits | words, max(1, len(first)) << int(self.bits))
         self.codes = mapped(quantised(probabilities))[0]
 
+    def stored(self) -> list[np.ndarray]:
+        levels = [*self.contexts.stored(), *self.pointers.stored(), *self.successors.stored()]
+        return [np.asarray([self.bits], dtype=np.uint64), *levels, self.codes]
+
+    @classmethod
+    def restored(cls, bits: np.ndarray, *arrays: np.ndarray) -> Trie:
+        self = cls.__new__(cls)
+        self.bits = np.uint64(bits[0])
+        self.contexts, self.pointers, self.successors = (EliasFano.restored(*arrays[i : i + 5]) for i in (0, 5, 10))
+        self.codes = mapped(arrays[15])[0]
+        return self
+
     def look_up(self, contexts: np.ndarray, of: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Codes of n-grams, the i-th of which is words[i] after contexts[of[i]]; 0 for those that the trie lacks."""
+        at = self.find(contexts, of, words)
         out = np.zeros(len(words), dtype=np.uint16)
+        out[at >= 0] = self.codes[at[at >= 0]]
+        return out
+
+    def find(self, contexts: np.ndarray, of: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places of n-grams among those of the trie, -1 for those that it lacks."""
+        out = np.full(len(words), -1)
         if not len(words) or not self.contexts.n:
             return out
         at = self.contexts.successor(contexts, np.zeros(len(contexts), dtype=np.int64), np.full(len(contexts), self.contexts.n))
@@ -158,7 +188,7 @@ class Trie:
         found = self.successors.successor(want, lo[own], hi[own])
         some = np.flatnonzero(found < hi[own])
         some = some[self.successors.access(found[some]) == want[some]]
-        out[asked[some]] = self.codes[found[some]]
+        out[asked[some]] = found[some]
         return out
 
 
@@ -259,8 +289,9 @@ def unpacked_contexts(gaps: np.ndarray, away: np.ndarray, shard: int, shards: in
 class Walk:
     """A block's n-grams, one level after another; each needs the answers to the one below."""
 
-    def __init__(self, block: Block, shards: int, salt_count: int):
-        self.block, self.shards, self.salt_count = block, shards, salt_count
+    def __init__(self, block: Block, shards: int, salt_count: int, stored: bool = False):
+        """`stored`: a stored model answers, whose places needn't rise."""
+        self.block, self.shards, self.salt_count, self.stored = block, shards, salt_count, stored
         self.place = np.arange(len(block.tokens)) - np.repeat(np.cumsum(block.lengths) - block.lengths, block.lengths)
         self.learnt = np.repeat(block.held == 0, block.lengths)
         shard = (_mixed(block.vocabulary) % np.uint64(shards)).astype(np.int64)
@@ -297,7 +328,7 @@ class Walk:
             values, of, total, gaps = unpack_arrays(blob)
             columns["code"].append(values[of])
             if len(gaps):
-                places = gaps if self.above == 1 else np.cumsum(gaps, dtype=np.uint64)
+                places = gaps if self.above == 1 or self.stored else np.cumsum(gaps, dtype=np.uint64)
                 columns["total"].append(total)
                 columns["number"].append(places.astype(np.uint64) * np.uint64(self.shards) + np.uint64(shard))
         out = {}
@@ -334,13 +365,15 @@ class Walk:
         return self.totals[context]
 
 
+#: The number that no block has, for rows of the model.
+MODEL_BLOCK = -1
 ANSWER = "block long, shard int, level int, packed binary, n long, v long"
 
 
 def answer_table(rows: pa.Table, level: int, blobs: list[bytes], n: int = 0, v: int = 0) -> pa.Table:
     """A row to each block; the first one carries what the shard adds to sums over all shards."""
     many = rows.num_rows
-    sums = [pa.array([x, *[0] * (many - 1)], pa.int64()) for x in (n, v)]
+    sums = [pa.array([x, *[0] * (many - 1)][:many], pa.int64()) for x in (n, v)]
     return pa.Table.from_arrays([rows["block"], rows["shard"], pa.array([level] * many, pa.int32()), pa.array(blobs, pa.binary()), *sums], [x.split()[0] for x in ANSWER.split(", ")])
 
 
@@ -354,20 +387,29 @@ def packed_answer(codes: np.ndarray, total: np.ndarray | None = None, places: np
     return pack_arrays(values[order], rank[of], none if total is None else total, none if places is None else places.astype(np.uint32))
 
 
-def answer_words(rows: pa.Table) -> pa.Table:
+def kept(answers: pa.Table, arrays: list[np.ndarray]) -> pa.Table:
+    """The answers, and a row for no block with this shard's part of the trie."""
+    row = [MODEL_BLOCK, answers["shard"][0].as_py(), answers["level"][0].as_py(), pack_arrays(*arrays), 0, 0]
+    return pa.concat_tables([answers, pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, answers.schema, strict=True)], answers.column_names)])
+
+
+def answer_words(rows: pa.Table, keep: bool = False) -> pa.Table:
     """Counts of words over all blocks, and their places in this shard, frequent words first."""
     parts = [unpack_arrays(x.as_py()) for x in rows["packed"]]
     ends = np.cumsum([len(x[0]) for x in parts])[:-1]
-    _, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
+    known, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([x[1] for x in parts])).astype(np.uint64)
     place = np.empty(len(total), dtype=np.int64)
     place[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(total))
     none = np.zeros(0, dtype=np.uint16)
     blobs = [packed_answer(none, total[x], place[x]) for x in np.split(at, ends)]
-    return answer_table(rows, 1, blobs, int(total.sum()), int((total > 0).sum()))
+    answers = answer_table(rows, 1, blobs, int(total.sum()), int((total > 0).sum()))
+    some = total > 0
+    numbered = np.asarray([len(total)], dtype=np.uint64)
+    return kept(answers, [numbered, total[some], place[some], *EliasFano(known[some], 1 << 64).stored()]) if keep else answers
 
 
-def answer_grams(rows: pa.Table, level: int, last: bool, shards: int) -> pa.Table:
+def answer_grams(rows: pa.Table, level: int, last: bool, shards: int, keep: bool = False) -> pa.Table:
     """Build this shard's part of a level of the trie and look the blocks' n-grams up in it."""
     parts = [unpack_arrays(x.as_py()) for x in rows["packed"]]
     shard = rows["shard"][0].as_py()
@@ -392,12 +434,47 @@ def answer_grams(rows: pa.Table, level: int, last: bool, shards: int) -> pa.Tabl
     codes, total = trie.look_up(contexts, context, word), total.astype(np.uint64)
     # The n-grams of a message rise, and so do their places.
     more = [() if last else (total[x], np.diff(x, prepend=0)) for x in np.split(at, ends)]
-    return answer_table(rows, level, [packed_answer(codes[x], *y) for x, y in zip(np.split(at, ends), more, strict=True)])
-
-
-def walked(block: pa.Table, answers: pa.Table, shards: int, salt_count: int) -> Iterator[tuple[Walk, dict[str, np.ndarray]]]:
+    answers = answer_table(rows, level, [packed_answer(codes[x], *y) for x, y in zip(np.split(at, ends), more, strict=True)])
+    numbered, none = np.asarray([len(total)], dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    entries = [none, none] if last else [total[some], np.flatnonzero(some).astype(np.uint64)]
+    return kept(answers, [numbered, *entries, *trie.stored()]) if keep else answers
+
+
+def stored_answer(rows: pa.Table, model: pa.Table, level: int, last: bool, shards: int) -> pa.Table:
+    """What a shard's stored part of the trie has on the blocks' n-grams. Those that it lacks get places beyond its own,
+    that no n-gram of the model has; a block asks a shard once, so each of them has a place of its own there."""
+    if not rows.num_rows:
+        return answer_table(rows, level, [])
+    shard, blobs = rows["shard"][0].as_py(), []
+    arrays = unpack_arrays(model["packed"][0].as_py()) if model.num_rows else None
+    numbered = int(arrays[0][0]) if arrays else 0
+    trie = (EliasFano.restored(*arrays[3:]) if level == 1 else Trie.restored(*arrays[3:])) if arrays else None
+    for x in map(unpack_arrays, rows["packed"].to_pylist()):
+        n = len(x[0]) if level == 1 else len(x[4])
+        at = np.full(n, -1)
+        if level == 1 and trie:
+            hashes = np.cumsum(x[0], dtype=np.uint64)
+            found = trie.successor(hashes, np.zeros(n, dtype=np.int64), np.full(n, trie.n))
+            some = np.flatnonzero(found < trie.n)
+            some = some[trie.access(found[some]) == hashes[some]]
+            at[some] = found[some]
+        elif trie:
+            contexts = unpacked_contexts(x[0], x[1], shard, shards)
+            at = trie.find(contexts, np.repeat(np.arange(len(contexts)), x[2]), x[4].astype(np.uint64))
+        some, codes = at >= 0, np.zeros(0 if level == 1 else n, dtype=np.uint16)
+        total, place = np.zeros(n, dtype=np.uint64), np.uint64(numbered) + np.arange(n, dtype=np.uint64)
+        if some.any():
+            if level > 1:
+                codes[some] = trie.codes[at[some]]
+            if not last:
+                total[some], place[some] = arrays[1][at[some]], arrays[2][at[some]]
+        blobs.append(packed_answer(codes) if last else packed_answer(codes, total, place))
+    return answer_table(rows, level, blobs)
+
+
+def walked(block: pa.Table, answers: pa.Table, shards: int, salt_count: int, stored: bool = False) -> Iterator[tuple[Walk, dict[str, np.ndarray]]]:
     """The block's levels from the first one on, with the shards' answers where they are there."""
-    walk = Walk(unpacked_block(block["block"][0].as_py(), block["packed"][0].as_py()), shards, salt_count)
+    walk = Walk(unpacked_block(block["block"][0].as_py(), block["packed"][0].as_py()), shards, salt_count, stored)
     heard: dict[int, list] = {}
     for level, shard, blob in zip(answers["level"].to_pylist(), answers["shard"].to_pylist(), answers["packed"].to_pylist(), strict=True):
         heard.setdefault(level, []).append((shard, blob))
@@ -423,13 +500,53 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     table gives no rows; other columns are ignored. Words are told apart by 64 bits of hash, n-grams by the numbers of
     their context and word.
     """
-    if order < 2:
-        raise ValueError("order is at least 2")
-    spark = df.sparkSession
-    prepare(spark)
-    tokenised = blocks(id_text(df, id_col, text_col), parts, part, shuffle_partitions(spark))
-    shards = max(shuffle_partitions(spark), -(-(tokenised.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
-    message, salt_count = "block long, shard int, packed binary", SALT_COUNT
+    docs = id_text(df, id_col, text_col)
+    tokenised, heard, model = _learnt(docs, parts, part, order, keep=False)
+    return _scored(tokenised, heard, model)
+
+
+class Model(NamedTuple):
+    """A learnt model: rows (shard, level, packed) of the trie, a row for each shard and level, and how it was cut."""
+
+    levels: DataFrame
+    order: int
+    shards: int
+    salt_count: int
+    total: int  # training tokens
+    types: int  # distinct ones
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = 5, part: int = 1, order: int = ORDER) -> Model:
+    """The model that `score` learns from the same rows, kept as a table in the shared folder.
+
+    Words keep their counts, so that their probabilities are exact; longer n-grams keep quantised ones.
+    """
+    return _learnt(id_text(df, id_col, text_col), parts, part, order, keep=True)[2]
+
+
+def score_with(model: Model, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What `score` returns, for the rows of any table by a model learnt before. Nothing is learnt from them: held_out is true
+    but for rows without an id. Nulls, empty and repeated rows are as in `score`; an empty table gives no rows."""
+    prepare(df.sparkSession)
+    shards, order = model.shards, model.order
+    tokenised = blocks(id_text(df, id_col, text_col), 1, 0, shuffle_partitions(df.sparkSession))
+
+    def answer(asked: DataFrame, level: int) -> DataFrame:
+        stored = model.levels.where(F.col("level") == level).groupBy("shard")
+        run = lambda rows, own: stored_answer(rows, own, level, level == order, shards)
+        return asked.groupBy("shard").cogroup(stored).applyInArrow(run, ANSWER)
+
+    heard = None
+    for level in range(1, order + 1):
+        asked = _asked(tokenised, heard, shards, model.salt_count, stored=True)
+        found = materialize(answer(asked, level), f"level-{level}")
+        heard = found if heard is None else heard.unionByName(found)
+    return _scored(tokenised, heard, model, stored=True)
+
+
+def _asked(tokenised: DataFrame, heard: DataFrame | None, shards: int, salt_count: int, stored: bool = False) -> DataFrame:
+    """The blocks' messages to the shards of the first level that they haven't heard of."""
+    message = "block long, shard int, packed binary"
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -439,27 +556,50 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts:
     def ask_grams(block: pa.Table, answers: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "packed": pa.array([], pa.binary())})
-        for walk, _ in walked(block, answers, shards, salt_count):
+        for walk, _ in walked(block, answers, shards, salt_count, stored):
             pass
         return pa.Table.from_batches([walk.ask()])
 
+    if heard is None:
+        return tokenised.select("block", "packed").mapInArrow(ask_words, message)
+    return tokenised.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(ask_grams, message)
+
+
+def _learnt(docs: DataFrame, parts: int, part: int, order: int, keep: bool) -> tuple[DataFrame, DataFrame, Model]:
+    """The blocks, the shards' answers to them, and the model, whose rows are there if `keep`."""
+    if order < 2:
+        raise ValueError("order is at least 2")
+    spark = docs.sparkSession
+    prepare(spark)
+    tokenised = blocks(docs, parts, part, shuffle_partitions(spark))
+    shards = max(shuffle_partitions(spark), -(-(tokenised.agg(F.sum("bytes")).first()[0] or 0) // SHARD_BYTES))
+    salt_count = SALT_COUNT
+
     def grams_of(level: int):
-        return lambda rows: answer_grams(rows, level, level == order, shards)
+        return lambda rows: answer_grams(rows, level, level == order, shards, keep)
 
-    asked = tokenised.select("block", "packed").mapInArrow(ask_words, message)
-    heard = materialize(asked.groupBy("shard").applyInArrow(answer_words, ANSWER), "level-1")
-    total, types = (x or 0 for x in heard.agg(F.sum("n"), F.sum("v")).first())
+    asked = _asked(tokenised, None, shards, salt_count)
+    found = materialize(asked.groupBy("shard").applyInArrow(lambda rows: answer_words(rows, keep), ANSWER), "level-1")
+    total, types = (x or 0 for x in found.agg(F.sum("n"), F.sum("v")).first())
+    answers = F.col("block") != MODEL_BLOCK
+    levels, heard = found.where(~answers), found.where(answers) if keep else found
     for level in range(2, order + 1):
-        asked = tokenised.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(ask_grams, message)
-        found = asked.groupBy("shard").applyInArrow(grams_of(level), ANSWER)
-        heard = heard.unionByName(materialize(found, f"level-{level}"))
+        asked = _asked(tokenised, heard, shards, salt_count)
+        found = materialize(asked.groupBy("shard").applyInArrow(grams_of(level), ANSWER), f"level-{level}")
+        levels, heard = levels.unionByName(found.where(~answers)), heard.unionByName(found.where(answers) if keep else found)
+    return tokenised, heard, Model(levels.select("shard", "level", "packed"), order, shards, salt_count, total, types)
+
+
+def _scored(tokenised: DataFrame, heard: DataFrame, model: Model, stored: bool = False) -> DataFrame:
+    """Sums over the tokens of each document, by the shards' answers."""
+    shards, salt_count, total, types = model.shards, model.salt_count, model.total, model.types
 
     def add_up(block: pa.Table, answers: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SCORED.split(", ")]
         if not block.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)})
         below = None
-        for walk, got in walked(block, answers, shards, salt_count):
+        for walk, got in walked(block, answers, shards, salt_count, stored):
             if walk.above == 1:
                 b = walk.block
                 start = np.cumsum(b.lengths) - b.lengths

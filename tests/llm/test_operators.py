@@ -376,8 +376,8 @@ def test_brackets():
     assert packing.bands(1024)[0] == (512, 1024) and packing.bands(1024)[-1][0] == 0 and packing.bands(1) == [(0, 1)]
 
 
-def brute_lm(rows, order=ngram_lm.ORDER):
-    """(doc_id, held out, tokens, known, learnt, base, score) of each row by plain dictionaries."""
+def brute_lm(rows, order=ngram_lm.ORDER, other=None):
+    """(doc_id, held out, tokens, known, learnt, base, score) of each row, or each of `other`, by plain dictionaries."""
     tok = [(i, [*(t or "").encode().lower().split(), None]) for i, t in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     count = Counter()
@@ -390,7 +390,8 @@ def brute_lm(rows, order=ngram_lm.ORDER):
                         count[tuple([None, *w][at - k + 2 : at + 2])] += 1
     n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
     out = []
-    for i, w in tok:
+    scored = tok if other is None else [(i, [*(t or "").encode().lower().split(), None]) for i, t in other]
+    for i, w in scored:
         base = [(count[(x,)] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
         score = 0.0
         for at, p in enumerate(base):
@@ -399,7 +400,7 @@ def brute_lm(rows, order=ngram_lm.ORDER):
                     gram = tuple([None, *w][at - k + 2 : at + 2])
                     p = (count[gram] + ngram_lm.MU * p) / (count[gram[:-1]] + ngram_lm.MU)
             score += math.log10(p)
-        out.append((i, held(i), len(w), sum(count[(x,)] > 0 for x in w), n, sum(map(math.log10, base)), score))
+        out.append((i, held(i) if other is None else i is not None, len(w), sum(count[(x,)] > 0 for x in w), n, sum(map(math.log10, base)), score))
     return out
 
 
@@ -428,6 +429,34 @@ def test_lm_scores(spark, docs, empty, monkeypatch):
     assert_lm(ngram_lm.score(spark.createDataFrame(none, "doc_id long, text string")).collect(), brute_lm(none))
 
 
+def test_lm_scores_another_table_from_the_stored_trie(spark, monkeypatch):
+    rows = [(r[0], r[1]) for r in fixture_rows()]
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice([*WORDS, "unseen", f"new{rng.randrange(30)}"]) for _ in range(n))
+    other = [(i, text(n)) for i, n in enumerate([0, 1, 2, 5, 300, 9000])]
+    other += [(5, rows[6][1]), (5, "alpha beta other words"), (None, "alpha gamma delta"), (60, None), (61, "ALPHA  beta\tnew1 beta")]
+    schema = "doc_id long, text string"
+    df, another = spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)
+    monkeypatch.setattr(ngram_lm, "SALT_COUNT", 50)
+    for order, bytes_ in ((2, 1 << 20), (3, 20_000), (4, 30_000)):
+        monkeypatch.setattr(ngram_lm, "BLOCK_BYTES", bytes_)
+        monkeypatch.setattr(ngram_lm, "SHARD_BYTES", bytes_)
+        model = ngram_lm.fit(df, order=order)
+        assert_lm(ngram_lm.score_with(model, another).collect(), brute_lm(rows, order, other))
+    assert ngram_lm.score_with(model, another.limit(0)).count() == 0
+    # What it learnt from, it scores as it did then.
+    then = {(r.doc_id, r.n_tokens, round(r.score, 6)) for r in ngram_lm.score(df, order=4).collect()}
+    assert then == {(r.doc_id, r.n_tokens, round(r.score, 6)) for r in ngram_lm.score_with(model, df).collect()}
+    # Without the trie's last level, its n-grams are worth what backing off leaves them.
+    less = model._replace(levels=model.levels.where("level < 4"))
+    whole, cut = (sorted((r.n_tokens, r.score) for r in ngram_lm.score_with(m, another).collect()) for m in (model, less))
+    assert all(c <= w + 1e-9 for (_, w), (_, c) in zip(whole, cut, strict=True))
+    assert any(w - 1 > c for (_, w), (_, c) in zip(whole, cut, strict=True))
+    # A model of nothing knows nothing.
+    nothing = ngram_lm.fit(spark.createDataFrame([(None, "a b")], schema))
+    assert_lm(ngram_lm.score_with(nothing, another).collect(), brute_lm([], 3, other))
+
+
 def test_lm_contexts_of_like_hash_stay_apart(spark):
     words = [f"w{i}" for i in range(60_000)]
     seen, alike = {}, []

@@ -518,3 +518,41 @@ def test_cli_serves_a_saved_model(spark, tmp_path, capsys):
     assert cli.main(["--user", "1", "--fitted", str(tmp_path / "none"), *data], spark) == 1
     with pytest.raises(SystemExit):
         cli.main(["--user", "1", "--model", "als", "--fitted", saved, *data], spark)
+
+
+def test_products_by_ranges(spark, lowrank, monkeypatch):
+    """Ranges, pieces of products and the way by single items give what the self-join gives, and no product is shuffled."""
+    from tastegrid.operators import products
+
+    train, val, _ = time_split(lowrank)
+    knn = m.ItemKNN(5).fit(train)
+    sims = {(r.i, r.j): round(r.sim, 10) for r in knn.similarity().collect()}
+    want = {}
+    for i in {i for i, _ in sims}:
+        own = sorted((-s, j) for (a, j), s in sims.items() if a == i and s > 0)
+        want |= {(i, r): (j, -s) for r, (s, j) in enumerate(own[:5], start=1)}
+    rated = {}
+    for r in knn.matrix.collect():
+        rated.setdefault(r.user_idx, []).append(r.item_idx)
+    near = {(r.user_idx, r.item_idx, j): sims[r.item_idx, j] for r in val.collect() for j in rated[r.user_idx] if sims.get((r.item_idx, j), 0) != 0}
+    for ranges, pieces, few in ((1, 1 << 20, 0), (3, 7, 0), (40, 50, 0), (4, 100, 10**6)):
+        monkeypatch.setattr(products, "RANGES", ranges)
+        monkeypatch.setattr(m, "FEW_USERS", few)
+        for cut in {pieces, 1 << 20}:
+            # tasks take the module as it is written, so pieces are tried here
+            by = products.by_ranges(knn.matrix, knn.norms, products.item_ranges(knn.matrix)).toArrow()
+            monkeypatch.setattr(products, "PRODUCTS", cut)
+            first = (by["low"].to_numpy() == 0) & (by["high"].to_numpy() == 0)
+            one = [by[c].to_numpy()[first] for c in ("user_idx", "item_idx", "x")]
+            found = [(int(k >> 32), int(k & 0xFFFFFFFF), d) for keys, ds in products.sums(one, one) for k, d in zip(keys.tolist(), ds.tolist(), strict=True)]
+            assert len({x[:2] for x in found}) == len(found)
+            assert all(abs(d - sims.get((i, j), 0)) < 2e-10 for i, j, d in found if i != j)
+        got = {(r.i, r.r): (r.j, r.s) for r in knn.most_similar(5).collect()}
+        assert {k: j for k, (j, _) in got.items()} == {k: j for k, (j, _) in want.items()}
+        some = {r.i for r in knn.most_similar(5, val.where("item_idx < 9")).collect()}
+        assert some == {i for i, _ in want} & {r.item_idx for r in val.where("item_idx < 9").collect()}
+        got = {(r.user_idx, r.i, r.j): r.s for r in knn._near(val).collect()}
+        assert got.keys() == near.keys() and all(abs(got[k] - near[k]) < 2e-10 for k in near)
+    # The rows that meet in the join of the matrix with itself were what was grouped by i and j.
+    monkeypatch.setattr(m.ItemKNN, "similarity", None)
+    assert knn.most_similar(5).count() == len(want)

@@ -556,3 +556,11 @@ def test_products_by_ranges(spark, lowrank, monkeypatch):
     # The rows that meet in the join of the matrix with itself were what was grouped by i and j.
     monkeypatch.setattr(m.ItemKNN, "similarity", None)
     assert knn.most_similar(5).count() == len(want)
+
+
+def test_ratings_are_made_once_for_both_indexes(spark):
+    """Nothing of the join of orders and lines, or of a file, is left in the plan of indexed ratings."""
+    found = sources.indexed_interactions(spark, "/root/testdata/sf0.001")
+    assert not [x for x in found.inputFiles() if "lineitem" in x or "orders" in x]
+    old = indexed(sources.interactions(spark, "/root/testdata/sf0.001")).select(*found.columns)
+    assert found.exceptAll(old).count() == 0 and old.exceptAll(found).count() == 0

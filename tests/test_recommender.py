@@ -564,3 +564,15 @@ def test_ratings_are_made_once_for_both_indexes(spark):
     assert not [x for x in found.inputFiles() if "lineitem" in x or "orders" in x]
     old = indexed(sources.interactions(spark, "/root/testdata/sf0.001")).select(*found.columns)
     assert found.exceptAll(old).count() == 0 and old.exceptAll(found).count() == 0
+
+
+def test_split_files_write_a_line_three_times(spark, tmp_path, monkeypatch):
+    """Once for all folds, whose files are runs of the same lines, and once for each of ra and rb."""
+    from tastegrid.operators import splits
+
+    written = []
+    monkeypatch.setattr(splits, "join_parts", lambda df, *rest: written.append(df.count()))
+    (tmp_path / "ratings.dat").write_bytes(b"".join(b"%d::%d::3\n" % (k % 4, k) for k in range(63)))
+    for mode in ("compat", "exact"):
+        split_files(sources.read_lines(spark, str(tmp_path / "ratings.dat")), str(tmp_path / mode), mode)
+    assert written == [3 * 63, 3 * 63]

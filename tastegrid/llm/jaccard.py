@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, id_text, materialize, prepare, release, tree_sum
@@ -231,7 +231,7 @@ def verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 STAR_PART = 4
 
 
-def candidates(met: DataFrame, percent: int, part: int = 1) -> DataFrame:
+def candidates(met: DataFrame, percent: int, part: int) -> DataFrame:
     """(a, b, n: sizes of both together) with a > b, of rows of lists that meet, by what their prefixes share: at least
     one `part`-th of the shingles that linked rows share there."""
     n, m, p, q = (F.col(f"{x}{c}") for c in ("n", "place") for x in ("", "other_"))
@@ -258,16 +258,66 @@ def star_pairs(own: DataFrame, percent: int, turn: int) -> DataFrame:
     return candidates(met, percent, STAR_PART)
 
 
+def least_shared(n, low, high, percent: int):
+    """Shingles that the prefixes of a set of `n` and any linked one of `low` to `high` share at least.
+
+    With a larger partner fewer are asked for, but for roundings, which the second form leaves out.
+    """
+    m = F.least(n, low)
+    smaller = overlap(n, m, percent) - rest_needed(n, m, percent) + 1
+    larger = F.least(F.lit(SHARED), F.ceil((n + high) * percent / (100 + percent) - high * percent / 100))
+    return F.greatest(F.lit(1), F.least(smaller, F.when(high > n, larger).otherwise(smaller)))
+
+
+#: Sets of up to so many shingles meet by their exact sizes, larger ones by classes some 2 % wide.
+EXACT_SIZES = 256
+
+
+def listed(own: DataFrame) -> DataFrame:
+    """Rows of lists with several components, with the class (`kind`) of their size and a `rank` of their component by size."""
+    several = own.groupBy("token").agg(F.min("root").alias("root1"), F.max("root").alias("root2")).where("root1 < root2").select("token")
+    weights = own.where("node != root").groupBy("root").agg(F.count("*").alias("weight"))
+    kind = F.when(F.col("n") < EXACT_SIZES, F.col("n")).otherwise(EXACT_SIZES + F.floor(50 * F.log(F.col("n") / EXACT_SIZES)))
+    rank = F.struct(F.coalesce("weight", F.lit(0)).alias("weight"), "root")
+    return own.join(several, "token").join(weights, "root", "left").select("token", "node", "n", "place", kind.cast("long").alias("kind"), rank.alias("rank"))
+
+
+def asking(here: DataFrame, percent: int) -> DataFrame:
+    """token, kind, node, n, place, rank: the lists in which a row looks for partners of a class of sizes in higher components.
+
+    Of the L lists that a row has in common with such rows, a linked partner is in `least_shared` at least, so it is in one of any
+    L - least_shared + 1; the shortest ones are taken. A row in too few lists asks for none.
+    """
+    n = F.col("n")
+    groups = here.groupBy("token", "kind").agg(F.count("*").alias("many"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rank").alias("top"))
+    fits = (F.col("high") * 100 >= n * percent) & (F.col("low") * percent <= n * 100) & (F.col("top") > F.col("rank"))
+    met = here.drop("kind").join(groups, "token").where(fits)
+    own = Window.partitionBy("node", "kind")
+    least = F.min(least_shared(n, F.col("low"), F.col("high"), percent)).over(own)
+    met = met.withColumn("spare", F.count("*").over(own) - least).withColumn("turn", F.row_number().over(own.orderBy("many", "token")))
+    return met.where("turn <= spare + 1").select("token", "kind", "node", "n", "place", "rank")
+
+
+def meeting(here: DataFrame, percent: int) -> DataFrame:
+    """Rows with those in higher components that they meet in the lists they ask, one row a list."""
+    there = here.select("token", "kind", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "rank")])
+    return asking(here, percent).join(there, ["token", "kind"]).where("other_rank > rank")
+
+
 def rest_pairs(own: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list's rows in different components that can link; one of them is outside its largest component."""
-    by_root = own.groupBy("token", "root").count()
-    largest = by_root.groupBy("token").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    here = own.join(largest.select("token", F.col("top.root").alias("top_root")), "token")
-    here = here.withColumn("outside", F.col("root") != F.col("top_root")).drop("top_root")
-    there = here.select("token", *[F.col(c).alias(f"other_{c}") for c in ("node", "n", "place", "root", "outside")])
-    either = (~F.col("other_outside")) | (F.col("node") < F.col("other_node"))
-    # A pair in different components meets once in each list that has both, so its shared shingles are all counted.
-    return candidates(here.where("outside").join(there, "token").where((F.col("root") != F.col("other_root")) & either), percent)
+    """All pairs of a list's rows in different components that can link. The one in the smaller component, which is the same one
+    in all lists, asks for the other, so that a dense group is asked for by the few rows that stars have not linked to it."""
+    here = materialize(listed(own), "rest")
+    n, m, p, q = (F.col(f"{x}{c}") for c in ("n", "place") for x in ("", "other_"))
+    alike = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    met = meeting(here, percent).where(alike & (F.least(n - p, m - q) >= rest_needed(n, m, percent)))
+    least = overlap(n, m, percent) - rest_needed(n, m, percent) + 1
+    pairs = met.select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"), (n + m).alias("n"), least.alias("least")).distinct()
+    # A pair in different components meets in each list that has both, so all it shares is among these.
+    tokens = here.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    mine, yours = (tokens.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in ("a", "b"))
+    both = pairs.join(mine, "a").join(yours, "b")
+    return both.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("least")).select("a", "b", "n")
 
 
 def linked(found: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, stars: int = STARS) -> DataFrame:

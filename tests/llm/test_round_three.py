@@ -118,6 +118,23 @@ def test_jaccard_loses_no_link_however_many_stars(spark, stars, monkeypatch):
     assert by_row(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows, 5, 80)
 
 
+def test_jaccard_rows_beside_a_dense_group_meet_few_of_it(spark, monkeypatch):
+    """Rows that miss a dense group narrowly share most of its lists; few of these are asked, and no link is lost."""
+    rng, base, texts = random.Random(8), [f"w{i}" for i in range(120)], []
+    for k in range(300):
+        words = list(base)
+        for j in range(rng.randrange(3) if k % 8 else 5):
+            words[rng.randrange(120)] = f"own{k}x{j}"
+        texts.append(" ".join(words))
+    met, plain = [], jaccard.meeting
+    monkeypatch.setattr(jaccard, "meeting", lambda here, percent: met.append((here.count(), plain(here, percent).count())) or plain(here, percent))
+    rows = list(enumerate(texts))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert by_row(got, "doc_id", "n_shingles", "component_id") == brute_jaccard(rows, 5, 80)
+    assert len({r.component_id for r in got.collect()}) > 10
+    assert all(many <= here for here, many in met)
+
+
 def test_jaccard_pieces_order_and_empty(spark):
     rng = random.Random(2)
     for text in (" ".join(rng.choice(WORDS) for _ in range(300)).encode(), b" a  b\t c", b"", b"one"):

@@ -1,9 +1,14 @@
 """Hand-made fixtures and properties of the splits, models, metrics and readers."""
 
+import copy
 import io
 import math
+import threading
+import tracemalloc
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +378,71 @@ def test_unseen_items_in_blocks(spark, lowrank, monkeypatch):
     assert sorted(map(tuple, ev.unseen_items(test, train, test).collect())) == want
 
 
+class Beside:
+    """Peers that are threads of this process: `exchange` goes through a list they share."""
+
+    def __init__(self, size):
+        self.size, self.barrier, self.boxes = size, threading.Barrier(size, timeout=120), [None] * size
+
+    def of(self, rank):
+        peer = copy.copy(self)
+        peer.rank = rank
+        return peer
+
+    def exchange(self, messages):
+        self.boxes[self.rank] = list(messages)
+        self.barrier.wait()
+        got = [box[self.rank] for box in self.boxes]
+        self.barrier.wait()
+        return got
+
+
+@pytest.mark.parametrize(("workers", "piece", "chunk"), [(1, 1 << 18, 1 << 18), (3, 50, 80), (5, 1000, 80)])
+def test_als_in_pieces_equals_arrays(spark, monkeypatch, workers, piece, chunk):
+    """Ratings dealt by Spark, read from files in pieces by several workers, give the factors of a run on arrays."""
+    from tastegrid.operators import als
+
+    monkeypatch.setattr(als, "PIECE", piece)
+    monkeypatch.setattr(als, "CHUNK", chunk)
+    rng = np.random.default_rng(9)
+    pairs = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 500), rng.integers(0, 60, 500), strict=True)} | {(7, i) for i in range(300)})
+    matrix = [(u, i, float(rng.normal())) for u, i in pairs]
+    rows = spark.createDataFrame(matrix, "u long, i long, v double").repartition(5)
+    batches = [[] for _ in range(workers)]
+    for x in als.dealt(rows, len(matrix), workers).toArrow().to_batches(max_chunksize=37):
+        for k in range(workers):
+            batches[k].append(x.filter(pa.array(x.column(0).to_numpy() == k)))
+    peers = Beside(workers)
+    with ThreadPoolExecutor(workers) as pool:
+        halves = list(pool.map(lambda k: als.fitted(peers.of(k), als.loaded(batches[k]), 4, 3, 0.1, 7), range(workers)))
+    assert piece > 50 or all(len(half.bounds) > 3 for part in halves for half in part)
+    for side, want in enumerate(plain_als(matrix, 4, 3, 0.1, 7)):
+        got = [(i, x) for part in halves for i, x in zip(part[side].ids[part[side].mine()].tolist(), part[side].x[part[side].mine()], strict=True)]
+        assert [i for i, _ in got] == sorted(want) and all(np.abs(x - want[i]).max() < 1e-6 for i, x in got)
+
+
+def test_als_holds_no_ratings(monkeypatch):
+    """A task's memory goes with its factors and its pieces, not with its ratings."""
+    from tastegrid.operators import als
+
+    monkeypatch.setattr(als, "PIECE", 5000)
+    monkeypatch.setattr(als, "CHUNK", 5000)
+    rng, peaks = np.random.default_rng(2), []
+    for many in (100_000, 400_000):
+        held = als.Rows(als.RATING), als.Rows(als.RATING)
+        for x in held:
+            for a in range(0, many, 10_000):
+                rows = np.zeros(10_000, dtype=als.RATING)
+                rows["own"], rows["other"] = np.arange(a, a + 10_000) * 1000 // many, rng.integers(0, 1000, 10_000)
+                rows["v"] = rng.normal(size=10_000)
+                x.put(a, rows)
+        tracemalloc.start()
+        als.fitted(Beside(1).of(0), held, 4, 1, 0.1, 7)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 300_000 * 8 + peaks[0]  # less than one number for each rating more
+
+
 def test_long_ids_are_taken_in_pieces(monkeypatch):
     """What doesn't fit in a piece is summed in pieces, with the same factors."""
     from tastegrid.operators import als

@@ -646,3 +646,45 @@ def test_split_files_write_a_line_three_times(spark, tmp_path, monkeypatch):
     for mode in ("compat", "exact"):
         split_files(sources.read_lines(spark, str(tmp_path / "ratings.dat")), str(tmp_path / mode), mode)
     assert written == [3 * 63, 3 * 63]
+
+
+@pytest.mark.parametrize("span", [5, 4000])
+def test_rows_are_summed(span):
+    from tastegrid.operators.neural import summed
+
+    rng = np.random.default_rng(6)
+    index = np.unique(rng.integers(0, span, 1000), return_inverse=True)[1]
+    g = rng.normal(size=(1000, 3))
+    want = np.zeros((index.max() + 1, 3))
+    np.add.at(want, index, g)
+    assert np.allclose(summed(index, g), want)
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_workers_beside_each_other_train_alike(workers):
+    """Steps on rows held with their moments equal training with dense Adam on arrays; several workers' losses are near."""
+    from tastegrid.operators.neural import Share, Worker
+
+    rng = np.random.default_rng(12)
+    u, i, r = rng.integers(0, 90, 3000), rng.integers(0, 70, 3000), rng.integers(1, 6, 3000).astype(float)
+    u[0], i[0] = 89, 69
+    losses, net = plain_training(u, i, r, 4, (8,), 3, 0.01, 64, 5)
+    peers, counts = Beside(workers), [len(r[k::workers]) for k in range(workers)]
+
+    def run(k):
+        own = Net(0, 0, 4, (8,), seed=5)
+        share = Share(160, workers, k, 4, 5)
+        worker = Worker(peers.of(k), share, own, np.zeros((2, sum(x.size for x in own.layers().values()))), counts, 64, 0.01, 3)
+        told = [worker.epoch(e, u[k::workers], i[k::workers] + 90, r[k::workers].astype(np.float32), 5) for e in range(3)]
+        at = np.flatnonzero(share.row() < 160)
+        worker.adam.catch_up(share.x, share.m, share.v, share.last, at, 3 * worker.steps)
+        return told, share.row()[at], share.x[at]
+
+    with ThreadPoolExecutor(workers) as pool:
+        found = list(pool.map(run, range(workers)))
+    assert np.allclose(np.sum([x for x, _, _ in found], axis=0), losses, rtol=2e-3 if workers == 1 else 0.05)
+    rows = np.concatenate([x for _, x, _ in found])
+    assert sorted(rows.tolist()) == list(range(160))
+    if workers == 1:
+        want = np.concatenate([net.params["user"], net.params["item"]])
+        assert np.abs(found[0][2] - want[rows]).max() < 0.02

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, id_text, materialize, prepare, release, tree_sum
+from .common import column_bytes, id_text, materialize, prepare, release, tree_last
 from .simhash import components, with_least
 from .substring import _M1, _rolled, word_hashes
 
@@ -77,8 +77,9 @@ class Order:
         return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
 
 
-def frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
-    """The sketch: shingles in each cell, over all documents. Single precision does, since only classes are made of it."""
+def global_order(docs: DataFrame, width: int, cells: int, fragments: int) -> Order:
+    """The order by the sketch: shingles in each cell, over all documents. Single precision does, since only classes are made
+    of it; that happens in a task, so that the driver gets a byte a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.int64)
@@ -95,7 +96,7 @@ def frequencies(docs: DataFrame, width: int, cells: int) -> np.ndarray:
             total += np.bincount(cells_of(np.concatenate(held), cells), minlength=cells)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["counts"])
 
-    return tree_sum(docs.mapInArrow(run, "counts binary"), np.float32, cells).astype(float)
+    return tree_last(docs.mapInArrow(run, "counts binary"), np.float32, cells, lambda counts: Order(counts.astype(float), fragments))
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
@@ -168,7 +169,7 @@ def rest_needed(n, m, percent: int):
 
 
 def filter_bits(ids: DataFrame, bits: int) -> np.ndarray:
-    """A filter of fixed size over a column of numbers, a row a partition, merged by treeReduce."""
+    """A filter of fixed size over a column of numbers, a row a partition, merged by a tree of tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bits // 8, dtype=np.uint8)
@@ -177,7 +178,7 @@ def filter_bits(ids: DataFrame, bits: int) -> np.ndarray:
             np.bitwise_or.at(seen, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["bits"])
 
-    return tree_sum(ids.mapInArrow(run, "bits binary"), np.uint8, bits // 8, np.bitwise_or)
+    return tree_last(ids.mapInArrow(run, "bits binary"), np.uint8, bits // 8, lambda bits: bits, np.bitwise_or)
 
 
 def segments(docs: DataFrame, wanted: DataFrame, order: Order, width: int, bits: int) -> DataFrame:
@@ -364,7 +365,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     prepare(spark)
     docs = id_text(df, id_col, text_col)
-    order = Order(frequencies(docs, width, cells), fragments)
+    order = global_order(docs, width, cells, fragments)
     sets = prefixed(docs, order, width, percent)
     able = sets.where("doc_id is not null and n > 0")
     nodes = able.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))

@@ -194,23 +194,29 @@ def with_least(pairs: DataFrame) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     part = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
     least = part.groupBy("a").agg(F.min("low").alias("m"))
-    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).select(*pairs.columns, "m")
+    # Merged, since each of the many small tables that rounds would otherwise broadcast is held by the driver for a while.
+    low = part.select("a", "salt").join(least.hint("merge"), "a")
+    return salted.join(low.hint("merge"), ["a", "salt"]).select(*pairs.columns, "m")
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether each a has one link (a, b) only and no b is an a, so that another round would change nothing."""
+    ends = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return by_node.where("ups > 1 or ups = 1 and least = 0").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, itself left out; alternating large and small stars."""
     links = materialize(links.distinct(), "links")
-    seen = None
     while True:  # stars settle after a number of rounds that grows with the logarithm of the nodes
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         pairs = F.array(*[F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in ("a", "b")])
         before, links = links, materialize(with_least(large).select(F.inline(pairs)).where("a > b").distinct(), "links")
         release(before)
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if stars(links):
             break
-        seen = state
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -8,9 +8,11 @@ import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tastegrid.llm import importance, jaccard, repair
+from tastegrid.llm import importance, jaccard, repair, simhash
+from tastegrid.llm.common import tree_last
 
 from .test_operators import SCHEMA, WORDS, by_row, fixture_rows
 
@@ -147,6 +149,22 @@ def test_jaccard_pieces_order_and_empty(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_jaccard_leaves_little_with_the_driver(spark, monkeypatch):
+    """Stars need no second round, their small tables aren't broadcast, and of many long vectors the driver gets what is made of one."""
+    made = []
+    plain = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: made.append(df) or plain(df, name))
+    rows = spark.createDataFrame([(10 * k + j, 10 * k) for k in range(5) for j in range(1, 9)], "a long, b long")
+    assert {tuple(r) for r in simhash.components(rows).collect()} == {tuple(r) for r in rows.collect()}
+    assert len(made) == 2
+    plan = made[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    vectors = spark.range(0, 100, 1, 20).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([np.full(6, b.num_rows, np.int64).tobytes()])], ["x"]) for b in batches), "x binary")
+    for fan in (2, 8, 64):
+        assert tree_last(vectors, np.int64, 6, lambda x: x.sum(), fan=fan) == 600
+    assert tree_last(vectors.where("x is null"), np.int64, 6, lambda x: x.sum()) == 0
+
+
 def brute_damage(rows):
     out = []
     for conv, turn, role, text in rows:

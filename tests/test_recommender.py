@@ -628,6 +628,40 @@ def test_products_by_ranges(spark, lowrank, monkeypatch):
     assert knn.most_similar(5).count() == len(want)
 
 
+def test_asked_products_by_blocks_of_users(spark, lowrank, monkeypatch):
+    """Any number of blocks, rows of a user and pieces give the same; an entry goes to one block, wherever its user's items lie."""
+    from tastegrid.operators import products
+
+    train, val, _ = time_split(lowrank)
+    knn = m.ItemKNN(5).fit(train)
+    v = {(r.user_idx, r.item_idx): r.v for r in knn.matrix.collect()}
+    of = {}
+    for (u, i), x in v.items():
+        of.setdefault(i, {})[u] = x
+    asked = {(r.user_idx, r.item_idx) for r in val.collect()} | {(0, i) for i in of}
+    dot = lambda i, j: sum(x * of[j][u] for u, x in of.get(i, {}).items() if u in of[j])
+    want = {(u, i, j): dot(i, j) for u, i in asked for w, j in v if w == u and j != i}
+    want = {k: d for k, d in want.items() if abs(d) > 1e-12}
+    pairs = spark.createDataFrame(sorted(asked), "user_idx int, i int")
+    for blocks, rows in ((1, 1000), (7, 3), (130, 1000)):
+        monkeypatch.setattr(products, "BLOCKS", blocks)
+        monkeypatch.setattr(products, "ROW_ASKED", rows)
+        got = {(r.user_idx, r.i, r.j): r.d for r in products.dots_of(pairs, knn.matrix).collect() if abs(r.d) > 1e-12}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    user, item = (np.array(x, dtype=np.int32) for x in zip(*v, strict=True))
+    starts, items = np.array([0, 3, 3, 7]), np.array([1, 2, 5, 0, 2, 4, 9], dtype=np.int32)
+    for pieces in (1, 5, 1 << 20):
+        found = products.asked_sums((np.array([3, 0, 3, 99]), np.array([0, 2, 2, 1]), (starts, items)), (user, item, np.array(list(v.values()))), pieces)
+        got = {(of_row, i, j): d for x in found for of_row, i, j, d in zip(*(y.tolist() for y in x), strict=True)}
+        pieced = {(r, i, j): dot(i, j) for r, i, own in ((0, 3, (1, 2, 5)), (2, 0, (0, 2, 4, 9)), (2, 3, (0, 2, 4, 9))) for j in own if i != j}
+        pieced = {k: d for k, d in pieced.items() if d != 0}
+        assert got.keys() == pieced.keys() and all(got[k] == pytest.approx(pieced[k]) for k in got)
+    # Entries were copied for each range of items that their user has.
+    monkeypatch.setattr(m, "by_ranges", None)
+    monkeypatch.setattr(m, "FEW_USERS", 0)
+    assert knn.predict(val).count() == val.count()
+
+
 def test_ratings_are_made_once_for_both_indexes(spark):
     """Nothing of the join of orders and lines, or of a file, is left in the plan of indexed ratings."""
     found = sources.indexed_interactions(spark, "/root/testdata/sf0.001")

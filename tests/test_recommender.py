@@ -662,6 +662,21 @@ def test_asked_products_by_blocks_of_users(spark, lowrank, monkeypatch):
     assert knn.predict(val).count() == val.count()
 
 
+def test_neighbours_of_one_user_leave_other_rows_alone(spark, monkeypatch):
+    """Products are made of the rows of those who rated an item of the user, which no shuffle of the others finds."""
+    rows = spark.createDataFrame([(u, (7 * u + 13 * k) % 4000, float(1 + (u * k) % 5)) for u in range(900) for k in range(2, 12)], "user_idx int, item_idx int, rating double").distinct()
+    knn = m.ItemKNN(5).fit(rows)
+    wanted = ev.unseen_items(spark.createDataFrame([(3,)], "user_idx int"), rows)
+    seen = []
+    plain = m.ItemKNN.similarity
+    monkeypatch.setattr(m.ItemKNN, "similarity", lambda self, lefts, rights, matrix=None: seen.append((self.matrix if matrix is None else matrix).count()) or plain(self, lefts, rights, matrix))
+    got = {(r.user_idx, r.i, r.j): r.s for r in knn._near(wanted).collect()}
+    assert len(seen) == 1 and seen[0] < knn.matrix.count() / 10
+    monkeypatch.setattr(m, "FEW_USERS", 0)
+    want = {(r.user_idx, r.i, r.j): r.s for r in knn._near(wanted).collect()}
+    assert got and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-10) for k in want)
+
+
 def test_ratings_are_made_once_for_both_indexes(spark):
     """Nothing of the join of orders and lines, or of a file, is left in the plan of indexed ratings."""
     found = sources.indexed_interactions(spark, "/root/testdata/sf0.001")

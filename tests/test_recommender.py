@@ -737,3 +737,40 @@ def test_workers_beside_each_other_train_alike(workers):
     if workers == 1:
         want = np.concatenate([net.params["user"], net.params["item"]])
         assert np.abs(found[0][2] - want[rows]).max() < 0.02
+
+
+@pytest.mark.parametrize(("name", "model"), [("ranking_metrics_als", m.ALSModel), ("ranking_metrics_neural", NeuralModel)])
+def test_ranking_takes_every_user(spark, monkeypatch, name, model):
+    """Every user with a relevant test item is ranked, and no more than the first 500 were."""
+    asked = []
+    monkeypatch.setattr(model, "fit", lambda self, train: self)
+    monkeypatch.setattr(model, "predict", lambda self, df: asked.append(df) or df.withColumn("prediction", -F.col("item_idx").cast("double")))
+    d = "/root/testdata/sf0.01"
+    got = {(r.metric, r.k): r.value for r in QUERIES[name](spark, d).collect()}
+    test = time_split(sources.indexed_interactions(spark, d))[2].where("rating >= 4").select("user_idx", "item_idx").toPandas()
+    rows = asked[0].toPandas()
+    assert len(test) > 500 and set(rows["user_idx"]) == set(test["user_idx"]) and len(rows) == 100 * len(test)
+    rows = rows.merge(test.rename(columns={"item_idx": "hit"}), on="user_idx")
+    place = (rows["item_idx"] <= rows["hit"]).groupby(rows["user_idx"]).sum()
+    assert got["R", 10] == pytest.approx((place <= 10).mean(), abs=1e-6)
+
+
+def test_pairs_are_scored_by_blocks(spark, monkeypatch):
+    """Any number of blocks gives the same; rows, columns and repeats stay, ids without a vector and null ones have no score."""
+    from tastegrid.operators import blocks
+
+    rng = np.random.default_rng(8)
+    u, i = rng.normal(size=(30, 3)), rng.normal(size=(50, 3))
+    tables = [spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(y) if k != 4], "id int, vector array<double>").repartition(3) for y in (u, i)]
+    pairs = [(int(a), int(b), f"{a} {b}") for a, b in zip(rng.integers(0, 32, 400), rng.integers(0, 52, 400), strict=True)]
+    pairs += [pairs[0], (None, 3, "x"), (3, None, "y")]
+    df = spark.createDataFrame(pairs, "a int, b int, more string")
+    want = sorted((str(p), None if None in p or 4 in p[:2] or p[0] > 29 or p[1] > 49 else float(u[p[0]] @ i[p[1]])) for p in pairs)
+    for size in (4, 1000):
+        monkeypatch.setattr(blocks, "VECTORS", size)
+        found = blocks.pair_scores(df, [(F.col("a"), tables[0]), (F.col("b"), tables[1])], lambda x, y: (x * y).sum(axis=1), "s")
+        assert found.columns == ["a", "b", "more", "s"]
+        got = sorted((str((r.a, r.b, r.more)), r.s) for r in found.collect())
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for (_, x), (_, y) in zip(got, want, strict=True))
+        assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 0

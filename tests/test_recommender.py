@@ -774,3 +774,23 @@ def test_pairs_are_scored_by_blocks(spark, monkeypatch):
         assert [k for k, _ in got] == [k for k, _ in want]
         assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for (_, x), (_, y) in zip(got, want, strict=True))
         assert found._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_als_holds_no_lists_of_what_is_asked_for(monkeypatch):
+    """What tasks ask each other for goes with the ratings, so it lies in a file and is read piece by piece."""
+    from tastegrid.operators import als
+
+    monkeypatch.setattr(als, "PIECE", 5000)
+    monkeypatch.setattr(als, "CHUNK", 5000)
+    peaks = []
+    for many in (100_000, 400_000):
+        held = als.Rows(als.RATING), als.Rows(als.RATING)
+        for x in held:
+            rows = np.zeros(many, dtype=als.RATING)
+            rows["own"], rows["other"], rows["v"] = np.arange(many) * 20_000 // many, np.arange(many) * 7919 % 20_000, 1.5
+            x.put(0, rows)
+        tracemalloc.start()
+        als.fitted(Beside(1).of(0), held, 4, 1, 0.1, 7)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 300_000 * 4 + peaks[0]  # two lists of four bytes for each rating more were held

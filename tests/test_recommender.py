@@ -794,3 +794,40 @@ def test_als_holds_no_lists_of_what_is_asked_for(monkeypatch):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 300_000 * 4 + peaks[0]  # two lists of four bytes for each rating more were held
+
+
+def test_runs_are_found_by_table_and_by_search():
+    from tastegrid.operators import products
+
+    for held in ([], [0], [2, 2, 3, 9, 9, 9], [5, 10**8, 10**8], [-3, 1, 1]):
+        held, wanted = np.array(held, dtype=np.int32), np.array([9, 2, 0, 1, 10, -3, -1, 10**8, 5], dtype=np.int32)
+        first, count = products.runs_of(held, wanted)
+        assert count.tolist() == [int((held == x).sum()) for x in wanted]
+        assert all((held[a : a + n] == x).all() for a, n, x in zip(first, count, wanted, strict=True) if n)
+
+
+def test_entries_of_scattered_users_are_written_once(spark, monkeypatch):
+    """However many ranges or blocks there are, an entry is in one row of one file; it went to every pair of ranges, or a user's
+    items to every block with a rater."""
+    from tastegrid.operators import products
+
+    rng = np.random.default_rng(6)
+    rows = sorted({(u, int(i), float(1 + (u + i) % 5)) for u in range(120) for i in rng.integers(0, 600, 12)})
+    train = spark.createDataFrame(rows, "user_idx int, item_idx int, rating double")
+    knn = m.ItemKNN(5).fit(train)
+    many, written = knn.matrix.count(), []
+    for name in ("laid", "sized"):
+        plain = getattr(products, name)
+
+        def kept(df, folder, plain=plain):
+            written.append(df.select(F.explode("items")).count() if "items" in df.columns else df.count())
+            return plain(df, folder)
+
+        monkeypatch.setattr(products, name, kept)
+    monkeypatch.setattr(products, "RANGES", 30)
+    monkeypatch.setattr(m, "FEW_USERS", 0)
+    best = {(r.i, r.j): r.s for r in knn.most_similar(3).collect()}
+    sims = {(r.i, r.j): round(r.sim, 10) for r in knn.similarity().collect()}
+    assert best and all(abs(s - sims[k]) < 2e-10 for k, s in best.items())
+    knn.predict(train).count()
+    assert written == [many, many]

@@ -831,3 +831,12 @@ def test_entries_of_scattered_users_are_written_once(spark, monkeypatch):
     assert best and all(abs(s - sims[k]) < 2e-10 for k, s in best.items())
     knn.predict(train).count()
     assert written == [many, many]
+
+
+def test_the_split_is_stored_by_column(spark):
+    """Of what was cached, pos and both ids took most, in memory or on executors' disks, for queries that read indexes and ratings only."""
+    from tastegrid.plans import catalogue
+
+    for part in catalogue._split(spark, "/root/testdata/sf0.001"):
+        plan = part.groupBy("user_idx").agg(F.avg("rating"))._jdf.queryExecution().executedPlan().toString()
+        assert "InMemory" not in plan and "movieId" not in plan.split("ReadSchema")[1]

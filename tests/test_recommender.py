@@ -6,6 +6,7 @@ import math
 import threading
 import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -839,4 +840,35 @@ def test_the_split_is_stored_by_column(spark):
 
     for part in catalogue._split(spark, "/root/testdata/sf0.001"):
         plan = part.groupBy("user_idx").agg(F.avg("rating"))._jdf.queryExecution().executedPlan().toString()
-        assert "InMemory" not in plan and "movieId" not in plan.split("ReadSchema")[1]
+        assert "InMemoryTableScan" not in plan and "movieId" not in plan.split("ReadSchema")[1]
+
+
+def test_split_files_leave_no_copies(spark, tmp_path):
+    """Lines that a file has in order are neither sorted nor written again to be numbered, and parts that one file has go before the others
+    are joined."""
+    from tastegrid.operators import splits
+    from tastegrid.session import stored_dir
+    from tastegrid.sources import textfiles
+
+    source = tmp_path / "ratings.dat"
+    source.write_bytes(b"".join(b"%d::%d::3\n" % (k % 4, k) for k in range(5000)))
+    lines = sources.read_lines(spark, str(source), split=999)
+    numbered = splits.number_rows(lines, ["pos"], "n", start=1)
+    assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert [(r.n, bytes(r.line)) for r in numbered.orderBy("n").collect()] == list(enumerate(source.read_bytes().splitlines(), start=1))
+    assert [r.n for r in splits.number_rows(lines.where("pos.offset > 99"), ["pos"], "n").orderBy("pos").collect()] == list(range(numbered.where("pos.offset > 99").count()))
+    seen = []
+    plain = textfiles._join
+
+    def join(spark, jobs):
+        held = [x for x in Path(stored_dir(spark)).glob("parts-*/file=*")]
+        seen.append((sorted(name.rpartition("/")[2] for name, _ in jobs), len(held)))
+        plain(spark, jobs)
+
+    textfiles._join = join
+    try:
+        split_files(lines, str(tmp_path / "out"))
+    finally:
+        textfiles._join = plain
+    assert [x for x, _ in seen][0] == ["ra.test", "ra.train", "rb.test", "rb.train"] and len(seen) == 2
+    assert seen[1][1] == seen[0][1] - 4
